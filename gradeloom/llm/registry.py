@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "quality"]
+MODULES = ["decontaminate", "mixing", "quality"]
 
 
 def _all(name: str) -> dict:
