@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "mixing", "quality"]
+MODULES = ["decontaminate", "mixing", "near_dups", "pii", "quality"]
 
 
 def _all(name: str) -> dict:
