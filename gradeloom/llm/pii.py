@@ -1,6 +1,6 @@
 """PII: format-preserving Feistel pseudonyms.
 
-Values that validate (e-mail and IPv4 addresses, payment card numbers by their check digit, IBANs, US social security
+Values that validate (e-mail and IPv4 addresses, payment card numbers by issuer and check digit, IBANs, US social security
 numbers, telephone numbers, calendar dates, and credentials assigned in hexadecimal digits) are replaced by keyed permutations
 of their own format: a card number becomes a card number with a right check digit and the same spacing, a date a date, and so
 on. A permutation depends on the key and the kind alone, so equal values stay equal in every document, and the holder of the
@@ -42,7 +42,7 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 #: Kinds and how they look, in order of precedence; what looks so is then validated.
 KINDS = {
     "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
-    "secret": r"(?<![0-9A-Fa-f])(?<=[=:\"' ])[0-9a-f]{32,128}(?![0-9A-Za-z])",
+    "secret": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
     "day_iso": r"(?<![0-9])(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9])",
     "day_dots": r"(?<![0-9.])(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![0-9])",
@@ -51,9 +51,11 @@ KINDS = {
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,3}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9])",
 }
-_SECRET_NAME = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|credential|auth)[\w-]{0,16}\s{0,4}[=:]\s{0,4}[\"']?$")
+_SECRET_NAME = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|credential|auth)[\w-]{0,16}\W{0,6}[=:]\W{0,6}$")
+#: First digits of the card schemes; a pseudonym keeps them.
+ISSUERS = re.compile("4|5[0-8]|6|3[04-8]|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)")
 LOOKS = {k: re.compile(v, re.ASCII) for k, v in KINDS.items()}
 
 
@@ -148,7 +150,8 @@ class Pseudonyms:
             name, _, last = value.rpartition(".")
             return f"{self._letters('email', name)}.{last}"
         if kind == "secret":
-            return self._letters("secret", value, (HEX,))
+            new = self._letters("secret", value.lower(), (HEX,))
+            return new.upper() if value.upper() == value else new
         if kind == "iban":
             country, body = value[:2], value[4:]
             return None if _iban_check(country, body) != value[2:4] else f"{country}{_iban_check(country, new := self._letters('iban', body))}{new}"
@@ -163,9 +166,10 @@ class Pseudonyms:
             a, (g, s) = x // (99 * 9999), divmod(x % (99 * 9999), 9999)
             return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
         if kind == "card":
-            if luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+            issuer = ISSUERS.match(digits)
+            if not issuer or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
                 return None
-            body = self._letters("card", digits[:-1])
+            body = issuer[0] + self._letters("card", digits[issuer.end() : -1])
             return self._spaced(body + luhn_digit(body), value)
         if kind == "phone":
             country = re.match(r"\+([1-9][0-9]{0,2}?)(?=[ .(-]|[0-9]{7,12}$)", value)
