@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "fingerprint", "mixing", "near_dups", "pii", "quality"]
+MODULES = ["decontaminate", "fingerprint", "html_text", "mixing", "near_dups", "pii", "quality"]
 
 
 def _all(name: str) -> dict:
