@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "fingerprint", "html_text", "language", "mixing", "near_dups", "pii", "quality"]
+MODULES = ["decontaminate", "fingerprint", "html_text", "language", "mixing", "near_dups", "pii", "quality", "token_counts"]
 
 
 def _all(name: str) -> dict:
