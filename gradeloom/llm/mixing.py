@@ -6,7 +6,7 @@ times its source's size: what is above is dealt anew by weight among the others,
 
 A source's target is `whole` copies of every document plus a remaining budget. For that, documents are counted by their
 exact size; each size gives its even share of documents, and what is still missing is fitted by a bounded-knapsack program
-over the sizes left, which meets the budget exactly where a subset does, and comes as near below it as one can otherwise.
+over the sizes left, which meets the budget exactly where a subset does, and else takes the nearest sum on either side.
 Of each size, the documents with the smallest seeded hashes are chosen, so reruns agree.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; the null source is a source of its own; an empty
@@ -33,6 +33,8 @@ MAX_REPEAT = 3
 SEED = 20240607
 #: Words that the knapsack program fits; larger budgets are first brought down to this by whole documents.
 DP_BUDGET = 1 << 16
+#: Documents of each size that the program may choose anew.
+SLACK = 16
 MADE = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -41,7 +43,7 @@ def n_tokens(text: Column) -> Column:
 
 
 def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
-    """How many documents of each size to take, so that their sizes sum up to the budget or as near below as can be."""
+    """How many documents of each size to take, so that their sizes sum up to the budget or as near to it as can be found."""
     sizes, counts = np.asarray(sizes, np.int64), np.asarray(counts, np.int64)
     total = int((sizes * counts).sum())
     if budget >= total:
@@ -50,18 +52,24 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
     rest = budget - int((sizes * take).sum())
     order = np.argsort(-sizes, kind="stable")
     for k in order:
-        if rest <= dp_budget:
+        if rest <= dp_budget // 2:
             break
-        more = min(int(counts[k] - take[k]), max(0, -(-(rest - dp_budget) // int(sizes[k]))), rest // int(sizes[k]))
+        more = min(int(counts[k] - take[k]), max(0, -(-(rest - dp_budget // 2) // int(sizes[k]))), rest // int(sizes[k]))
         take[k] += more
         rest -= more * int(sizes[k])
+    for k in order[::-1]:  # a few short documents are given back, so that the program has a choice
+        less = min(int(take[k]), SLACK, max(0, dp_budget - rest) // int(sizes[k]))
+        take[k] -= less
+        rest += less * int(sizes[k])
     if rest <= 0:
         return take
-    cap = min(rest, max(dp_budget, 0))
+    # Sums up to twice the rest: whatever is above lies further off than nothing at all.
+    goal = min(rest, dp_budget)
+    cap = 2 * goal
     reach, mask, made_by = 1, (1 << (cap + 1)) - 1, {0: (-1, 0)}
     for k in order:
         left, step = min(int(counts[k] - take[k]), cap // int(sizes[k])), 1
-        while left > 0 and not reach >> cap & 1:
+        while left > 0 and not reach >> goal & 1:
             m = min(step, left)
             left, step = left - m, step * 2
             new = (reach << (m * int(sizes[k]))) & mask & ~reach
@@ -69,13 +77,18 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
                 bits = np.flatnonzero(np.unpackbits(np.frombuffer(new.to_bytes(cap // 8 + 1, "little"), np.uint8), bitorder="little"))
                 made_by.update(dict.fromkeys(bits.tolist(), (int(k), m)))
                 reach |= new
-        if reach >> cap & 1:
+        if reach >> goal & 1:
             break
-    at = reach.bit_length() - 1
+    below = (reach & ((1 << (goal + 1)) - 1)).bit_length() - 1
+    above = goal + ((reach >> goal) & -(reach >> goal)).bit_length() - 1 if reach >> goal else 2 * goal + 1
+    at = below if goal - below <= above - goal else above
+    rest -= at
     while at:
         k, m = made_by[at]
         take[k] += m
         at -= m * int(sizes[k])
+    if rest > 0 and (more := [k for k in order if counts[k] > take[k] and sizes[k] >= rest and sizes[k] - rest < rest]):
+        take[more[-1]] += 1
     return take
 
 
