@@ -8,8 +8,10 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one vectorised step works on; a longer text makes a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -168,14 +170,25 @@ def shingles(low: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray,
     return hashes, rows
 
 
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, schema.field(n).type) for n, c in columns.items()], schema=schema)
+def pack_text(df: DataFrame, text: str) -> DataFrame:
+    """df with its text column replaced by `__body`, the last column: the bytes compressed for a shuffle, null where the text is."""
+    keep = [c for c in df.columns if c != text]
+    source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__body", T.BinaryType())])
 
+    def step(batches):
+        z = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            body = b.column(b.num_columns - 1).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([None if x is None else z.compress(x) for x in body.to_pylist()], pa.binary())], names=schema.names)
 
-def column(batch: pa.RecordBatch, name: str):
-    """The column of that name, case not regarded, as in Spark."""
-    names = [f.name for f in batch.schema]
-    return batch.column(names.index(name) if name in names else [x.lower() for x in names].index(name.lower()))
+    return source.mapInArrow(step, schema)
+
+
+def unpack(bodies: list[bytes | None]) -> list[bytes]:
+    """The bytes of packed texts; null is empty."""
+    z = zstandard.ZstdDecompressor()
+    return [z.decompress(x) if x else b"" for x in bodies]
 
 
 def bucket_of_id(name: str = "doc_id"):

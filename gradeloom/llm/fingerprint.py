@@ -67,7 +67,7 @@ def packed(text: pa.Array, *, n_words: int = N_WORDS, bins: int = BINS, bits: in
 
 def as_text(low: np.ndarray, some: np.ndarray, bits: int = BITS) -> list[str]:
     """Fingerprints in hexadecimal digits, the bits of consecutive bins side by side."""
-    spread = np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - bits :].reshape(len(low), -1)
+    spread = np.unpackbits(low[:, :, None], axis=2)[:, :, 8 - bits :].reshape(len(low), low.shape[1] * bits)
     return [bytes(x).hex() if s else "" for x, s in zip(np.packbits(spread, axis=1), some, strict=True)]
 
 

@@ -238,7 +238,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = DEMO_KEY, text: str = "text",
     """docs with the text's values replaced; with report also n_found and kinds (names and counts, sorted)."""
     keep = C.others(docs, [text, *(MADE if report else [])])
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__text", T.StringType()), T.StructField("n_found", T.LongType()), T.StructField("kinds", T.MapType(T.StringType(), T.LongType()))])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__text", T.StringType()), T.StructField("__n_found", T.LongType()), T.StructField("__kinds", T.MapType(T.StringType(), T.LongType()))])
 
     def step(batches):
         names = Pseudonyms(key, back)
@@ -254,7 +254,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = DEMO_KEY, text: str = "text",
 
     found = source.mapInArrow(step, schema)
     columns = [(F.col("__text") if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns if c == text or c in keep]
-    return found.select(*columns, *(MADE if report else []))
+    return found.select(*columns, *([F.col(f"__{m}").alias(m) for m in MADE] if report else []))
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:

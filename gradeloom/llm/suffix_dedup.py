@@ -27,7 +27,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -175,17 +174,8 @@ def _intervals(twice: np.ndarray, first: int, length: int) -> list[tuple[int, in
 
 
 def _packed_text(docs: DataFrame, key, text: str, keep: list[str]) -> DataFrame:
-    """(k1, k2, keep..., body) with the text's bytes compressed for the shuffle."""
-    source = docs.select(key[0].alias("__k1"), key[1].alias("__k2"), *[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("__body", T.BinaryType())])
-
-    def step(batches):
-        z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            body = b.column(b.num_columns - 1).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([None if x is None else z.compress(x) for x in body.to_pylist()], pa.binary())], names=schema.names)
-
-    return source.mapInArrow(step, schema)
+    """(keep..., __k1, __k2, __body)."""
+    return C.pack_text(docs.select(*[F.col(f"`{c}`") for c in keep], key[0].alias("__k1"), key[1].alias("__k2"), F.col(text).alias("__t")), "__t")
 
 
 def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR, max_extents: int = MAX_EXTENTS) -> DataFrame:
@@ -229,11 +219,9 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     texts = _packed_text(docs, (k1, k2), text, []).join(by_doc.hint("shuffle_hash"), (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2"))).select("uid", "wanted", "__body")
 
     def cut(batches):
-        z = zstandard.ZstdDecompressor()
         for b in batches:
             out = []
-            for uid, wants, body in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
-                raw = z.decompress(body)
+            for uid, wants, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), C.unpack(b.column(2).to_pylist()), strict=True):
                 for w in wants:
                     p, m, d = w["at"] >> 20, w["at"] >> 10 & 1023, w["at"] & 1023
                     out.append((w["ah"], w["extents"], w["open"], uid, p, m, d, raw[p : p + m - 1 + length]))
@@ -297,17 +285,16 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length
     key = C.row_key(docs, doc_id, text)
     spans = find_spans(docs, text=text, doc_id=doc_id, length=length, **options)
     texts = _packed_text(docs, key, text, keep)
-    joined = texts.join(spans.hint("shuffle_hash"), (F.col("__k1") == F.col("k1")) & (F.col("__k2") == F.col("k2")), "left").select(*[F.col(f"`{c}`") for c in keep], "__body", "spans")
+    spans = spans.withColumnsRenamed({"k1": "__s1", "k2": "__s2", "spans": "__spans"})
+    joined = texts.join(spans.hint("shuffle_hash"), (F.col("__k1") == F.col("__s1")) & (F.col("__k2") == F.col("__s2")), "left").select(*[F.col(f"`{c}`") for c in keep], "__body", "__spans")
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     types = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), span, T.BinaryType()]
     schema = T.StructType([*joined.schema.fields[: len(keep)], *(T.StructField(n, t) for n, t in zip(made, types, strict=False))])
 
     def step(batches):
-        z = zstandard.ZstdDecompressor()
         for b in batches:
             rows = []
-            for body, found in zip(b.column(len(keep)).to_pylist(), b.column(len(keep) + 1).to_pylist(), strict=True):
-                raw = z.decompress(body) if body else b""
+            for raw, found in zip(C.unpack(b.column(len(keep)).to_pylist()), b.column(len(keep) + 1).to_pylist(), strict=True):
                 merged: list[list[int]] = []
                 for s in sorted((s["begin"], s["end"]) for s in found or ()):
                     if merged and s[0] <= merged[-1][1]:
