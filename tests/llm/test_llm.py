@@ -1,0 +1,543 @@
+"""Each operator on small fixtures: against brute force, exact round trips, held-out accuracy, and the defined cases."""
+
+from __future__ import annotations
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from gradeloom.llm import _common as C
+from gradeloom.llm import decontaminate, fingerprint, html_text, language, mixing, near_dups, pii, quality, suffix_dedup, token_counts
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def words(rng, n, vocabulary=400):
+    return " ".join(f"w{rng.randrange(vocabulary)}" for _ in range(n))
+
+
+def corpus():
+    """Texts with copies, near copies, shared passages, nulls, empty and odd ones, and repeated rows."""
+    rng = random.Random(5)
+    texts = [words(rng, rng.choice([3, 20, 60, 150])) for _ in range(60)]
+    passage = words(rng, 60)
+    for k in range(8):
+        texts.append(f"{words(rng, 10)} {passage} {words(rng, 12)}")
+    base = words(rng, 120).split()
+    for k in range(12):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"x{k}"
+        texts.append(" ".join(copy))
+    texts += [texts[3]] * 4 + ["", None, " \n\t ", "日本語のテキスト。" * 40, "é" * 300, "a" * 1000, "A.B", "one", "Ünï 😀 x", "\x00\x0b y"]
+    texts.append(words(rng, 30_000))
+    rows = [(k, t, rng.choice(["en", "fr"]), rng.choice(["a", "b", "c", None]), len(t or "")) for k, t in enumerate(texts)]
+    rows += [rows[2], rows[70], (None, "null id text of some words here", "en", None, 0), (None, None, None, None, None)]
+    return rows
+
+
+ROWS = corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("docs") / "documents.parquet")
+    spark.createDataFrame(ROWS, DOCS).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+def clash(docs):
+    """docs with further columns whose names are those that operators make."""
+    made = ["size", "copies", "taken", "class_id", "n_links", "n_words", "hits", "items", "score", "lang_pred", "spans", "n_tokens", "fingerprint", "n_found", "kinds", "n_bytes", "n_removed", "removed", "kept", "Text2", "row", "k1", "k2", "bucket"]
+    return docs.withColumns({m: F.lit(f"own {m}") for m in made})
+
+
+def tokens(text, n=5):
+    found = re.findall(rb"[0-9a-z\x80-\xff]+", bytes((text or "").encode()).lower())
+    return frozenset(tuple(found[i : i + n]) for i in range(len(found) - n + 1)) if len(found) >= n else frozenset([tuple(found)]) if found else frozenset()
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+# --- 1
+
+
+def test_fit_counts():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        sizes = np.sort(rng.choice(np.arange(1, 40), 6, replace=False))
+        counts = rng.integers(1, 5, 6)
+        budget = int(rng.integers(0, (sizes * counts).sum() + 1))
+        take = mixing.fit_counts(sizes, counts, budget, dp_budget=1 << 10)
+        assert (take >= 0).all() and (take <= counts).all() and abs((sizes * take).sum() - budget) <= 20
+    exact = sum((s := np.array([1, 7, 11]), mixing.fit_counts(s, [50, 50, 50], b))[1] @ s == b for b in range(951))
+    assert exact == 951
+    assert mixing.fit_counts([10**9], [10**9], 5 * 10**17, 100).tolist() == [500_000_000]
+
+
+def water_level(sizes, weights, most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    target, open_, left = {}, set(order), float(sum(sizes.values()))
+    while True:
+        share = sum(w[s] for s in open_)
+        over = {s for s in open_ if share and left * w[s] / share > most * sizes[s]}
+        if not over:
+            return target | {s: left * w[s] / share if share else 0.0 for s in open_}
+        for s in over:
+            target[s] = float(most * sizes[s])
+        left -= sum(target[s] for s in over)
+        open_ -= over
+
+
+def test_mixing(docs, none, spark):
+    rows = mixing.plan_mix(docs).collect()
+    assert len(rows) == len(ROWS)
+    size = collections.defaultdict(int)
+    for r in ROWS:
+        size[r[3]] += len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
+    goal, taken = water_level(size, mixing.WEIGHTS), collections.defaultdict(int)
+    for r in rows:
+        assert r.source_size == size[r.source] and r.target == pytest.approx(goal[r.source]) and 0 <= r.copies <= 3
+        taken[r.source] += r.size * r.copies
+    for s in size:
+        assert abs(goal[s] - taken[s]) <= (15_000 if size[s] > 30_000 else 20), s
+    again = mixing.plan_mix(docs.repartition(5)).collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, again))
+    mixed = mixing.mix(clash(docs), copy_column="copy")
+    assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == [*clash(docs).columns, "copy"]
+    assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
+    one = spark.createDataFrame([(1, "a b", "en", "s", 3)], DOCS)
+    assert [(r.target, r.copies) for r in mixing.plan_mix(one).collect()] == [(2.0, 1)]
+
+
+# --- 2
+
+
+def test_language(spark, docs, none):
+    rng = random.Random(2)
+    parts = {"en": ["th", "ing", "er", "wh"], "de": ["sch", "ung", "ü", "ei"], "ru": ["пр", "ив", "ет", "ст"]}
+    text = lambda x, n: " ".join("".join(rng.choice(parts[x]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+    rows = [(k, text(x := rng.choice(list(parts)), rng.randint(5, 60)), x, None, 0) for k in range(300)]
+    table = spark.createDataFrame(rows, DOCS)
+    model = language.train(table)
+    assert model.langs == ["de", "en", "ru"]
+    got = {r.doc_id: r for r in language.predict(table, model, keep=["doc_id", "lang"]).collect()}
+    held = [r for k, r in got.items() if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert len(held) > 30 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
+    assert all(0 <= r.score <= 1 for r in got.values())
+    langs, scores, spans = model.predict([f"{text('en', 30)} {text('de', 30)}", "", None, "12 3", text("ru", 1), "ωωω"], True)
+    assert langs[1:4] == ["und"] * 3 and scores[1] == 0 and langs[4] == "ru" and langs[5] in model.langs and scores[5] == 0
+    assert [s["lang"] for s in spans[0]] == ["en", "de"]
+    swapped = language.train(table.withColumn("lang", F.when(C.bucket_of_id() == 0, "xx").otherwise(F.col("lang"))))
+    assert swapped.langs == model.langs and np.array_equal(swapped.odds, model.odds)
+    assert language.train(none).langs == []
+    assert {r.lang_pred for r in language.predict(docs, language.train(none)).collect()} == {"und"}
+    wide = language.predict(clash(docs), model)
+    assert wide.count() == len(ROWS) and wide.columns.count("score") == 1
+
+
+def brute_viterbi(scores, penalty):
+    best, back = scores[0].copy(), []
+    for s in scores[1:]:
+        top = int(best.argmax())
+        step = [k if best[k] >= best[top] - penalty else top for k in range(len(best))]
+        best = np.array([best[j] - (penalty if j != k else 0) for k, j in enumerate(step)]) + s
+        back.append(step)
+    out = [int(best.argmax())]
+    for step in reversed(back):
+        out.append(step[out[-1]])
+    return out[::-1]
+
+
+def test_viterbi_side_by_side():
+    model = language.Model(["a", "b", "c"], np.ones((3, language.BUCKETS)), np.ones((3, len(language.SCRIPTS) + 1)), np.ones(3), 4.0)
+    texts = ["x " * n for n in (7, 0, 3, 12, 1)]
+    w = language.Words(texts)
+    scores = np.random.default_rng(0).normal(0, 3, (len(w.begin), 3))
+    got = model._viterbi(w, scores)
+    for t in range(len(texts)):
+        at = np.flatnonzero(w.text == t)
+        assert got[at].tolist() == (brute_viterbi(scores[at], 4.0) if len(at) else [])
+
+
+# --- 3
+
+
+def brute_spans(texts, length):
+    seen = collections.Counter(b[i : i + length] for b in texts for i in range(len(b) - length + 1))
+    out = []
+    for b in texts:
+        flags = bytearray(len(b))
+        for i in range(len(b) - length + 1):
+            if seen[b[i : i + length]] > 1:
+                flags[i : i + length] = b"\1" * length
+        out.append(flags)
+    return out
+
+
+@pytest.mark.parametrize("most", [1024, 1])
+def test_suffix_dedup(docs, most):
+    want = collections.Counter()
+    texts = [(r[0], (r[1] or "").encode()) for r in ROWS]
+    for (k, b), flags in zip(texts, brute_spans([b for _, b in texts], 200), strict=True):
+        spans = len(re.findall(b"\1+", bytes(flags)))
+        want[k, len(b), sum(flags), spans, hashlib.sha256(bytes(c for c, f in zip(b, flags, strict=True) if not f)).hexdigest()] += 1
+    got = suffix_dedup.dedup(docs, keep=["doc_id"], max_extents=most).collect()
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.removed) == r.n_spans for r in got)
+
+
+def test_suffix_dedup_cases(none, docs):
+    assert suffix_dedup.dedup(none).count() == 0
+    assert suffix_dedup.dedup(clash(docs), outputs=False).count() == len(ROWS)
+    cover = suffix_dedup.difference_cover(32)
+    assert {(a - b) % 32 for a in cover for b in cover} == set(range(32)) and len(cover) < 10
+
+
+def test_long_text_in_pieces(spark, monkeypatch):
+    rng = random.Random(4)
+    body = "".join(rng.choice("abcdefgh ") for _ in range(9_000))
+    texts = [body, body[4_000:4_300] + "zz" + body[:150], "q" * 700]
+    want = [sum(f) for f in brute_spans([t.encode() for t in texts], 200)]
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1_000)
+    data = np.frombuffer(body.encode(), np.uint8)
+    whole = suffix_dedup.runs(data, np.array([0, len(data)]), 200, 32)
+    assert whole[2].sum() == len(data) - 199
+    table = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOCS)
+    got = suffix_dedup.dedup(table, keep=["doc_id"], outputs=False).orderBy("doc_id").collect()
+    assert [r.n_removed for r in got] == want
+
+
+def test_sort_block_is_exact():
+    rng = np.random.default_rng(7)
+    extents = []
+    for bucket in range(6):
+        middle = bytes(rng.integers(97, 99, 40, dtype=np.uint8))
+        for _ in range(12):
+            off, right = int(rng.integers(0, 25)), int(rng.integers(60, 90))
+            left = bytes(rng.choice([97, 98], off).astype(np.uint8)) if rng.random() < 0.5 else b"a" * off
+            body = left + middle + (b"b" * right if rng.random() < 0.5 else bytes(rng.choice([97, 98], right).astype(np.uint8)))
+            extents.append((bucket, off, min(off + 1, len(body) - 71), body))
+    seen = collections.Counter((e[0], e[1] - j, e[3][j : j + 72]) for e in extents for j in range(e[2]))
+    want = [seen[e[0], e[1] - j, e[3][j : j + 72]] > 1 for e in extents for j in range(e[2])]
+    assert suffix_dedup.sort_block(extents, 72).tolist() == want and any(want)
+
+
+# --- 4
+
+
+def test_token_counts(docs, none):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    pieces = token_counts.vocabulary()
+    library = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    counter = token_counts.Counter(pieces)
+    rng = random.Random(1)
+    texts = [r[1] or "" for r in ROWS] + ["", " ", "  a  b", "a\n\nb \n c", "😀😀 x", "<s> <0x0A> </s>", "▁▁x ▁", "\t\ttab"]
+    texts += ["".join(rng.choice("ab \n▁éß日😀<0x>s/1.") for _ in range(rng.randint(0, 60))) for _ in range(1500)]
+    for t in texts:
+        assert counter.count(t) == len(library.encode(t, add_special_tokens=False).ids), t[:80]
+    got = collections.Counter((r.doc_id, r.n_tokens) for r in token_counts.count_tokens(clash(docs)).collect())
+    assert got == collections.Counter((r[0], counter.count(r[1])) for r in ROWS)
+    assert token_counts.count_tokens(none).count() == 0
+
+
+def test_token_ties():
+    bytes_ = [(f"<0x{b:02X}>", -50.0) for b in range(256)]
+    counter = token_counts.Counter([*bytes_, ("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("▁ab", -5.0)])
+    assert counter.count("ab") == 1  # of equal scores the longest last piece
+    assert counter.count("aab") == 3
+    with pytest.raises(ValueError):
+        token_counts.Counter([("a", -1.0)])
+    with pytest.raises(ValueError):
+        token_counts.Counter([*bytes_, ("a", -1.5)])
+
+
+# --- 5
+
+
+def test_html_known_pages():
+    model = html_text.train()
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{margin:0}</style><script>var t="</p>";</script></head><body>
+    <nav><ul><li><a href="/a">Home</a></li><li><a href="/b">About</a></li></ul></nav><!-- ad --><div class="ad">Buy now, cheap.</div>
+    <article><h1>A title of words</h1><p><b>First   paragraph &amp; more, with enough words to say something here.<br><p>Second
+    one &copy; goes on and on, and says quite a lot about the matter.</p><p>Short.</p></article><aside class="sidebar"><h3>Related</h3><ul><li><a href="/x">Another story</a></li></ul></aside>
+    <div class="comments"><h3>Comments</h3><div class="comment"><p>I do not agree with this at all, says a reader.</p></div></div><footer>&copy; site</footer>"""
+    assert model.text(page) == "A title of words\nFirst paragraph & more, with enough words to say something here.\nSecond one © goes on and on, and says quite a lot about the matter.\nShort."
+    assert model.text(None) == "" and model.text("") == "" and model.text("<p") == "" and model.text("<script>x") == ""
+    assert isinstance(model.text("<<>&#x;</p></div><b><td>x" * 50), str)
+
+
+def test_html_generated_pages():
+    model = html_text.train(n_generated=250)
+    right = found = said = 0
+    for seed in range(5_000, 5_120):
+        page, labels = html_text.generated(seed)
+        nodes, blocks = html_text.parse(page)
+        assert len(nodes) == len(labels)
+        p = model.marginals(nodes)
+        for k, _ in blocks:
+            right += labels[k] and p[k] >= 0.5
+            found += labels[k]
+            said += p[k] >= 0.5
+    assert right / found > 0.85 and right / said > 0.9
+
+
+def test_marginals_are_exact():
+    rng = np.random.default_rng(3)
+    nodes = [html_text.Node("#root", None, frozenset(), 0)]
+    for k in range(1, 8):
+        nodes.append(html_text.Node("div", nodes[int(rng.integers(0, k))], frozenset(), k))
+    model = html_text.TreeModel(np.zeros(len(html_text.NUMBERS)), {}, rng.normal(0, 1, (2, 2)))
+    unary = rng.normal(0, 1, 8)
+    model.unary = lambda _: unary.tolist()
+    weight, content = 0.0, np.zeros(8)
+    for state in range(256):
+        s = [state >> k & 1 for k in range(8)]
+        w = np.exp(sum(unary[k] * s[k] for k in range(8)) + sum(model.pair[s[x.parent.k], s[x.k]] for x in nodes[1:]))
+        weight += w
+        content += w * np.array(s)
+    assert model.marginals(nodes) == pytest.approx((content / weight).tolist())
+
+
+def test_html_table(spark):
+    rows = [(1, "u", html_text.generated(1)[0]), (2, "v", None), (3, None, ""), (None, None, "<p>x y z")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("own"))
+    got = {r.page_id: r for r in html_text.extract(pages, html_text.train(pages, n_generated=60)).collect()}
+    assert got[2].text == "" and got[3].n_chars == 0 and got[1].n_chars == len(got[1].text)
+    assert html_text.extract(pages.limit(0), html_text.train(n_generated=20)).count() == 0
+
+
+# --- 6
+
+
+def test_fingerprint(spark, docs, none):
+    got = fingerprint.compare(docs).collect()
+    key = lambda k: (k is not None, k or 0)
+    by_id = collections.defaultdict(set)
+    for r in ROWS:
+        by_id[r[0]].add(r[1] or "")
+    assert collections.Counter((r.doc_id, r.n_chars) for r in got) == collections.Counter((r[0], len(r[1] or "")) for r in ROWS)
+    prints = collections.defaultdict(set)
+    order = sorted(by_id, key=key)
+    for k, r in enumerate(sorted((r for r in got if r.doc_id is not None and len(by_id[r.doc_id]) == 1), key=lambda r: r.doc_id)):
+        (text,) = by_id[r.doc_id]
+        prints[text].add(r.fingerprint)
+        if collections.Counter(x[0] for x in ROWS)[r.doc_id] > 1:
+            continue
+        after = order[(order.index(r.doc_id) + 1) % len(order)]
+        if after is None:
+            continue
+        (following,) = by_id[after]
+        n = len(text)
+        edited = text[: n - n // 2] + following[: n // 2]
+        assert r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest(), r.doc_id
+        assert r.near_edited == pytest.approx(jaccard(tokens(text), tokens(edited)), abs=0.15)
+        assert r.near_next == pytest.approx(jaccard(tokens(text), tokens(following)), abs=0.15)
+    assert all(len(p) == 1 for p in prints.values())
+    assert fingerprint.compare(none).count() == 0
+    one = fingerprint.compare(spark.createDataFrame([(7, "a b c d e f", None, None, 0)], DOCS)).first()
+    assert one.edited_sha256 == hashlib.sha256(b"a b c a b c"[:11]).hexdigest() or one.n_chars == 11
+    assert fingerprint.fingerprint(clash(docs)).count() == len(ROWS)
+
+
+def test_fingerprint_is_unbiased():
+    import pyarrow as pa
+
+    rng, errors = random.Random(3), []
+    for _ in range(60):
+        a = words(rng, 300, 10**6).split()
+        b = a[: rng.randrange(300)]
+        b = b + words(rng, 300 - len(b), 10**6).split()
+        low, some = fingerprint.packed(pa.array([" ".join(a), " ".join(b)]))
+        errors.append(fingerprint.likeness(low[:1], some[:1], low[1:], some[1:])[0] - jaccard(tokens(" ".join(a)), tokens(" ".join(b))))
+    assert abs(np.mean(errors)) < 0.015 and np.abs(errors).max() < 0.12
+
+
+# --- 7
+
+
+def benchmark(spark):
+    texts = [ROWS[0][1], " ".join(ROWS[5][1].split()[:12]), "A.B", None, "", "no such words at all in any text of these ones", ROWS[5][1].upper()]
+    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "one"), (1, "one")], "item_id long, text string"), [*enumerate(texts), (None, "one"), (1, "one")]
+
+
+def split(text):
+    return re.findall(rb"[0-9a-z\x80-\xff]+", bytes((text or "").encode()).translate(bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))))
+
+
+@pytest.mark.parametrize("most", [200_000, 7])
+def test_decontaminate(spark, docs, most):
+    table, items = benchmark(spark)
+    windows = []
+    for k, t in items:
+        w = split(t)
+        n = min(10, len(w))
+        windows += [(k, w[i : i + n]) for i in range(len(w) - n + 1)] if n else []
+    want = collections.Counter()
+    for r in ROWS:
+        w, hit, ids = split(r[1]), set(), set()
+        for k, g in windows:
+            for i in range(len(w) - len(g) + 1):
+                if w[i : i + len(g)] == g:
+                    hit.update(range(i, i + len(g)))
+                    ids |= {str(k)} - {"None"}
+        want[r[0], len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)] += 1
+    got = decontaminate.digest(decontaminate.scan(docs, table, keep=["doc_id"], max_windows=most), F.col("doc_id")).collect()
+    assert collections.Counter(map(tuple, got)) == want
+    kept = decontaminate.drop_contaminated(clash(docs), table, max_windows=most)
+    assert kept.columns == clash(docs).columns and kept.count() == sum(n for k, n in want.items() if not k[5])
+    cut = decontaminate.remove_spans(docs, table)
+    assert cut.count() == len(ROWS) and decontaminate.scan(cut, table).filter("size(hits) > 0").count() == 0
+    clean = {k[0] for k in want if not k[5]}
+    texts = {r[0]: r[1] for r in ROWS}
+    assert all(r.text == texts[r.doc_id] for r in cut.collect() if r.doc_id in clean and r.doc_id is not None)
+    assert decontaminate.scan(docs, table.limit(0)).filter("size(hits) > 0").count() == 0
+
+
+# --- 8
+
+
+def brute_links(rows, threshold=0.8):
+    sets = [tokens(r[1]) for r in rows]
+    links, parent = [0] * len(rows), list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and jaccard(sets[i], sets[j]) >= threshold:
+                links[i] += 1
+                links[j] += 1
+                parent[root(i)] = root(j)
+    return links, [root(i) for i in range(len(rows))]
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_near_dups(docs, block):
+    links, root = brute_links(ROWS)
+    least = collections.defaultdict(list)
+    for k, r in enumerate(ROWS):
+        if r[0] is not None:
+            least[root[k]].append(r[0])
+    want = collections.Counter((r[0], min(least[root[k]], default=None), links[k]) for k, r in enumerate(ROWS))
+    got = near_dups.join(docs, block=block).collect()
+    assert collections.Counter(map(tuple, got)) == want
+    assert sum(n > 3 for n in links) > 5
+
+
+def test_near_dups_keep_one(docs, none):
+    _, root = brute_links(ROWS)
+    empty = [k for k, r in enumerate(ROWS) if not tokens(r[1])]
+    kept = near_dups.keep_one(clash(docs))
+    assert kept.columns == clash(docs).columns and kept.count() == len(set(root) | set(empty))
+    assert near_dups.keep_one(none).count() == 0 and near_dups.join(none).count() == 0
+    bands, rows = near_dups.choose_bands(0.8, 0.999)
+    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= near_dups.MAX_HASHES
+
+
+def test_components(spark):
+    rng = random.Random(1)
+    edges = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)] + [(100 + i, 101 + i) for i in range(25)]
+    parent = {v: v for e in edges for v in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    got = near_dups.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {r.v: r.label for r in got} == {v: root(v) for v in parent}
+
+
+# --- 9
+
+PRIVATE = 'mail a.b@x.example.com und.34@mail7.example.com ip 97.51.17.173 card 4845168114407329 4845-1681-1440-7329 phone +1 (017) 555-7713, (212) 555-0100; TOKEN =!! "04DBEBAB91AB85687D33EEAAF9AC699E1188F962" 2020-02-29 29.02.2020 02/29/2020 29/02/2020 29 February 2020 February 29, 2020 078-05-1120 GB82WEST12345698765432 '
+
+
+def test_pii():
+    names, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    out, found = names.apply(PRIVATE)
+    assert [f[2] for f in found] == ["email", "email", "ip", "card", "card", "phone", "phone", "secret", *["day"] * 6, "ssn", "iban"]
+    assert all(PRIVATE[b:e] not in out for b, e, _, _ in found) and back.apply(out)[0] == PRIVATE
+    card, spaced = found[3][3], found[4][3]
+    assert spaced.replace("-", "") == card and pii.luhn_digit(card[:-1]) == card[-1]
+    days = [f[3] for f in found if f[2] == "day"]
+    assert days[0] == "-".join(reversed(days[1].split("."))) and pii.Pseudonyms(b"other").apply(PRIVATE)[0] != out
+    plain = "9807915762804490 4845168114407328 Version 2.0.1 1.2.3.4.5 300.1.1.1 2021-02-30 x@y a=0123456789abcdef0123456789abcdef 000-12-3456 12/34/5678"
+    assert names.apply(plain)[0] == plain
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
+def test_permutation(n):
+    p = pii.Permutation(b"k", "t", n)
+    assert sorted(p(x) for x in range(n)) == list(range(n)) and all(p(p(x), True) == x for x in range(n))
+
+
+def test_pii_table(spark, docs, none):
+    rows = [(1, PRIVATE, None, None, 0), (2, None, None, None, None), (3, "clean", None, None, 5), (4, f"again {PRIVATE[5:22]}", None, None, 0)]
+    table = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r for r in pii.pseudonymise(table).collect()}
+    assert got[2].text is None and got[3].text == "clean" and got[1].n_found == 16 and got[1].kinds["day"] == 6
+    assert got[4].text[6:] in got[1].text
+    assert pii.pseudonymise(clash(docs)).count() == len(ROWS) and pii.pseudonymise(none).count() == 0
+    assert pii.pseudonymise(clash(docs), report=False).columns == clash(docs).columns
+
+
+# --- 10
+
+
+def labelled(spark, n=500):
+    rng = random.Random(6)
+    rows, labels = [], []
+    for k in range(n):
+        good = rng.random() < 0.8
+        body = ". ".join(words(rng, 12, 5000).capitalize() for _ in range(rng.randint(1, 12)))
+        rows.append((k, body if good else rng.choice([body.upper().replace(" ", "!! "), body.replace(" ", "$$$ "), body.replace(" ", " | ")]), None, None, 0))
+        labels.append((k, int(good)))
+    return spark.createDataFrame(rows, DOCS), spark.createDataFrame([*labels, (None, 1), (1, None)], "doc_id long, quality int"), dict(labels)
+
+
+def test_quality(spark, docs, none):
+    table, labels, truth = labelled(spark)
+    model = quality.train(table, labels)
+    got = {r.doc_id: r.score for r in quality.score(table, model, keep=["doc_id"]).collect()}
+    held = [k for k in truth if zlib.crc32(str(k).encode()) % 5 == 0]
+    assert sum((got[k] >= 0.3) == bool(truth[k]) for k in held) / len(held) > 0.97
+    again = quality.train(table.repartition(7), labels.withColumn("quality", F.when(C.bucket_of_id() == 0, 1 - F.col("quality")).otherwise(F.col("quality"))))
+    assert np.allclose([t.sum() for t in again.tables], [t.sum() for t in model.tables])
+    scored = quality.score(clash(docs), model).collect()
+    assert len(scored) == len(ROWS) and all(0 <= r.score <= 1 for r in scored)
+    assert quality.score(none, model).count() == 0
+    blank = quality.train(none, labels.limit(0))
+    assert {r.score for r in quality.score(docs, blank).collect()} == {0.5}
+    kept = quality.keep_good(table, labels)
+    assert kept.columns == table.columns and abs(kept.count() - sum(truth.values())) < 10
+
+
+def test_gam_learns_pairs():
+    rng = np.random.default_rng(0)
+    x = rng.uniform(-1, 1, (3000, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
+    model = quality.Gam(rounds=20, pair_rounds=60, n_pairs=2).fit(x[:2000], y[:2000])
+    assert ((model.score(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.9
