@@ -147,18 +147,18 @@ def _runs(r: DataFrame) -> list[str]:
     return [x[0] for x in r.select("run_id").distinct().orderBy("run_id").collect()]
 
 
-@_query("question_run_pivot", RESULTS, "select question_id, run_id, coalesce(max(e), 0) as earned from (select q.question_id, u.run_id, s.e from (select distinct question_id from r) q cross join (select distinct run_id from r) u left join s on s.question_id = q.question_id and s.run_id = u.run_id and s.idx % 7 <> 0) group by question_id, run_id", EARNED)
+@_query("question_run_pivot", RESULTS, "select question_id, run_id, coalesce(max(e), 0) as earned from (select q.question_id, u.run_id, s.e from (select distinct question_id from r) q cross join (select distinct run_id from r) u left join s on s.question_id = q.question_id and s.run_id = u.run_id and s.valid_marking) group by question_id, run_id", EARNED)
 def _(r):
     runs = _runs(r)
-    wide = scores.pivot_runs(_results(r).filter("idx % 7 <> 0"), runs, ["question_id"], questions=r)
+    wide = scores.pivot_runs(_results(r).filter("valid_marking"), runs, ["question_id"], questions=r)
     return wide.unpivot("question_id", runs, "run_id", "earned")
 
 
-@_query("first_run_left_join", RESULTS, "select q.dataset, q.question_id, q.max_points, count(s.run_id) as num_runs, coalesce(round_even(sum(s.e), 2), 0) as total from (select dataset, question_id, max_by(max_points, idx) as max_points from r where run_id = (select min(run_id) from r) and idx % 5 <> 0 group by dataset, question_id) q left join (select * from s where idx % 2 = 0) s on s.dataset = q.dataset and s.question_id = q.question_id group by all", EARNED)
+@_query("first_run_left_join", RESULTS, "select q.dataset, q.question_id, q.max_points, count(s.run_id) as num_runs, coalesce(round_even(sum(s.e), 2), 0) as total from (select dataset, question_id, max_by(max_points, idx) as max_points from r where run_id = (select min(run_id) from r) and coarse_grained_score > 20 group by dataset, question_id) q left join (select * from s where valid_marking) s on s.dataset = q.dataset and s.question_id = q.question_id group by all", EARNED)
 def _(r):
     first = r.agg(F.min("run_id")).first()[0]
-    questions = scores.first_run_questions(r.filter((F.col("run_id") != first) | (F.col("idx") % 5 != 0)), ["dataset"])
-    own = _results(r).filter("idx % 2 = 0").drop("max_points")
+    questions = scores.first_run_questions(r.filter((F.col("run_id") != first) | (F.col("coarse_grained_score") > 20)), ["dataset"])
+    own = _results(r).filter("valid_marking").drop("max_points")
     return questions.join(own, ["dataset", "question_id"], "left").groupBy("dataset", "question_id", "max_points").agg(F.count("run_id").alias("num_runs"), F.coalesce(X.half_even(F.sum("earned_points")), F.lit(0.0)).alias("total"))
 
 
@@ -439,21 +439,21 @@ def _(spark, sf_dir):
     return catalog.pending(known, customers.filter("c_acctbal > 0"), done)
 
 
-@_query("multi_run_datasets", RESULTS, "select dataset, question_id as model, count(distinct run_id) as num_runs from r where idx % 4 = 0 group by all having count(distinct run_id) > 1")
+@_query("multi_run_datasets", RESULTS, "select dataset, question_id as model, count(distinct run_id) as num_runs from r where valid_marking group by all having count(distinct run_id) > 1")
 def _(r):
-    return catalog.multi_run(r.filter("idx % 4 = 0").withColumn("model", F.col("question_id")))
+    return catalog.multi_run(r.filter("valid_marking").withColumn("model", F.col("question_id")))
 
 
-@_query("cache_lookup", None, "select p_partkey as id, sha256(p_name) as key, c.p_brand as value from part p left join (select sha256(p_name) as k, min(p_brand) as p_brand from part where p_partkey % 3 = 0 group by 1) c on c.k = sha256(p.p_name)")
+@_query("cache_lookup", None, "select p_partkey as id, sha256(p_name) as key, c.p_brand as value from part p left join (select sha256(p_name) as k, min(p_brand) as p_brand from part where p_size > 25 group by 1) c on c.k = sha256(p.p_name)")
 def _(spark, sf_dir):
     r = spark.read.parquet(f"{sf_dir}/part.parquet").withColumns({"namespace": F.lit("rule"), "key": F.sha2("p_name", 256)})
-    cache = r.filter("p_partkey % 3 = 0").groupBy("namespace", "key").agg(F.min("p_brand").alias("value"))
+    cache = r.filter("p_size > 25").groupBy("namespace", "key").agg(F.min("p_brand").alias("value"))
     return judge.lookup(r.select("namespace", "key", F.col("p_partkey").alias("id")), cache).select("id", "key", "value")
 
 
-@_query("budget_rank", None, "select p_partkey as id, row_number() over (order by p_partkey) as call_rank from part where p_partkey % 3 <> 0")
+@_query("budget_rank", None, "select p_partkey as id, row_number() over (order by p_partkey) as call_rank from part where p_size <= 25")
 def _(spark, sf_dir):
-    r = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("id"))
+    r = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size <= 25").select(F.col("p_partkey").alias("id"))
     return judge.budget_rank(r, ["id"])
 
 
