@@ -153,7 +153,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
-NUMBERS = ["bias", "link_share", "log_words", "own_words", "mark_rate", "page_share", "place", "children", "depth", "no_text", "few_words", "linked"]
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+NUMBERS = ["bias", "link_share", "log_words", "own_words", "mark_rate", "page_share", "place", "children", "depth", "no_text", "few_words", "linked", "paragraphs"]
 
 
 def numbers(nodes: list[Node]) -> np.ndarray:
@@ -162,17 +163,19 @@ def numbers(nodes: list[Node]) -> np.ndarray:
     parent = np.array([x.parent.k if x.parent else -1 for x in nodes])
     sums = np.array([(x.own, x.words, x.links, x.marks) for x in nodes], np.float64)
     own = sums[:, 1].copy()
-    depth = np.zeros(n)
+    depth, direct = np.zeros(n), [0.0] * n
     rows = sums.tolist()
     for k in range(n - 1, 0, -1):
         p, r = rows[parent[k]], rows[k]
         for j in range(4):
             p[j] += r[j]
+        if nodes[k].name in PARAGRAPHS:
+            direct[parent[k]] += r[1]
     for k in range(1, n):
         depth[k] = depth[parent[k]] + 1
     chars, words, links, marks = np.array(rows).T
     share = links / np.maximum(chars, 1)
-    return np.stack([np.ones(n), share, np.log1p(words) / 3, np.log1p(own) / 3, np.minimum(marks / np.maximum(words, 1), 1), words / max(words[0], 1), np.arange(n) / n, np.log1p([x.children for x in nodes]) / 2, np.minimum(depth, 12) / 6, words == 0, words < 5, share > 0.6], axis=1)
+    return np.stack([np.ones(n), share, np.log1p(words) / 3, np.log1p(own) / 3, np.minimum(marks / np.maximum(words, 1), 1), words / max(words[0], 1), np.arange(n) / n, np.log1p([x.children for x in nodes]) / 2, np.minimum(depth, 12) / 6, words == 0, words < 5, share > 0.6, np.array(direct) / np.maximum(words, 1)], axis=1)
 
 
 class TreeModel:
@@ -372,7 +375,7 @@ def generated(seed: int) -> tuple[str, list[int]]:
         for kind in rng.sample(["aside", "comments", "ad", "footer", "nav", "form", "share", "notice"], rng.randint(1, 4)):
             other(kind)
 
-    el("html", 0, lambda: (el("head", 0, f"<title>{words(4)}</title><style>p{{}}</style>"), el("body", 0, body)))
+    el("html", 0, lambda: (el("head", 0, f"<title>{words(4)}</title><style>p{{}}</style>"), el("body", int(layout >= 0.85), body)))
     return "".join(out), labels
 
 
