@@ -28,6 +28,9 @@ TO_SPACE = bytes(int(b) if WORD[b] else 32 for b in range(256))
 _BYTE_CODES = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+_staged: list[str] = []
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names, or a temporary one where none is set (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -45,9 +48,19 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/gradeloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(spark: SparkSession) -> int:
+    """Deletes the staged tables of this process, once the results that read them are written; how many there were."""
+    n = len(_staged)
+    while _staged:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     """Two longs that name a row by its content; equal rows share them, which every operator here allows."""
     ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00"))

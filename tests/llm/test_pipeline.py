@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gradeloom.llm import _common as C
 from gradeloom.llm import decontaminate, pii
 from tests.llm.test_llm import DOCS, brute_links, labelled, words
 
@@ -55,6 +56,11 @@ def test_stages(spark, folder, tmp_path):
     whole = corpus_pipeline.run(spark, folder)
     assert sorted(map(repr, whole.collect())) == sorted(map(repr, before.collect()))
     assert corpus_pipeline.ORACLE_SQL is None
+    kept = len(whole.collect())
+    whole.write.parquet(str(tmp_path / "whole"))
+    assert C.drop_staged(spark) > 5 and C.drop_staged(spark) == 0
+    whole = spark.read.parquet(str(tmp_path / "whole"))
+    assert whole.count() == kept
     assert decontaminate.scan(whole, spark.read.parquet(f"{folder}/benchmark.parquet")).filter("size(hits) > 0").count() == 0
 
 
