@@ -11,7 +11,10 @@ whose anchor has one content. Consecutive places of one anchor are a run. Three
    construction: the cover sample's ranks are computed first by prefix doubling; the block's suffixes are sorted by their first
    COVER bytes, and ties by the rank of the sample suffix within the next COVER bytes. Neighbours that share `length` bytes
    repeat. A block's memory is bounded by BLOCK_BYTES and one bucket of at most MAX_EXTENTS extents.
-A bucket of more distinct extents than that is settled by counting the hashes of its strings, pre-aggregated before the shuffle.
+A bucket of more distinct extents than that is settled by halving: its places, by their distance to the anchor, are cut into
+aligned ranges, ever smaller. In each range the extents' cuts are counted by their hashes (pre-aggregated before the shuffle);
+cuts that occur again are covered, one of each goes on as a partner, and a cut goes on only if its core, which all strings of the
+range contain, is that of another cut too. A level makes at most SPLIT rows of one, so the work stays in proportion to the bucket.
 
 Defined cases: a null text is empty; a text shorter than `length` loses nothing; equal rows are copies of each other, so all
 their strings of `length` bytes go; empty tables give none; result columns replace input columns of the same name.
@@ -23,6 +26,7 @@ twice, packed: once for the extents to be sorted and once to cut. Nothing is gat
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,9 @@ LENGTH = 200
 ANCHOR = 32
 COVER = 32
 BLOCK_BYTES = 1 << 20
-MAX_EXTENTS = 1024
+MAX_EXTENTS = 4096
+#: Parts that a range of distances is cut into at a time.
+SPLIT = 4
 #: Longer texts are cut into overlapping pieces of so many places.
 PIECE = 1 << 21
 MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"]
@@ -178,6 +184,47 @@ def _packed_text(docs: DataFrame, key, text: str, keep: list[str]) -> DataFrame:
     return C.pack_text(docs.select(*[F.col(f"`{c}`") for c in keep], key[0].alias("__k1"), key[1].alias("__k2"), F.col(text).alias("__t")), "__t")
 
 
+def _settle_wide(wide: DataFrame, length: int) -> DataFrame:
+    """(uid, span) of the extents of large buckets; wide: (ah, open, uid, place, n, off, body)."""
+    fields = "c1 long, c2 long, f1 long, f2 long, ah long, open boolean, uid long, place long, n long, off long, body binary"
+    names = [f.split()[0] for f in fields.split(", ")]
+    todo, spans = wide.select(names[4:]), None
+    size = SPLIT ** math.ceil(math.log(length, SPLIT))
+    while size > 1:
+        size //= SPLIT
+
+        def cut(batches, size=size):
+            for b in batches:
+                rows, hashes = [], []
+                for ah, is_open, uid, place, n, off, body in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+                    # Places j = 0 to n - 1 have distances off - j; a range is [low, low + size) of distances.
+                    for low in range((off - n + 1) // size * size, off + 1, size):
+                        far, near = min(off, low + size - 1), max(off - n + 1, low)
+                        begin, end = off - far, off - near + length
+                        mark = b"%d|%d|" % (ah, low)
+                        core = body[off - low : off - low - size + 1 + length]
+                        hashes.append(xxhash.xxh3_128_digest(mark + core) + xxhash.xxh3_128_digest(mark + b"%d|%d|" % (far, near) + body[begin:end]))
+                        rows.append((ah, is_open, uid, place + begin, far - near + 1, far, body[begin:end]))
+                h = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 4)
+                cols = list(zip(*rows, strict=True)) or [()] * 7
+                kinds = (pa.int64(), pa.bool_(), *[pa.int64()] * 4, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(h[:, k].copy()) for k in range(4)), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=names)
+
+        parts = C.stage(todo.mapInArrow(cut, fields), "suffix-cuts")
+        whole = C.stage(parts.groupBy("f1", "f2").agg(F.count("*").alias("c"), F.min(F.struct("uid", "place")).alias("one")), "suffix-cut-kinds")
+        covered = parts.filter("open").join(whole.filter("c > 1").select("f1", "f2"), ["f1", "f2"], "left_semi").select("uid", F.struct(F.col("place").alias("begin"), (F.col("place") + F.col("n") - 1 + length).alias("end")).alias("span"))
+        spans = covered if spans is None else spans.unionByName(covered)
+        if size == 1:
+            break
+        ones = parts.join(whole.select(F.col("f1").alias("w1"), F.col("f2").alias("w2"), "c", F.col("one.uid").alias("u"), F.col("one.place").alias("p")), (F.col("f1") == F.col("w1")) & (F.col("f2") == F.col("w2")) & (F.col("uid") == F.col("u")) & (F.col("place") == F.col("p")))
+        ones = C.stage(ones.withColumn("open", F.col("open") & (F.col("c") == 1)).select(names), "suffix-cut-ones")
+        cores = C.stage(ones.groupBy("c1", "c2").agg(F.count("*").alias("k"), F.max("open").alias("any_open")).filter("k > 1 and any_open").select("c1", "c2"), "suffix-cores")
+        todo = C.stage(ones.join(cores, ["c1", "c2"], "left_semi").select(names[4:]), "suffix-todo")
+        if todo.isEmpty():
+            break
+    return spans
+
+
 def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length: int = LENGTH, anchor: int = ANCHOR, max_extents: int = MAX_EXTENTS) -> DataFrame:
     """(k1, k2, spans): for the rows that lose something, by content key, the [begin, end) they lose; spans may overlap."""
     k1, k2 = C.row_key(docs, doc_id, text)
@@ -204,7 +251,8 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     place, n, off = F.shiftright("at", 20), F.shiftright("at", 10).bitwiseAND(F.lit(1023)), F.col("at").bitwiseAND(F.lit(1023))
     whole = F.struct(place.alias("begin"), (place + n - 1 + length).alias("end"))
     # Case 1 goes: what is left are the buckets of anchors that occur again.
-    again = staged.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah")
+    # What a join filters by is staged, so that both of its sides come from exchanges, and a hot anchor's rows can be split.
+    again = C.stage(staged.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah"), "suffix-again")
     repeated = C.stage(staged.select("uid", "at", "ah", "ch").join(again, "ah"), "suffix-repeated")
     kinds = repeated.groupBy("ah", "ch").agg(F.count("*").alias("c"), F.min(F.struct("uid", "at")).alias("one"))
     kinds = C.stage(kinds, "suffix-kinds")
@@ -212,6 +260,7 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     case_2 = repeated.join(kinds.filter("c > 1").select("ah", "ch"), ["ah", "ch"], "left_semi").select("uid", whole.alias("span"))
     # Case 3: buckets of several extents of which one at least occurs once.
     mixed = kinds.groupBy("ah").agg(F.count("*").alias("extents"), F.min("c").alias("least")).filter("extents > 1 and least = 1").select("ah", "extents")
+    mixed = C.stage(mixed, "suffix-mixed")
     wanted = kinds.join(mixed, "ah").select("ah", "extents", (F.col("c") == 1).alias("open"), "one.uid", "one.at")
     of = staged.groupBy("uid").agg(F.first("k1").alias("k1"), F.first("k2").alias("k2"))
     of = C.stage(of, "suffix-docs")
@@ -261,19 +310,9 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     narrow = extents.filter(F.col("extents") <= max_extents).repartition(parts, "ah").sortWithinPartitions("ah")
     case_3 = narrow.mapInArrow(blocks, "uid long, begin long, end long").select("uid", F.struct("begin", "end").alias("span"))
 
-    def strings(batches):
-        for b in batches:
-            for x in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
-                found = [xxhash.xxh3_128_digest(x[7][j : j + length]) for j in range(x[5])]
-                h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array([x[3]] * x[5], pa.int64()), pa.array(np.arange(x[5]) + x[4]), pa.array([x[2]] * x[5])], names=["h1", "h2", "uid", "begin", "open"])
-
     wide = extents.filter(F.col("extents") > max_extents)
     if not wide.isEmpty():
-        each = wide.mapInArrow(strings, "h1 long, h2 long, uid long, begin long, open boolean")
-        twice = each.groupBy("h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").select("h1", "h2")
-        hot = each.filter("open").join(twice, ["h1", "h2"], "left_semi").select("uid", F.struct("begin", (F.col("begin") + length).alias("end")).alias("span"))
-        case_3 = case_3.unionByName(hot)
+        case_3 = case_3.unionByName(_settle_wide(wide, length))
     spans = case_2.unionByName(case_3).join(of, "uid").groupBy("k1", "k2").agg(F.collect_list("span").alias("spans"))
     return spans
 
