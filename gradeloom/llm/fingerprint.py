@@ -102,7 +102,7 @@ def compare(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_wo
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = own.repartitionByRange(parts, "doc_id", "k1", "k2").sortWithinPartitions("doc_id", "k1", "k2").select("doc_id", "text")
+    dealt = C.pack_text(own, "text").repartitionByRange(parts, "doc_id", "k1", "k2").sortWithinPartitions("doc_id", "k1", "k2").select("doc_id", "__body")
     id_type = own.schema["doc_id"].dataType.simpleString()
     made = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["doc_id", *(x.split()[0] for x in made.split(", "))]
@@ -133,7 +133,7 @@ def compare(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_wo
         last_id, last_text, first = None, None, None
         for big in batches:
             for b in pieces(big):
-                texts = b.column(1).to_pylist()
+                texts = [x.decode() for x in C.unpack(b.column(1).to_pylist())]
                 ids = b.column(0)
                 if first is None:
                     first = (ids[:1], texts[0])
