@@ -400,7 +400,7 @@ def _(r):
     return rows.groupBy("id", F.col("d.symbol").alias("symbol")).agg(F.count("*").alias("n"))
 
 
-SHARED = r"select id, concat(text_all, chr(10), 'q1 = u0 + w2', chr(10), 'q2 = u0 * 3') as text_all from (" + SOLUTIONS + ") z"
+SHARED = r"select id, concat(text_all, chr(10), 'q1 = u0 + w2', chr(10), 'q2 = u0 * 3', chr(10), 'q3 = q3 * u0') as text_all from (" + SOLUTIONS + ") z"
 
 
 @_query("rule_undefined_symbol", SHARED, "select x.id, x.symbol from (select id, symbol from us group by id, symbol having count(*) >= 2) x join (select id, symbol from oo group by id, symbol having count(*) >= 2) y on x.id = y.id and x.symbol = y.symbol left join (select distinct df.id, df.symbol from df join us u on u.id = df.id and u.fid = df.fid and u.symbol = df.symbol) z on z.id = x.id and z.symbol = x.symbol where (length(x.symbol) <= 3 or contains(x.symbol, '_')) and z.id is null", TOKENS + LINES + FORMULAS + USES + OCCURS)
@@ -464,6 +464,102 @@ def _(spark, sf_dir):
     return r.select("id", "d.severity", "d.symbol", "d.message")
 
 
+# --- further rows of the inventory
+
+
+@_query("summary_tables", RESULTS, "select dataset as dataset_key, fine_grained_total_score, score_rate, total_count as total_questions, total_count from d where total_count > 0", EARNED + A1_SQL.format(keys="dataset"))
+def _(r):
+    """P13, W2."""
+    from gradeloom.sources import sinks
+
+    made = sinks.summary_table(scores.dataset_score(_results(r), ["dataset"]).withColumnRenamed("dataset", "dataset_key"))
+    return made.select("dataset_key", "fine_grained_total_score", "score_rate", "total_questions", "total_count")
+
+
+@_query("run_tables", RESULTS, "select run_id, total_score, score_rate, fine_grained_total_score, fine_grained_score_rate, coarse_grained_total_score, coarse_grained_score_rate, max_possible_score, total_count from d", EARNED + A1_SQL.format(keys="run_id"))
+def _(r):
+    """P15, K11."""
+    from gradeloom.sources import sinks
+
+    return sinks.run_table(scores.dataset_score(_results(r), ["run_id"]))
+
+
+@_query("failed_problems", RESULTS, "select dataset, count(*) as total_count, round_even(coalesce(sum(case when valid_marking then max_points end), 0), 2) as max_possible_score from r group by dataset")
+def _(r):
+    """W1 within A1: failed problems count, but give no points."""
+    rows = _results(r).withColumn("error", F.when(~F.col("valid_marking"), "failed"))
+    return scores.dataset_score(rows, ["dataset"], stepwise=False).select("dataset", "total_count", "max_possible_score")
+
+
+@_query("dataset_runs", RESULTS, "select dataset, array_to_string(list(distinct run_id order by run_id), ',') as runs from r group by dataset")
+def _(r):
+    """S5."""
+    return catalog.runs(r.withColumn("model", F.lit("m"))).select("dataset", F.array_join("runs", ",").alias("runs"))
+
+
+@_query("succeeded_count", RESULTS, "select count(*) filter (valid_marking) as succeeded, count(*) as total from r")
+def _(r):
+    """A21."""
+    return catalog.succeeded(r.withColumn("error", F.when(~F.col("valid_marking"), "failed")))
+
+
+@_query("shown_and_plain_answers", SUBMISSIONS, "select id, array_to_string(list_transform(said, lambda a: concat(chr(92), 'boxed{', a, '}')), ' ') as shown, array_to_string(said, ', ') as plain from a", SAID)
+def _(r):
+    """P11, P12."""
+    shown = A.shown_answers(A.display(F.col("prediction"), 2))
+    return r.select("id", F.array_join(shown, " ").alias("shown"), A.plain_answers(shown).alias("plain"))
+
+
+@_query("marking_sets", None, "select p_partkey as id, cast(case p_partkey % 4 when 0 then 1 when 1 then 2 when 2 then 0 else 1 end as integer) as sets, cast(case p_partkey % 4 when 0 then 2 when 1 then 3 when 2 then 0 else 1 end as integer) as criteria, p_partkey % 4 in (0, 1) as valid from part")
+def _(spark, sf_dir):
+    """W3, W4, F3 on variants: flat lists, lists of lists, none, and text."""
+    q = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    kind = F.col("p_partkey") % 4
+    j = F.when(kind == 0, F.concat(F.lit("["), q("p_brand"), F.lit(', " ", '), q("p_type"), F.lit("]"))).when(kind == 1, F.concat(F.lit("[["), q("p_brand"), F.lit("], ["), q("p_type"), F.lit(", null, "), q("p_name"), F.lit("]]"))).when(kind == 2, F.lit("null")).otherwise(q("p_type"))
+    r = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.parse_json(j).alias("v"))
+    sets = P.marking_sets(F.col("v"))
+    return r.select("id", F.size(sets).alias("sets"), F.size(F.flatten(F.transform(sets, P.criteria))).alias("criteria"), P.valid_marking_variant(F.col("v")).alias("valid"))
+
+
+@_query("formula_line_filters", SOLUTIONS, "select id, cast(count(*) filter (regexp_matches(raw, '[A-Za-z0-9_)\\]}]\\s*(=|≈|∝|~)\\s*[-+A-Za-z0-9_(\\[{]')) as integer) as likely, cast(count(*) filter (regexp_matches(raw, '[=≈~∝]')) as integer) as plain from ln group by id", LINES)
+def _(r):
+    """W9, W10."""
+    return r.select("id", F.size(S.formula_lines(F.col("text_all"))).alias("likely"), F.size(S.plain_formula_lines(F.col("text_all"))).alias("plain"))
+
+
+@_query("symbol_nodes", SOLUTIONS, "select id, symbol, cast(max(u) as integer) as used, cast(max(o) as integer) as seen from (select id, symbol, count(*) as u, 0 as o from us group by id, symbol union all select id, symbol, 0, count(*) from oo group by id, symbol) group by id, symbol", TOKENS + LINES + FORMULAS + USES + OCCURS)
+def _(r):
+    """A20, D10."""
+    return graph.nodes(_parsed(r)).select("id", "symbol", F.size("used_in").alias("used"), F.size("occurrences").alias("seen"))
+
+
+@_query("strict_self_reference", SHARED, "select df.id, df.symbol from df join us on us.id = df.id and us.fid = df.fid and us.symbol = df.symbol where (select count(*) from us u where u.id = df.id and u.fid = df.fid) > 1 and list_contains(regexp_extract_all(df.rhs, '[A-Za-z0-9_]+'), df.symbol)", LINES + FORMULAS + USES)
+def _(r):
+    """R1 in its strict form (Q8)."""
+    rows = _parsed(r).select("id", F.explode(rules.self_reference(F.col("formulas"), "strict", True)).alias("d"))
+    return rows.select("id", F.col("d.symbol").alias("symbol"))
+
+
+@_query("penalties", None, "select event_type, sum(case event_type when 'error' then -1.0::double when 'click' then -0.5::double else 0 end) as score from events group by event_type")
+def _(spark, sf_dir):
+    """A13 on one row a diagnostic."""
+    r = spark.read.parquet(f"{sf_dir}/events.parquet")
+    severity = F.when(F.col("event_type") == "click", "warning").otherwise(F.col("event_type"))
+    return r.groupBy("event_type").agg(F.sum(rules.penalty(severity)).alias("score"))
+
+
+@_query("sample_meta", SAMPLES, "select id, concat(coalesce(prompt, ''), '|', coalesce(context, ''), '|', coalesce(output, '')) as said, 'extra=7' as meta from r")
+def _(r):
+    """P5, U3 on a JSON record: aliases by name, the rest as meta."""
+    from gradeloom.sources import inference
+
+    j = F.to_json(F.struct(F.col("id").cast("string").alias("problem_id"), "prompt", F.col("context").alias("passage"), "output", F.lit(7).alias("extra")))
+    files = r.select("id", F.lit("f").alias("path"), F.lit("d").alias("dataset"), F.lit("m").alias("model"), F.lit("r").alias("run_id"), F.lit(True).alias("readable"), F.array(F.parse_json(j)).alias("items"))
+    x = inference.samples(files)
+    blank = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return x.select(F.col("id").cast("long").alias("id"), F.concat_ws("|", blank("question"), blank("context"), blank("prediction")).alias("said"), F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("meta"))
+
+
 # --- stages that call Python (no SQL)
 
 
