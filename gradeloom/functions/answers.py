@@ -60,7 +60,7 @@ def _paired(gold: Column, points: Column) -> tuple[Column, Column]:
 def hits(text: Column, gold: Column) -> Column:
     """For each gold answer, whether any of the text's answers matches it; one answer may serve several."""
     said = answers(text, F.when(F.size(gold) > 0, F.size(gold)).otherwise(F.lit(DEFAULT_ANSWERS)))
-    return F.transform(gold, lambda g: F.exists(said, lambda s: matches(s, g)))
+    return X.let(said, lambda all_said: F.transform(gold, lambda g: F.exists(all_said, lambda s: matches(s, g))))
 
 
 def earned_any(text: Column, gold: Column, points: Column) -> Column:

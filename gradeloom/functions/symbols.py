@@ -117,25 +117,29 @@ def assignments(text: Column) -> Column:
 
 def symbol_stats(text: Column, names: Column) -> Column:
     """Of each symbol: how often it stands alone, and the distinct numbers assigned to it, sorted as text."""
-    alone, given = words(text), assignments(text)
-    return F.transform(names, lambda s: F.struct(s.alias("symbol"), F.size(F.filter(alone, lambda w: w == s)).alias("frequency"), F.array_sort(F.array_distinct(F.transform(F.filter(given, lambda a: a["name"] == F.lower(s)), lambda a: a["value"]))).alias("assigned_values")))
+
+    def of(parts: Column) -> Column:
+        given = lambda s: F.transform(F.filter(parts["given"], lambda a: a["name"] == F.lower(s)), lambda a: a["value"])
+        return F.transform(names, lambda s: F.struct(s.alias("symbol"), F.size(F.filter(parts["alone"], lambda w: w == s)).alias("frequency"), F.array_sort(F.array_distinct(given(s))).alias("assigned_values")))
+
+    return X.let(F.struct(words(text).alias("alone"), assignments(text).alias("given")), of)
 
 
 def contexts(text: Column, names: Column) -> Column:
     """Of each symbol: the lines that use it, from 0, each with its neighbours."""
-    all_lines = X.lines(text)
-    used = F.transform(all_lines, lambda s, i: F.struct(i.alias("line"), F.array_distinct(words(s)).alias("words")))
 
-    def around(i: Column) -> Column:
-        return F.array_join(F.transform(F.slice(all_lines, F.greatest(F.lit(1), i), F.when(i == 0, 2).otherwise(3)), X.strip), " ")
+    def in_lines(stripped: Column) -> Column:
+        around = lambda i: F.array_join(F.slice(stripped, F.greatest(F.lit(1), i), F.when(i == 0, 2).otherwise(3)), " ")
+        used = F.transform(stripped, lambda s, i: F.struct(i.alias("line"), F.array_distinct(words(s)).alias("words"), around(i).alias("context")))
+        return X.let(used, lambda all_used: F.transform(names, lambda s: F.struct(s.alias("symbol"), F.transform(F.filter(all_used, lambda u: F.array_contains(u["words"], s)), lambda u: F.struct(u["line"].alias("line"), u["context"].alias("context"))).alias("occurrences"))))
 
-    return F.transform(names, lambda s: F.struct(s.alias("symbol"), F.transform(F.filter(used, lambda u: F.array_contains(u["words"], s)), lambda u: F.struct(u["line"].alias("line"), around(u["line"]).alias("context"))).alias("occurrences")))
+    return X.let(F.transform(X.lines(text), X.strip), in_lines)
 
 
 def cues(text: Column) -> Column:
     """The named assumptions of a text, sorted."""
-    low = F.lower(text)
-    return F.array_sort(F.filter(X.lit_array(CUES), lambda k: F.contains(text, k) | F.contains(low, k)))
+    said = F.struct(text.alias("as_is"), F.lower(text).alias("low"))
+    return X.let(said, lambda t: F.array_sort(F.filter(X.lit_array(CUES), lambda k: F.contains(t["as_is"], k) | F.contains(t["low"], k))))
 
 
 def full_text(question: Column, context: Column, prediction: Column) -> Column:

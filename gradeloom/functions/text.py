@@ -10,6 +10,11 @@ def lit_array(values, kind: str = "string") -> Column:
     return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value worked out once a row: what a lambda merely mentions is worked out at each of its calls."""
+    return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end; Spark's trim takes spaces alone."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

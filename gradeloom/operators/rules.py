@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from gradeloom.functions import parse
 from gradeloom.functions import symbols as S
+from gradeloom.functions import text as X
 
 GRAPH_RULE = "graph_consistency"
 # The messages by which diagnostics are told apart.
@@ -69,7 +70,8 @@ def conflicting_definition(formulas: Column, rule: str = GRAPH_RULE) -> Column:
     """One name (the left side itself where it has none) with two right sides at least."""
     known = F.filter(_definitions(formulas), lambda f: f["rhs"].isNotNull())
     pairs = F.transform(known, lambda f: F.struct(F.coalesce(S.lhs_symbol(f["lhs"]), f["lhs"]).alias("name"), f["rhs"].alias("rhs")))
-    grouped = F.transform(F.array_distinct(F.transform(pairs, lambda p: p["name"])), lambda n: F.struct(n.alias("name"), F.array_sort(F.array_distinct(F.transform(F.filter(pairs, lambda p: p["name"] == n), lambda p: p["rhs"]))).alias("rhs")))
+    sides = lambda ps, n: F.array_sort(F.array_distinct(F.transform(F.filter(ps, lambda p: p["name"] == n), lambda p: p["rhs"])))
+    grouped = X.let(pairs, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["name"])), lambda n: F.struct(n.alias("name"), sides(ps, n).alias("rhs"))))
     return F.transform(F.filter(grouped, lambda g: F.size(g["rhs"]) >= 2), lambda g: _diagnostic("warning", rule, g["name"], CONFLICT, F.struct(F.slice(g["rhs"], 1, MOST_VARIANTS).alias("rhs_variants"))))
 
 
@@ -81,7 +83,7 @@ def graph_consistency(text: Column, symbols: Column, formulas: Column) -> Column
 def dedupe(diagnostics: Column) -> Column:
     """The first of equal (rule, symbol, message), in order; later evidence goes (Q24)."""
     key = lambda d: F.struct(d["rule"], d["symbol"], d["message"])
-    return F.filter(diagnostics, lambda d, i: ~F.exists(F.slice(F.transform(diagnostics, key), F.lit(1), i), lambda k: k.eqNullSafe(key(d))))
+    return X.let(diagnostics, lambda all_: X.let(F.transform(all_, key), lambda keys: F.filter(all_, lambda d, i: ~F.exists(F.slice(keys, F.lit(1), i), lambda k: k.eqNullSafe(key(d))))))
 
 
 def dedupe_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
