@@ -256,4 +256,16 @@ def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_ngram_jaccard": op8_ngram_jaccard}
-ORACLES: dict[str, str] = {}
+#: Brute force over shared shingles, for tables whose doc_id is a key.
+ORACLE = r"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+s as (select distinct doc_id, g from (select doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) end) as g from w)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by all),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where c >= 0.8 * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(v, u) as (select a, a from e union select r.v, e.b from r join e on r.u = e.a)
+select doc_id, coalesce(class_id, doc_id) as class_id, coalesce(n_links, 0) as n_links from documents
+left join (select v as doc_id, min(u) as class_id from r group by v) using (doc_id) left join (select a as doc_id, count(*) as n_links from e group by a) using (doc_id)
+"""
+ORACLES: dict[str, str] = {"op8_ngram_jaccard": ORACLE}

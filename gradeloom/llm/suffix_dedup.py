@@ -358,4 +358,17 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_suffix_dedup": op3_suffix_dedup}
-ORACLES: dict[str, str] = {}
+ORACLE = r"""
+with d as (select doc_id, row_number() over () as rid, hex(encode(coalesce(text, ''))) as b from documents),
+c as (select rid, k * 500 as off, substr(b, 1000 * k + 1, 1398) as b from (select rid, b, unnest(range(0, (length(b) // 2 - 200) // 500 + 1)) as k from d where length(b) >= 400)),
+p as (select rid, off + i as i, md5(substr(b, 2 * i - 1, 400)) as h from (select rid, off, b, unnest(range(1, least(500, length(b) // 2 - 199) + 1)) as i from c)),
+k as (select h from p group by h having count(*) > 1),
+x as (select rid, i, coalesce(max(i + 200) over (partition by rid order by i rows between unbounded preceding and 1 preceding), 0) as before from p where h in (select h from k)),
+g as (select rid, i, sum(case when i > before then 1 else 0 end) over (partition by rid order by i) as run from x),
+m as (select rid, run, min(i) as a, max(i) + 200 as z from g group by rid, run),
+o as (select rid, list(struct_pack(a := a, z := z) order by a) as runs, count(*) as n_spans, sum(z - a) as n_removed from m group by rid)
+select doc_id, length(b) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans,
+ sha256(unhex(case when runs is null then b else array_to_string(list_transform(range(1, len(runs) + 2), lambda k: substr(b, 2 * (case when k = 1 then 1 else runs[k - 1].z end) - 1, 2 * ((case when k > len(runs) then length(b) // 2 + 1 else runs[k].a end) - (case when k = 1 then 1 else runs[k - 1].z end)))), '') end)) as kept_sha256
+from d left join o using (rid)
+"""
+ORACLES: dict[str, str] = {"op3_suffix_dedup": ORACLE}
