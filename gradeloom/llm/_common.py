@@ -97,7 +97,7 @@ def chunks(offs: np.ndarray, most: int = CHUNK_BYTES):
         lo = hi
 
 
-@functools.lru_cache(1)
+@functools.lru_cache(2)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     out = []
@@ -134,15 +134,24 @@ def word_spans(low: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, from one running sum over all of them."""
-    n = len(data)
-    if not len(begin):
-        return np.zeros(0, np.uint64)
-    size = max(CHUNK_BYTES * 2, 1 << (n + 1).bit_length())
-    up, down = _powers(size)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODES[data] * up[:n], out=total[1:])
-    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+    """A 64-bit hash of each span of bytes, from one running sum over all of them; spans are in order and do not overlap.
+
+    Long data is hashed in parts of about CHUNK_BYTES, so the tables stay small; a hash does not depend on the span's place.
+    """
+    m = len(begin)
+    out = np.zeros(m, np.uint64)
+    at = 0
+    while at < m:
+        to = m if len(data) <= 2 * CHUNK_BYTES else max(at + 1, int(np.searchsorted(end, begin[at] + CHUNK_BYTES, "right")))
+        lo, hi = int(begin[at]), int(end[to - 1])
+        part, b, e = data[lo:hi], begin[at:to] - lo, end[at:to] - lo
+        n = len(part)
+        up, down = _powers(max(CHUNK_BYTES * 2 + 2, 1 << (n + 1).bit_length()))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_CODES[part] * up[:n], out=total[1:])
+        out[at:to] = mix((total[e] - total[b]) * down[b] + (e - b).astype(np.uint64))
+        at = to
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

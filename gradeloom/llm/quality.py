@@ -50,8 +50,8 @@ def _repeats(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray,
 def _chunk_features(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n, size = len(offs) - 1, np.diff(offs)
     out = np.zeros((n, len(FEATURES)))
-    row = np.repeat(np.arange(n), size)
-    histogram = np.bincount(row * 256 + data, minlength=n * 256).reshape(n, 256)
+    # A long text is a step of its own: no need to spread its row over its bytes.
+    histogram = np.bincount(data if n == 1 else np.repeat(np.arange(n) * 256, size) + data, minlength=n * 256).reshape(n, 256)
     some = np.maximum(size, 1)
     out[:, : len(SHARES)] = histogram @ _MEMBERS / some[:, None]
     low = C.LOWER[data]

@@ -71,6 +71,19 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def test_hashes_of_long_data(monkeypatch):
+    rng = np.random.default_rng(2)
+    data = rng.choice(np.frombuffer(b"abc  ", np.uint8), 60_000)
+    begin, end, _ = C.word_spans(data, np.array([0, len(data)]))
+    whole = C.span_hashes(data, begin, end)
+    monkeypatch.setattr(C, "CHUNK_BYTES", 1_000)
+    assert (C.span_hashes(data, begin, end) == whole).all() and len(begin) > 10_000
+    seen = collections.defaultdict(set)
+    for b, e, h in zip(begin, end, whole, strict=True):
+        seen[data[b:e].tobytes()].add(int(h))
+    assert all(len(x) == 1 for x in seen.values()) and len({h for x in seen.values() for h in x}) == len(seen)
+
+
 # --- 1
 
 
