@@ -32,6 +32,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHED = 400_000
+LONG_TEXT = 1 << 21
 #: Longer words are counted each time.
 LONGEST_CACHED = 64
 
@@ -106,7 +107,10 @@ class Counter(dict):
         if not text:
             return 0
         text = text.replace(" ", SPACE)
-        return sum(map(self.__getitem__, self.cut.findall(text if text[0] == SPACE else SPACE + text)))
+        text = text if text[0] == SPACE else SPACE + text
+        if len(text) > LONG_TEXT:  # not all words at once
+            return sum(self[m[0]] for m in self.cut.finditer(text))
+        return sum(map(self.__getitem__, self.cut.findall(text)))
 
 
 def count_tokens(docs: DataFrame, *, text: str = "text", path: str = MODEL_FILE, keep: list[str] | None = None) -> DataFrame:

@@ -269,6 +269,14 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_token_counts_of_long_text(monkeypatch):
+    counter = token_counts.Counter(token_counts.vocabulary())
+    text = ROWS[-5][1] if ROWS[-5][1] and len(ROWS[-5][1]) > 1000 else "some words \n and more  " * 900
+    whole = counter.count(text)
+    monkeypatch.setattr(token_counts, "LONG_TEXT", 100)
+    assert counter.count(text) == whole
+
+
 def test_token_ties():
     bytes_ = [(f"<0x{b:02X}>", -50.0) for b in range(256)]
     counter = token_counts.Counter([*bytes_, ("▁", -1.0), ("a", -2.0), ("b", -2.0), ("ab", -4.0), ("▁ab", -5.0)])
