@@ -234,9 +234,11 @@ def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **optio
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each group of near copies, that of the least doc_id; columns as they are."""
     slim, classes = link(docs, text=text, doc_id=doc_id, **options)
-    grouped = slim.join(classes.filter("docs > 1 or links > 0").select("cid", "component"), "cid")
+    # Staged, so that a class of very many copies can be split where it is joined.
+    groups = C.stage(classes.filter("docs > 1 or links > 0").select("cid", "component"), "near-groups")
+    grouped = slim.join(groups, "cid")
     first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("first")).select("component", "first.k1", "first.k2")
-    first = first.withColumnsRenamed({"k1": "f1", "k2": "f2"})
+    first = C.stage(first.withColumnsRenamed({"k1": "f1", "k2": "f2"}), "near-first")
     told = C.stage(grouped.join(first, "component").groupBy("k1", "k2").agg(F.max((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).alias("stays"), F.count("*").alias("same")), "near-told")
     told = told.withColumnsRenamed({"k1": "t1", "k2": "t2"})
     k1, k2 = C.row_key(docs, doc_id, text)
