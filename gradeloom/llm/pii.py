@@ -9,6 +9,10 @@ key can turn a pseudonym back. Numbers that don't validate are left alone.
 A kind's values are counted off as 0 to n - 1 and permuted by a Feistel network over two numbers whose product just covers n,
 walking on while the result is n or more.
 
+A card number is found beside other numbers too. Where several runs of the same groups of digits validate, one is taken by
+its groups and length (see card_runs); a pseudonym that would make another one the one to take is permuted once more, so there
+equal values can differ.
+
 Defined cases: a null text stays null; an empty text has nothing; where kinds overlap the leftmost, then the one listed first
 in KINDS wins; repeated rows give equal results; result columns replace input columns of the same name.
 
@@ -50,12 +54,16 @@ KINDS = {
     "day_words": r"(?<![0-9A-Za-z])(?:[1-9]|[12][0-9]|3[01]) (?:%(m)s) (?:19|20)[0-9]{2}(?![0-9])|(?<![A-Za-z])(?:%(m)s) (?:[1-9]|[12][0-9]|3[01]), (?:19|20)[0-9]{2}(?![0-9])" % {"m": "|".join(MONTHS)},
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9])",
 }
 _SECRET_NAME = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|credential|auth)[\w-]{0,16}\W{0,6}[=:]\W{0,6}$")
 #: First digits of the card schemes; a pseudonym keeps them.
 ISSUERS = re.compile("4|5[0-8]|6|3[04-8]|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)")
+#: How many digits a scheme's numbers have, by first digits that a pseudonym keeps.
+CARD_LENGTHS = [(re.compile(a), frozenset(n)) for a, n in (("4", (13, 16, 19)), ("5[1-5]|2", (16,)), ("3[47]", (15,)), ("3[068]", (14, 16, 17, 18, 19)), ("35", range(16, 20)), ("5|6", range(13, 20)))]
+CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))})
+_DIGIT_GROUP = re.compile("[0-9]+")
 LOOKS = {k: re.compile(v, re.ASCII) for k, v in KINDS.items()}
 
 
@@ -102,6 +110,32 @@ def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
+def _is_card(digits: str) -> bool:
+    return bool(ISSUERS.match(digits)) and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def card_runs(digits: list[str], begin: int, end: int) -> list[tuple[bool, bool, int, int, int]]:
+    """The runs of whole groups in digits[begin:end] that are card numbers, as (other than the usual groups, other than the
+    scheme's length, distance from 16 digits, first group, end): where they overlap, the least is meant.
+
+    Every run of 13 to 19 digits is looked at. One that is neither in the usual groups nor of its scheme's length counts only
+    where no other group is beside it, as every tenth run of a list of numbers has a right check digit.
+    """
+    found = []
+    for i in range(begin, end):
+        run = ""
+        for j in range(i, end):
+            run += digits[j]
+            if len(run) > 19:
+                break
+            if len(run) >= 13 and _is_card(run):
+                odd = tuple(map(len, digits[i : j + 1])) not in CARD_GROUPS
+                unusual = len(run) not in next(n for first, n in CARD_LENGTHS if first.match(run))
+                if not (odd and unusual) or j + 1 - i == len(digits):
+                    found.append((odd, unusual, abs(len(run) - 16), i, j + 1))
+    return found
+
+
 @functools.cache
 def _days_over_12() -> list[int]:
     return [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
@@ -166,11 +200,14 @@ class Pseudonyms:
             a, (g, s) = x // (99 * 9999), divmod(x % (99 * 9999), 9999)
             return f"{a + 1 + (a >= 665):03d}-{g + 1:02d}-{s + 1:04d}"
         if kind == "card":
-            issuer = ISSUERS.match(digits)
-            if not issuer or luhn_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+            if not _is_card(digits):
                 return None
-            body = issuer[0] + self._letters("card", digits[issuer.end() : -1])
-            return self._spaced(body + luhn_digit(body), value)
+            issuer = ISSUERS.match(digits)
+            while True:
+                body = issuer[0] + self._letters("card", digits[issuer.end() : -1])
+                digits = body + luhn_digit(body)
+                if len(set(digits)) > 1:
+                    return self._spaced(digits, value)
         if kind == "phone":
             country = re.match(r"\+([1-9][0-9]{0,2}?)(?=[ .(-]|[0-9]{7,12}$)", value)
             code = country[1] if country else ""
@@ -200,6 +237,36 @@ class Pseudonyms:
             return new and (f"{new.day} {MONTHS[new.month - 1]} {new.year}" if a.isdigit() else f"{MONTHS[new.month - 1]} {new.day}, {new.year}")
         raise ValueError(kind)
 
+    def cards(self, text: str, begin: int, end: int) -> list[tuple[int, int, str]]:
+        """(begin, end, pseudonym) of the card numbers among groups of digits.
+
+        A pseudonym that would make another run the one that is meant is permuted once more, so that it is found again.
+        """
+        spans = [m.span() for m in _DIGIT_GROUP.finditer(text, begin, end)]
+        digits, owner, out = [text[b:e] for b, e in spans], {}, []
+        for run in sorted(card_runs(digits, 0, len(digits))):
+            if not any(g in owner for g in range(*run[3:])):
+                owner |= dict.fromkeys(range(*run[3:]), run)
+        chosen = sorted(set(owner.values()), reverse=self.back)
+        for run in chosen:
+            i, j = run[3:]
+            new = text[spans[i][0] : spans[j - 1][1]]
+            while True:
+                new = self._known("card", new)
+                digits[i:j] = _DIGIT_GROUP.findall(new)
+                better = [r for r in card_runs(digits, max(0, i - 18), min(len(digits), j + 18)) if r < run and r[3] < j and r[4] > i]
+                if all(any(owner.get(g, r) < r for g in range(*r[3:])) for r in better):
+                    break
+            out.append((spans[i][0], spans[j - 1][1], new))
+        return out
+
+    def _known(self, kind: str, value: str) -> str | None:
+        if (kind, value) not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[kind, value] = self.replace(kind, value)
+        return self.known[kind, value]
+
     def find(self, text: str) -> list[tuple[int, int, str, str]]:
         """(begin, end, kind, pseudonym) of all values, from left to right."""
         found = []
@@ -209,13 +276,9 @@ class Pseudonyms:
             for m in look.finditer(text):
                 if kind == "secret" and not _SECRET_NAME.search(text, max(0, m.start() - 48), m.start()):
                     continue
-                key = (kind, m[0])
-                if key not in self.known:
-                    if len(self.known) > 50_000:
-                        self.known.clear()
-                    self.known[key] = self.replace(kind, m[0])
-                if self.known[key] is not None:
-                    found.append((m.start(), order, m.end(), kind.split("_")[0], self.known[key]))
+                for begin, end, new in self.cards(text, *m.span()) if kind == "card" else [(*m.span(), self._known(kind, m[0]))]:
+                    if new is not None:
+                        found.append((begin, order, end, kind.split("_")[0], new))
         out, end = [], 0
         for begin, _, stop, kind, new in sorted(found):
             if begin >= end:

@@ -509,6 +509,28 @@ def test_pii():
     assert names.apply(plain)[0] == plain
 
 
+def test_cards_beside_numbers():
+    names, back, rng = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True), random.Random(7)
+    for _ in range(200):
+        card = rng.choice(["4", "51", "55", "6011"])
+        card += "".join(rng.choice("0123456789") for _ in range(15 - len(card)))
+        card += pii.luhn_digit(card)
+        fours = " ".join(card[k : k + 4] for k in range(0, 16, 4))
+        for value in (card, fours):
+            for text in ("card {} 12/27", "{}-123", "2 {}", "2024-05-01 {}", "{} 129.38.82.176", "01 {} 12"):
+                text = text.format(value)
+                out, found = names.apply(text)
+                assert [text[b:e] for b, e, kind, _ in found if kind == "card"] == [value], text
+                assert back.apply(out)[0] == text
+    text = "4466865973537603 4845168114407329 4845-1681-1440-7329 12"
+    assert [text[b:e] for b, e, _, _ in names.apply(text)[1]] == ["4466865973537603", "4845168114407329", "4845-1681-1440-7329"]
+    text = "12 44668659 73537603 7"
+    assert [text[b:e] for b, e, _, _ in names.apply(text)[1]] == ["44668659 73537603"]
+    for digits in (1, 2, 3, 4, 5):
+        text = " ".join("".join(rng.choice("0123456789") for _ in range(digits)) for _ in range(1000))
+        assert back.apply(names.apply(text)[0])[0] == text
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
 def test_permutation(n):
     p = pii.Permutation(b"k", "t", n)
