@@ -13,6 +13,9 @@ A card number is found beside other numbers too. Where several runs of the same
 its groups and length (see card_runs); a pseudonym that would make another one the one to take is permuted once more, so there
 equal values can differ.
 
+Spelling is kept: spaces of an IBAN, months' short names, days and months without zeros. A date is permuted among the dates that
+its spelling can write, so equal dates stay equal in one spelling.
+
 Defined cases: a null text stays null; an empty text has nothing; where kinds overlap the leftmost, then the one listed first
 in KINDS wins; repeated rows give equal results; result columns replace input columns of the same name.
 
@@ -21,6 +24,7 @@ Scale: one scan in the order of the input, no shuffle. Texts with neither a digi
 
 from __future__ import annotations
 
+import bisect
 import calendar
 import datetime
 import functools
@@ -47,15 +51,16 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 KINDS = {
     "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
-    "day_iso": r"(?<![0-9])(?:19|20)[0-9]{2}([-/])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])(?![0-9])",
-    "day_dots": r"(?<![0-9.])(?:0[1-9]|[12][0-9]|3[01])\.(?:0[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![0-9])",
-    "day_slashes": r"(?<![0-9/])[0-3][0-9]/[0-3][0-9]/(?:19|20)[0-9]{2}(?![0-9])",
-    "day_words": r"(?<![0-9A-Za-z])(?:[1-9]|[12][0-9]|3[01]) (?:%(m)s) (?:19|20)[0-9]{2}(?![0-9])|(?<![A-Za-z])(?:%(m)s) (?:[1-9]|[12][0-9]|3[01]), (?:19|20)[0-9]{2}(?![0-9])" % {"m": "|".join(MONTHS)},
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2} ?[0-9]{2}(?: ?[A-Z0-9]){11,}(?![A-Za-z0-9])",
+    "day_iso": r"(?<![0-9])(?:19|20)[0-9]{2}([-/])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])(?![0-9])",
+    "day_dots": r"(?<![0-9.])(?:0?[1-9]|[12][0-9]|3[01])\.(?:0?[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![0-9])",
+    "day_slashes": r"(?<![0-9/])[0-3]?[0-9]/[0-3]?[0-9]/(?:19|20)[0-9]{2}(?![0-9])",
+    "day_words": r"(?<![0-9A-Za-z])(?:0?[1-9]|[12][0-9]|3[01]) (?:%(m)s) (?:19|20)[0-9]{2}(?![0-9])|(?<![A-Za-z])(?:%(m)s) (?:0?[1-9]|[12][0-9]|3[01]), (?:19|20)[0-9]{2}(?![0-9])" % {"m": "|".join([*MONTHS, *(rf"{m[:3]}\.?" for m in MONTHS if m != "May"), r"Sept\.?"])},
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?!\.?[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9])",
+    "phone": r"(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9A-Za-z.-])[0-9]{3}([ .-])[0-9]{3}\1[0-9]{4}(?![0-9])"
+    r"|(?<![0-9A-Za-z])\+[1-9][0-9]{0,2}[ .-]?(?:\(0\)[ .-]?)?\(?[0-9]{1,4}\)?(?:[ .-][0-9]{3}){0,2}(?:[ .-][0-9]{2}){1,5}(?![0-9])(?!\.[0-9]{1,2}\.)|(?<![0-9A-Za-z.-])(?<![0-9] )0[1-9]([ .-])[0-9]{2}(?:\2[0-9]{2}){3}(?![0-9])(?!\2[0-9]{2}(?![0-9/]))",
 }
 _SECRET_NAME = re.compile(r"(?i)(?:token|secret|key|passw(?:or)?d|pwd|credential|auth)[\w-]{0,16}\W{0,6}[=:]\W{0,6}$")
 #: First digits of the card schemes; a pseudonym keeps them.
@@ -63,6 +68,11 @@ ISSUERS = re.compile("4|5[0-8]|6|3[04-8]|2(?:22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7
 #: How many digits a scheme's numbers have, by first digits that a pseudonym keeps.
 CARD_LENGTHS = [(re.compile(a), frozenset(n)) for a, n in (("4", (13, 16, 19)), ("5[1-5]|2", (16,)), ("3[47]", (15,)), ("3[068]", (14, 16, 17, 18, 19)), ("35", range(16, 20)), ("5|6", range(13, 20)))]
 CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))})
+#: The longest telephone numbers, without the country's code, where they are written in groups of two digits.
+PHONE_LENGTHS = {"7": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "45": 8, "46": 9, "47": 8, "48": 9, "90": 10, "225": 10, "380": 9}
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
+_IBAN = re.compile("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")
+_IBAN_GROUP = re.compile("[A-Z0-9]+")
 _DIGIT_GROUP = re.compile("[0-9]+")
 LOOKS = {k: re.compile(v, re.ASCII) for k, v in KINDS.items()}
 
@@ -136,9 +146,14 @@ def card_runs(digits: list[str], begin: int, end: int) -> list[tuple[bool, bool,
     return found
 
 
+#: Days and months that a spelling can tell; dates in it are permuted among those, so that it is kept.
+SPELT_DAYS = {"any": range(1, 32), "under 10": range(1, 10), "10 on": range(10, 32), "over 12": range(13, 32)}
+SPELT_MONTHS = {"any": range(1, 13), "month under 10": range(1, 10), "month 10 on": range(10, 13), "not May": [m for m in range(1, 13) if m != 5], "September": [9]}
+
+
 @functools.cache
-def _days_over_12() -> list[int]:
-    return [d for d in range(FIRST_DAY, LAST_DAY + 1) if datetime.date.fromordinal(d).day > 12]
+def _days(days: str, months: str) -> list[int]:
+    return [o for o in range(FIRST_DAY, LAST_DAY + 1) if (d := datetime.date.fromordinal(o)).day in SPELT_DAYS[days] and d.month in SPELT_MONTHS[months]]
 
 
 class Pseudonyms:
@@ -166,16 +181,26 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
-    def _spaced(self, digits: str, like: str) -> str:
-        found = iter(digits)
-        return "".join(next(found) if c in DIGITS else c for c in like)
+    def _spaced(self, made: str, like: str) -> str:
+        found = iter(made)
+        return "".join(next(found) if c.isalnum() else c for c in like)
 
-    def _day(self, y: int, m: int, d: int) -> datetime.date | None:
+    def _day(self, y: int, m: int, d: int, days: str = "any", months: str = "any") -> datetime.date | None:
         try:
             day = datetime.date(y, m, d).toordinal()
         except ValueError:
             return None
-        return datetime.date.fromordinal(FIRST_DAY + self._number("day", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+        if days == months == "any":
+            return datetime.date.fromordinal(FIRST_DAY + self._number("day", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
+        among = _days(days, months)
+        tweak = " ".join(["day", *(x for x in (days, months) if x != "any")])
+        return datetime.date.fromordinal(among[self._number(tweak, bisect.bisect_left(among, day), len(among))])
+
+    def _day_in_digits(self, y: str, m: str, d: str) -> tuple[str, str, str] | None:
+        """Year, month and day, each as wide as it was."""
+        wide = len(m) == len(d) == 2
+        new = self._day(int(y), int(m), int(d), "any" if wide else "under 10" if int(d) < 10 else "10 on", "any" if wide else "month under 10" if int(m) < 10 else "month 10 on")
+        return new and (str(new.year), f"{new.month:0{len(m)}d}", f"{new.day:0{len(d)}d}")
 
     def replace(self, kind: str, value: str) -> str | None:
         """The pseudonym of a value that looks like that kind; None if it doesn't validate."""
@@ -187,8 +212,9 @@ class Pseudonyms:
             new = self._letters("secret", value.lower(), (HEX,))
             return new.upper() if value.upper() == value else new
         if kind == "iban":
-            country, body = value[:2], value[4:]
-            return None if _iban_check(country, body) != value[2:4] else f"{country}{_iban_check(country, new := self._letters('iban', body))}{new}"
+            plain = value.replace(" ", "")
+            country, body = plain[:2], plain[4:]
+            return None if _iban_check(country, body) != plain[2:4] else self._spaced(f"{country}{_iban_check(country, new := self._letters('iban', body))}{new}", value)
         if kind == "ip":
             x = self._number("ip", int.from_bytes(bytes(map(int, value.split("."))), "big"), 1 << 32)
             return ".".join(map(str, x.to_bytes(4, "big")))
@@ -211,30 +237,42 @@ class Pseudonyms:
         if kind == "phone":
             country = re.match(r"\+([1-9][0-9]{0,2}?)(?=[ .(-]|[0-9]{7,12}$)", value)
             code = country[1] if country else ""
+            if "(0)" in value:
+                code += "0"
+            elif re.fullmatch("0[1-9](?:[ .-][0-9]{2}){4}", value):
+                code = value[:2]
             if not 7 <= len(digits) - len(code) <= 12 or len(digits) > 15:
                 return None
             return self._spaced(code + self._letters("phone", digits[len(code) :]), value)
         if kind == "day_iso":
-            new = self._day(int(value[:4]), int(value[5:7]), int(value[8:]))
-            return new and f"{new.year}{value[4]}{new.month:02d}{value[4]}{new.day:02d}"
+            new = self._day_in_digits(*value.split(value[4]))
+            return new and value[4].join(new)
         if kind == "day_dots":
-            new = self._day(int(value[6:]), int(value[3:5]), int(value[:2]))
-            return new and f"{new.day:02d}.{new.month:02d}.{new.year}"
+            new = self._day_in_digits(*reversed(value.split(".")))
+            return new and ".".join(reversed(new))
         if kind == "day_slashes":
-            a, b, y = map(int, value.split("/"))
-            if a <= 12:
-                new = self._day(y, a, b) if a else None
-                return new and f"{new.month:02d}/{new.day:02d}/{new.year}"
-            try:  # the day first, as it can't be a month: among such days
-                at = _days_over_12().index(datetime.date(y, b, a).toordinal())
-            except ValueError:
+            a, b, y = value.split("/")
+            if not int(a) or not int(b):
                 return None
-            new = datetime.date.fromordinal(_days_over_12()[self._number("day over 12", at, len(_days_over_12()))])
-            return f"{new.day:02d}/{new.month:02d}/{new.year}"
+            if int(a) <= 12:
+                new = self._day_in_digits(y, a, b)
+                return new and f"{new[1]}/{new[2]}/{new[0]}"
+            # the day first, as it can't be a month: among such days
+            new = self._day(int(y), int(b), int(a), "over 12", "any" if len(b) == 2 else "month under 10")
+            return new and f"{new.day:02d}/{new.month:0{len(b)}d}/{new.year}"
         if kind == "day_words":
             a, b, y = value.replace(",", "").split()
-            new = self._day(int(y), MONTHS.index(b if a.isdigit() else a) + 1, int(a if a.isdigit() else b))
-            return new and (f"{new.day} {MONTHS[new.month - 1]} {new.year}" if a.isdigit() else f"{MONTHS[new.month - 1]} {new.day}, {new.year}")
+            d, m = (a, b) if a.isdigit() else (b, a)
+            name = m.rstrip(".")
+            months = "any" if name in MONTHS else "September" if name == "Sept" else "not May"
+            number = [n[:3] for n in MONTHS].index(name[:3]) + 1
+            new = self._day(int(y), number, int(d), "under 10" if d[0] == "0" else "any", months)
+            if not new:
+                return None
+            spelt = MONTHS[new.month - 1]
+            m = (spelt if months == "any" else spelt[: len(name)]) + m[len(name) :]
+            d = f"{new.day:0{len(d) if d[0] == '0' else 1}d}"
+            return f"{d} {m} {new.year}" if a.isdigit() else f"{m} {d}, {new.year}"
         raise ValueError(kind)
 
     def cards(self, text: str, begin: int, end: int) -> list[tuple[int, int, str]]:
@@ -260,6 +298,36 @@ class Pseudonyms:
             out.append((spans[i][0], spans[j - 1][1], new))
         return out
 
+    def ibans(self, text: str, begin: int, end: int) -> list[tuple[int, int, str]]:
+        """(begin, end, pseudonym) of the IBANs among groups of capitals and digits.
+
+        With spaces inside, a country's IBANs have its length; those of other countries are in groups of four.
+        """
+        spans, out, i = [m.span() for m in _IBAN_GROUP.finditer(text, begin, end)], [], 0
+        while i < len(spans):
+            found, plain = None, ""
+            for j in range(i, len(spans)):
+                plain += text[slice(*spans[j])]
+                if len(plain) > 34:
+                    break
+                length = IBAN_LENGTHS.get(plain[:2])
+                fits = j == i or (len(plain) == length if length else all(e - b == 4 for b, e in spans[i:j]))
+                if len(plain) >= 15 and fits and _IBAN.match(plain) and (new := self._known("iban", text[spans[i][0] : spans[j][1]])):
+                    found = (j, new)
+            if found:
+                out.append((spans[i][0], spans[found[0]][1], found[1]))
+            i = found[0] + 1 if found else i + 1
+        return out
+
+    def phones(self, text: str, begin: int, end: int) -> list[tuple[int, int, str]]:
+        """(begin, end, pseudonym); groups of two digits beyond a country's longest number are not of it."""
+        value = text[begin:end]
+        country = re.match(r"\+([1-9][0-9]{0,2}?)[ .(-]", value)
+        while country and len(re.sub(r"\(0\)|[^0-9]", "", value[country.end(1) :])) > PHONE_LENGTHS.get(country[1], 15) and value[-3] in " .-":
+            value = value[:-3]
+        new = self._known("phone", value)
+        return [(begin, begin + len(value), new)] if new else []
+
     def _known(self, kind: str, value: str) -> str | None:
         if (kind, value) not in self.known:
             if len(self.known) > 50_000:
@@ -276,7 +344,8 @@ class Pseudonyms:
             for m in look.finditer(text):
                 if kind == "secret" and not _SECRET_NAME.search(text, max(0, m.start() - 48), m.start()):
                     continue
-                for begin, end, new in self.cards(text, *m.span()) if kind == "card" else [(*m.span(), self._known(kind, m[0]))]:
+                within = {"card": self.cards, "iban": self.ibans, "phone": self.phones}.get(kind)
+                for begin, end, new in within(text, *m.span()) if within else [(*m.span(), self._known(kind, m[0]))]:
                     if new is not None:
                         found.append((begin, order, end, kind.split("_")[0], new))
         out, end = [], 0

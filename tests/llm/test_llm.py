@@ -531,6 +531,38 @@ def test_cards_beside_numbers():
         assert back.apply(names.apply(text)[0])[0] == text
 
 
+SPELT = {
+    "iban": ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "DE89370400440532013000", "DE 89370400440532013000"],
+    "day": ["1/5/2024", "12/5/2024", "1/25/2024", "29/2/2024", "05/3/2024", "2024-1-5", "2024/12/5", "1.5.2024", "31.5.2024", "5 Jan 2024", "05 March 2024", "5 May 2024", "05 Sept. 2024", "Dec. 31, 2024", "Feb 09, 2024"],
+    "phone": ["+33 1 23 45 67 89", "+33 (0)1 23 45 67 89", "+45 12 34 56 78", "+41 44 668 18 00", "+7 495 123-45-67", "+46 8 123 456 78", "01 23 45 67 89", "01.23.45.67.89"],
+}
+
+
+def test_spellings():
+    names, back = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    for kind, values in SPELT.items():
+        for value in values:
+            for text in ("{}", "on {} and", "{}, BIC", "{} 12/27", "x {} BIC COBA", "{} Then"):
+                text = text.format(value)
+                out, found = names.apply(text)
+                assert [(text[b:e], k) for b, e, k, _ in found] == [(value, kind)], text
+                if " " not in value or kind != "day":
+                    assert re.sub("[0-9]", "0", re.sub("[A-Z]", "A", found[0][3])) == re.sub("[0-9]", "0", re.sub("[A-Z]", "A", value))
+                assert value not in out and back.apply(out)[0] == text
+    text = " ".join(SPELT["iban"])
+    assert [text[b:e] for b, e, _, _ in names.apply(text)[1]] == SPELT["iban"]
+    one = [names.apply(x)[0] for x in ("1/5/2024", "2024-1-5", "5.1.2024")]
+    assert one[0].split("/") == [one[1].split("-")[k] for k in (1, 2, 0)] == [one[2].split(".")[k] for k in (1, 0, 2)]
+    for day in range(0, 73_000, 37):
+        d = pii.datetime.date.fromordinal(pii.FIRST_DAY + day)
+        for m in (f"{d:%b}", f"{d:%B}"):
+            for text in (f"{d.day} {m} {d.year}", f"{d.day:02d} {m} {d.year}", f"{m} {d.day}, {d.year}", f"{d.month}/{d.day}/{d.year}", f"{d.day}.{d.month}.{d.year}", f"{d.year}-{d.month}-{d.day:02d}"):
+                out, found = names.apply(text)
+                assert len(found) == 1 and back.apply(out)[0] == text, text
+    plain = "DE89 3704 0044 0532 0130 01 31/4/2024 0/5/2024 2024-2-30 31 Feb 2024 version 1.5.20 1/5/24"
+    assert names.apply(plain)[0] == plain
+
+
 @pytest.mark.parametrize("n", [1, 2, 7, 100, 1000])
 def test_permutation(n):
     p = pii.Permutation(b"k", "t", n)
