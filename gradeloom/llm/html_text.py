@@ -38,8 +38,14 @@ MADE = ["text", "n_chars"]
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Set in a line with the text around them; what is inside is markup.
+SET_IN_LINE = frozenset("math object canvas audio video".split())
+#: MathML's own elements; those in BREAKS_WORDS stand apart.
+MATH = frozenset("maction maligngroup malignmark menclose merror mfenced mfrac mglyph mi mlabeledtr mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
+BREAKS_WORDS = SET_IN_LINE | {"mtd", "mspace", "br"}
+INLINE |= SET_IN_LINE | MATH
 #: Elements whose inside is no markup, or is never shown as text of the page.
-RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg math object select canvas audio video".split())
+RAW = frozenset("script style noscript template iframe noembed noframes xmp textarea title svg select annotation annotation-xml".split())
 BREAKS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dd dt".split())
 #: An element that begins ends the open ones of these kinds, up to an element of the second kind.
 ENDS = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tr td th", "table"), "tfoot": ("tbody tr td th", "table"), "option": ("option", "select"), "body": ("head", "html")}
@@ -111,6 +117,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         at = m.end()
         if m[1]:
             name = m[1].lower()
+            if name in SET_IN_LINE:
+                text.append(" ")
             for d in range(len(stack) - 1, 0, -1):
                 if stack[d][0] == name:
                     pop_to(d)
@@ -118,18 +126,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif m[2]:
             name = m[2].lower()
             if name in RAW:
-                if not m[3].rstrip().endswith("/") or name not in ("svg", "math"):
-                    end = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
-                    at = end.end() if end else len(page)
+                in_math = name.startswith("annotation")
+                if not m[3].rstrip().endswith("/") or not (name == "svg" or in_math):
+                    end = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)" + r"|(?=</math(?![^\s/>]))" * in_math, re.I).search(page, at)
+                    at = end.end() if end else at if in_math else len(page)
                 text.append(" ")
                 continue
             if name in VOID:
                 if name not in INLINE:
                     flush()
-                elif name == "br":
+                elif name in BREAKS_WORDS:
                     text.append(" ")
                 continue
             if name in INLINE:
+                if name in BREAKS_WORDS:
+                    text.append(" ")
+                if name in MATH and m[3].rstrip().endswith("/"):
+                    continue
                 if name == "a":
                     if in_link:
                         ended(frozenset({"a"}), BREAKS_P)

@@ -303,6 +303,22 @@ def test_html_known_pages():
     assert isinstance(model.text("<<>&#x;</p></div><b><td>x" * 50), str)
 
 
+def test_html_math_and_embedded():
+    def said(page):
+        return [x for _, x in html_text.parse(page)[1]]
+
+    math = '<math display="block"><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow><annotation encoding="application/x-tex">E=mc^2</annotation></semantics></math>'
+    assert said(f"<p>Energy {math} is so.</p><p>Next.</p>") == ["Energy E=mc2 is so.", "Next."]
+    assert said("<p>a <math><mi>x</mi><mspace/><mn>1</mn> b</p><p>c</p>") == ["a x 1 b", "c"]
+    assert said("<p>a<math/>b</p><p><math><annotation>x</math>c</p>") == ["a b", "c"]
+    for name in ("object", "video", "audio", "canvas"):
+        assert said(f"<p>a<{name} src='x'></{name}>b</p><{name}><p>It <b>is</b> told.</p></{name}>") == ["a b", "It is told."]
+        assert said(f"<p>a</p><{name} data=x><p>b</p><div>c</div>") == ["a", "b", "c"]
+    model = html_text.train()
+    body = "<p>A paragraph with enough words to say something here, and then some more of them.</p>"
+    assert "E=mc2" in model.text(f"<body><nav><a href='/'>Home</a></nav><article><h1>A title</h1>{body}<p>We have {math} as said, of course.</p>{body}</article></body>")
+
+
 def test_html_generated_pages():
     model = html_text.train(n_generated=250)
     right = found = said = 0
