@@ -20,6 +20,8 @@ select cast(e.user_id as string) as question_id, e.event_type as run_id, concat(
  e.value as fine_grained_score, cast(regexp_extract(e.props, '([0-9]+)', 1) as double) as coarse_grained_score,
  cast(500 + e.user_id % 5 as double) as max_points, (e.event_id % 3 <> 0) as valid_marking
 from @events@ e join (select min(event_id) as event_id from @events@ group by user_id, event_type) f on e.event_id = f.event_id"""
+#: RESULTS of every event; a question then comes several times in a run.
+ALL_RESULTS = RESULTS[: RESULTS.index(" join ")]
 SUBMISSIONS = r"""
 select p_partkey as id, case when p_partkey % 10 = 0 then concat('speed ', cast(p_size as string), ' then ', cast(p_partkey % 7 as string))
  else concat('Thus ', chr(92), 'boxed{', cast(p_size as string), ' m/s} and ', chr(92), 'boxed{', cast(p_partkey % 7 as string), '}') end as prediction,
@@ -173,6 +175,21 @@ def _(r):
     return _results(r).rollup("dataset", "run_id").agg((F.grouping("dataset") + F.grouping("run_id")).cast("int").alias("level"), F.count("*").alias("n"), X.half_even(F.sum("earned_points")).alias("total"))
 
 
+LAST = ", s as (select *, greatest(fine_grained_score, coarse_grained_score) as e, count(*) over w as repeats from r window w as (partition by dataset, run_id, question_id) qualify row_number() over (partition by dataset, run_id, question_id order by idx desc) = 1)"
+
+
+@_query("last_of_repeated", ALL_RESULTS, "select dataset, question_id, run_id, idx, repeats, e as earned from s", LAST)
+def _(r):
+    """Q19, over all events."""
+    return scores.last_of_repeated(_results(r), ["dataset"]).select("dataset", "question_id", "run_id", "idx", "repeats", F.col("earned_points").alias("earned"))
+
+
+@_query("dataset_score_of_repeated", ALL_RESULTS, "select * from d", LAST + A1_SQL.format(keys="dataset, run_id"))
+def _(r):
+    """A1 of what Q19 leaves of all events."""
+    return scores.dataset_score(scores.last_of_repeated(_results(r), ["dataset"]), ["dataset", "run_id"])
+
+
 @_query("run_rank", RESULTS, "select dataset, run_id, row_number() over (partition by dataset order by total_score desc, run_id) as place from d", EARNED + A1_SQL.format(keys="dataset, run_id"))
 def _(r):
     from pyspark.sql import Window
@@ -457,6 +474,12 @@ def _(spark, sf_dir):
     return judge.budget_rank(r, ["id"])
 
 
+@_query("budget_rank_all", None, "select p_partkey as id, row_number() over (order by p_partkey) as call_rank from part")
+def _(spark, sf_dir):
+    """X3 over all of part."""
+    return judge.budget_rank(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id")), ["id"])
+
+
 @_query("reply_diagnostics", None, """select p_partkey as id, case p_partkey % 3 when 0 then 'error' when 1 then 'info' else 'warning' end as severity, p_brand as symbol, concat('m ', p_type) as message from part""")
 def _(spark, sf_dir):
     reply = F.concat(F.lit('Here: [{"severity": "'), F.expr("case p_partkey % 3 when 0 then 'ERROR' when 1 then 'grave' else 'warning' end"), F.lit('", "symbol": "'), F.col("p_brand"), F.lit('", "detail": "m '), F.col("p_type"), F.lit('"}, 7] end'))

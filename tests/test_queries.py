@@ -17,6 +17,13 @@ def test_rows(spark, name):
     assert QUERIES[name](spark, SF_DIR).count() > 0
 
 
+def test_whole_tables_are_read(spark):
+    events, parts = (spark.read.parquet(f"{SF_DIR}/{t}.parquet").count() for t in ("events", "part"))
+    repeats = [r.repeats for r in QUERIES["last_of_repeated"](spark, SF_DIR).collect()]
+    assert sum(repeats) == events and max(repeats) > 1
+    assert sorted(r.call_rank for r in QUERIES["budget_rank_all"](spark, SF_DIR).collect()) == list(range(1, parts + 1))
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(ORACLES) <= set(__spark_entry__.oracle_sql())
