@@ -9,7 +9,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,11 +32,13 @@ _staged: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names, or a temporary one where none is set (tests)."""
+    """The shared folder that the session names. Where it names none a local session (tests) gets a temporary one; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = found.get() if found.isDefined() else None
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
         spark.sparkContext.setCheckpointDir(found)
@@ -63,8 +65,8 @@ def drop_staged(spark: SparkSession) -> int:
 
 def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     """Two longs that name a row by its content; equal rows share them, which every operator here allows."""
-    ident = F.coalesce(F.col(doc_id).cast("string"), F.lit("\x00"))
-    return F.xxhash64(F.lit(1), ident, F.col(text)), F.xxhash64(F.lit(2), F.col(text), ident)
+    ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("\x00"))
+    return F.xxhash64(F.lit(1), ident, F.col(f"`{text}`")), F.xxhash64(F.lit(2), F.col(f"`{text}`"), ident)
 
 
 def others(df: DataFrame, made: list[str]) -> list[str]:
@@ -192,6 +194,17 @@ def shingles(low: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray,
     return hashes, rows
 
 
+def least(keyed: DataFrame, most: int, by: str | None = None) -> DataFrame:
+    """The distinct (by, h) of the `most` least hashes h of each value of `by`: cut below a bound first, which about twice as many pass."""
+    unit = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    if by is None:
+        n = keyed.agg(F.approx_count_distinct("h", 0.02)).first()[0] or 0
+        return keyed.filter(unit * n <= 2.0 * most + 20).select("h").distinct().orderBy("h").limit(most)
+    sizes = keyed.groupBy(F.col(by).alias("of")).agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    near = keyed.join(F.broadcast(sizes), F.col(by) == F.col("of")).filter(unit * F.col("n") <= 2.0 * most + 20).select(by, "h").distinct()
+    return near.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("h"))).filter(F.col("r") <= most).select(by, "h")
+
+
 def pack_text(df: DataFrame, text: str) -> DataFrame:
     """df with its text column replaced by `__body`, the last column: the bytes compressed for a shuffle, null where the text is."""
     keep = [c for c in df.columns if c != text]

@@ -4,7 +4,7 @@ Words are maximal runs of digits, letters a-z (A-Z are lower-cased first) and no
 words of an item; an item of 1 to n - 1 words is one window. A document word inside any occurrence of a window is hit.
 Every match of hashes is verified on the words themselves, so results are exact.
 
-Defined cases: a null or wordless text has no words and is clean; a null or wordless item has no windows; an item whose id is
+Defined cases: a very long text is scanned in a step of its own; a null or wordless text has no words and is clean; a null or wordless item has no windows; an item whose id is
 null marks hits but is neither listed nor counted; items that share an id count once; repeated documents each get their own
 row; with an empty benchmark all is clean; result columns replace input columns of the same name.
 
@@ -141,7 +141,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = N_WORDS, text: str =
     """docs' columns (or those of `keep`) with n_words, hits (runs of hit words, with word and character positions) and items (ids, sorted)."""
     keep = C.others(docs, MADE) if keep is None else [c for c in keep if c.lower() not in MADE]
     blocks = _blocks(benchmark, n, item_id, item_text, max_windows)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
+    inner = [f"c{k}" for k in range(len(keep))]
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).toDF(*inner, "__text")
     made = [T.StructField("n_words", T.LongType()), T.StructField("hits", HITS), T.StructField("items", T.ArrayType(T.StringType()))]
     for k, block in enumerate(blocks):
         last = k == len(blocks) - 1
@@ -162,7 +163,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, n: int = N_WORDS, text: str =
         source = source.mapInArrow(step, out)
         if not last:
             source = C.stage(source, "decontaminate")
-    return source
+    return source.toDF(*keep, *MADE)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -5,7 +5,7 @@ its value. An empty bin takes the value of a filled one, found by a sequence of
 (the same in every document). Of each value the low BITS bits are kept and packed. The share of equal bins of two fingerprints,
 less the share 2**-BITS that equals by chance, estimates the Jaccard similarity of the shingle sets.
 
-Defined cases: a null text is empty; a text without words has the fingerprint "", which is like another such with 1 and like
+Defined cases: `bins` must be a power of two; a null text is empty; a very long text is hashed in a step of its own; an empty table gives none; a text without words has the fingerprint "", which is like another such with 1 and like
 any other with 0; equal texts have equal fingerprints; repeated rows each get their own; a table of one document is followed
 by itself; documents are ordered by doc_id (null first), then by content hashes; result columns replace input columns of the same name.
 
@@ -34,6 +34,8 @@ BITS = 4
 
 def _bins(text: pa.Array, n_words: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
     """The value of each bin of each text, and which texts have shingles at all."""
+    if bins < 2 or bins & (bins - 1):
+        raise ValueError("bins must be a power of two")
     data, offs = C.buffers(text)
     n, shift = len(offs) - 1, np.uint64(64 - (bins - 1).bit_length())
     out, some = np.zeros((n, bins), np.uint64), np.zeros(n, bool)
@@ -102,7 +104,9 @@ def compare(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_wo
     spark = docs.sparkSession
     own = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = C.pack_text(own, "text").repartitionByRange(parts, "doc_id", "k1", "k2").sortWithinPartitions("doc_id", "k1", "k2").select("doc_id", "__body")
+    # Rows that equal one another are told apart by their place in the input, so that they can be dealt to several ranges.
+    order = ["doc_id", "k1", "k2", "place"]
+    dealt = C.pack_text(own, "text").withColumn("place", F.monotonically_increasing_id()).repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "__body")
     id_type = own.schema["doc_id"].dataType.simpleString()
     made = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     names = ["doc_id", *(x.split()[0] for x in made.split(", "))]

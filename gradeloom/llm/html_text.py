@@ -4,17 +4,19 @@ A page is parsed into a tree of block elements. Each has a state, content or not
 words of its class, id and role, and the text and links below it; each parent and child share a pairwise potential. Sum-product
 message passing, once upward and once downward, gives every element's exact marginal, and text is kept where the block that
 holds it is content with probability 1/2 or more. Unary weights (a ridge logistic regression) and pairwise tables (label
-counts) are learned from labelled pages: generated ones of many layouts, and at most `max_pages` of the table at hand that mark
-their article with a landmark element.
+counts) are learned from labelled pages: generated ones of many layouts, and at most `max_pages` different pages, each of at most
+`max_page_bytes`, of the table at hand that mark their article with a landmark element (those of the least hashes).
 
 Text of a kept block: character references decoded, each run of white space one space, trimmed, empty blocks left out; blocks
 are joined in page order by one newline.
 
-Defined cases: a null or empty page gives "" and 0; unclosed, misnested and cut-off markup is repaired as browsers do for the
+Defined cases: a null or empty page gives "" and 0; very long and very deeply nested pages are parsed whole; a probability of
+exactly 1/2 (a tie) keeps the block; unclosed, misnested and cut-off markup is repaired as browsers do for the
 elements that matter here; text outside all markup counts as of the page's root; repeated rows are each extracted; an empty table
 gives none; result columns replace input columns of the same name.
 
-Scale: one scan without a shuffle; what is learned is a few kilobytes. A page costs time in proportion to its length.
+Scale: two scans for what is learned from (hashes first, so only chosen pages are moved), and one without a shuffle to extract;
+the model is a few kilobytes. A page costs time in proportion to its length, whatever its nesting.
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.sql import types as T
 from gradeloom.llm import _common as C
 
 MAX_PAGES = 300
+MAX_PAGE_BYTES = 1 << 18
 N_GENERATED = 400
 MADE = ["text", "n_chars"]
 
@@ -50,6 +53,9 @@ BREAKS_P = frozenset("address article aside blockquote center details dialog dir
 #: An element that begins ends the open ones of these kinds, up to an element of the second kind.
 ENDS = {"li": ("li", "ul ol menu"), "dd": ("dd dt", "dl"), "dt": ("dd dt", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "tbody": ("thead tbody tr td th", "table"), "tfoot": ("tbody tr td th", "table"), "option": ("option", "select"), "body": ("head", "html")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
+#: An open paragraph is not looked for beyond these.
+HOLDS_P = ("table", "td", "th", "button", "article", "section", "div", "li", "aside", "blockquote")
+HOLDS_ANY = ("table", "td", "th", "button")
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+[^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -68,6 +74,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     nodes = [Node("#root", None, frozenset(), 0)]
     blocks: list[tuple[int, str]] = []
     stack: list[tuple[str, Node]] = [("#root", nodes[0])]
+    depths: dict[str, list[int]] = {}  # of the open elements of each name
+    endless: set[str] = set()
     text: list[str] = []
     in_link = 0
 
@@ -92,19 +100,27 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def pop_to(depth: int):
         nonlocal in_link
-        if any(n not in INLINE for n, _ in stack[depth:]):
+        gone = [n for n, _ in stack[depth:]]
+        if any(n not in INLINE for n in gone):
             flush()
-        in_link -= sum(n == "a" for n, _ in stack[depth:])
+        in_link -= gone.count("a")
+        for n in gone:
+            depths[n].pop()
         del stack[depth:]
 
+    def push(name: str, node: Node):
+        depths.setdefault(name, []).append(len(stack))
+        stack.append((name, node))
+
+    def innermost(names) -> int:
+        return max((d[-1] for n in names if (d := depths.get(n))), default=0)
+
     def ended(kinds, until):
-        for d in range(len(stack) - 1, 0, -1):
-            if stack[d][0] in until:
+        border = innermost(until)
+        while (d := innermost(kinds)) > border:
+            pop_to(d)
+            if len(kinds) == 1:
                 return
-            if stack[d][0] in kinds:
-                pop_to(d)
-                if not (kinds - {"p"}) or len(kinds) == 1:
-                    return
 
     at = 0
     while at < len(page):
@@ -119,16 +135,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             name = m[1].lower()
             if name in SET_IN_LINE:
                 text.append(" ")
-            for d in range(len(stack) - 1, 0, -1):
-                if stack[d][0] == name:
-                    pop_to(d)
-                    break
+            if depths.get(name):
+                pop_to(depths[name][-1])
         elif m[2]:
             name = m[2].lower()
             if name in RAW:
                 in_math = name.startswith("annotation")
                 if not m[3].rstrip().endswith("/") or not (name == "svg" or in_math):
-                    end = re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)" + r"|(?=</math(?![^\s/>]))" * in_math, re.I).search(page, at)
+                    end = None if name in endless else re.compile(rf"</{re.escape(name)}(?![^\s/>])[^>]*(?:>|\Z)" + r"|(?=</math(?![^\s/>]))" * in_math, re.I).search(page, at)
+                    if not end:
+                        endless.add(name)
                     at = end.end() if end else at if in_math else len(page)
                 text.append(" ")
                 continue
@@ -145,23 +161,23 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     continue
                 if name == "a":
                     if in_link:
-                        ended(frozenset({"a"}), BREAKS_P)
+                        ended(("a",), BREAKS_P)
                     in_link += 1
-                stack.append((name, stack[-1][1]))
+                push(name, stack[-1][1])
                 continue
-            if name in ("html", "body") and any(n == name for n, _ in stack):
+            if name in ("html", "body") and depths.get(name):
                 continue
             if name in ENDS:
                 ended(*ENDS[name])
             if name in BREAKS_P:
-                ended(frozenset({"p"}), frozenset(("table", "td", "th", "button", "article", "section", "div", "li", "aside", "blockquote")) - {name} if name == "p" else frozenset(("table", "td", "th", "button")))
+                ended(("p",), HOLDS_P if name == "p" else HOLDS_ANY)
             flush()
             marks = [(a.lower(), b or c or d) for a, b, c, d in ATTRIBUTE.findall(m[3])] if m[3] else []
             parts = frozenset(p.lower() for a, v in marks if a in ("class", "id", "role", "itemprop", "aria-label", "data-role") for p in NAME_PART.findall(v)) | frozenset("hidden" for a, v in marks if a == "hidden" or a == "style" and "none" in v)
             node = Node(name, stack[-1][1], parts, len(nodes))
             node.parent.children += 1
             nodes.append(node)
-            stack.append((name, node))
+            push(name, node)
     flush()
     return nodes, blocks
 
@@ -407,8 +423,8 @@ def by_landmark(page: str | None) -> tuple[list[Node], list[int]] | None:
     return nodes, labels
 
 
-def train(pages: DataFrame | None = None, *, page: str = "html", max_pages: int = MAX_PAGES, n_generated: int = N_GENERATED) -> TreeModel:
-    """Learns from generated pages and from at most max_pages of the table (the least by a hash, the same in every run)."""
+def train(pages: DataFrame | None = None, *, page: str = "html", max_pages: int = MAX_PAGES, max_page_bytes: int = MAX_PAGE_BYTES, n_generated: int = N_GENERATED) -> TreeModel:
+    """Learns from generated pages and from at most max_pages of the table (the least by a hash, the same in every run); max_pages x max_page_bytes reach the driver at most."""
     labelled = []
     for seed in range(n_generated):
         made, labels = generated(seed)
@@ -416,8 +432,11 @@ def train(pages: DataFrame | None = None, *, page: str = "html", max_pages: int
         if len(nodes) == len(labels):
             labelled.append((nodes, labels))
     if pages is not None:
-        body = F.col(page)
-        chosen = pages.select(body.alias("page")).filter(body.rlike("(?i)<(article|main)[ >]")).orderBy(F.xxhash64("page"), "page").limit(max_pages)
+        body = F.col(f"`{page}`")
+        own = pages.select(body.alias("page")).filter((F.octet_length("page") <= max_page_bytes) & F.col("page").rlike("(?i)<(article|main)[ >]")).withColumn("h", F.xxhash64("page"))
+        few = C.least(own.select("h"), max_pages)
+        # One of equal pages; the last order is that of hashes, as few as they are now.
+        chosen = own.join(F.broadcast(few), "h", "left_semi").groupBy("h").agg(F.min("page").alias("page")).orderBy("h")
         labelled += [x for r in chosen.toLocalIterator() if (x := by_landmark(r["page"]))]
     return fit(labelled)
 
@@ -425,7 +444,8 @@ def train(pages: DataFrame | None = None, *, page: str = "html", max_pages: int
 def extract(pages: DataFrame, model: TreeModel, *, page: str = "html", keep: list[str] | None = None) -> DataFrame:
     """pages' columns (or those of `keep`) with text and n_chars."""
     keep = C.others(pages, MADE) if keep is None else keep
-    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(page).alias("__page"))
+    source = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{page}`").alias("page"))
+    source = source.toDF(*[f"c{k}" for k in range(len(keep))], "page")
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     held = pages.sparkSession.sparkContext.broadcast(model)
 
@@ -436,7 +456,7 @@ def extract(pages: DataFrame, model: TreeModel, *, page: str = "html", keep: lis
                 texts = [held.value.text(p) for p in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=schema.names)
 
-    return source.mapInArrow(step, schema)
+    return source.mapInArrow(step, schema).toDF(*keep, *MADE)
 
 
 def op5_html_extraction(spark, sf_dir: str) -> DataFrame:

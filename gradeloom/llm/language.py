@@ -7,10 +7,11 @@ text's words, Viterbi finds the labels of the highest total of word scores less
 are spans. A text's language is the one whose spans hold most letters (first by name where equal), and its score is that share
 of the letters, weighed with the mean certainty of the words.
 
-Labels are learned from at most `max_docs` texts of each language (the smallest by a hash of the id) among rows whose language
-is given and whose id is not held out; counts are added up by the executors, and tables of a fixed size reach the driver.
+Labels are learned from at most `max_docs` different texts of each language (the smallest by a hash of id and text) among rows whose language
+is given and whose id is not held out; counts are added up by the executors, and a table of a fixed size for each language reaches the driver and is broadcast; more
+than `MAX_LANGS` languages raise an error.
 
-Defined cases: a null text or one without letters is `und` with score 0; a text whose letters are all of scripts that no
+Defined cases: a very long text is labelled whole, in a step of its own; an empty table gives none; a null text or one without letters is `und` with score 0; a text whose letters are all of scripts that no
 training text has is given the language of most sampled texts, first by name, with score 0; with nothing to learn from all is `und`; ties go to the
 name that sorts first; repeated rows get equal results; result columns replace input columns of the same name.
 
@@ -24,13 +25,14 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gradeloom.llm import _common as C
 
 MAX_DOCS = 1_000
+MAX_LANGS = 256
 PENALTY = 8.0
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
@@ -207,8 +209,11 @@ def _pieces(column, most: int = C.CHUNK_BYTES * 4):
 def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", max_docs: int = MAX_DOCS, penalty: float = PENALTY) -> Model:
     rows = docs.select(F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text")).filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (C.bucket_of_id("id") != 0))
     # The ids come first, so that only the chosen texts are moved.
-    few = _least(rows.select("lang", F.xxhash64("id", "text").alias("h")), max_docs)
-    chosen = rows.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(few), ["lang", "h"], "left_semi").select("lang", "text")
+    if len(some := rows.select("lang").distinct().limit(MAX_LANGS + 1).collect()) > MAX_LANGS:
+        raise ValueError(f"more than {len(some) - 1} languages")
+    few = C.least(rows.select("lang", F.xxhash64("id", "text").alias("h")), max_docs, "lang")
+    chosen = rows.withColumn("h", F.xxhash64("id", "text")).join(F.broadcast(few), ["lang", "h"], "left_semi")
+    chosen = chosen.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")  # a repeated row counts once
 
     def step(batches):
         names: dict[str, int] = {}
@@ -244,19 +249,11 @@ def train(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: st
     return Model(langs, table[:, :BUCKETS], table[:, BUCKETS:-1], table[:, -1], penalty)
 
 
-def _least(keyed: DataFrame, most: int) -> DataFrame:
-    """Of each language the rows with the smallest hashes: cut below a bound first, which about twice as many pass."""
-    sizes = keyed.groupBy("lang").agg(F.count("*").alias("n")).withColumnRenamed("lang", "l")
-    unit = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    near = keyed.join(F.broadcast(sizes), F.col("lang") == F.col("l")).filter(unit * F.col("n") <= 2.0 * most + 20).select("lang", "h")
-    return near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= most).select("lang", "h")
-
-
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str] | None = None, spans: bool = True) -> DataFrame:
     """docs' columns (or those of `keep`) with lang_pred, score and, if asked for, spans."""
     made = [n for n in MADE if spans or n != "spans"]
     keep = C.others(docs, made) if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text")).toDF(*[f"c{k}" for k in range(len(keep))], "text")
     span = T.ArrayType(T.StructType([T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("spans", span)] if spans else [])])
     held = docs.sparkSession.sparkContext.broadcast(model)
@@ -274,7 +271,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: list[str
                 out.append(pa.array(found, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))))
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return source.mapInArrow(step, schema)
+    return source.mapInArrow(step, schema).toDF(*keep, *made)
 
 
 def op2_language(spark, sf_dir: str) -> DataFrame:

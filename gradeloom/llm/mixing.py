@@ -7,16 +7,18 @@ times its source's size: what is above is dealt anew by weight among the others,
 A source's target is `whole` copies of every document plus a remaining budget. For that, documents are counted by their
 exact size; each size gives its even share of documents, and what is still missing is fitted by a bounded-knapsack program
 over the sizes left, which meets the budget exactly where a subset does, and else takes the nearest sum on either side.
-Of each size, the documents with the smallest seeded hashes are chosen, so reruns agree.
+Of each size, the rows with the smallest seeded hashes of all their columns are chosen, so reruns agree.
 
 Defined cases: a null text has size 0; documents of size 0 are never taken; the null source is a source of its own; an empty
-table gives an empty mix; of equal rows of one id either may be the one chosen, which gives the same rows; result columns
-replace input columns of the same name.
-
-Scale: text is read once, and only (row, source, size) goes on. Counting by (source, size) is pre-aggregated. A group of
-that histogram holds a source's distinct sizes, of which there are at most sqrt(2 x words). A hot (source, size) is never
-gathered: its documents fall into about sqrt(count) hash buckets, whole buckets are taken by their running count, and only
-the bucket on the border is ranked. The water level of the targets is found by aggregates over the table of sources.
+table gives an empty mix; very long texts are sizes like any other; rows that differ in any column, such as one id and text in
+two sources, are told apart, and of rows that are equal altogether as many are taken as the plan says (ties); a column of the
+name of `copy_column` is replaced.
+
+Scale: text is never shuffled. Counting by (source, size) is pre-aggregated; a group of that histogram holds a source's
+distinct sizes, of which there are at most sqrt(2 x words). A hot (source, size) is never gathered: its rows fall into about
+sqrt(count) ranges of hashes, and only the one on the border is looked at, equal rows as one. So the plan is one row a source
+and size, the place in the order of hashes up to which rows are taken; documents are read once more and compared with it. That
+table is broadcast if its measured size allows, and else joined by source and size. Sources are ordered in ranges.
 """
 
 from __future__ import annotations
@@ -35,7 +37,10 @@ SEED = 20240607
 DP_BUDGET = 1 << 16
 #: Documents of each size that the program may choose anew.
 SLACK = 16
-MADE = ["size", "source_size", "target", "copies", "taken"]
+#: Bytes of a table that may be broadcast.
+MAX_BROADCAST = 32 << 20
+#: Rows that one step writes out of a group of equal ones.
+PART = 1 << 16
 
 
 def n_tokens(text: Column) -> Column:
@@ -93,21 +98,41 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
-    """(source, source_size) with target: weights by order of source, the excess over max_repeat times the size reshared."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    ranked = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))).withColumn("most", F.col("source_size") * float(max_repeat))
-    ranked = C.stage(ranked, "mix-sources")
-    total = float(ranked.agg(F.sum("source_size")).first()[0] or 0)
-    level, capped = 0.0, -1
-    while True:  # each turn caps one source more at least
-        above = F.col("most") < F.col("weight") * level
-        held, weight, n = ranked.agg(F.sum(F.when(above, F.col("most")).otherwise(0.0)), F.sum(F.when(above, 0.0).otherwise(F.col("weight"))), F.count_if(above)).first()
-        if n == capped or not weight:
-            break
-        level, capped = max(0.0, total - held) / weight, n
+    """(source, source_size) with target: weights by order of source, the excess over max_repeat times the size reshared.
+
+    With every source's bound divided by its weight in order, those capped come first; the level of the rest follows from running
+    sums. Orders are dealt by range and numbered within each range, so no task sees all sources.
+    """
+    ranked, before = _in_order(sizes.withColumn("is_null", F.col("source").isNull()), ["is_null", "source"], {"ones": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (before["ones"] % len(weights) + 1).cast("int"))
+    most = F.col("source_size") * float(max_repeat)
+    ranked = C.stage(ranked.select("source", "source_size", weight.alias("weight"), most.alias("most")), "mix-sources")
+    total, all_weights = (float(x or 0) for x in ranked.agg(F.sum("source_size"), F.sum("weight")).first())
+    by_level, before = _in_order(ranked.withColumn("ratio", F.col("most") / F.col("weight")), ["ratio", "is_null", "source"], {"most": F.col("most"), "weight": F.col("weight")})
+    left = F.lit(all_weights) - before["weight"]
+    filled = by_level.filter(before["most"] + F.col("ratio") * left >= F.lit(total)).select(((F.lit(total) - before["most"]) / left).alias("level"), "ratio")
+    first = filled.agg(F.min(F.struct("ratio", "level")).alias("first")).first()["first"]
+    level = max(0.0, first["level"]) if first else 0.0
     return ranked.withColumn("target", F.least(F.col("most"), F.col("weight") * level)).select("source", "source_size", "target")
 
 
+def _in_order(df: DataFrame, order: list[str], sums: dict[str, Column]) -> tuple[DataFrame, dict[str, Column]]:
+    """df, and for each of sums a column of its total over the rows before; order must tell rows apart."""
+    if "is_null" not in df.columns:
+        df = df.withColumn("is_null", F.col("source").isNull())
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = df.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    dealt = C.stage(dealt.withColumns({f"own_{n}": c.cast("double") for n, c in sums.items()}), "mix-order")
+    # One row a range, of which there are as many as shuffle partitions.
+    ranges = dealt.groupBy("part").agg(*[F.sum(f"own_{n}").alias(f"range_{n}") for n in sums])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("part").alias("in_part"), *[F.coalesce(F.sum(f"range_{n}").over(earlier), F.lit(0.0)).alias(f"ahead_{n}") for n in sums])
+    within = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    dealt = dealt.withColumns({f"within_{n}": F.coalesce(F.sum(f"own_{n}").over(within), F.lit(0.0)) for n in sums})
+    found = dealt.join(F.broadcast(ranges), F.col("part") == F.col("in_part"))
+    return found, {n: F.col(f"ahead_{n}") + F.col(f"within_{n}") for n in sums}
+
+
 def _plan(dp_budget: int):
     def plan(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("size")
@@ -121,44 +146,89 @@ def _plan(dp_budget: int):
     return plan
 
 
-def plan_mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, dp_budget: int = DP_BUDGET) -> DataFrame:
-    """(doc_id, source, size, k1, k2, source_size, target, copies): how many copies of each row the mix takes."""
-    k1, k2 = C.row_key(docs, doc_id, text)
-    slim = C.stage(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_tokens(F.col(text)).alias("size"), k1.alias("k1"), k2.alias("k2")), "mix-sizes")
+def _hashable(field) -> Column:
+    """A column that can be hashed: maps and variants by their JSON."""
+    kind = field.dataType.json()
+    name = F.col(f"`{field.name}`")
+    return F.to_json(F.struct(name)) if '"map"' in kind or "variant" in kind else name
+
+
+def _keyed(docs: DataFrame, text: str, source: str, seed: int) -> DataFrame:
+    """(row, source, size, h1, h2): two hashes of all of a row's columns, so rows that share them are equal altogether."""
+    values = [x for c in map(_hashable, docs.schema.fields) for x in (c, c.isNull())]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(row, F.col(f"`{source}`").alias("source"), n_tokens(F.col(f"`{text}`")).alias("size"), F.xxhash64(F.lit(seed), *values).alias("h1"), F.xxhash64(F.lit(seed + 1), *values[::-1]).alias("h2"))
+
+
+def _cuts(slim: DataFrame, weights, max_repeat: int, dp_budget: int) -> DataFrame:
+    """(c_source, c_size, source_size, target, whole, extra, n, c1, c2, t, m) for each source and size.
+
+    Every row is taken `whole` times; of its source and size, those before (c1, c2) in the order of hashes once more, and t of
+    the m equal rows that are there. Where extra is 0 or n there is no such row, and c1 is null.
+    """
     histogram = C.stage(slim.groupBy("source", "size").agg(F.count("*").alias("n")), "mix-histogram")
     goals = targets(histogram.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, max_repeat)
     by_source = histogram.withColumnRenamed("source", "s").join(goals, F.col("s").eqNullSafe(F.col("source"))).select("source", "size", "n", "source_size", "target")
     plan = by_source.groupBy("source").applyInPandas(_plan(dp_budget), "source string, size long, n long, source_size long, target double, whole long, extra long")
-    plan = C.stage(plan.withColumnsRenamed({"source": "p_source", "size": "p_size"}), "mix-plan")
-    row_hash = F.xxhash64(F.lit(seed), "k1", "k2")
-    joined = slim.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))).drop("p_source", "p_size").withColumn("h", row_hash)
-    bucket = F.when((F.col("extra") == 0) | (F.col("extra") == F.col("n")), F.lit(-1)).otherwise(F.pmod("h", F.ceil(F.sqrt("n"))))
-    joined = joined.withColumn("bucket", bucket)
-    sure = joined.filter(F.col("bucket") < 0).withColumn("copies", F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0))
-    open_ = joined.filter(F.col("bucket") >= 0)
-    running = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = open_.groupBy("source", "size", "bucket").agg(F.count("*").alias("in_bucket")).withColumn("before", F.coalesce(F.sum("in_bucket").over(running), F.lit(0))).withColumnsRenamed({"source": "b_source", "size": "b_size", "bucket": "b_bucket"})
-    open_ = open_.join(filled, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("size") == F.col("b_size")) & (F.col("bucket") == F.col("b_bucket")))
-    border = (F.col("before") < F.col("extra")) & (F.col("before") + F.col("in_bucket") > F.col("extra"))
-    settled = open_.filter(~border).withColumn("copies", F.col("whole") + F.when(F.col("before") < F.col("extra"), 1).otherwise(0))
-    ranked = open_.filter(border).withColumn("rank", F.row_number().over(Window.partitionBy("source", "size").orderBy("h", "k1", "k2")))
-    ranked = ranked.withColumn("copies", F.col("whole") + F.when(F.col("before") + F.col("rank") <= F.col("extra"), 1).otherwise(0))
-    made = ["doc_id", "source", "size", "k1", "k2", "source_size", "target", "copies"]
-    return sure.select(made).unionByName(settled.select(made)).unionByName(ranked.select(made))
-
-
-def mix(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", copy_column: str | None = None, **options) -> DataFrame:
-    """The mix itself: docs' rows, each as often as the mix takes it; copy_column numbers the copies from 1."""
-    k1, k2 = C.row_key(docs, doc_id, text)
-    plan = plan_mix(docs, text=text, doc_id=doc_id, **options)
-    # Rows of one id and text share a key: the copies of the key are dealt out evenly among them.
-    keys = plan.groupBy("k1", "k2").agg(F.sum("copies").alias("c"), F.count("*").alias("m")).filter(F.col("c") > 0)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), k1.alias("r1"), k2.alias("r2"))
-    joined = own.join(keys, (F.col("r1") == F.col("k1")) & (F.col("r2") == F.col("k2")))
-    rank = F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1"))
-    shared = joined.filter(F.col("m") > 1).withColumn("c", F.floor(F.col("c") / F.col("m")) + F.when(rank <= F.col("c") % F.col("m"), 1).otherwise(0)).filter(F.col("c") > 0)
-    joined = joined.filter(F.col("m") == 1).unionByName(shared)
-    return joined.select("__row", F.explode(F.sequence(F.lit(1), F.col("c").cast("int"))).alias("__copy")).select("__row.*", *([F.col("__copy").alias(copy_column)] if copy_column else []))
+    plan = C.stage(plan.withColumnsRenamed({"source": "c_source", "size": "c_size"}), "mix-plan")
+    # About sqrt(n) ranges of hashes; only the one in which the extra-th row lies is looked at row by row.
+    unit = (F.col("h1").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    some = plan.filter("extra > 0 and extra < n").select("c_source", "c_size", "n", "extra")
+    same = F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size"))
+    opened = _join_small(slim, some, same).select("c_source", "c_size", "extra", F.floor(unit * F.ceil(F.sqrt("n"))).alias("bucket"), "h1", "h2")
+    earlier = Window.partitionBy("c_source", "c_size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = opened.groupBy("c_source", "c_size", "extra", "bucket").agg(F.count("*").alias("k")).withColumn("before", F.coalesce(F.sum("k").over(earlier), F.lit(0)))
+    border = C.stage(counts.filter("before < extra and before + k >= extra").select(F.col("c_source").alias("b_source"), F.col("c_size").alias("b_size"), F.col("bucket").alias("b_bucket"), "before"), "mix-borders")
+    near = _join_small(opened, border, F.col("c_source").eqNullSafe(F.col("b_source")) & (F.col("c_size") == F.col("b_size")) & (F.col("bucket") == F.col("b_bucket")))
+    # Equal rows are one here, so their number does not matter.
+    earlier = Window.partitionBy("c_source", "c_size").orderBy("h1", "h2").rowsBetween(Window.unboundedPreceding, -1)
+    keys = near.groupBy("c_source", "c_size", "extra", "before", "h1", "h2").agg(F.count("*").alias("m")).withColumn("t", F.col("extra") - F.col("before") - F.coalesce(F.sum("m").over(earlier), F.lit(0)))
+    cut = keys.filter("t > 0 and t <= m").select(F.col("c_source").alias("k_source"), F.col("c_size").alias("k_size"), F.col("h1").alias("c1"), F.col("h2").alias("c2"), "t", "m")
+    told = plan.join(cut, F.col("c_source").eqNullSafe(F.col("k_source")) & (F.col("c_size") == F.col("k_size")), "left").drop("k_source", "k_size")
+    return C.stage(told, "mix-cuts")
+
+
+def _join_small(left: DataFrame, small: DataFrame, on: Column) -> DataFrame:
+    """left with small's columns; small is broadcast if its measured size is below MAX_BROADCAST."""
+    names = [f.name for f in small.schema.fields if f.dataType.simpleString() == "string"]
+    rows, wide = small.agg(F.count("*"), F.sum(sum((F.coalesce(F.octet_length(n), F.lit(0)) for n in names), F.lit(0)))).first()
+    return left.join(F.broadcast(small) if rows * 16 * len(small.columns) + (wide or 0) <= MAX_BROADCAST else small, on)
+
+
+def _taken(keyed: DataFrame, cuts: DataFrame) -> DataFrame:
+    """keyed's rows, each with source_size, target and copies; of equal rows at a cut t have one copy more than the others."""
+    found = _join_small(keyed, cuts, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("size") == F.col("c_size")))
+    at_cut = (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2"))
+    before = (F.col("h1") < F.col("c1")) | (F.col("h1") == F.col("c1")) & (F.col("h2") < F.col("c2"))
+    more = F.when(F.col("c1").isNull(), F.col("extra") > 0).otherwise(before | at_cut)
+    made = [*keyed.columns, "source_size", "target", "copies"]
+    split = F.coalesce(at_cut & (F.col("t") < F.col("m")), F.lit(False))
+    once = found.filter(~split).withColumn("copies", F.col("whole") + more.cast("long")).select(made)
+    if cuts.filter("t < m").isEmpty():
+        return once
+    # Equal rows are counted first, which leaves one of them a task, and then written out in parts of bounded length.
+    own = keyed.columns
+    equal = found.filter(split).groupBy("source", "size", "h1", "h2", "source_size", "target", "whole", "t", "m").agg(*[F.first(c).alias(c) for c in own if c not in ("source", "size", "h1", "h2")])
+    parts = equal.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("m") - 1) / PART)))).repartition("h1", "part")
+    rows = parts.withColumn("i", F.explode(F.sequence(F.col("part") * PART + 1, F.least(F.col("m"), (F.col("part") + 1) * PART))))
+    return once.unionByName(rows.withColumn("copies", F.col("whole") + (F.col("i") <= F.col("t")).cast("long")).select(made))
+
+
+def plan_mix(docs: DataFrame, *, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, dp_budget: int = DP_BUDGET) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies): how many copies of each row the mix takes."""
+    keyed = _keyed(docs, text, source, seed).withColumn("row", F.col(f"row.`{doc_id}`"))
+    slim = C.stage(keyed, "mix-sizes")
+    cuts = _cuts(slim, weights, max_repeat, dp_budget)
+    return _taken(slim, cuts).select(F.col("row").alias("doc_id"), "source", "size", "source_size", "target", "copies")
+
+
+def mix(docs: DataFrame, *, text: str = "text", source: str = "source", copy_column: str | None = None, weights=WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED, dp_budget: int = DP_BUDGET) -> DataFrame:
+    """The mix itself: docs' rows, each as often as plan_mix says; copy_column numbers a row's copies from 1."""
+    keyed = _keyed(docs, text, source, seed)
+    cuts = _cuts(C.stage(keyed.drop("row"), "mix-sizes"), weights, max_repeat, dp_budget)
+    rows = _taken(keyed, cuts).filter("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("nth"))
+    keep = C.others(docs, [copy_column] if copy_column else [])
+    return rows.select(*[F.col(f"row.`{c}`") for c in keep], *([F.col("nth").alias(copy_column)] if copy_column else []))
 
 
 def op1_mixing(spark, sf_dir: str) -> DataFrame:

@@ -2,19 +2,23 @@
 
 A document is the set of its 5-word shingles (1 to 4 words: one shingle; no words: no set, never linked). Two documents are
 linked if the Jaccard similarity of their sets is at least the threshold. Documents of equal sets are one class, stood for by
-one of them. Rows per band and the number of bands are chosen so that a pair at the threshold shares a band with the target
-recall; every pair counted is verified on the whole sets, so there are no false links.
+one of them, by a hash of 128 bits. Rows per band and the number of bands are chosen so that a pair at the threshold shares a band with the target
+recall; every pair that shares a band is verified on the whole sets, so no pair below the threshold is linked.
 
 Defined cases: a null or wordless text has no links and is its own group; exact copies are linked with one another; a null
 doc_id is kept, and a group whose ids are all null has a null id; repeated rows are copies; an empty table gives none; result
 columns replace input columns of the same name.
 
-Scale: no pair is emitted. In each band bucket every class gets one edge to the bucket's least class (aggregated before the
-shuffle, so a bucket may be of any size). Connected components of those edges, by label propagation with pointer jumping over
-joins and aggregates, are clusters that hold all candidates of each of their members. A cluster of up to BLOCK classes is
-verified in one step, a larger one in pairs of blocks, each a task's worth of bounded size; a step counts common shingles by
-matrix products and returns one row a class: its links, and its component within the step. Text is read twice: once for
-hashes, and once, shuffled by a content key, for the sets of classes that have candidates.
+very long texts are sets like any other.
+
+Scale: no pair is emitted. Documents of one set are one class before anything else, so a text with very many copies counts once.
+In each band bucket every class gets one edge to the bucket's least class (aggregated before the shuffle, so a bucket may be of
+any size), and connected components of those edges are clusters. What is verified are the pairs that share a band, each once. A
+cluster of bounded size is one block; a larger one is split into blocks by each class's largest bucket, and only two blocks that
+meet in a band bucket are brought together, so the work follows the candidate pairs and not the cluster's square. A step holds
+two blocks of bounded numbers of classes and shingles; it counts common shingles by matrix products and returns one row a class:
+its links, and its component within the step. Text is read twice: once for hashes, and once, shuffled by a content key, for the
+sets of classes that have candidates.
 """
 
 from __future__ import annotations
@@ -23,16 +27,18 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.llm import _common as C
 
 THRESHOLD = 0.8
 N_WORDS = 5
-RECALL = 0.999
+RECALL = 0.9999
 MAX_HASHES = 400
-BLOCK = 256
+#: Classes and shingles of a block: a larger group is dealt into about MANY blocks, of MOST classes at most.
+BLOCK, MANY, MOST = 64, 32, 1024
+BLOCK_GRAMS = 1 << 19
 MADE = ["class_id", "n_links"]
 
 
@@ -57,13 +63,13 @@ def _distinct(hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _signed(data: np.ndarray, offs: np.ndarray, n_words: int, bands: int, rows_each: int, seeds: np.ndarray):
-    """Per row with a set: its number, a hash of the set, the set's size and a hash for each band."""
+    """Per row with a set: its number, two hashes of the set, the set's size and a hash for each band."""
     h, r = _distinct(*C.shingles(C.LOWER[data], offs, n_words))
     if not len(r):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, bands), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros((0, bands), np.uint64)
     head = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
     size = np.diff(np.append(head, len(r)))
-    whole = C.mix(np.add.reduceat(C.mix(h ^ np.uint64(0x5851F42D4C957F2D)), head) + size.astype(np.uint64))
+    whole = [C.mix(np.add.reduceat(C.mix(h ^ np.uint64(salt)), head) + size.astype(np.uint64)) for salt in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
     x = (h >> np.uint64(32)).astype(np.uint32)
     out = np.zeros((len(head), bands), np.uint64)
     for b in range(bands):
@@ -73,29 +79,29 @@ def _signed(data: np.ndarray, offs: np.ndarray, n_words: int, bands: int, rows_e
             low = np.minimum.reduceat((x ^ c) * a, head)
             key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + low.astype(np.uint64))
         out[:, b] = key
-    return r[head], whole, size, out
+    return r[head], *whole, size, out
 
 
 def hashed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_words: int = N_WORDS, bands: int, rows: int) -> DataFrame:
-    """(doc_id, k1, k2, cid, bands): cid names the class of the document's set, null where it has none."""
+    """(doc_id, k1, k2, c1, c2, size, bands): c1 and c2 name the class of the document's set, null where it has none."""
     k1, k2 = C.row_key(docs, doc_id, text)
     seeds = np.random.default_rng(C.SEED).integers(1, 2**32, (bands * rows, 2), dtype=np.uint64).astype(np.uint32)
     seeds[:, 0] |= 1
-    source = docs.select(F.col(doc_id).alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text"))
+    source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def step(batches):
         for b in batches:
             data, offs = C.buffers(b.column(3))
             n = b.num_rows
-            cid, has, keys = np.zeros(n, np.int64), np.zeros(n, bool), np.zeros((n, bands), np.int64)
+            own, has, keys = np.zeros((3, n), np.int64), np.zeros(n, bool), np.zeros((n, bands), np.int64)
             for lo, hi in C.chunks(offs):
-                r, whole, _, found = _signed(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n_words, bands, rows, seeds)
-                cid[lo + r], has[lo + r], keys[lo + r] = whole.view(np.int64), True, found.view(np.int64)
+                r, c1, c2, size, found = _signed(data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], n_words, bands, rows, seeds)
+                own[:, lo + r], has[lo + r], keys[lo + r] = (c1.view(np.int64), c2.view(np.int64), size), True, found.view(np.int64)
             width = np.concatenate([[0], np.cumsum(np.where(has, bands, 0))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(cid, mask=~has), pa.ListArray.from_arrays(width, pa.array(keys[has].ravel()))], names=["doc_id", "k1", "k2", "cid", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), *(pa.array(x, mask=~has) for x in own), pa.ListArray.from_arrays(width, pa.array(keys[has].ravel()))], names=["doc_id", "k1", "k2", "c1", "c2", "size", "bands"])
 
-    return source.mapInArrow(step, f"doc_id {id_type}, k1 long, k2 long, cid long, bands array<long>")
+    return source.mapInArrow(step, f"doc_id {id_type}, k1 long, k2 long, c1 long, c2 long, size long, bands array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -113,14 +119,26 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _verify(members: dict[int, tuple[int, int, np.ndarray]], cross: bool, threshold: float) -> list[tuple[int, int, int]]:
-    """members: cid -> (block, documents, set). (cid, linked documents, least cid it is connected with here), if linked."""
+def _verify(members: dict[int, tuple[int, int, np.ndarray, np.ndarray]], cross: bool, threshold: float) -> list[tuple[int, int, int]]:
+    """members: cid -> (block, documents, bands, set). (cid, linked documents, least cid it is connected with here), if linked."""
     cids = sorted(members)
     m = len(cids)
     if m < 2:
         return []
-    sets = [members[c][2] for c in cids]
-    block, docs, size = (np.array(x) for x in ([members[c][0] for c in cids], [members[c][1] for c in cids], [len(s) for s in sets]))
+    block, docs, bands, sets = zip(*(members[c] for c in cids), strict=True)
+    block, docs, bands, size = np.array(block), np.array(docs), np.stack(bands), np.array([len(s) for s in sets])
+    # Candidates are the pairs that share a band and whose sizes allow the similarity.
+    wanted = np.zeros((m, m), bool)
+    for k in range(bands.shape[1]):
+        wanted |= bands[:, k][:, None] == bands[:, k][None, :]
+    wanted &= np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9
+    np.fill_diagonal(wanted, False)
+    if cross:
+        wanted &= block[:, None] != block[None, :]
+    some = np.flatnonzero(wanted.any(axis=1))
+    if not len(some):
+        return []
+    cids, sets, docs, size, wanted, m = [cids[k] for k in some], [sets[k] for k in some], docs[some], size[some], wanted[np.ix_(some, some)], len(some)
     h, owner = np.concatenate(sets), np.repeat(np.arange(m), size)
     order = np.argsort(h, kind="stable")
     h, owner = h[order], owner[order]
@@ -131,17 +149,14 @@ def _verify(members: dict[int, tuple[int, int, np.ndarray]], cross: bool, thresh
     if not len(col):
         return []
     col = np.cumsum(np.concatenate([[0], (col[1:] != col[:-1]).astype(np.int64)]))
-    common, wide = np.zeros((m, m), np.float32), 8192
+    common, wide = np.zeros((m, m), np.float32), max(256, (1 << 21) // m)
     for c in range(0, int(col[-1]) + 1, wide):
         a, b = np.searchsorted(col, [c, c + wide])
         grid = np.zeros((m, min(wide, int(col[-1]) + 1 - c)), np.float32)
         grid[owner[a:b], col[a:b] - c] = 1
         common += grid @ grid.T
     inter = common.astype(np.float64)
-    linked = inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9
-    np.fill_diagonal(linked, False)
-    if cross:
-        linked &= block[:, None] != block[None, :]
+    linked = wanted & (inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9)
     label = np.arange(m)
     while True:
         near = np.minimum(label, np.where(linked, label[None, :], m).min(axis=1))
@@ -152,105 +167,129 @@ def _verify(members: dict[int, tuple[int, int, np.ndarray]], cross: bool, thresh
     return [(cids[k], int(links[k]), cids[label[k]]) for k in np.flatnonzero(links)]
 
 
+def _blocks(classes: DataFrame, clusters: DataFrame, block: int, many: int, most: int, grams: int) -> DataFrame:
+    """(cid, block, cluster, steps, wide): a class's block, and the pairs of blocks (i, j) it is brought into."""
+    members = classes.select("cid", "size", "bands").join(clusters.withColumnsRenamed({"v": "cid", "label": "cluster"}), "cid")
+    sizes = C.stage(members.groupBy("cluster").agg((F.count("*") <= block) & (F.sum("size") <= grams)).toDF("of", "small"), "near-clusters")
+    members = C.stage(members.join(sizes, F.col("cluster") == F.col("of")).drop("of"), "near-members")
+    alone = members.filter("small").select("cid", F.col("cluster").alias("block"), F.array(F.struct(F.col("cluster").alias("i"), F.col("cluster").alias("j"))).alias("steps"), F.lit(False).alias("wide"))
+    large = members.filter("not small")
+    if large.isEmpty():
+        return alone
+    banded = C.stage(large.select("cid", "size", F.explode("bands").alias("band")), "near-bands")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("k")).filter("k > 1")
+    banded = C.stage(banded.join(buckets, "band"), "near-buckets")
+    homes = C.stage(banded.groupBy("cid").agg(F.max(F.struct("k", "band")).alias("home"), F.max("size").alias("size")).select("cid", "size", "home.band"), "near-homes")
+    each = F.least(F.lit(most), F.greatest(F.lit(block), F.ceil(F.col("n") / F.lit(many))))
+    parts = homes.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("w")).select("band", F.greatest(F.ceil(F.col("n") / each), F.ceil(F.col("w") / F.lit(grams))).alias("parts"))
+    dealt = C.stage(homes.join(parts, "band").select("cid", F.xxhash64("band", F.pmod(F.xxhash64("cid"), "parts")).alias("block")), "near-dealt")
+    meeting = C.stage(banded.select("cid", "band").join(dealt, "cid").select("band", "block").distinct(), "near-meeting")
+    pairs = meeting.select("band", F.col("block").alias("i")).join(meeting.select("band", F.col("block").alias("j")), "band").filter("i <= j").select("i", "j").distinct()
+    both = pairs.withColumn("block", F.explode(F.when(F.col("i") == F.col("j"), F.array("i")).otherwise(F.array("i", "j")))).groupBy("block").agg(F.collect_list(F.struct("i", "j")).alias("steps"))
+    return alone.unionByName(dealt.join(both, "block").select("cid", "block", "steps", F.lit(True).alias("wide")))
+
+
 def _verified(wanted: DataFrame, docs: DataFrame, text: str, doc_id: str, n_words: int, threshold: float) -> DataFrame:
-    """wanted: (cid, cluster, n_blocks, docs, k1, k2). (cid, links, root, n_blocks) of each step that links it."""
+    """wanted: (cid, block, steps, wide, docs, bands, k1, k2). (cid, links, root, wide) of each step that links it."""
     k1, k2 = C.row_key(docs, doc_id, text)
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(text).alias("text")).join(wanted.hint("shuffle_hash"), ["k1", "k2"]).select("cid", "cluster", "n_blocks", "docs", "text")
+    wanted = wanted.withColumnsRenamed({"k1": "w1", "k2": "w2"})
+    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text")).join(wanted.hint("shuffle_hash"), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("cid", "block", "docs", "wide", "bands", "steps", "text")
+    kept = "cid long, block long, docs long, wide boolean, bands array<long>, steps array<struct<i: long, j: long>>"
 
     def sets(batches):
         for b in batches:
-            data, offs = C.buffers(b.column(4))
+            data, offs = C.buffers(b.column(6))
             out: list[bytes] = [b""] * b.num_rows
             for lo, hi in C.chunks(offs):
                 h, r = _distinct(*C.shingles(C.LOWER[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], n_words))
                 ends = np.searchsorted(r, np.arange(hi - lo + 1))
                 for k in range(hi - lo):
                     out[lo + k] = h[ends[k] : ends[k + 1]].tobytes()
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], names=["cid", "cluster", "n_blocks", "docs", "grams"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(out, pa.binary())], names=["cid", "block", "docs", "wide", "bands", "steps", "grams"])
 
-    def steps(batches):
+    def verify(batches):
         key, members = None, {}
         for b in batches:
             found = []
-            cols = [b.column(k).to_pylist() for k in range(7)]
-            grams = b.column(7)
-            for k, (cluster, i, j, n_blocks, block, cid, n) in enumerate(zip(*cols, strict=True)):
-                if (cluster, i, j, n_blocks) != key:
+            cols = [b.column(k).to_pylist() for k in range(6)]
+            bands, grams = b.column(6), b.column(7)
+            for k, (i, j, wide, block, cid, n) in enumerate(zip(*cols, strict=True)):
+                if (i, j, wide) != key:
                     if key:
-                        found += [(*x, key[3]) for x in _verify(members, key[1] != key[2], threshold)]
-                    key, members = (cluster, i, j, n_blocks), {}
-                members[cid] = (block, n, np.frombuffer(grams[k].as_py(), np.uint64))
+                        found += [(*x, key[2]) for x in _verify(members, key[0] != key[1], threshold)]
+                    key, members = (i, j, wide), {}
+                # A row that repeats, as its text does, is the same member.
+                members[cid] = (block, n, bands[k].values.to_numpy(), np.frombuffer(grams[k].as_py(), np.uint64))
             yield out(found)
         if key:
-            yield out([(*x, key[3]) for x in _verify(members, key[1] != key[2], threshold)])
+            yield out([(*x, key[2]) for x in _verify(members, key[0] != key[1], threshold)])
 
     def out(rows):
         x = np.array(rows, np.int64).reshape(-1, 4)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[:, k])) for k in range(4)], names=["cid", "links", "root", "n_blocks"])
+        return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x[:, k])) for k in range(3)), pa.array(x[:, 3] > 0)], names=["cid", "links", "root", "wide"])
 
-    found = texts.mapInArrow(sets, "cid long, cluster long, n_blocks long, docs long, grams binary")
-    block = F.pmod(F.xxhash64("cid"), F.col("n_blocks"))
-    found = found.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    found = found.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "n_blocks", "block", "cid", "docs", "grams")
+    found = texts.mapInArrow(sets, f"{kept}, grams binary").withColumn("step", F.explode("steps"))
+    found = found.select("step.i", "step.j", "wide", "block", "cid", "docs", "bands", "grams")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(steps, "cid long, links long, root long, n_blocks long")
+    return found.repartition(parts, "i", "j").sortWithinPartitions("i", "j", "wide").mapInArrow(verify, "cid long, links long, root long, wide boolean")
 
 
-def link(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_words: int = N_WORDS, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """Two tables: one row a document (doc_id, k1, k2, cid), and (cid, docs, links, component) of each class of a set.
+def link(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_words: int = N_WORDS, threshold: float = THRESHOLD, recall: float = RECALL, max_hashes: int = MAX_HASHES, block: int = BLOCK, many: int = MANY, most: int = MOST, block_grams: int = BLOCK_GRAMS) -> tuple[DataFrame, DataFrame]:
+    """Two tables: one row a document (doc_id, k1, k2, c1, c2), and one of each class of a set: (c1, c2, cid, docs, links, component, first).
 
-    links counts documents outside the class; component is the least cid that a chain of links reaches.
+    links counts documents outside the class; component is the least cid that a chain of links reaches; first is its first
+    document, as (null id, doc_id, k1, k2).
     """
     bands, rows = choose_bands(threshold, recall, max_hashes)
     slim = C.stage(hashed(docs, text=text, doc_id=doc_id, n_words=n_words, bands=bands, rows=rows), "near-hashes")
-    banded = slim.select("cid", F.explode("bands").alias("band"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    classes = slim.filter("c1 is not null").groupBy("c1", "c2").agg(F.count("*").alias("docs"), F.min(first).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    # Numbered once, in a table that is written: the numbers stay.
+    classes = C.stage(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
+    banded = classes.select("cid", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("band", "least")
     edges = banded.join(least, "band").filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
     clusters = components(edges)
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("n")).select(F.col("label").alias("cluster"), F.ceil(F.col("n") / F.lit(block)).cast("long").alias("n_blocks"))
-    classes = slim.filter("cid is not null").groupBy("cid").agg(F.count("*").alias("docs"), F.min(F.struct("k1", "k2")).alias("rep"))
-    classes = C.stage(classes.join(clusters.withColumnsRenamed({"v": "cid", "label": "cluster"}), "cid", "left"), "near-classes")
-    wanted = classes.filter("cluster is not null").join(sizes, "cluster").select("cid", "cluster", "n_blocks", "docs", "rep.k1", "rep.k2")
+    steps = _blocks(classes, clusters, block, many, most, block_grams)
+    wanted = steps.join(classes.select("cid", "docs", "bands", "first.k1", "first.k2"), "cid")
     found = C.stage(_verified(wanted, docs, text, doc_id, n_words, threshold), "near-links")
-    links = found.groupBy("cid").agg(F.sum("links").alias("links"), F.min("root").alias("root"), F.max("n_blocks").alias("n_blocks"))
-    wide = found.filter("n_blocks > 1")
+    links = found.groupBy("cid").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
+    wide = found.filter("wide")
     if not wide.isEmpty():
         joined = components(wide.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"v": "cid", "label": "whole"})
         links = links.join(joined, "cid", "left").withColumn("root", F.coalesce("whole", "root"))
-    classes = classes.select("cid", "docs").join(links.select("cid", "links", "root"), "cid", "left")
-    return slim.drop("bands"), classes.select("cid", "docs", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("component"))
+    classes = classes.drop("bands").join(links, "cid", "left")
+    return slim.drop("size", "bands"), classes.select("c1", "c2", "cid", "docs", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("component"), "first")
 
 
 def join(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """One row a document: doc_id, class_id (the least doc_id that chains of links reach) and n_links (documents linked with it)."""
     slim, classes = link(docs, text=text, doc_id=doc_id, **options)
-    members = slim.filter("cid is not null").groupBy("cid").agg(F.min("doc_id").alias("least_id"))
-    classes = C.stage(classes.join(members, "cid"), "near-members")
-    groups = classes.groupBy("component").agg(F.min("least_id").alias("class_id"))
-    told = classes.filter("docs > 1 or links > 0").join(groups, "component").select("cid", "class_id", (F.col("links") + F.col("docs") - 1).alias("n_links"))
-    return slim.join(told, "cid", "left").select(F.col("doc_id").alias(doc_id), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    classes = C.stage(classes.filter("docs > 1 or links > 0"), "near-groups")
+    groups = classes.groupBy("component").agg(F.min("first.doc_id").alias("class_id"))
+    # Staged, so that a class of very many copies can be split where it is joined.
+    told = C.stage(classes.join(groups, "component").select("c1", "c2", "class_id", (F.col("links") + F.col("docs") - 1).alias("n_links")), "near-told")
+    return slim.join(told, ["c1", "c2"], "left").select(F.col("doc_id").alias(doc_id), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """docs with one document of each group of near copies, that of the least doc_id; columns as they are."""
     slim, classes = link(docs, text=text, doc_id=doc_id, **options)
-    # Staged, so that a class of very many copies can be split where it is joined.
-    groups = C.stage(classes.filter("docs > 1 or links > 0").select("cid", "component"), "near-groups")
-    grouped = slim.join(groups, "cid")
-    first = grouped.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "k1", "k2")).alias("first")).select("component", "first.k1", "first.k2")
-    first = C.stage(first.withColumnsRenamed({"k1": "f1", "k2": "f2"}), "near-first")
-    told = C.stage(grouped.join(first, "component").groupBy("k1", "k2").agg(F.max((F.col("k1") == F.col("f1")) & (F.col("k2") == F.col("f2"))).alias("stays"), F.count("*").alias("same")), "near-told")
-    told = told.withColumnsRenamed({"k1": "t1", "k2": "t2"})
+    classes = C.stage(classes.filter("docs > 1 or links > 0").select("c1", "c2", "component", "first"), "near-groups")
+    firsts = classes.groupBy("component").agg(F.min("first").alias("stays"))
+    groups = C.stage(classes.join(firsts, "component").select("c1", "c2", F.col("stays.k1").alias("s1"), F.col("stays.k2").alias("s2")), "near-firsts")
+    stays = (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2"))
+    told = C.stage(slim.join(groups, ["c1", "c2"]).groupBy(F.col("k1").alias("t1"), F.col("k2").alias("t2"), stays.alias("stays")).agg(F.count("*").alias("same")).filter("not stays or same > 1"), "near-told")
     k1, k2 = C.row_key(docs, doc_id, text)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), k1.alias("k1"), k2.alias("k2"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
     same_row = (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))
-    once = own.join(told.filter("not stays or same > 1").hint("shuffle_hash"), same_row, "left_anti").select("__row.*")
+    once = own.join(told.hint("shuffle_hash"), same_row, "left_anti").select("row.*")
     twice = told.filter("stays and same > 1")
     if twice.isEmpty():
         return once
-    # Rows that equal one another in id and text: one of them stays.
-    ranked = own.join(twice, same_row).withColumn("rank", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("k1")))
-    return once.unionByName(ranked.filter("rank = 1").select("__row.*"))
+    # Rows that equal one another in id and text: the least by all their columns stays; one a task is left before the shuffle.
+    one = own.join(twice, same_row).groupBy("k1", "k2").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def op8_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -16,8 +16,10 @@ equal values can differ.
 Spelling is kept: spaces of an IBAN, months' short names, days and months without zeros. A date is permuted among the dates that
 its spelling can write, so equal dates stay equal in one spelling.
 
-Defined cases: a null text stays null; an empty text has nothing; where kinds overlap the leftmost, then the one listed first
-in KINDS wins; repeated rows give equal results; result columns replace input columns of the same name.
+A telephone number keeps its country's code and its spacing, and is permuted by its digits, so it is one value in every spacing.
+
+Defined cases: a null text stays null; an empty text has nothing; a very long text is searched whole; an empty table gives none; where kinds overlap the leftmost, then the one listed first
+in KINDS wins (ties); repeated rows give equal results; result columns replace input columns of the same name.
 
 Scale: one scan in the order of the input, no shuffle. Texts with neither a digit nor an @ are passed on without a look.
 """
@@ -70,6 +72,8 @@ CARD_LENGTHS = [(re.compile(a), frozenset(n)) for a, n in (("4", (13, 16, 19)),
 CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), *((n,) for n in range(13, 20))})
 #: The longest telephone numbers, without the country's code, where they are written in groups of two digits.
 PHONE_LENGTHS = {"7": 10, "31": 9, "32": 9, "33": 9, "34": 9, "41": 9, "45": 8, "46": 9, "47": 8, "48": 9, "90": 10, "225": 10, "380": 9}
+#: Country codes of two digits. 1 and 7 have one digit, all others three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30".split()}
 _IBAN = re.compile("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$")
 _IBAN_GROUP = re.compile("[A-Z0-9]+")
@@ -120,6 +124,11 @@ def _iban_check(country: str, body: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in body + country + '00')) % 97:02d}"
 
 
+def country_code(digits: str) -> str:
+    """The country's code that an international telephone number begins with, whatever its spacing."""
+    return digits[:1] if digits[:1] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
+
+
 def _is_card(digits: str) -> bool:
     return bool(ISSUERS.match(digits)) and luhn_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
 
@@ -181,6 +190,16 @@ class Pseudonyms:
             out.append(c)
         return "".join(reversed(out))
 
+    def _secret(self, value: str) -> str:
+        """Digits stay digits; letters keep their case, where they share one, and with it both cases of a value are linked."""
+        large, small = (any(c in letters for c in value) for letters in ("ABCDEF", "abcdef"))
+        tweak, alphabet = ("secret mixed", HEX + "ABCDEF") if large and small else ("secret", HEX) if large or small else ("secret digits", DIGITS)
+        new = value if large and small else value.lower()
+        while True:  # permuted once more where it would look like another sort, so that it can be turned back
+            new = self._letters(tweak, new, (alphabet,))
+            if (any(c in "abcdef" for c in new) or not (large or small)) and (any(c in "ABCDEF" for c in new) or not (large and small)):
+                return new.upper() if large and not small else new
+
     def _spaced(self, made: str, like: str) -> str:
         found = iter(made)
         return "".join(next(found) if c.isalnum() else c for c in like)
@@ -209,8 +228,7 @@ class Pseudonyms:
             name, _, last = value.rpartition(".")
             return f"{self._letters('email', name)}.{last}"
         if kind == "secret":
-            new = self._letters("secret", value.lower(), (HEX,))
-            return new.upper() if value.upper() == value else new
+            return self._secret(value)
         if kind == "iban":
             plain = value.replace(" ", "")
             country, body = plain[:2], plain[4:]
@@ -235,8 +253,7 @@ class Pseudonyms:
                 if len(set(digits)) > 1:
                     return self._spaced(digits, value)
         if kind == "phone":
-            country = re.match(r"\+([1-9][0-9]{0,2}?)(?=[ .(-]|[0-9]{7,12}$)", value)
-            code = country[1] if country else ""
+            code = country_code(digits) if value[0] == "+" else ""
             if "(0)" in value:
                 code += "0"
             elif re.fullmatch("0[1-9](?:[ .-][0-9]{2}){4}", value):
@@ -322,8 +339,8 @@ class Pseudonyms:
     def phones(self, text: str, begin: int, end: int) -> list[tuple[int, int, str]]:
         """(begin, end, pseudonym); groups of two digits beyond a country's longest number are not of it."""
         value = text[begin:end]
-        country = re.match(r"\+([1-9][0-9]{0,2}?)[ .(-]", value)
-        while country and len(re.sub(r"\(0\)|[^0-9]", "", value[country.end(1) :])) > PHONE_LENGTHS.get(country[1], 15) and value[-3] in " .-":
+        code = country_code(re.sub("[^0-9]", "", value)) if value[0] == "+" else ""
+        while code and len(re.sub(r"\(0\)|[^0-9]", "", value)) - len(code) > PHONE_LENGTHS.get(code, 15) and value[-3] in " .-":
             value = value[:-3]
         new = self._known("phone", value)
         return [(begin, begin + len(value), new)] if new else []
@@ -369,7 +386,7 @@ _DIGIT_OR_AT = re.compile("[0-9@]")
 def pseudonymise(docs: DataFrame, *, key: bytes = DEMO_KEY, text: str = "text", back: bool = False, report: bool = True) -> DataFrame:
     """docs with the text's values replaced; with report also n_found and kinds (names and counts, sorted)."""
     keep = C.others(docs, [text, *(MADE if report else [])])
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).toDF(*[f"c{k}" for k in range(len(keep))], "__text")
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__text", T.StringType()), T.StructField("__n_found", T.LongType()), T.StructField("__kinds", T.MapType(T.StringType(), T.LongType()))])
 
     def step(batches):
@@ -385,7 +402,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = DEMO_KEY, text: str = "text",
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(kinds, pa.map_(pa.string(), pa.int64()))], names=schema.names)
 
     found = source.mapInArrow(step, schema)
-    columns = [(F.col("__text") if c == text else F.col(f"`{c}`")).alias(c) for c in docs.columns if c == text or c in keep]
+    columns = [F.col("__text" if c == text else f"c{keep.index(c)}").alias(c) for c in docs.columns if c == text or c in keep]
     return found.select(*columns, *([F.col(f"__{m}").alias(m) for m in MADE] if report else []))
 
 

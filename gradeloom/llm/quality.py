@@ -6,11 +6,13 @@ the gain of a small tree on what the single features leave over, and boosted in
 cells that vectorised binning selects.
 
 Features come from the whole text alone: byte shares, words, lines, repeats. Labels are learned from at most `max_rows`
-labelled documents (the smallest by a hash of the id), so the sample's text goes through the executors and only its feature
-rows, bounded by max_rows x n_features, reach the driver. All documents are scored in one scan without a shuffle.
+labelled ids (the smallest by a hash) and of their documents at most `max_rows` different ones (again by a hash), so the sample's
+text goes through the executors and only its feature rows, bounded by max_rows x n_features, reach the driver. All documents are scored in one scan without a shuffle.
 
-Defined cases: a null text is an empty text, and an empty text is scored as any other; labels that are null are not learned
-from; with no labels, or labels of one kind, the score is the smoothed share of ones; repeated rows are each scored.
+Defined cases: a null text is an empty text, and an empty text is scored as any other; a very long text is one step of its own;
+labels that are null are not learned from, and an id of two different labels is learned from with both; with no labels, or labels of one kind, the
+score is the smoothed share of ones; an empty table gives none; repeated rows are each scored, and learned from once; of cuts
+that gain the same (ties) the first is taken; columns of other names pass through, a column named score is replaced.
 """
 
 from __future__ import annotations
@@ -182,15 +184,17 @@ class Gam:
 
 def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality", max_rows: int = MAX_ROWS) -> Gam:
     """Learns from labelled rows that are not held out; at most max_rows ids, the same ones in every run."""
-    chosen = labels.select(F.col(doc_id).alias("__id"), F.col(label).cast("double").alias("__y")).filter(F.col("__y").isNotNull() & F.col("__id").isNotNull() & (C.bucket_of_id("__id") != 0))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__id").select("__y", "__text")
+    known = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{label}`").cast("double").alias("y")).filter(F.col("y").isNotNull() & F.col("id").isNotNull() & (C.bucket_of_id("id") != 0))
+    known = known.withColumn("y", (F.col("y") > 0).cast("double")).withColumn("h", F.xxhash64("id"))
+    chosen = known.join(F.broadcast(C.least(known.select("h"), max_rows)), "h", "left_semi").select(F.col("id").alias("of"), "y").distinct()
+    rows = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of")).select("y", F.xxhash64("id", "text", "y").alias("h"), "text")
 
     def step(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(features(b.column(1))), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(features(b.column(2))), pa.list_(pa.float64()))], names=["y", "h", "x"])
 
-    found = rows.mapInArrow(step, "y double, x array<double>").toPandas()
+    found = C.stage(rows.mapInArrow(step, "y double, h long, x array<double>"), "quality-rows")
+    found = found.join(F.broadcast(C.least(found.select("h"), max_rows)), "h", "left_semi").groupBy("h").agg(F.first("y").alias("y"), F.first("x").alias("x")).toPandas()
     x = np.stack(found["x"].to_list()) if len(found) else np.zeros((0, len(FEATURES)))
     y = (found["y"].to_numpy() > 0).astype(np.float64)
     order = np.lexsort((*x.T[::-1], y)) if len(y) else []
@@ -200,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
 def score(docs: DataFrame, model: Gam, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those of `keep`) with score."""
     keep = C.others(docs, ["score"]) if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text")).toDF(*[f"c{k}" for k in range(len(keep))], "text")
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -209,14 +213,14 @@ def score(docs: DataFrame, model: Gam, *, text: str = "text", keep: list[str] |
             names = [f.name for f in b.schema][:-1]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held.value.score(features(b.column(len(names)))))], names=[*names, "score"])
 
-    return source.mapInArrow(step, schema)
+    return source.mapInArrow(step, schema).toDF(*keep, "score")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", **options) -> DataFrame:
     """The documents that score at least the threshold; docs' columns as they are."""
     model = train(docs, labels, text=text, **options)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text).alias("text"))
-    return score(own, model, keep=["__row"]).filter(F.col("score") >= threshold).select("__row.*")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    return score(own, model, keep=["row"]).filter(F.col("score") >= threshold).select("row.*")
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:

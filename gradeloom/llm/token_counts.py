@@ -11,7 +11,7 @@ scores are whole numbers. Sums are therefore exact, so texts may be cut wherever
 counted, are remembered. Tests hold the counts against the `tokenizers` library's Unigram model of the same vocabulary.
 
 Defined cases: a null or empty text has no tokens; texts of any length and script are counted in full; a word that no piece
-divides is one word, at a cost in proportion to its length; repeated rows each get their count; `n_tokens` replaces an input
+divides is one word, at a cost in proportion to its length; ties are as above; an empty table gives none; repeated rows each get their count; `n_tokens` replaces an input
 column of that name.
 
 Scale: one scan, no shuffle; the vocabulary, of a fixed size, is broadcast, and a worker remembers at most CACHED words.
@@ -116,7 +116,7 @@ class Counter(dict):
 def count_tokens(docs: DataFrame, *, text: str = "text", path: str = MODEL_FILE, keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or those of `keep`) with n_tokens."""
     keep = C.others(docs, ["n_tokens"]) if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text"))
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text")).toDF(*[f"c{k}" for k in range(len(keep))], "text")
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("n_tokens", T.LongType())])
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
@@ -128,7 +128,7 @@ def count_tokens(docs: DataFrame, *, text: str = "text", path: str = MODEL_FILE,
                 counts += [counter.count(t) for t in b.column(b.num_columns - 1).slice(lo, 500).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(counts, pa.int64())], names=schema.names)
 
-    return source.mapInArrow(step, schema)
+    return source.mapInArrow(step, schema).toDF(*keep, "n_tokens")
 
 
 def op4_token_counts(spark, sf_dir: str) -> DataFrame:

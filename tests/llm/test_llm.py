@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -58,7 +60,7 @@ def none(spark):
 
 def clash(docs):
     """docs with further columns whose names are those that operators make."""
-    made = ["size", "copies", "taken", "class_id", "n_links", "n_words", "hits", "items", "score", "lang_pred", "spans", "n_tokens", "fingerprint", "n_found", "kinds", "n_bytes", "n_removed", "removed", "kept", "Text2", "row", "k1", "k2", "bucket"]
+    made = ["size", "copies", "taken", "class_id", "n_links", "n_words", "hits", "items", "score", "lang_pred", "spans", "n_tokens", "fingerprint", "n_found", "kinds", "n_bytes", "n_removed", "removed", "kept", "Text2", "row", "k1", "k2", "bucket", "copy", "nth", "part", "h1", "cid", "bands", "c0", "c1", "__text", "__row", "__body", "__k1", "__n_found", "__kinds", "__copy", "__s1"]
     return docs.withColumns({m: F.lit(f"own {m}") for m in made})
 
 
@@ -126,16 +128,52 @@ def test_mixing(docs, none, spark):
         assert r.source_size == size[r.source] and r.target == pytest.approx(goal[r.source]) and 0 <= r.copies <= 3
         taken[r.source] += r.size * r.copies
     for s in size:
-        assert abs(goal[s] - taken[s]) <= (15_000 if size[s] > 30_000 else 20), s
+        # The long text is 30,000 words; else nearly every sum can be met.
+        assert abs(goal[s] - taken[s]) <= (15_000 if size[s] > 30_000 else max(3, 0.002 * goal[s])), s
     again = mixing.plan_mix(docs.repartition(5)).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
     mixed = mixing.mix(clash(docs), copy_column="copy")
-    assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == [*clash(docs).columns, "copy"]
+    assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == [*[c for c in clash(docs).columns if c != "copy"], "copy"]
     assert mixing.plan_mix(none).count() == 0 and mixing.mix(none).count() == 0
     one = spark.createDataFrame([(1, "a b", "en", "s", 3)], DOCS)
     assert [(r.target, r.copies) for r in mixing.plan_mix(one).collect()] == [(2.0, 1)]
 
 
+def mixed_words(spark, rows, columns=DOCS):
+    """Words of each source, and copies of each row, as planned and as mixed; twice, the second time in other partitions."""
+    out = []
+    for table in (spark.createDataFrame(rows, columns), spark.createDataFrame(rows, columns).repartition(5)):
+        plan = mixing.plan_mix(table).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
+        mixed = mixing.mix(table, copy_column="copy")
+        got = mixed.groupBy("source").agg(F.sum(mixing.n_tokens(F.col("text"))).alias("n")).collect()
+        out.append(({r.source: r.n for r in plan if r.n}, {r.source: r.n for r in got}, sorted(map(repr, mixed.drop("copy").collect()))))
+    return out
+
+
+def test_mix_is_the_plan(spark):
+    rng = random.Random(8)
+    texts = [words(rng, rng.randint(1, 9)) for _ in range(12)]
+    both = [(k % 40, texts[k % 12], None, s, k) for k in range(120) for s in ("a", "b")]  # one id and text in two sources
+    null = [(None, texts[0], None, "c", 0)] * 70 + [(None, texts[1], None, "a", 0)] * 9 + [(7, None, None, None, None)] * 3
+    for rows in (both, null, both + null, [(None, "x y", None, "a", 0)] * 50 + [(k, "z " * 90, None, "b", 0) for k in range(9)]):
+        first, second = mixed_words(spark, rows)
+        assert first[0] == first[1] and first == second
+    # Of rows that differ in a further column alone, the same are taken in every run.
+    more = [(1, "one two", None, "a", 0, f"m{k}") for k in range(30)] + [(2, "w " * 200, None, "b", 0, "m")]
+    first, second = mixed_words(spark, more, DOCS + ", more string")
+    assert first == second and first[0] == first[1]
+
+
+def test_mixing_targets(spark):
+    rng = random.Random(11)
+    for n in (1, 2, 7, 60):
+        size = {f"s{k:03d}" if k else None: rng.choice([0, 1, 10, 1000, 10**6]) + rng.randrange(5) for k in range(n)}
+        table = spark.createDataFrame(list(size.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(table).collect()}
+        goal = water_level(size, mixing.WEIGHTS)
+        assert got.keys() == goal.keys() and all(got[s] == pytest.approx(goal[s]) for s in goal)
+
+
 # --- 2
 
 
@@ -162,6 +200,53 @@ def test_language(spark, docs, none):
     assert wide.count() == len(ROWS) and wide.columns.count("score") == 1
 
 
+def test_language_training_is_bounded(spark, monkeypatch):
+    rows = [(k % 30, f"{'ab' if k % 2 else 'xy'} word{k % 30}", "en" if k % 2 else "de", None, 0) for k in range(900)]
+    table = spark.createDataFrame(rows, DOCS)
+    once = language.train(table.distinct(), max_docs=5)
+    assert np.array_equal(once.odds, language.train(table, max_docs=5).odds)
+    monkeypatch.setattr(language, "MAX_LANGS", 1)
+    with pytest.raises(ValueError):
+        language.train(table)
+
+
+def test_language_by_hand():
+    """Word scores, the labels of the best path and the share of letters, each worked out word by word."""
+    rng = np.random.default_rng(4)
+    counts = rng.integers(0, 40, (3, language.BUCKETS)).astype(float)
+    scripts = np.ones((3, len(language.SCRIPTS) + 1))
+    scripts[0, 3] = 0  # the first language has no Cyrillic
+    model = language.Model(["a", "b", "c"], counts, scripts, np.array([3.0, 1.0, 1.0]), 2.0)
+    share = (counts + language.SMOOTHING) / (counts.sum(axis=1, keepdims=True) + language.SMOOTHING * language.BUCKETS)
+    odds = np.log(share / share.mean(axis=0))
+    texts = ["Some words, the other ones; привет мир", "one", "12 !", "мир", "longer letters and more of it " * 7]
+    got, shares, _ = model.predict(texts)
+    mix = lambda x: int(C.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    for text, lang, score in zip(texts, got, shares, strict=True):
+        found = ["".join(g) for ok, g in itertools.groupby(text.lower(), str.isalpha) if ok]
+        if not found:
+            assert (lang, score) == ("und", 0)
+            continue
+        rows = []
+        for w in found:
+            p = [0, *map(ord, w), 0]
+            keys = [mix((p[i - 1] * 0x110000 + p[i]) * 0x110000 + p[i + 1]) for i in range(1, len(p) - 1)]
+            if len(w) <= 6:
+                h = 0
+                for c in w:
+                    h = mix(h + ord(c) + 0x51)
+                keys.append(h)
+            if len(w) >= 4:
+                keys.append(mix(((p[-2] * 0x110000 + p[-3]) * 0x110000 + p[-4]) ^ 0xABCDEF0123))
+            s = odds[:, [k % language.BUCKETS for k in keys]].sum(axis=1)
+            rows.append(np.where([not (j == 0 and "а" <= w[0] <= "я") for j in range(3)], s, language.RULED_OUT))
+        labels = brute_viterbi(np.array(rows), 2.0)
+        letters = [sum(len(w) for w, x in zip(found, labels, strict=True) if x == j) for j in range(3)]
+        best = letters.index(max(letters))
+        sure = sum(len(w) / np.exp(np.clip(r - r.max(), -50, 0)).sum() for w, x, r in zip(found, labels, rows, strict=True) if x == best)
+        assert lang == "abc"[best] and score == pytest.approx((letters[best] + sure) / 2 / sum(letters), abs=1e-4)
+
+
 def brute_viterbi(scores, penalty):
     best, back = scores[0].copy(), []
     for s in scores[1:]:
@@ -213,7 +298,51 @@ def test_suffix_dedup(docs, most):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.removed) == r.n_spans for r in got)
 
 
+def test_suffix_dedup_of_a_wide_bucket(spark):
+    """Many extents of one anchor, of which some share strings: split into buckets that fit, at several levels, and sorted."""
+    rng = random.Random(12)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    texts = []
+    for k in range(90):
+        left, right = ("".join(rng.choice("abcdefgh ") for _ in range(160)) for _ in range(2))
+        texts.append(left + line + right)
+        if k % 3 == 0:
+            texts.append(left[40:] + line + right[:150] + str(k))
+            texts.append("x" * rng.randint(0, 9) + left[90:] + line + right[:110] + str(k))
+    want = [sum(f) for f in brute_spans([t.encode() for t in texts], 200)]
+    table = spark.createDataFrame([(k, t, None, None, 0) for k, t in enumerate(texts)], DOCS)
+    for most in (4096, 20, 3):
+        got = suffix_dedup.dedup(table, keep=["doc_id"], outputs=False, max_extents=most).orderBy("doc_id").collect()
+        assert [r.n_removed for r in got] == want and 0 < sum(x > 0 for x in want) < len(want)
+
+
+def test_suffix_dedup_of_equal_rows(spark, monkeypatch):
+    """Equal rows stage the extents of one of them, and lose what each of them loses."""
+    rng = random.Random(13)
+    text = words(rng, 120, 10**6)
+    near = text[:400] + "zz" + text[400:]
+    staged = {}
+
+    def stage(df, name):
+        out = write(df, name)
+        staged[name] = out.count()
+        return out
+
+    write = C.stage
+    monkeypatch.setattr(C, "stage", stage)
+    found = {}
+    for ids in (lambda k: None, lambda k: k):
+        table = spark.createDataFrame([(ids(k), text, None, None, 0) for k in range(300)] + [(1000, near, None, None, 0)], DOCS)
+        got = suffix_dedup.dedup(table, keep=["doc_id"], outputs=False).collect()
+        found[staged["suffix-extents"]] = sorted((r.n_removed, r.n_spans, r.kept_sha256) for r in got)
+    want = sorted(sum(f) for f in brute_spans([text.encode()] * 300 + [near.encode()], 200))
+    assert all([x[0] for x in f] == want for f in found.values()) and len(found) == 1 and max(found) < 12
+
+
 def test_suffix_dedup_cases(none, docs):
+    for options in ({"length": 16}, {"length": 2000}, {"anchor": 24}, {"anchor": 128}):
+        with pytest.raises(ValueError):
+            suffix_dedup.dedup(none, **options)
     assert suffix_dedup.dedup(none).count() == 0
     assert suffix_dedup.dedup(clash(docs), outputs=False).count() == len(ROWS)
     cover = suffix_dedup.difference_cover(32)
@@ -303,6 +432,31 @@ def test_html_known_pages():
     assert isinstance(model.text("<<>&#x;</p></div><b><td>x" * 50), str)
 
 
+def test_html_is_linear():
+    for page in ("<div>" * 16_000 + "<li>x" * 16_000, "<b>" * 16_000 + "</i>" * 16_000, "<annotation>" * 80_000, "<a>" * 50_000 + "<p>" * 50_000, "<td>x<p>" * 40_000):
+        page = page * max(1, 1_000_000 // len(page) // 2)
+        began = time.process_time()
+        nodes, _ = html_text.parse(page)
+        assert time.process_time() - began < 10, page[:12]
+        assert len(nodes) >= 1
+
+
+def test_html_training_is_bounded(spark):
+    page, _ = html_text.generated(4)
+    marked = [f"<html><body><nav><a href='/'>x</a></nav><article><h1>T{k}</h1><p>Some words of the matter, number {k}.</p></article></body></html>" for k in range(40)]
+    rows = [(k, "u", p) for k, p in enumerate(marked * 20)] + [(9999, "u", "<article>" + "long " * 90_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    model = html_text.train(pages, max_pages=10, n_generated=30)
+    once = html_text.train(pages.dropDuplicates(["html"]).repartition(3), max_pages=10, n_generated=30)
+    assert np.allclose(model.numeric, once.numeric) and model.named.keys() == once.named.keys()
+    # Repeated rows, null pages and clashing columns: each row its own result.
+    table = clash(spark.createDataFrame([(1, "u", marked[0]), (1, "u", marked[0]), (None, None, None), (2, "v", page * 40)], "page_id long, url string, html string"))
+    got = html_text.extract(table, model)
+    assert got.columns == [*table.columns, "text", "n_chars"] and got.count() == 4
+    assert got.filter("page_id = 1").select("text").distinct().count() == 1
+    assert all(r.text == model.text(r.html) and r.n_chars == len(r.text) for r in got.collect())
+
+
 def test_html_math_and_embedded():
     def said(page):
         return [x for _, x in html_text.parse(page)[1]]
@@ -392,6 +546,41 @@ def test_fingerprint(spark, docs, none):
     assert fingerprint.fingerprint(clash(docs)).count() == len(ROWS)
 
 
+def test_fingerprint_by_hand():
+    """Bins, densification and packing against the same worked out shingle by shingle."""
+    import pyarrow as pa
+
+    bins, bits = 16, 4
+    mix = lambda x: int(C.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+    for text in ("a b c d e f g", "one two", "", " ".join(f"w{k}" for k in range(400)), "x y z é ü " * 9, "word " * 50):
+        data = np.frombuffer(text.encode(), np.uint8)
+        hashes, _ = C.shingles(C.LOWER[data], np.array([0, len(data)]), 5)
+        least = [None] * bins
+        for h in map(int, hashes):
+            b, v = h >> 60, h << 4 & (2**64 - 1)
+            least[b] = v if least[b] is None else min(least[b], v)
+        full = list(least)
+        if any(v is not None for v in least):
+            for b in range(bins):
+                turn = 0
+                while full[b] is None:
+                    turn += 1
+                    full[b] = least[mix(b * 0x9E3779B97F4A7C15 + turn) % bins]
+            want = "".join(f"{mix(v ^ mix(b + 1)) & 15:x}" for b, v in enumerate(full))
+        else:
+            want = ""
+        assert fingerprint.as_text(*fingerprint.packed(pa.array([text]), bins=bins, bits=bits), bits) == [want]
+    with pytest.raises(ValueError):
+        fingerprint.packed(pa.array(["a"]), bins=500)
+
+
+def test_fingerprints_of_equal_rows(spark):
+    table = spark.createDataFrame([(None, "a b c d e f g h", None, None, 0)] * 60 + [(1, "q r s", None, None, 0), (2, None, None, None, None)], DOCS).repartition(6)
+    got = fingerprint.compare(table).collect()
+    assert len(got) == 62 and sum(r.near_next == 1 for r in got) >= 59
+    assert {r.near_next for r in got if r.doc_id == 2} == {0.0}
+
+
 def test_fingerprint_is_unbiased():
     import pyarrow as pa
 
@@ -467,6 +656,45 @@ def brute_links(rows, threshold=0.8):
     return links, [root(i) for i in range(len(rows))]
 
 
+def test_near_dups_in_blocks(spark):
+    """A large group of near copies whose links do not all hold, as one block and as many; texts of very different lengths."""
+    rng = random.Random(21)
+    base = words(rng, 150, 10**6).split()
+    texts = []
+    for k in range(80):
+        copy = base[: rng.choice([150, 150, 140, 125])]
+        for _ in range(rng.choice([0, 1, 2, 4])):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy))
+    texts += texts[:5] + [words(rng, 100, 10**6) for _ in range(20)]
+    rows = [(k, t, None, None, 0) for k, t in enumerate(texts)]
+    links, root = brute_links(rows)
+    least = collections.defaultdict(list)
+    for k in range(len(rows)):
+        least[root[k]].append(k)
+    want = {(k, min(least[root[k]]), links[k]) for k in range(len(rows))}
+    table = spark.createDataFrame(rows, DOCS)
+    for options in ({}, {"block": 4, "many": 3, "most": 30}, {"block_grams": 600}):
+        got = {tuple(r) for r in near_dups.join(table, **options).collect()}
+        assert sum(r[1] for r in want) == sum(r[1] for r in got)
+        # Pairs just at the threshold share no band once in ten thousand.
+        assert len(got ^ want) <= 4, options
+    assert len(set(links)) > 10
+
+
+def test_near_dups_recall(spark):
+    """Pairs at the threshold are found with the recall that bands and rows were chosen for."""
+    rng = random.Random(22)
+    rows = []
+    for k in range(400):
+        a = words(rng, 104, 10**7).split()
+        at = rng.randrange(15, 85)
+        rows += [(2 * k, " ".join(a), None, None, 0), (2 * k + 1, " ".join([*a[:at], "y", a[at + 1], a[at + 2], a[at + 3], "z", *a[at + 5 :]]), None, None, 0)]
+    rate = jaccard(tokens(rows[0][1]), tokens(rows[1][1]))
+    got = near_dups.join(spark.createDataFrame(rows, DOCS)).filter("n_links = 1").count()
+    assert 0.8 <= rate < 0.84 and got >= 0.99 * len(rows)
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_near_dups(docs, block):
     links, root = brute_links(ROWS)
@@ -475,7 +703,7 @@ def test_near_dups(docs, block):
         if r[0] is not None:
             least[root[k]].append(r[0])
     want = collections.Counter((r[0], min(least[root[k]], default=None), links[k]) for k, r in enumerate(ROWS))
-    got = near_dups.join(docs, block=block).collect()
+    got = near_dups.join(docs, block=block, many=4, most=2 * block).collect()
     assert collections.Counter(map(tuple, got)) == want
     assert sum(n > 3 for n in links) > 5
 
@@ -486,8 +714,8 @@ def test_near_dups_keep_one(docs, none):
     kept = near_dups.keep_one(clash(docs))
     assert kept.columns == clash(docs).columns and kept.count() == len(set(root) | set(empty))
     assert near_dups.keep_one(none).count() == 0 and near_dups.join(none).count() == 0
-    bands, rows = near_dups.choose_bands(0.8, 0.999)
-    assert 1 - (1 - 0.8**rows) ** bands >= 0.999 and bands * rows <= near_dups.MAX_HASHES
+    bands, rows = near_dups.choose_bands(0.8, near_dups.RECALL)
+    assert 1 - (1 - 0.8**rows) ** bands >= near_dups.RECALL and bands * rows <= near_dups.MAX_HASHES
 
 
 def test_components(spark):
@@ -585,6 +813,69 @@ def test_permutation(n):
     assert sorted(p(x) for x in range(n)) == list(range(n)) and all(p(p(x), True) == x for x in range(n))
 
 
+def brute_find(text):
+    """An independent finder of plainly written values: every substring between borders is tried against what a kind asks for."""
+    found = set()
+    for m in re.finditer(r"\S+", text):
+        x = m[0].strip(",;()")
+        if re.fullmatch(r"[\w.+-]+@[\w-]+(\.[\w-]+)*\.[a-z]{2,}", x):
+            found.add(("email", x))
+        if x.count(".") == 3 and all(p.isdigit() and str(int(p)) == p and int(p) < 256 for p in x.split(".")):
+            found.add(("ip", x))
+        if x.isdigit() and len(x) == 16 and x[0] == "4" and sum(int(d) if k % 2 else sum(divmod(2 * int(d), 10)) for k, d in enumerate(x)) % 10 == 0:
+            found.add(("card", x))
+        if x[:2].isalpha() and x[:2].isupper() and len(x) == 22 and x[:2] == "DE" and int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1:
+            found.add(("iban", x))
+        try:
+            if len(x) == 10 and x[4] == x[7] == "-" and 1900 <= pii.datetime.date.fromisoformat(x).year < 2100:
+                found.add(("day", x))
+        except ValueError:
+            pass
+    return found
+
+
+def test_pii_against_another_finder():
+    rng, names, back = random.Random(31), pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = [
+        lambda: f"{rng.choice(['ann', 'b.c', 'x_y'])}{digits(2)}@mail{digits(1)}.example.org", lambda: ".".join(str(rng.randrange(300)) for _ in range(4)),
+        lambda: "4" + digits(15), lambda: (b := "4" + digits(14)) + pii.luhn_digit(b), lambda: "DE" + pii._iban_check("DE", b := digits(18)) + b, lambda: "DE" + digits(20),
+        lambda: f"{rng.randint(1880, 2110)}-{rng.randint(1, 13):02d}-{rng.randint(1, 31):02d}", lambda: rng.choice(["word", "3.5", "version", "of", "x@y", "é"]),
+    ]
+    seen = 0
+    for _ in range(400):
+        text = " and ".join(rng.choice(makers)() for _ in range(rng.randint(1, 8)))
+        out, found = names.apply(text)
+        plain = {(k, text[b:e]) for b, e, k, _ in found if k != "phone"}
+        assert plain == brute_find(text), text
+        assert back.apply(out)[0] == text
+        seen += len(plain)
+    assert seen > 400
+
+
+def test_telephones_and_secrets_are_linked():
+    names, back, rng = pii.Pseudonyms(b"k"), pii.Pseudonyms(b"k", back=True), random.Random(32)
+    for code in ("49", "1", "7", "33", "351", "972"):
+        for _ in range(20):
+            number = "".join(rng.choice("123456789") for _ in range(10 if len(code) == 1 else 9))
+            forms = [f"+{code}{number}", f"+{code} {number[:3]} {number[3:6]}{number[6:]}", f"+{code}-{number[:3]}-{number[3:6]}-{number[6:]}"]
+            new = {re.sub("[^0-9]", "", names.apply(x)[0]) for x in forms}
+            assert len(new) == 1 and new.pop().startswith(code) and all(back.apply(names.apply(x)[0])[0] == x for x in forms)
+    for alphabet in ("0123456789abcdef", "0123456789ABCDEF", "0123456789abcdefABCDEF", "0123456789"):
+        for _ in range(40):
+            text = "token=" + "".join(rng.choice(alphabet) for _ in range(rng.randint(32, 64)))
+            out, found = names.apply(text)
+            assert len(found) == 1 and out != text and set(out[6:]) <= set(alphabet) and back.apply(out)[0] == text
+    a, b = (names.apply(f"key: {x}")[0][5:] for x in ("abcdef0123456789" * 2, "ABCDEF0123456789" * 2))
+    assert a.upper() == b
+
+
+def test_pii_of_a_long_text(spark):
+    text = "some words, and more of them. " * 40_000 + "a.b@example.com" + " 12 words" * 20_000
+    got = pii.pseudonymise(spark.createDataFrame([(1, text, None, None, 0), (2, "", None, None, 0)], DOCS)).orderBy("doc_id").collect()
+    assert got[0].n_found == 1 and len(got[0].text) == len(text) and got[1].text == "" and got[1].n_found == 0
+
+
 def test_pii_table(spark, docs, none):
     rows = [(1, PRIVATE, None, None, 0), (2, None, None, None, None), (3, "clean", None, None, 5), (4, f"again {PRIVATE[5:22]}", None, None, 0)]
     table = spark.createDataFrame(rows, DOCS)
@@ -632,3 +923,51 @@ def test_gam_learns_pairs():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(float)
     model = quality.Gam(rounds=20, pair_rounds=60, n_pairs=2).fit(x[:2000], y[:2000])
     assert ((model.score(x[2000:]) > 0.5) == (y[2000:] > 0.5)).mean() > 0.9
+
+
+def brute_score(model, x):
+    """A score cell by cell."""
+    raw = model.intercept
+    for k, v in enumerate(x):
+        raw += model.tables[k][sum(1 for e in model.edges[k] if e <= v)]
+    for i, j, table in model.pairs:
+        raw += table[sum(1 for e in model.coarse[i] if e <= x[i]), sum(1 for e in model.coarse[j] if e <= x[j])]
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_gam_by_hand():
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(0, 1, (400, 4)), 1)
+    y = (x[:, 0] * x[:, 1] + x[:, 2] > 0).astype(float)
+    model = quality.Gam(rounds=10, pair_rounds=10, n_pairs=3).fit(x, y)
+    assert len(model.pairs) == 3 and model.score(x[:60]) == pytest.approx([brute_score(model, r) for r in x[:60]])
+    # A tree of two leaves has the cut of the largest gain.
+    g, h = rng.normal(0, 1, 9), rng.uniform(3, 5, 9)
+    gain = lambda a: a[0].sum() ** 2 / (a[1].sum() + 2.0)
+    best = max(range(1, 9), key=lambda k: gain((g[:k], h[:k])) + gain((g[k:], h[k:])))
+    want = np.concatenate([np.full(best, g[:best].sum() / (h[:best].sum() + 2.0)), np.full(9 - best, g[best:].sum() / (h[best:].sum() + 2.0))])
+    assert quality._tree(g, h, 2, 2.0, 2.0) == pytest.approx(want)
+
+
+def test_quality_training_is_bounded(spark, monkeypatch):
+    rows = [(1, f"text number {k}", None, None, 0) for k in range(900)] + [(k, "words " * (k % 7 + 1), None, None, 0) for k in range(2, 60)] * 3
+    labels = [(1, 1)] * 40 + [(k, k % 2) for k in range(2, 60)]
+    table, marks = spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int")
+    seen = []
+
+    class Told(quality.Gam):
+        def fit(self, x, y):
+            seen.append((len(x), float(x.sum()), float(y.sum())))
+            return super().fit(x, y)
+
+    monkeypatch.setattr(quality, "Gam", Told)
+    quality.train(table, marks, max_rows=5)
+    quality.train(table.repartition(7), marks.repartition(3), max_rows=5)
+    assert seen[0][0] <= 5 and seen[0] == pytest.approx(seen[1])
+
+
+def test_quality_of_a_long_text(spark):
+    table, labels, _ = labelled(spark, 100)
+    long = table.unionByName(spark.createDataFrame([(10_001, "words of a long text. " * 80_000, None, None, 0)], DOCS))
+    model = quality.train(long, labels.unionByName(spark.createDataFrame([(10_001, 1)], "doc_id long, quality int")))
+    assert quality.score(long, model).filter("doc_id = 10001 and score between 0 and 1").count() == 1
