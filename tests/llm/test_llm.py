@@ -635,6 +635,22 @@ def test_decontaminate(spark, docs, most):
     assert decontaminate.scan(docs, table.limit(0)).filter("size(hits) > 0").count() == 0
 
 
+def test_decontaminate_in_many_blocks(spark):
+    """A benchmark of many blocks gives what one block gives, clashing columns included."""
+    rng = random.Random(41)
+    items = [words(rng, rng.randint(3, 120), 3000) for _ in range(150)]
+    rows = []
+    for k in range(300):
+        item = rng.choice(items).split()
+        at = rng.randrange(len(item))
+        rows.append((k, " ".join([words(rng, 40, 3000), *item[at : at + rng.randint(1, 40)], words(rng, 30, 3000)]), "en", "s", 0))
+    docs = clash(spark.createDataFrame(rows, DOCS))
+    table = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    one, many = (decontaminate.scan(docs, table, max_windows=most).orderBy("doc_id").collect() for most in (200_000, 900))
+    assert one == many and 20 < sum(bool(r.hits) for r in one) < 300
+    assert set(decontaminate.scan(docs, table).columns) == {*docs.columns, *decontaminate.MADE}
+
+
 # --- 8
 
 

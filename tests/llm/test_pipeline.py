@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gradeloom.llm import _common as C
-from gradeloom.llm import decontaminate, pii
-from tests.llm.test_llm import DOCS, brute_links, labelled, words
+from gradeloom.llm import decontaminate, mixing, pii
+from tests.llm.test_llm import DOCS, brute_links, clash, labelled, words
 
 
 @pytest.fixture(scope="module")
@@ -64,6 +64,29 @@ def test_stages(spark, folder, tmp_path):
     assert decontaminate.scan(whole, spark.read.parquet(f"{folder}/benchmark.parquet")).filter("size(hits) > 0").count() == 0
 
 
+def test_clashing_columns_and_repeated_rows(spark, folder, tmp_path):
+    """Further columns of whatever name pass through; one id in two sources, repeated rows and null ids are treated as what they are."""
+    rng = random.Random(10)
+    two = words(rng, 80, 5000)
+    rows = [(2000, two, "en", "s", 0), (2000, two, "en", "t", 0)] + [(None, words(rng, 70, 5000), "en", "t", 0)] * 5 + [(None, None, None, None, None)] * 3 + [(2001, "", "en", "s", 0)] * 2
+    docs = clash(spark.read.parquet(f"{folder}/documents.parquet").unionByName(spark.createDataFrame(rows, DOCS)))
+    before = docs
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, before, folder).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        assert set(after.columns) == set(docs.columns) and (k == 4 or after.columns == docs.columns), name
+        if name == "quality":
+            assert after.filter("doc_id = 2000").count() == 2 and after.filter("doc_id is null and text is not null").count() == 5
+        if name == "near_duplicates":
+            assert after.filter("doc_id = 2000").count() == 1 and after.filter("doc_id is null and text is not null").count() == 1
+        if name == "mixing":
+            plan = mixing.plan_mix(before).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("n")).collect()
+            got = after.groupBy("source").agg(F.sum(mixing.n_tokens(F.col("text"))).alias("n")).collect()
+            assert {r.source: r.n for r in plan if r.n} == {r.source: r.n for r in got}
+            assert after.schema["copy"].dataType.simpleString() == "int" and after.filter("bucket = 'own bucket'").count() == after.count()
+        before = after
+
+
 def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
