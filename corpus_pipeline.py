@@ -6,9 +6,10 @@
 4. PII: values become pseudonyms in the text, and n_chars follows it where there is such a column.
 5. mixing: each document as often as the mix takes it, numbered by `copy`.
 
-All but the last return the columns of documents. Empty tables, nulls, repeated rows and further columns pass through as the
-operators' docstrings say. SQL can express neither the classifier nor the permutations, so ORACLE_SQL is None, and the tests
-hold each stage and the whole against brute-force versions.
+All but the last return the columns of documents, further ones of whatever name included; the last adds `copy`, which replaces a
+column of that name. Empty tables, nulls, very long texts, ties and repeated rows are treated as the operators' docstrings say:
+equal rows are near copies of one another, so one of them stays. SQL can express neither the classifier nor the permutations, so
+ORACLE_SQL is None, and the tests hold each stage and the whole against brute-force versions.
 """
 
 from __future__ import annotations

@@ -112,17 +112,23 @@ def defines(relation: Column) -> Column:
 def assignments(text: Column) -> Column:
     """All `name = number` of a text: struct<name (lower case), value> (F27 in one pass)."""
     pattern = r"(?i)\b([a-z][a-z0-9_]*)\s*=\s*([-+]?[0-9]+(?:[.][0-9]+)?(?:e[-+]?[0-9]+)?)"
-    return F.arrays_zip(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.lower).alias("name"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
+    found = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+    return F.zip_with(found(1), found(2), lambda name, value: F.struct(F.lower(name).alias("name"), value.alias("value")))
 
 
 def symbol_stats(text: Column, names: Column) -> Column:
     """Of each symbol: how often it stands alone, and the distinct numbers assigned to it, sorted as text."""
 
-    def of(parts: Column) -> Column:
-        given = lambda s: F.transform(F.filter(parts["given"], lambda a: a["name"] == F.lower(s)), lambda a: a["value"])
-        return F.transform(names, lambda s: F.struct(s.alias("symbol"), F.size(F.filter(parts["alone"], lambda w: w == s)).alias("frequency"), F.array_sort(F.array_distinct(given(s))).alias("assigned_values")))
+    alone = X.grouped(F.transform(words(text), lambda w: F.struct(w.alias("k"), F.lit(True).alias("v"))), names)
+    given = F.transform(F.array_distinct(assignments(text)), lambda a: F.struct(a["name"].alias("k"), a["value"].alias("v")))
+    by_name = X.grouped(given, F.array_distinct(F.transform(given, lambda a: a["k"])))
+    values = F.map_from_entries(F.transform(by_name, lambda g: F.struct(g["name"], F.array_sort(g["values"]))))
 
-    return X.let(F.struct(words(text).alias("alone"), assignments(text).alias("given")), of)
+    def of(told: Column) -> Column:
+        none = F.array().cast("array<string>")
+        return F.transform(alone, lambda g: F.struct(g["name"].alias("symbol"), F.size(g["values"]).alias("frequency"), F.coalesce(F.try_element_at(told, F.lower(g["name"])), none).alias("assigned_values")))
+
+    return X.let(values, of)
 
 
 def contexts(text: Column, names: Column) -> Column:
@@ -130,12 +136,25 @@ def contexts(text: Column, names: Column) -> Column:
 
     def in_lines(stripped: Column) -> Column:
         around = lambda i: F.array_join(F.slice(stripped, F.greatest(F.lit(1), i), F.when(i == 0, 2).otherwise(3)), " ")
-        used = F.transform(stripped, lambda s, i: F.struct(i.alias("line"), F.array_distinct(words(s)).alias("words"), around(i).alias("context")))
-        return X.let(used, lambda all_used: F.transform(names, lambda s: F.struct(s.alias("symbol"), F.transform(F.filter(all_used, lambda u: F.array_contains(u["words"], s)), lambda u: F.struct(u["line"].alias("line"), u["context"].alias("context"))).alias("occurrences"))))
+        used = F.flatten(F.transform(stripped, lambda s, i: F.transform(F.array_intersect(words(s), names), lambda w: F.struct(w.alias("k"), i.alias("v")))))
+        return F.transform(X.grouped(used, names), lambda g: F.struct(g["name"].alias("symbol"), F.transform(g["values"], lambda i: F.struct(i.alias("line"), around(i).alias("context"))).alias("occurrences")))
 
     return X.let(F.transform(X.lines(text), X.strip), in_lines)
 
 
+def formula_uses(formulas: Column, names: Column) -> Column:
+    """Of each name the ids of the formulas that use it: struct<name, values>."""
+    pairs = F.flatten(F.transform(formulas, lambda f: F.transform(f["symbols"], lambda s: F.struct(s.alias("k"), f["fid"].alias("v")))))
+    return X.grouped(pairs, names)
+
+
+def formula_definitions(formulas: Column) -> Column:
+    """(k, v): the symbol that a formula defines and uses, and the formula's id."""
+    made = F.transform(F.filter(formulas, lambda f: defines(f["relation"])), lambda f: F.struct(lhs_symbol(f["lhs"]).alias("k"), f["fid"].alias("v"), f["symbols"].alias("symbols")))
+    own = F.filter(made, lambda m: F.coalesce(F.array_contains(m["symbols"], m["k"]), F.lit(False)))
+    return F.transform(own, lambda m: F.struct(m["k"].alias("k"), m["v"].alias("v")))
+
+
 def cues(text: Column) -> Column:
     """The named assumptions of a text, sorted."""
     said = F.struct(text.alias("as_is"), F.lower(text).alias("low"))

@@ -15,6 +15,24 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), lambda x: body(x)), 1)
 
 
+def grouped(pairs: Column, names: Column) -> Column:
+    """For each of names (distinct, not null), in their order: struct<name, values> with the values of its pairs (k, v), in their order.
+
+    One sort of the pairs with the names among them, so a row costs n log n and not names x pairs.
+    """
+    marks = F.transform(names, lambda n, i: F.struct(n.alias("k"), F.lit(-1).alias("o"), i.alias("place"), F.get(F.transform(F.filter(pairs, lambda p: F.lit(False)), lambda p: p["v"]), F.lit(0)).alias("v")))
+    own = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("o"), F.lit(None).cast("int").alias("place"), p["v"].alias("v")))
+
+    def cut(found: Column, heads: Column) -> Column:
+        end = lambda j: F.coalesce(F.get(heads, j + 1), F.size(found))
+        inside = lambda h, j: F.filter(F.slice(found, h + 2, end(j) - h - 1), lambda p: p["k"] == F.get(found, h)["k"])
+        groups = F.transform(heads, lambda h, j: F.struct(F.get(found, h)["place"].alias("place"), F.get(found, h)["k"].alias("name"), F.transform(inside(h, j), lambda p: p["v"]).alias("values")))
+        return F.transform(F.array_sort(groups), lambda g: F.struct(g["name"].alias("name"), g["values"].alias("values")))
+
+    heads = lambda found: F.filter(F.transform(found, lambda x, i: F.when(x["o"] < 0, i)), lambda i: i.isNotNull())
+    return let(F.array_sort(F.concat(marks, own)), lambda found: let(heads(found), lambda at: cut(found, at)))
+
+
 def strip(text: Column) -> Column:
     """Without Unicode white space at either end; Spark's trim takes spaces alone."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")

@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import symbols as S
+from gradeloom.functions import text as X
+
+
+def spread(samples: DataFrame) -> DataFrame:
+    """samples, dealt out anew if they come from fewer files than there are cores: parsing costs far more than moving a text."""
+    cores = samples.sparkSession.sparkContext.defaultParallelism
+    return samples.repartition(cores) if len(samples.inputFiles()) < cores else samples
 
 
 def parsed(samples: DataFrame, text: str = "text_all") -> DataFrame:
@@ -27,22 +34,19 @@ def uses(formulas: DataFrame, key: str = "id") -> DataFrame:
 
 
 def occurrences(samples: DataFrame, key: str = "id", text: str = "text_all") -> DataFrame:
-    """J9 as an equi-join by tokens, and J14: (sample, symbol, line, context) of each line that uses a symbol."""
+    """J9, an equi-join of symbols with the lines' tokens by one sort a sample, and J14: (sample, symbol, line, context) of each line that uses a symbol."""
     found = samples.select(key, F.explode(S.contexts(F.col(text), F.col("symbols"))).alias("c"))
     return found.select(key, F.col("c.symbol").alias("symbol"), F.explode("c.occurrences").alias("o")).select(key, "symbol", "o.line", "o.context")
 
 
 def nodes(parsed_samples: DataFrame, key: str = "id", text: str = "text_all") -> DataFrame:
     """One row a symbol of a sample: occurrences, used_in and defined_by, all in order. Row-local: nothing is shuffled."""
-    t = F.col(text)
-    of = S.contexts(t, F.array_union("symbols", F.flatten(F.transform("formulas", lambda f: f["symbols"]))))
-    return parsed_samples.select(key, "formulas", F.explode(of).alias("c")).select(
-        key,
-        F.col("c.symbol").alias("symbol"),
-        F.col("c.occurrences").alias("occurrences"),
-        F.transform(F.filter("formulas", lambda f: F.array_contains(f["symbols"], F.col("c.symbol"))), lambda f: f["fid"]).alias("used_in"),
-        F.transform(F.filter("formulas", lambda f: S.defines(f["relation"]) & (S.lhs_symbol(f["lhs"]) == F.col("c.symbol")) & F.array_contains(f["symbols"], F.col("c.symbol"))), lambda f: f["fid"]).alias("defined_by"),
-    )
+    names = F.array_union("symbols", F.flatten(F.transform("formulas", lambda f: f["symbols"])))
+    named = parsed_samples.select(key, "formulas", F.col(text).alias("__text"), names.alias("__names"))
+    # Three lists in the order of the names, side by side.
+    both = lambda a, b: F.zip_with(a, b, lambda x, y: F.struct(x.alias("a"), y.alias("b")))
+    all_ = both(S.contexts(F.col("__text"), F.col("__names")), both(S.formula_uses(F.col("formulas"), F.col("__names")), X.grouped(S.formula_definitions(F.col("formulas")), F.col("__names"))))
+    return named.select(key, F.explode(all_).alias("n")).select(key, F.col("n.a.symbol").alias("symbol"), F.col("n.a.occurrences").alias("occurrences"), F.col("n.b.a.values").alias("used_in"), F.col("n.b.b.values").alias("defined_by"))
 
 
 def symbol_frequency(samples: DataFrame, key: str = "id", text: str = "text_all") -> DataFrame:

@@ -102,10 +102,16 @@ def with_budget(missing: DataFrame, order: list[str], most_calls: int) -> DataFr
 
 
 def answered(payloads: DataFrame, cache: DataFrame, factory: Callable[[], Client], order: list[str], most_calls: int, prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
-    """(payloads with value, new cache rows): from the cache, then by calls within the budget, once a distinct payload; the rest has null."""
+    """(payloads with value, new cache rows): from the cache, then by calls within the budget, once a distinct payload; the rest has null.
+
+    The budget goes to distinct payloads by the first place of each in the order. Replies are staged, so both results tell of the
+    same calls, and reading them again calls nothing (X2, W17).
+    """
     found = lookup(payloads, cache)
-    missing = found.filter(F.col("value").isNull()).dropDuplicates(["namespace", "key"])
-    called = call(with_budget(missing.drop("value"), order, most_calls), factory, prompt)
+    place = F.struct(*order)
+    missing = found.filter(F.col("value").isNull()).groupBy("namespace", "key").agg(F.min(place).alias("place"), F.min_by(prompt, place).alias(prompt))
+    missing = missing.select("namespace", "key", prompt, *[F.col(f"place.{o}").alias(o) for o in order if o not in ("namespace", "key")])
+    called = stage(call(with_budget(missing, order, most_calls), factory, prompt).select("namespace", "key", "reply", "call_error"), "replies")
     fresh = called.filter(F.col("call_error").isNull()).select("namespace", "key", F.to_json(parse.json_in_text(F.col("reply"))).alias("value")).filter(F.col("value").isNotNull())
     full = found.join(fresh.withColumnRenamed("value", "__new"), ["namespace", "key"], "left").withColumn("value", F.coalesce("value", "__new")).drop("__new")
     return full, fresh

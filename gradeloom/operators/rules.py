@@ -59,19 +59,24 @@ def self_reference(formulas: Column, rule: str = GRAPH_RULE, strict: bool = Fals
 def undefined_symbol(text: Column, symbols: Column, formulas: Column, rule: str = GRAPH_RULE) -> Column:
     """R2: a likely variable (W13) that no formula defines, in two formulas and on two lines at least."""
     names = F.array_union(symbols, F.flatten(F.transform(formulas, lambda f: f["symbols"])))
-    seen = S.contexts(text, F.filter(names, lambda s: (F.length(s) <= 3) | F.contains(s, F.lit("_"))))
-    used = lambda s: F.transform(F.filter(formulas, lambda f: F.array_contains(f["symbols"], s)), lambda f: f["fid"])
-    made = lambda s: F.exists(_definitions(formulas), lambda f: (S.lhs_symbol(f["lhs"]) == s) & F.array_contains(f["symbols"], s))
-    found = F.filter(seen, lambda c: ~F.coalesce(made(c["symbol"]), F.lit(False)) & (F.size(used(c["symbol"])) >= 2) & (F.size(c["occurrences"]) >= 2))
-    return F.transform(found, lambda c: _diagnostic("info", rule, c["symbol"], UNDEFINED, F.struct(F.slice(used(c["symbol"]), 1, MOST_USES).alias("used_in"), F.slice(c["occurrences"], 1, MOST_OCCURRENCES).alias("occurrences"))))
+    likely = F.filter(names, lambda s: (F.length(s) <= 3) | F.contains(s, F.lit("_")))
+    undefined = F.array_except(likely, F.transform(S.formula_definitions(formulas), lambda d: d["k"]))
+    used = F.filter(S.formula_uses(formulas, undefined), lambda u: F.size(u["values"]) >= 2)
+
+    def of(uses: Column) -> Column:
+        # Lines are looked for only for the names that are left; both lists are in the order of those.
+        both = F.zip_with(uses, S.contexts(text, F.transform(uses, lambda u: u["name"])), lambda u, c: F.struct(u.alias("u"), c.alias("c")))
+        found = F.filter(both, lambda b: F.size(b["c"]["occurrences"]) >= 2)
+        return F.transform(found, lambda b: _diagnostic("info", rule, b["u"]["name"], UNDEFINED, F.struct(F.slice(b["u"]["values"], 1, MOST_USES).alias("used_in"), F.slice(b["c"]["occurrences"], 1, MOST_OCCURRENCES).alias("occurrences"))))
+
+    return X.let(used, lambda uses: F.when(F.size(uses) > 0, of(uses)).otherwise(_none()))
 
 
 def conflicting_definition(formulas: Column, rule: str = GRAPH_RULE) -> Column:
     """One name (the left side itself where it has none) with two right sides at least."""
     known = F.filter(_definitions(formulas), lambda f: f["rhs"].isNotNull())
-    pairs = F.transform(known, lambda f: F.struct(F.coalesce(S.lhs_symbol(f["lhs"]), f["lhs"]).alias("name"), f["rhs"].alias("rhs")))
-    sides = lambda ps, n: F.array_sort(F.array_distinct(F.transform(F.filter(ps, lambda p: p["name"] == n), lambda p: p["rhs"])))
-    grouped = X.let(pairs, lambda ps: F.transform(F.array_distinct(F.transform(ps, lambda p: p["name"])), lambda n: F.struct(n.alias("name"), sides(ps, n).alias("rhs"))))
+    pairs = F.array_distinct(F.transform(known, lambda f: F.struct(F.coalesce(S.lhs_symbol(f["lhs"]), f["lhs"]).alias("k"), f["rhs"].alias("v"))))
+    grouped = X.let(pairs, lambda ps: F.transform(X.grouped(ps, F.array_distinct(F.transform(ps, lambda p: p["k"]))), lambda g: F.struct(g["name"].alias("name"), F.array_sort(g["values"]).alias("rhs"))))
     return F.transform(F.filter(grouped, lambda g: F.size(g["rhs"]) >= 2), lambda g: _diagnostic("warning", rule, g["name"], CONFLICT, F.struct(F.slice(g["rhs"], 1, MOST_VARIANTS).alias("rhs_variants"))))
 
 
@@ -82,8 +87,15 @@ def graph_consistency(text: Column, symbols: Column, formulas: Column) -> Column
 
 def dedupe(diagnostics: Column) -> Column:
     """The first of equal (rule, symbol, message), in order; later evidence goes (Q24)."""
-    key = lambda d: F.struct(d["rule"], d["symbol"], d["message"])
-    return X.let(diagnostics, lambda all_: X.let(F.transform(all_, key), lambda keys: F.filter(all_, lambda d, i: ~F.exists(F.slice(keys, F.lit(1), i), lambda k: k.eqNullSafe(key(d))))))
+    keyed = lambda d, i: F.struct(F.struct(d["rule"], d["symbol"], d["message"]).alias("key"), i.alias("i"))
+
+    def of(all_: Column) -> Column:
+        # Sorted by key, then place: what differs from the one before is the first of its key.
+        firsts = lambda found: F.filter(found, lambda x, j: (j == 0) | ~F.get(found, j - 1)["key"].eqNullSafe(x["key"]))
+        kept = X.let(F.array_sort(F.transform(all_, keyed)), lambda found: F.array_sort(F.transform(firsts(found), lambda x: x["i"])))
+        return F.transform(kept, lambda i: F.get(all_, i))
+
+    return X.let(diagnostics, of)
 
 
 def dedupe_rows(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

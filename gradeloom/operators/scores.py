@@ -30,18 +30,54 @@ def scored(results: DataFrame) -> DataFrame:
     return results.filter(F.col("error").isNull()) if "error" in results.columns else results
 
 
+#: How near a score must be to half a cent for the order of additions to matter; the error of sums below 10**8 is less.
+NEAR_TIE = 1e-5
+
+
 def rounded_fold(values: Column) -> Column:
     """The sum of an array in its order, rounded to 2 digits after each addition."""
     return F.aggregate(values, F.lit(0.0), lambda a, x: X.half_even(a + x, 2))
 
 
+def _stepwise(results: DataFrame, keys: list[str], ok: Column) -> DataFrame:
+    """Per group the sums that rounding after each addition gives, by partial sums.
+
+    A running sum is a whole number of cents, so a score adds its own cents, whatever came before it, unless it lies half-way
+    between two cents. Only groups that have such scores are ordered, for the cents before each of them; these alone are folded.
+    """
+    names = list(SCORES.values())
+    hundredfold = {c: F.col(c) * 100 for c in names}
+    tie = {c: ok & F.col(c).isNotNull() & (F.abs(F.abs(x - F.floor(x)) - 0.5) < NEAR_TIE) for c, x in hundredfold.items()}
+    cents = {c: F.when(ok & ~tie[c], F.rint(x)).otherwise(0.0) for c, x in hundredfold.items()}
+    rows = results.withColumns({f"__{c}_cents": F.coalesce(v, F.lit(0.0)) for c, v in cents.items()} | {f"__{c}_tie": F.when(v, F.col(c)) for c, v in tie.items()})
+    any_tie = F.coalesce(*[F.col(f"__{c}_tie") for c in names]).isNotNull()
+    sums = rows.groupBy(keys).agg(*[F.sum(f"__{c}_cents").alias(f"__{c}_all") for c in names], F.sum(F.when(ok, F.col("max_points"))).alias("m"), F.count("*").alias("total_count"), F.max(any_tie).alias("__ties"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__of_{k}"))
+    of = lambda df: df.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    open_ = rows.join(of(sums.filter("__ties").select(keys)), same, "left_semi")
+    before = Window.partitionBy(*keys).orderBy("idx", *names).rowsBetween(Window.unboundedPreceding, -1)
+    ordered = open_.select(*keys, "idx", *[f"__{c}_tie" for c in names], *[F.coalesce(F.sum(f"__{c}_cents").over(before), F.lit(0.0)).alias(f"__{c}_before") for c in names]).filter(any_tie)
+    told = F.struct("idx", *[F.struct(F.col(f"__{c}_before").alias("before"), F.col(f"__{c}_tie").alias("score")).alias(c) for c in names])
+    folded = of(ordered.groupBy(keys).agg(F.array_sort(F.collect_list(told)).alias("__l")))
+
+    def extra(c: str) -> Column:
+        """Cents that the scores half-way add, each with what came before it."""
+        own = F.filter(F.transform("__l", lambda x: x[c]), lambda x: x["score"].isNotNull())
+        step = lambda a, x: F.rint(((x["before"] + a) / 100 + x["score"]) * 100) - x["before"]
+        return F.coalesce(F.aggregate(own, F.lit(0.0), step), F.lit(0.0))
+
+    found = sums.join(folded, same, "left")
+    return found.select(*keys, *[((F.col(f"__{c}_all") + extra(c)) / 100).alias(c) for c in names], "m", "total_count")
+
+
 def dataset_score(results: DataFrame, keys: list[str], stepwise: bool = True) -> DataFrame:
-    """A1: one row a group of keys. stepwise rounds after each addition; without it, sums are rounded once, with partial sums before the shuffle."""
+    """A1: one row a group of keys. stepwise rounds after each addition, in the order of idx; without it, sums are rounded once. Both sum up before the shuffle."""
     ok = F.col("error").isNull() if "error" in results.columns else F.lit(True)
     if stepwise:
-        listed = F.array_sort(F.collect_list(F.when(ok, F.struct("idx", "fine_grained_score", "coarse_grained_score", "earned_points"))))
-        sums = results.groupBy(keys).agg(listed.alias("l"), F.sum(F.when(ok, F.col("max_points"))).alias("m"), F.count("*").alias("total_count"))
-        of = lambda name: rounded_fold(F.transform("l", lambda r: r[name]))
+        sums = _stepwise(results, keys, ok)
+        of = F.col
     else:
         sums = results.groupBy(keys).agg(*[F.sum(F.when(ok, F.col(c))).alias(c) for c in SCORES.values()], F.sum(F.when(ok, F.col("max_points"))).alias("m"), F.count("*").alias("total_count"))
         of = lambda name: X.half_even(F.coalesce(F.col(name), F.lit(0.0)), 2)

@@ -13,6 +13,7 @@ from gradeloom.functions import answers, parse
 from gradeloom.functions import text as X
 from gradeloom.operators import catalog, judge, marking, scores
 from gradeloom.sources import inference, sinks
+from gradeloom.sources.staging import stage
 
 log = logging.getLogger(__name__)
 KEY = ["dataset", "model", "run_id", "idx"]
@@ -66,25 +67,31 @@ class Engine:
 
     def evaluate_all(self, datasets: list[str], models: list[str]) -> DataFrame:
         """M2: A1 of everything that waits, in one plan; a dataset that can't be read has an error in place of scores."""
-        files = self.files()
-        waiting = catalog.pending(catalog.listed(self.spark, datasets, models), catalog.found(files), self.evaluated())
-        chosen = inference.newest(files.join(waiting, ["dataset", "model"], "left_semi"), ["dataset", "model"])
-        results = score_problems(inference.problems(chosen, self.parallelism), self.client)
-        totals = scores.dataset_score(results, ["dataset", "model"])
-        return waiting.join(totals, ["dataset", "model"], "left").withColumn("error", F.when(F.col("total_count").isNull(), "no readable problems")).orderBy("dataset_no", "model_no")
+        waiting = catalog.pending(catalog.listed(self.spark, datasets, models), catalog.found(self.files()), self.evaluated())
+        return self.evaluate_pairs(waiting)[1].orderBy("dataset_no", "model_no")
+
+    def evaluate_pairs(self, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """M1 and M2 for given pairs (dataset, model, ...) in one plan: (results, pairs with A1 of the newest run, or an error).
+
+        Results are staged, so each criterion is judged once however often they are read.
+        """
+        keys = ["dataset", "model"]
+        chosen = inference.newest(self.files().join(pairs, keys, "left_semi"), keys)
+        results = stage(score_problems(inference.problems(chosen, self.parallelism), self.client), "results")
+        totals = scores.dataset_score(results, [*keys, "run_id"])
+        return results, pairs.join(totals, keys, "left").withColumn("error", F.when(F.col("total_count").isNull(), "no readable problems"))
 
     def evaluated(self) -> DataFrame:
-        """Datasets and models that have scores already."""
-        schema = "dataset string, model string"
-        try:
-            return self.spark.read.option("recursiveFileLookup", True).parquet(f"{self.eval_dir}/scores").select("dataset", "model").distinct()
-        except Exception:
-            return self.spark.createDataFrame([], schema)
+        """Datasets and models that have scores already; a table that is there but cannot be read is an error."""
+        path = f"{self.eval_dir}/scores"
+        if not sinks.exists(self.spark, path):
+            return self.spark.createDataFrame([], "dataset string, model string")
+        return self.spark.read.option("recursiveFileLookup", True).parquet(path).select("dataset", "model").distinct()
 
     def multi_run(self, dataset: str, model: str) -> dict[str, DataFrame]:
         """M3, M4: all runs side by side: results, run_scores, questions, overall, pivot."""
         keys = ["dataset", "model"]
-        results = score_problems(inference.problems(self.files(dataset, model), self.parallelism), self.client, over_runs=True)
+        results = stage(score_problems(inference.problems(self.files(dataset, model), self.parallelism), self.client, over_runs=True), "results")
         first = scores.first_run_questions(results, keys)
         own = scores.last_of_repeated(scores.scored(results), keys).drop("max_points").join(first, [*keys, "question_id"])
         texts = results.groupBy(*keys, "question_id").agg(F.min_by("question", "run_id").alias("question"))
@@ -94,15 +101,31 @@ class Engine:
 
     def save(self, results: DataFrame, totals: DataFrame) -> None:
         """K2-K4 (M8)."""
-        sinks.write_table(totals, sinks.versioned(f"{self.eval_dir}/scores", "score"))
+        sinks.write_table(totals.filter("total_count is not null"), sinks.versioned(f"{self.eval_dir}/scores", "score"))
         sinks.write_table(sinks.detailed(results).withColumn("marking", F.to_json("marking")), sinks.versioned(self.eval_dir, "detailed_results"), "json")
         sinks.write_table(sinks.flat(results), sinks.versioned(self.eval_dir, "detailed"))
 
+    def save_summary(self, totals: DataFrame) -> dict:
+        """K5, K6, A5 (M8): all datasets, failed ones with nulls; the table of the others; the grand total, which is returned."""
+        named = totals.withColumn("dataset_key", F.concat_ws("/", "dataset", "model"))
+        total = scores.grand_total(named.filter("total_count is not null")).first().asDict()
+        rows = named.select("dataset_key", "run_id", *[c for c in totals.columns if c not in ("dataset", "model", "run_id", "dataset_no", "model_no")]).orderBy("dataset_key")
+        sinks.write_report(rows, f"{self.eval_dir}/all_datasets_summary.json", {"overall": total})
+        sinks.write_report(sinks.summary_table(named).orderBy("dataset_key"), f"{self.eval_dir}/summary_table.json")
+        log.info("overall: %s", total)
+        return total
+
+    def save_multi_run_summary(self, overall: DataFrame) -> None:
+        """K12, K13 (M8): the statistics over runs of all datasets, as a report and as a table."""
+        named = overall.withColumn("dataset_key", F.concat_ws("/", "dataset", "model")).drop("dataset", "model").orderBy("dataset_key")
+        sinks.write_report(named, f"{self.eval_dir}/all_datasets_multi_run_summary.json")
+        sinks.write_table(sinks.multi_run_table(named), sinks.versioned(self.eval_dir, "multi_run_summary_table"))
+
     def save_multi_run(self, found: dict[str, DataFrame]) -> None:
         """The statistics, three question tables and the run table."""
         runs = [r[0] for r in found["results"].select("run_id").distinct().orderBy("run_id").collect()]
         for kind, column in (("", "earned_points"), ("_fine", "fine_grained_score"), ("_coarse", "coarse_grained_score")):
-            pivot = scores.pivot_runs(found["own"], runs, ["question_id"], column)
+            pivot = scores.pivot_runs(found["own"], runs, ["question_id"], column).withColumnsRenamed({r: f"{r}_score" for r in runs})
             sinks.write_table(sinks.question_table(found["questions"], pivot, kind), sinks.versioned(self.eval_dir, f"question_statistics{kind}"))
         sinks.write_table(sinks.run_table(found["run_scores"]), sinks.versioned(self.eval_dir, "run_summary"))
         sinks.write_table(sinks.nested_runs(found["own"], ["dataset", "model", "question_id"]), sinks.versioned(self.eval_dir, "multi_run_statistics"), "json")

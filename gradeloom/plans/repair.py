@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gradeloom.functions import text as X
 from gradeloom.operators import scores
+from gradeloom.sources import inference, sinks
+from gradeloom.sources.staging import drop_staged, stage, staged
 
 
 def opened(statistics: DataFrame) -> DataFrame:
     """Statistics files (path, statistics variant) as result rows, with earned = max(fine, coarse)."""
     get = lambda v, path, kind: F.try_variant_get(v, path, kind)
     questions = statistics.select("path", F.coalesce(get("statistics", "$.dataset_name", "string"), get("statistics", "$.dataset_key", "string"), F.lit("Unknown")).alias("dataset"), F.explode(get("statistics", "$.question_statistics", "map<string,variant>")).alias("question_id", "q"))
-    runs = questions.select("path", "dataset", "question_id", F.coalesce(get("q", "$.max_points", "double"), F.lit(0.0)).alias("max_points"), F.explode_outer(get("q", "$.runs", "map<string,variant>")).alias("run_id", "r"))
+    runs = questions.select("path", "dataset", "question_id", get("q", "$.question", "string").alias("question"), F.coalesce(get("q", "$.max_points", "double"), F.lit(0.0)).alias("max_points"), F.explode_outer(get("q", "$.runs", "map<string,variant>")).alias("run_id", "r"))
     fine, coarse = (F.coalesce(get("r", f"$.{n}", "double"), F.lit(0.0)) for n in ("fine_grained_score", "coarse_grained_score"))
-    return runs.select("path", "dataset", "question_id", "run_id", "max_points", fine.alias("fine_grained_score"), coarse.alias("coarse_grained_score"), scores.earned(fine, coarse).alias("earned_points"), F.when(F.col("run_id").isNull(), "no runs").alias("error"))
+    return runs.select("path", "dataset", "question_id", "question", "run_id", "max_points", fine.alias("fine_grained_score"), coarse.alias("coarse_grained_score"), scores.earned(fine, coarse).alias("earned_points"), F.when(F.col("run_id").isNull(), "no runs").alias("error"))
 
 
 def repaired(rows: DataFrame) -> dict[str, DataFrame]:
@@ -27,3 +30,36 @@ def repaired(rows: DataFrame) -> dict[str, DataFrame]:
         "runs": scores.run_summary(real, questions),
         "summary": scores.summary_by_file(real, questions),
     }
+
+
+def rewritten(rows: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
+    """One row a question of each statistics file, with its runs and its statistics anew; questions without runs have none."""
+    run = F.struct("fine_grained_score", "coarse_grained_score", F.col("earned_points").alias("earned_score"))
+    questions = rows.groupBy("path", "dataset", "question_id").agg(F.first("question").alias("question"), F.max("max_points").alias("max_points"), F.array_sort(F.collect_list(F.when(F.col("run_id").isNotNull(), F.struct("run_id", run.alias("r"))))).alias("runs"))
+    stats = found["questions"].select("dataset", "question_id", F.struct(*[c for c in found["questions"].columns if c not in ("dataset", "question_id")]).alias("statistics"))
+    return questions.withColumn("runs", F.map_from_entries("runs")).join(stats, ["dataset", "question_id"], "left")
+
+
+def write(spark: SparkSession, root: str) -> dict[str, str]:
+    """Recomputes all statistics below a folder into a new version of it; the paths that were written.
+
+    What was there stays as it is: it is the backup. Written are the statistics, three tables of questions, the runs, the
+    overall statistics and the summary by file.
+    """
+    before = staged()
+    rows = stage(opened(inference.statistics_files(spark, root)), "statistics")
+    found = repaired(rows)
+    base = sinks.versioned(root, "repaired")
+    out = {"statistics": sinks.write_table(rewritten(rows, found), f"{base}/statistics", "json")}
+    real = rows.filter("run_id is not null")
+    runs = sorted(r[0] for r in real.select("run_id").distinct().collect())
+    titles = rows.groupBy("dataset", "question_id").agg(F.max("max_points").alias("max_points"), X.shorten(F.first("question")).alias("question"))
+    for kind, column in scores.SCORES.items():
+        pivot = scores.pivot_runs(real, runs, ["dataset", "question_id"], column).withColumnsRenamed({r: f"{r}_score" for r in runs})
+        own = [F.col(f"{m}{kind}_score").alias(f"{m}_score") for m in ("mean", "std", "min", "max", "median")]
+        table = titles.join(found["questions"].select("dataset", "question_id", "num_runs", *own, "score_rate"), ["dataset", "question_id"]).join(pivot, ["dataset", "question_id"])
+        out[f"questions{kind}"] = sinks.write_table(table, f"{base}/question_statistics{kind}")
+    for name in ("overall", "runs", "summary"):
+        out[name] = sinks.write_table(found[name], f"{base}/{name}")
+    drop_staged(spark, before)
+    return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gradeloom.functions import parse
@@ -27,33 +27,47 @@ def prepared(samples: DataFrame) -> DataFrame:
     return graph.parsed(full)
 
 
-def model_prompt(rule: str, inputs) -> F.Column:
-    return F.concat(F.lit(f"Check one rule, {rule}. {MODEL_RULES.get(rule, rule)}\n{REPLY}\nInputs:\n"), inputs)
+def rule_prompt(rule: Column, about: Column, inputs: Column) -> Column:
+    return F.concat(F.lit("Check one rule, "), rule, F.lit(". "), about, F.lit(f"\n{REPLY}\nInputs:\n"), inputs)
 
 
-def rule_inputs() -> F.Column:
+def model_prompt(rule: str, inputs: Column) -> Column:
+    return rule_prompt(F.lit(rule), F.lit(MODEL_RULES.get(rule, rule)), inputs)
+
+
+def rule_inputs() -> Column:
     """What a model rule sees, as JSON."""
     return F.to_json(F.struct(F.col("text_all").alias("text"), "symbols", F.col("formulas").alias("formulas_structured"), "precondition_cues", S.symbol_stats(F.col("text_all"), F.col("symbols")).alias("sym_stats"), S.contexts(F.col("text_all"), F.col("symbols")).alias("snippets")))
 
 
 def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Callable[[], judge.Client] = judge.NoClient, model: str = "", most_calls: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(one report row a sample, new cache rows). Rules run in the order given; unknown ones are logged and skipped."""
+    """(one report row a sample, new cache rows). Rules run in the order given; unknown ones are logged and skipped.
+
+    All rules that ask a model share one budget, which goes sample by sample and, within a sample, rule by rule (X3).
+    """
     native, plugins = rules.load_rules(specs, NATIVE | MODEL_RULES)
     rows, fresh = prepared(samples), None
+    asking = [(k, rule) for k, rule in enumerate(native) if rule not in NATIVE]
+    if asking:
+        place = [c for c in ("run_id", "idx") if c in rows.columns]
+        order = ["dataset", *place, "id", "rule_no", "key"]
+        each = F.array(*[F.struct(F.lit(k).alias("rule_no"), F.lit(rule).alias("rule"), F.lit(MODEL_RULES.get(rule, rule)).alias("about")) for k, rule in asking])
+        keys = ["dataset", *place, "id", "text_key"]  # samples that share an id are told apart by their text
+        rows = rows.withColumn("text_key", F.sha2("text_all", 256))
+        asked = rows.select(*keys, rule_inputs().alias("inputs")).select(*keys, "inputs", F.explode(each).alias("r")).select(*keys, "inputs", "r.*")
+        key = parse.cache_key(F.col("rule"), F.col("inputs"), F.lit(model).alias("model"))
+        asked = asked.select(*keys, "rule_no", F.lit("rule").alias("namespace"), key.alias("key"), rule_prompt(F.col("rule"), F.col("about"), F.col("inputs")).alias("prompt"))
+        full, fresh = judge.answered(asked, cache, factory, order, most_calls)
+        said = full.groupBy(keys).agg(F.map_from_entries(F.collect_set(F.struct("rule_no", "value"))).alias("__said"))
+        same = F.lit(True)
+        for c in keys:
+            same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+        rows = rows.join(said.withColumnsRenamed({c: f"__of_{c}" for c in keys}), same, "left").drop(*[f"__of_{c}" for c in keys])
     made = []
     for k, rule in enumerate(native):
-        name = f"__d{k}"
-        if rule in NATIVE:
-            rows = rows.withColumn(name, NATIVE[rule]())
-        else:
-            inputs = rule_inputs()
-            asked = rows.select("dataset", "id", F.lit("rule").alias("namespace"), parse.cache_key(F.lit(rule).alias("rule"), inputs.alias("inputs"), F.lit(model).alias("model")).alias("key"), model_prompt(rule, inputs).alias("prompt"))
-            full, new = judge.answered(asked, cache, factory, ["dataset", "id", "key"], most_calls)
-            said = full.groupBy("dataset", "id").agg(F.first("value").alias("value"))
-            said = said.select(F.col("dataset").alias("__ds"), F.col("id").alias("__id"), parse.diagnostics_in(F.try_parse_json("value"), F.lit(rule)).alias(name))
-            rows = rows.join(said, rows["dataset"].eqNullSafe(said["__ds"]) & rows["id"].eqNullSafe(said["__id"]), "left").drop("__ds", "__id")
-            fresh = new if fresh is None else fresh.unionByName(new)
-        made.append(F.coalesce(F.col(name), F.array().cast(f"array<{parse.DIAGNOSTIC}>")))
+        own = NATIVE[rule]() if rule in NATIVE else parse.diagnostics_in(F.try_parse_json(F.try_element_at("__said", F.lit(k))), F.lit(rule))
+        rows = rows.withColumn(f"__d{k}", own)
+        made.append(F.coalesce(F.col(f"__d{k}"), F.array().cast(f"array<{parse.DIAGNOSTIC}>")))
     if plugins:
         rows = rules.run_plugins(rows, plugins)
         made.append(F.col("plugin_diagnostics"))
@@ -66,10 +80,11 @@ def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Ca
 def by_model(samples: DataFrame, cache: DataFrame, factory: Callable[[], judge.Client] = judge.NoClient, model: str = "", most_calls: int = 0) -> tuple[DataFrame, DataFrame]:
     """One call a sample; without a model there are no diagnostics. The reply is {diagnostics: [...], symbols: {...}}."""
     full_text = S.full_text(F.col("question"), F.col("context"), F.col("prediction"))
+    place = [c for c in ("run_id", "idx") if c in samples.columns]
     rows = samples.withColumn("text_all", full_text).withColumns({"symbols": S.plain_symbols(F.col("text_all")), "formulas": S.plain_formula_lines(F.col("text_all"))})
     inputs = F.to_json(F.struct(F.col("text_all").alias("text"), "symbols", "formulas"))
-    asked = rows.select("dataset", "id", "symbols", F.lit("var_const").alias("namespace"), parse.cache_key(inputs.alias("inputs"), F.lit(model).alias("model")).alias("key"), model_prompt("var_const_consistency", inputs).alias("prompt"))
-    full, fresh = judge.answered(asked, cache, factory, ["dataset", "id", "key"], most_calls)
+    asked = rows.select("dataset", *place, "id", "symbols", F.lit("var_const").alias("namespace"), parse.cache_key(inputs.alias("inputs"), F.lit(model).alias("model")).alias("key"), model_prompt("var_const_consistency", inputs).alias("prompt"))
+    full, fresh = judge.answered(asked, cache, factory, ["dataset", *place, "id", "key"], most_calls)
     value = F.try_parse_json("value")
     said = F.coalesce(F.try_variant_get(value, "$.diagnostics", "variant"), value)
     told = F.transform_values(F.coalesce(F.try_variant_get(value, "$.symbols", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda _, v: parse.variant_text(v))

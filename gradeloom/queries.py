@@ -14,14 +14,16 @@ from gradeloom.functions import parse as P
 from gradeloom.functions import symbols as S
 from gradeloom.functions import text as X
 from gradeloom.operators import catalog, graph, judge, marking, rules, scores
+from gradeloom.plans import evaluate, verify
+from gradeloom.sources import inference, sinks
 
-RESULTS = r"""
+#: Every event is a result: in REPEATED a question comes several times in a run, in RESULTS each time is a run of its own.
+REPEATED = r"""
 select cast(e.user_id as string) as question_id, e.event_type as run_id, concat('d', cast(e.user_id % 4 as string)) as dataset, e.event_id as idx,
  e.value as fine_grained_score, cast(regexp_extract(e.props, '([0-9]+)', 1) as double) as coarse_grained_score,
  cast(500 + e.user_id % 5 as double) as max_points, (e.event_id % 3 <> 0) as valid_marking
-from @events@ e join (select min(event_id) as event_id from @events@ group by user_id, event_type) f on e.event_id = f.event_id"""
-#: RESULTS of every event; a question then comes several times in a run.
-ALL_RESULTS = RESULTS[: RESULTS.index(" join ")]
+from @events@ e"""
+RESULTS = REPEATED.replace("e.event_type as run_id", "concat(e.event_type, '_', cast(row_number() over (partition by e.user_id, e.event_type order by e.event_id) as string)) as run_id")
 SUBMISSIONS = r"""
 select p_partkey as id, case when p_partkey % 10 = 0 then concat('speed ', cast(p_size as string), ' then ', cast(p_partkey % 7 as string))
  else concat('Thus ', chr(92), 'boxed{', cast(p_size as string), ' m/s} and ', chr(92), 'boxed{', cast(p_partkey % 7 as string), '}') end as prediction,
@@ -178,13 +180,13 @@ def _(r):
 LAST = ", s as (select *, greatest(fine_grained_score, coarse_grained_score) as e, count(*) over w as repeats from r window w as (partition by dataset, run_id, question_id) qualify row_number() over (partition by dataset, run_id, question_id order by idx desc) = 1)"
 
 
-@_query("last_of_repeated", ALL_RESULTS, "select dataset, question_id, run_id, idx, repeats, e as earned from s", LAST)
+@_query("last_of_repeated", REPEATED, "select dataset, question_id, run_id, idx, repeats, e as earned from s", LAST)
 def _(r):
     """Q19, over all events."""
     return scores.last_of_repeated(_results(r), ["dataset"]).select("dataset", "question_id", "run_id", "idx", "repeats", F.col("earned_points").alias("earned"))
 
 
-@_query("dataset_score_of_repeated", ALL_RESULTS, "select * from d", LAST + A1_SQL.format(keys="dataset, run_id"))
+@_query("dataset_score_of_repeated", REPEATED, "select * from d", LAST + A1_SQL.format(keys="dataset, run_id"))
 def _(r):
     """A1 of what Q19 leaves of all events."""
     return scores.dataset_score(scores.last_of_repeated(_results(r), ["dataset"]), ["dataset", "run_id"])
@@ -351,7 +353,7 @@ FORMULAS = ", fm as (select id, trim(raw) as raw, cast(row_number() over (partit
 
 
 def _parsed(r: DataFrame) -> DataFrame:
-    return graph.parsed(r)
+    return graph.parsed(graph.spread(r))
 
 
 @_query("symbol_tokens", SOLUTIONS, "select id, symbol from sym", TOKENS)
@@ -468,15 +470,9 @@ def _(spark, sf_dir):
     return judge.lookup(r.select("namespace", "key", F.col("p_partkey").alias("id")), cache).select("id", "key", "value")
 
 
-@_query("budget_rank", None, "select p_partkey as id, row_number() over (order by p_partkey) as call_rank from part where p_size <= 25")
+@_query("budget_rank", None, "select p_partkey as id, row_number() over (order by p_partkey) as call_rank from part")
 def _(spark, sf_dir):
-    r = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_size <= 25").select(F.col("p_partkey").alias("id"))
-    return judge.budget_rank(r, ["id"])
-
-
-@_query("budget_rank_all", None, "select p_partkey as id, row_number() over (order by p_partkey) as call_rank from part")
-def _(spark, sf_dir):
-    """X3 over all of part."""
+    """X3."""
     return judge.budget_rank(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id")), ["id"])
 
 
@@ -490,23 +486,29 @@ def _(spark, sf_dir):
 # --- further rows of the inventory
 
 
-@_query("summary_tables", RESULTS, "select dataset as dataset_key, fine_grained_total_score, score_rate, total_count as total_questions, total_count from d where total_count > 0", EARNED + A1_SQL.format(keys="dataset"))
-def _(r):
-    """P13, W2."""
-    from gradeloom.sources import sinks
+KIND_SQL = ", ".join(f"{k}_grained_{a} as {k}_grained_{b}" for k in ("fine", "coarse") for a, b in (("total_score", "score"), ("score_rate", "rate")))
 
-    made = sinks.summary_table(scores.dataset_score(_results(r), ["dataset"]).withColumnRenamed("dataset", "dataset_key"))
-    return made.select("dataset_key", "fine_grained_total_score", "score_rate", "total_questions", "total_count")
+
+@_query("summary_tables", RESULTS, f"select dataset as dataset_key, total_count as total_questions, total_score, max_possible_score, score_rate, total_count, {KIND_SQL} from d where total_count > 0", EARNED + A1_SQL.format(keys="dataset"))
+def _(r):
+    """P13, W2, K6."""
+    return sinks.summary_table(scores.dataset_score(_results(r), ["dataset"]).withColumnRenamed("dataset", "dataset_key"))
 
 
-@_query("run_tables", RESULTS, "select run_id, total_score, score_rate, fine_grained_total_score, fine_grained_score_rate, coarse_grained_total_score, coarse_grained_score_rate, max_possible_score, total_count from d", EARNED + A1_SQL.format(keys="run_id"))
+@_query("run_tables", RESULTS, f"select run_id, total_score, max_possible_score, score_rate, total_count, {KIND_SQL} from d", EARNED + A1_SQL.format(keys="run_id"))
 def _(r):
     """P15, K11."""
-    from gradeloom.sources import sinks
-
     return sinks.run_table(scores.dataset_score(_results(r), ["run_id"]))
 
 
+@_query("multi_run_tables", RESULTS, "select dataset as dataset_key, num_runs, num_questions, mean_total_score, std_total_score, mean_score_rate, std_score_rate, question_based_mean_score, question_based_max_score, question_based_score_rate from (select dataset, count(*) as num_runs, round_even(avg(total_score), 2) as mean_total_score, round_even(stddev_pop(total_score), 2) as std_total_score, round_even(avg(score_rate), 2) as mean_score_rate, round_even(stddev_pop(score_rate), 2) as std_score_rate from d group by dataset) join (select dataset, count(*) as num_questions, round_even(sum(mean_score), 2) as question_based_mean_score, round_even(sum(max_points), 2) as question_based_max_score, round_even(sum(mean_score) / sum(max_points) * 100, 2) as question_based_score_rate from q group by dataset) using (dataset)", EARNED + A1_SQL.format(keys="dataset, run_id") + QUESTIONS_SQL)
+def _(r):
+    """P14, K13."""
+    rows = _results(r)
+    stats = scores.question_stats(rows, ["dataset", "question_id", "max_points"])
+    return sinks.multi_run_table(scores.overall_stats(rows, stats, ["dataset"]).withColumnRenamed("dataset", "dataset_key"))
+
+
 @_query("failed_problems", RESULTS, "select dataset, count(*) as total_count, round_even(coalesce(sum(case when valid_marking then max_points end), 0), 2) as max_possible_score from r group by dataset")
 def _(r):
     """W1 within A1: failed problems count, but give no points."""
@@ -574,8 +576,6 @@ def _(spark, sf_dir):
 @_query("sample_meta", SAMPLES, "select id, concat(coalesce(prompt, ''), '|', coalesce(context, ''), '|', coalesce(output, '')) as said, 'extra=7' as meta from r")
 def _(r):
     """P5, U3 on a JSON record: aliases by name, the rest as meta."""
-    from gradeloom.sources import inference
-
     j = F.to_json(F.struct(F.col("id").cast("string").alias("problem_id"), "prompt", F.col("context").alias("passage"), "output", F.lit(7).alias("extra")))
     files = r.select("id", F.lit("f").alias("path"), F.lit("d").alias("dataset"), F.lit("m").alias("model"), F.lit("r").alias("run_id"), F.lit(True).alias("readable"), F.array(F.parse_json(j)).alias("items"))
     x = inference.samples(files)
@@ -583,14 +583,113 @@ def _(r):
     return x.select(F.col("id").cast("long").alias("id"), F.concat_ws("|", blank("question"), blank("context"), blank("prediction")).alias("said"), F.array_join(F.transform(F.map_entries("meta"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("meta"))
 
 
-# --- stages that call Python (no SQL)
+# --- readers, on JSON made of the tables
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts are problems; their size and brand tell the dataset and the model, of one run each."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    kind = F.col("p_partkey") % 5
+    box = F.concat(F.lit("so \\boxed{"), F.col("p_size").cast("string"), F.lit("}"))
+    fields = F.struct(
+        F.col("p_partkey").alias("id"), F.col("p_name").alias("question"), F.when(kind == 4, None).otherwise(box).alias("prediction"),
+        F.when(kind == 0, F.to_json(F.array(F.col("p_size").cast("string"), F.lit("7")))).when(kind == 3, None).otherwise(F.col("p_size").cast("string")).alias("answer"),
+        F.when(kind == 1, F.lit("[2, 1]")).when(kind == 2, F.lit("3")).alias("points"),
+        F.when(kind == 1, F.array(F.lit("nan"))).when(kind == 2, F.array("p_type")).alias("marking"),
+    )
+    rows = part.groupBy(F.concat(F.lit("m"), (F.col("p_size") % 4).cast("string")).alias("dataset"), F.col("p_brand").alias("model")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", F.to_json(fields).alias("j")))).alias("l"))
+    return rows.select(F.concat_ws("/", "dataset", "model").alias("path"), "dataset", "model", F.lit("r1").alias("run_id"), F.lit(True).alias("readable"), F.transform("l", lambda x: F.parse_json(x["j"])).alias("items"))
+
+
+READ_SQL = ", x as (select concat('m', cast(p_size % 4 as varchar)) as dataset, p_brand as model, row_number() over (partition by p_size % 4, p_brand order by p_partkey) - 1 as idx, p_partkey, p_partkey % 5 as kind, p_name, p_type, cast(p_size as varchar) as size from part)"
+
+
+@_query("problem_rows", None, "with y as (select 1)" + READ_SQL + " select concat(dataset, '/', model) as path, cast(idx as integer) as idx, cast(p_partkey as varchar) as question_id, p_name as question, case when kind <> 4 then concat('so ', chr(92), 'boxed{', size, '}') end as prediction, case kind when 0 then concat(size, '|7') when 3 then '' else size end as answer, case kind when 1 then 3.0::double when 2 then 3.0::double else 0.0::double end as points, kind = 2 as valid_marking, case kind when 4 then 'no prediction' when 3 then 'no answer' else '' end as error from x")
+def _(spark, sf_dir):
+    """The fields of each problem as they are normalised."""
+    return inference.problems(_files(spark, sf_dir)).select("path", "idx", "question_id", "question", "prediction", F.array_join("answer", "|").alias("answer"), X.total(F.col("points")).alias("points"), "valid_marking", F.coalesce("error", F.lit("")).alias("error"))
+
+
+@_query("scored_problems", None, "with y as (select 1)" + READ_SQL + " select concat(dataset, '/', model) as source, cast(p_partkey as varchar) as id, case kind when 1 then 2.0::double when 2 then 3.0::double else 0.0::double end as coarse_grained_score, case kind when 1 then 2.0::double when 2 then 3.0::double else 0.0::double end as earned_points, 0.0::double as fine_grained_score, concat(chr(92), 'boxed{', size, '}') as shown, case when kind = 0 then 2 else 1 end as answers, 'text' as modality, 'Open-End' as answer_type from x where kind not in (3, 4)")
+def _(spark, sf_dir):
+    """M5, P3, K3 without a judge: scores of each problem and the detailed columns."""
+    found = sinks.detailed(evaluate.score_problems(inference.problems(_files(spark, sf_dir))))
+    return found.select("source", "id", "coarse_grained_score", "earned_points", "fine_grained_score", F.array_join("test_answer", " ").alias("shown"), F.size("answer").alias("answers"), "modality", F.array_join("answer_type", "|").alias("answer_type"))
+
+
+@_query("newest_files", None, "select cast(user_id as varchar) as model, event_id from (select *, row_number() over (partition by user_id order by ts desc, cast(event_id as varchar) desc) as n from events) where n = 1")
+def _(spark, sf_dir):
+    """Each event a file."""
+    files = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("model"), "event_id", F.col("ts").alias("modified"), F.col("event_id").cast("string").alias("path"))
+    return inference.newest(files, ["model"]).select("model", "event_id")
+
+
+@_query("fine_or_zero", None, "select p_partkey as id, case when p_partkey % 3 <> 0 and p_partkey % 2 = 0 then coalesce(case when p_size > 10 then p_size / 10.0::double end, 0.0::double) else 0.0::double end as fine from part")
+def _(spark, sf_dir):
+    """W5."""
+    r = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return r.select(F.col("p_partkey").alias("id"), marking.fine_score(F.col("p_partkey") % 3 != 0, F.col("p_partkey") % 2 == 0, F.when(F.col("p_size") > 10, F.col("p_size") / F.lit(10.0))).alias("fine"))
+
+
+@_query("malformed_replies", None, "select p_partkey as id, cast(case p_partkey % 6 when 3 then 1 when 4 then 1 else 0 end as integer) as n, case p_partkey % 6 when 3 then 'info' when 4 then 'warning' else '' end as severity from part")
+def _(spark, sf_dir):
+    """Replies that are no JSON, an object, a list of other things, a list within text, and none at all."""
+    reply = F.expr("""case p_partkey % 6 when 0 then concat('I find nothing in ', p_name) when 1 then '{"severity": "error"}' when 2 then '[1, "x", null]'
+     when 3 then concat('Here: [{"symbol": "', p_brand, '"}, 3] end') when 4 then '[{"severity": "WARNING", "message": ""}]' end""")
+    found = P.diagnostics_in(P.json_in_text(reply), F.lit("x"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), found.alias("d")).select("id", F.size("d").alias("n"), F.coalesce(F.get("d", F.lit(0))["severity"], F.lit("")).alias("severity"))
+
+
+@_query("cache_keys", None, """select p_partkey as id, sha256(concat('{"inputs":"', p_name, '","model":"', p_brand, '","rule":"r"}')) as key from part""")
+def _(spark, sf_dir):
+    """the payload's names are sorted, whatever their order."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), P.cache_key(F.lit("r").alias("rule"), F.col("p_name").alias("inputs"), F.col("p_brand").alias("model")).alias("key"))
+
+
+@_query("line_breaks", None, "select p_partkey as id, case when p_partkey % 2 = 0 then concat(p_name, '|', p_brand, '||', p_type) else concat(p_name, '|', p_type) end as said from part")
+def _(spark, sf_dir):
+    """all sorts of line breaks; one at the end opens no further line."""
+    text = F.expr("case when p_partkey % 2 = 0 then concat(p_name, '\\r\\n', p_brand, '\\n', '\\n', p_type, '\\r') else concat(p_name, '\\r', p_type, '\\n') end")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.array_join(X.lines(text), "|").alias("said"))
+
+
+#: The 100 first different texts are asked about.
+CHECKED = ", b as (select r.id, t.n <= 100 as asked from r join (select text_all, row_number() over (order by min(cast(id as varchar))) as n from r group by text_all) t on t.text_all = r.text_all)"
+
+
+def _samples(r: DataFrame) -> DataFrame:
+    return graph.spread(r).select(F.lit("d").alias("dataset"), F.col("id").cast("string").alias("id"), F.lit(None).cast("string").alias("question"), F.lit(None).cast("string").alias("context"), F.col("text_all").alias("prediction"))
+
+
+@_query("verify_by_rules", SOLUTIONS, f"select cast(r.id as varchar) as id, -0.5::double * (select count(*) from (select distinct symbol from ({SELF_SQL}) d where d.id = r.id)) - 0.5::double * (select count(*) from (select symbol from df where df.id = r.id group by symbol having count(distinct rhs) >= 2)) - case when b.asked then 2.0::double else 0.0::double end as score from r join b on b.id = r.id", LINES + FORMULAS + USES + CHECKED)
+def _(r):
+    """A native rule, two that ask a model and share 200 calls, and one that is not there."""
+    reply = '[{"severity": "error", "rule": "x", "symbol": null, "message": "wrong"}]'
+    cache = r.sparkSession.createDataFrame([], "namespace string, key string, value string")
+    report, _ = verify.by_rules(_samples(r), ["graph_consistency", "formula_correctness", "precondition_consistency", "no.such.rule"], cache, lambda: judge.ScriptedClient(lambda p: reply), "m", 200)
+    return sinks.light(report).select("id", "score")
+
+
+@_query("verify_by_model", SOLUTIONS, "select cast(b.id as varchar) as id, case when b.asked then -0.5::double else 0.0::double end as score, case when b.asked then 'told' else '' end as said from b", CHECKED)
+def _(r):
+    """One call a different text, for 100 of them; the reply's symbols join the text's."""
+    reply = '{"diagnostics": [{"severity": "warning", "message": "m"}], "symbols": {"k_B": "told"}}'
+    cache = r.sparkSession.createDataFrame([], "namespace string, key string, value string")
+    report, _ = verify.by_model(_samples(r), cache, lambda: judge.ScriptedClient(lambda p: reply), "m", 100)
+    return report.select("id", "score", F.coalesce(F.try_element_at("symbol_nodes", F.lit("k_B")), F.lit("")).alias("said"))
+
+
+
+# --- stages that call Python
 
 
-@_query("judge_stub", SUBMISSIONS, None)
+@_query("judge_stub", SUBMISSIONS, "select cast(id as varchar) as problem_key, 0 as set_index, case when id % 10 = 0 then 1.0::double else 0.8::double end as score, case when id % 10 = 0 then '0.67,0.33' else '0.4,0.4' end as scores, case when id % 10 = 0 then 4 else 1 end as attempt, case when id % 10 = 0 then 0.833::double else 0.0::double end as scale_factor, id % 10 <> 0 as final_success from r")
 def _(r):
-    """Two criteria a problem, judged by a scripted client."""
+    """Two criteria a problem, judged by a scripted client; the scores of a tenth are over the limit at each attempt."""
     problems = r.select(F.col("id").cast("string").alias("problem_key"), F.lit("q").alias("question"), "prediction", F.array(F.array(F.lit("units"), F.lit("value"))).alias("sets"), F.lit(1.0).alias("max_points"))
-    return judge.judge_criteria(problems, lambda: judge.ScriptedClient(lambda p: "\\boxed{0.8}" if "units" in p and "speed" in p else "\\boxed{0.4}")).drop("details")
+    found = judge.judge_criteria(problems, lambda: judge.ScriptedClient(lambda p: "\\boxed{0.8}" if "units" in p and "speed" in p else "\\boxed{0.4}"))
+    scores_ = F.array_join(F.transform("scores", lambda s: s.cast("string")), ",")
+    return found.select("problem_key", "set_index", "score", scores_.alias("scores"), "attempt", F.coalesce("scale_factor", F.lit(0.0)).alias("scale_factor"), "final_success")
 
 
 class LongLine:
@@ -602,7 +701,7 @@ class LongLine:
         return [{"severity": "info", "symbol": None, "message": "long line", "evidence": x} for x in context.text_all.split("\n") if len(x) > 30]
 
 
-@_query("rule_plugin", SOLUTIONS, None)
+@_query("rule_plugin", SOLUTIONS, "select id, cast(len(list_filter(string_split(text_all, chr(10)), lambda x: length(x) > 30)) as integer) as n from r")
 def _(r):
     """X4."""
     rows = _parsed(r).withColumn("dataset", F.lit("d"))

@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import parse
 from gradeloom.functions import text as X
+from gradeloom.sources import store
 
 REQUIRED = ["prediction", "answer"]
 TEXT_FIELDS = {"question": "", "context": "", "solution": "", "modality": "text", "field": "", "subfield": ""}
 
 
 def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """(path, modified, items array<variant>, readable) of each file. A file that is no array is kept, as unreadable."""
+    """(path, modified, items array<variant>, readable) of each file. A file that is no array is kept, as unreadable.
+
+    A file is one JSON array, so one task parses it: a file must fit in a task (some hundred MB), while there may be any number.
+    """
     reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
     raw = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     items = raw.withColumn("items", F.from_json("value", "array<variant>"))
@@ -110,12 +114,9 @@ def statistics_files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
-    """The cache table, or an empty one."""
+    """The cache table, or an empty one where there is none; one that cannot be read is an error, so no reply is paid for twice."""
     schema = "namespace string, key string, value string"
-    try:
-        return spark.read.schema(schema).parquet(path) if path else spark.createDataFrame([], schema)
-    except Exception:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path) if path and store.exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def settings(path: str | None = None) -> dict[str, str]:

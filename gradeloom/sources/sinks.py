@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import answers
 from gradeloom.functions import text as X
+from gradeloom.sources import store
+from gradeloom.sources.store import exists as exists
 
-#: Rows that a single-file report may have; larger tables are written as tables.
-MOST_REPORT_ROWS = 100_000
+#: Bytes that a single-file report may have.
+MOST_REPORT_BYTES = 64 << 20
 
 log = logging.getLogger(__name__)
 
@@ -30,17 +32,17 @@ def versioned(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}_{time.strftime('%Y%m%d_%H%M%S')}_{time.time_ns() % 1_000_000:06d}"
 
 
-def write_report(df: DataFrame, path: str, head: dict | None = None, most: int = MOST_REPORT_ROWS, indent: int = 2) -> str:
-    """One pretty JSON file, if the rows are few enough; else JSON lines in a folder of that name."""
-    rows = [r[0] for r in df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})).limit(most + 1).collect()]
-    if len(rows) > most:
-        return write_table(df, path, "json")
-    body = [json.loads(r) for r in rows]
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    if target.exists():
-        target.rename(versioned(str(target.parent), target.stem) + ".backup")
-    target.write_text(json.dumps(head | {"results": body} if head is not None else body, ensure_ascii=False, indent=indent), encoding="utf-8")
+def write_report(df: DataFrame, path: str, head: dict | None = None, most_bytes: int = MOST_REPORT_BYTES, indent: int = 2) -> str:
+    """One pretty JSON file, for reports of a row a dataset or run. More than most_bytes are an error: such tables go to write_table()."""
+    spark = df.sparkSession
+    lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("line"))
+    size = lines.agg(F.sum(F.octet_length("line"))).first()[0] or 0
+    if size > most_bytes:
+        raise ValueError(f"a report of {size} bytes is more than {most_bytes}; write it as a table")
+    body = [json.loads(r["line"]) for r in lines.collect()]
+    if store.exists(spark, path):
+        store.rename(spark, path, versioned(*path.rsplit("/", 1)) + ".backup")
+    store.write_text(spark, path, json.dumps(head | {"results": body} if head is not None else body, ensure_ascii=False, indent=indent))
     return path
 
 
@@ -68,17 +70,22 @@ def flat(results: DataFrame) -> DataFrame:
 
 def summary_table(scores: DataFrame) -> DataFrame:
     """Ten columns of each dataset that was scored; two of them carry one value."""
-    return scores.filter("total_count > 0").select("dataset_key", "fine_grained_total_score", "fine_grained_score_rate", "coarse_grained_total_score", "coarse_grained_score_rate", "total_score", "score_rate", "max_possible_score", F.col("total_count").alias("total_questions"), "total_count")
+    return scores.filter("total_count > 0").select("dataset_key", F.col("total_count").alias("total_questions"), "total_score", "max_possible_score", "score_rate", "total_count", *_kinds())
+
+
+def _kinds() -> list[Column]:
+    """Fine and coarse totals and rates under the names that tables have for them."""
+    return [F.col(f"{k}_grained_{a}").alias(f"{k}_grained_{b}") for k in ("fine", "coarse") for a, b in (("total_score", "score"), ("score_rate", "rate"))]
 
 
 def multi_run_table(overall: DataFrame) -> DataFrame:
     """P14, K13; no rows is a table too."""
-    return overall.select("dataset_key", "num_runs", "num_questions", "mean_total_score", "std_total_score", "min_total_score", "max_total_score", "mean_score_rate", "std_score_rate", "question_based_score_rate")
+    return overall.select("dataset_key", "num_runs", "num_questions", "mean_total_score", "std_total_score", "mean_score_rate", "std_score_rate", "question_based_mean_score", "question_based_max_score", "question_based_score_rate")
 
 
 def run_table(scores: DataFrame) -> DataFrame:
     """P15, K11."""
-    return scores.select("run_id", "total_score", "score_rate", "fine_grained_total_score", "fine_grained_score_rate", "coarse_grained_total_score", "coarse_grained_score_rate", "max_possible_score", "total_count")
+    return scores.select("run_id", "total_score", "max_possible_score", "score_rate", "total_count", *_kinds())
 
 
 def question_table(stats: DataFrame, pivot: DataFrame, kind: str = "") -> DataFrame:

@@ -1,22 +1,47 @@
-"""Tables written in the shared folder between stages: they cut lineage and outlive lost executors."""
+"""Tables written in the shared folder between stages: they cut lineage and outlive lost executors."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_staged: list[str] = []
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """df, written under spark.checkpoint.dir and read back. Where the session names no folder, a temporary one is set."""
-    spark = df.sparkSession
+
+def folder(spark: SparkSession) -> str:
+    """The shared folder that the session names. Where it names none a local session (tests) gets a temporary one; a cluster must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = found.get() if found.isDefined() else "file://" + tempfile.mkdtemp(prefix="gradeloom-")
-        if not found.isDefined():
-            spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/gradeloom/{name}-{uuid.uuid4().hex}"
+        base = found.get() if found.isDefined() else None
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="gradeloom-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """df, written once and read back: what it calls is called once, however often the result is read."""
+    spark = df.sparkSession
+    path = f"{folder(spark)}/gradeloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_staged(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the staged tables of this process but the first `since`, once the results that read them are written; how many there were."""
+    n = len(_staged) - since
+    while len(_staged) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return max(0, n)
+
+
+def staged() -> int:
+    """How many staged tables there are: what drop_staged() keeps of them."""
+    return len(_staged)

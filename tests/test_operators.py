@@ -197,6 +197,10 @@ def test_evaluate(spark, root, tmp_path):
     engine.save_multi_run(found)
     report = sinks.write_report(sinks.run_table(found["run_scores"]), str(tmp_path / "x/report.json"), {"head": 1})
     assert len(json.loads(open(report).read())["results"]) == 2
+    sinks.write_report(sinks.run_table(found["run_scores"]), str(tmp_path / "x/report.json"))
+    assert sum(p.name.endswith(".backup") for p in (tmp_path / "x").iterdir()) == 1
+    with pytest.raises(ValueError):
+        sinks.write_report(results, str(tmp_path / "x/large.json"), most_bytes=10)
 
 
 def test_repair(spark, tmp_path):
@@ -207,6 +211,14 @@ def test_repair(spark, tmp_path):
     assert found["questions"].first().mean_score == 1.5
     assert found["summary"].first().max_possible_score == 6.0
     assert {r.run_id: r.total_score for r in found["runs"].collect()} == {"r1": 2.0, "r2": 1.0}
+    before = (tmp_path / "a/b/x_multi_run_statistics.json").read_text()
+    out = repair.write(spark, str(tmp_path))
+    assert (tmp_path / "a/b/x_multi_run_statistics.json").read_text() == before
+    again = {r.question_id: r for r in spark.read.json(out["statistics"]).collect()}
+    assert again["q1"].runs.r1.earned_score == 2.0 and again["q1"].statistics.mean_score == 1.5 and again["q2"].statistics is None
+    table = spark.read.parquet(out["questions_coarse"]).first()
+    assert (table.question_id, table.mean_score, table.r1_score, table.r2_score) == ("q1", 1.5, 2.0, 1.0)
+    assert spark.read.parquet(out["summary"]).first().max_possible_score == 6.0 and len(out) == 7
 
 
 def test_verify(spark, root):
@@ -215,7 +227,8 @@ def test_verify(spark, root):
     reply = '[{"severity": "error", "message": "wrong"}]'
     report, fresh = verify.by_rules(samples, ["graph_consistency", "formula_correctness", "tests.test_operators:Loud"], cache, lambda: judge.ScriptedClient(lambda p: reply), "m", 1)
     got = {r.id: (r.score, [d["rule"] for d in r.diagnostics]) for r in report.collect()}
-    assert sorted(len(v[1]) for v in got.values()) in ([1, 4], [2, 3]) and fresh.count() == 1
+    # The one call goes to the first sample.
+    assert {k: len(v[1]) for k, v in got.items()} == {"s1": 4, "s2": 1} and fresh.count() == 1
     assert sinks.light(report).columns == ["id", "dataset", "score", "diagnostics"]
     silent, _ = verify.by_model(samples, cache)
     assert [r.score for r in silent.collect()] == [0.0, 0.0]
@@ -226,6 +239,102 @@ def test_verify(spark, root):
     assert first.prediction == "\\boxed{2}" and "points" in first.meta and "answer" in first.meta
 
 
+class Counted:
+    """A client that writes a line for each call."""
+
+    def __init__(self, path, reply):
+        self.path, self.reply = path, reply
+
+    def working(self):
+        return True
+
+    def generate(self, prompt):
+        with open(self.path, "a") as f:
+            f.write(prompt.split("\n")[0] + "\n")
+        return self.reply
+
+
+def test_calls_are_made_once_within_one_budget(spark, tmp_path):
+    """All rules share the budget, sample by sample; report and cache are of the same calls, however often they are read."""
+    samples = spark.createDataFrame([(f"s{k}", "d", "r", k, f"v{k} = u0 + {k}", None, "E = h * f1") for k in range(6)], "id string, dataset string, run_id string, idx int, question string, context string, prediction string")
+    cache = inference.read_cache(spark, str(tmp_path / "none"))
+    told, specs = tmp_path / "calls", ["formula_correctness", "graph_consistency", "precondition_consistency"]
+    factory = lambda: Counted(str(told), '[{"severity": "error", "message": "wrong"}]')
+    report, fresh = verify.by_rules(samples, specs, cache, factory, "m", 5)
+    for _ in range(2):
+        got = {r.id: sorted(d["rule"] for d in r.diagnostics if d["message"] == "wrong") for r in report.collect()}
+        assert got == {"s0": ["formula_correctness", "precondition_consistency"], "s1": ["formula_correctness", "precondition_consistency"], "s2": ["formula_correctness"], "s3": [], "s4": [], "s5": []}
+        assert fresh.count() == 5
+    assert len(told.read_text().split("\n")) - 1 == 5
+    sinks.append_cache(fresh, str(tmp_path / "cache"))
+    cached = inference.read_cache(spark, str(tmp_path / "cache"))
+    again, more = verify.by_rules(samples, specs, cached, factory, "m", 3)
+    assert more.count() == 3 and again.filter("exists(diagnostics, d -> d.message = 'wrong')").count() == 4 and len(told.read_text().split("\n")) - 1 == 8
+    # Samples that share an id and repeated samples are told apart, or are one, by their text.
+    twice = spark.createDataFrame([("s", "d", "a1 = 2", None, "x"), ("s", "d", "b1 = 2", None, "x"), ("s", "d", "b1 = 2", None, "x")], "id string, dataset string, question string, context string, prediction string")
+    report, fresh = verify.by_rules(twice, ["formula_correctness"], cache, factory, "m", 9)
+    assert report.count() == 3 and fresh.count() == 2 and report.filter("size(diagnostics) = 1").count() == 3
+
+
+def test_stepwise_sums(spark):
+    """Partial sums of cents give what rounding after each addition gives, ties and failures included."""
+    import random
+
+    rng = random.Random(4)
+    cents = lambda x: round(x * 100) / 100  # noqa: E731  Python rounds halves to even
+    rows, want = [], {}
+    for run, digits in (("a", 2), ("b", 3), ("c", 6), ("d", 3)):
+        total = [0.0, 0.0, 0.0]
+        for k in range(400):
+            x = [round(rng.uniform(0, 9), digits) if rng.random() < 0.9 else rng.choice([0.005, 0.015, 1.125, 2.375]) for _ in range(2)]
+            x.append(max(x))
+            failed = "failed" if rng.random() < 0.05 else None
+            rows.append(("d", run, k, f"q{k}", x[0], x[1], x[2], 9.0, failed))
+            if not failed:
+                total = [cents(t + v) for t, v in zip(total, x, strict=True)]
+        want[run] = tuple(total)
+    rng.shuffle(rows)
+    got = scores.dataset_score(spark.createDataFrame(rows, RESULT).repartition(5), ["dataset", "run_id"]).collect()
+    assert {r.run_id: (r.fine_grained_total_score, r.coarse_grained_total_score, r.total_score) for r in got} == want
+
+
+def test_grouped(spark):
+    import random
+
+    from gradeloom.functions import text as X
+
+    rng = random.Random(9)
+    rows = [([(rng.choice("abcdé"), k) for k in range(rng.randrange(9))], rng.sample("abcdxé", rng.randrange(6))) for _ in range(60)]
+    table = spark.createDataFrame(rows, "pairs array<struct<k:string,v:int>>, names array<string>")
+    for r in table.select("*", X.grouped(F.col("pairs"), F.col("names")).alias("g")).collect():
+        assert [(g["name"], g["values"]) for g in r.g] == [(n, [p["v"] for p in r.pairs if p["k"] == n]) for n in r.names]
+
+
+def test_dedupe_keeps_the_first(spark):
+    d = lambda rule, symbol, n: ("info", rule, symbol, "m", str(n))
+    listed = [d("b", None, 0), d("a", "x", 1), d("b", None, 2), d("a", "y", 3), d("a", "x", 4), d("c", None, 5)]
+    table = spark.createDataFrame([(listed,), ([],), (None,)], "d array<struct<severity:string,rule:string,symbol:string,message:string,evidence:string>>")
+    got = [r.k for r in table.select(rules.dedupe(F.col("d")).alias("k")).collect()]
+    assert [x["evidence"] for x in got[0]] == ["0", "1", "3", "5"] and got[1] == [] and got[2] is None
+
+
+def test_stage_folder(spark, monkeypatch):
+    from gradeloom.sources import staging
+
+    before = staging.staged()
+    table = staging.stage(spark.range(3), "t")
+    assert table.count() == 3 and staging.drop_staged(spark, before) == 1 and staging.staged() == before
+
+    class Far:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://far:7077", "_jsc": spark.sparkContext._jsc})  # noqa: N815
+
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if not found.isDefined():
+        with pytest.raises(ValueError):
+            staging.folder(Far)
+
+
 def test_stream(spark, root, tmp_path):
     query = streaming.score_runs(spark, str(root), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination(120)
@@ -238,7 +347,39 @@ def test_cli(spark, root, tmp_path, monkeypatch, capsys):
     monkeypatch.chdir(tmp_path)
     assert cli.main(["--results-dir", str(root), "--dry-run", "--datasets", "D1,D2", "--models", "M1", "--output-dir", str(tmp_path / "o")]) == 0
     assert capsys.readouterr().out.split() == ["D1/M1", "D2/M1"]
-    assert cli.main(["--results-dir", str(root), "--dataset", "D1/M1", "--output-dir", str(tmp_path / "o"), "--rules-check", "--rules", "graph_consistency"]) == 0
+    out = tmp_path / "o"
+    assert cli.main(["--results-dir", str(root), "--dataset", "D1/M1", "--output-dir", str(out), "--rules-check", "--rules", "graph_consistency"]) == 0
+    named = [p.name for p in (out / "rules_reports").iterdir()]
+    assert len(named) == 2 and all(n.startswith("D1_M1__rules(graph_consistency)_") for n in named)
+    assert cli.main(["--results-dir", str(tmp_path / "no"), "--output-dir", str(out)]) == 1
+    # All that wait: D1/M1 has scores by now, and one of D3's files cannot be read while the other has no problems.
+    assert cli.main(["--results-dir", str(root), "--output-dir", str(out)]) == 1
+    summary = json.loads((out / "all_datasets_summary.json").read_text())
+    assert summary["overall"]["num_datasets"] == 1 and {r["dataset_key"]: r["error"] for r in summary["results"]} == {"D2/M1": None, "D3/M1": "no readable problems"}
+    (row,) = json.loads((out / "summary_table.json").read_text())
+    assert set(row) == {"dataset_key", "total_questions", "total_score", "max_possible_score", "score_rate", "total_count", "fine_grained_score", "fine_grained_rate", "coarse_grained_score", "coarse_grained_rate"}
+    many = ["--results-dir", str(root), "--output-dir", str(tmp_path / "m"), "--multi-runs", "--datasets", "D1", "--models", "M1", "--varconst-check"]
+    assert cli.main(many) == 0
+    assert json.loads((tmp_path / "m/all_datasets_multi_run_summary.json").read_text())[0]["num_runs"] == 2
+    reports = sorted(p.name.split("_2")[0] for p in (tmp_path / "m/varconst_reports").iterdir())
+    assert reports == [f"D1_M1__run{k}__varconst_{x}" for k in (1, 2) for x in ("full", "light")]
+    assert cli.main(["--repair-statistics", str(tmp_path / "m")]) == 0
+
+
+class Keyed(judge.ScriptedClient):
+    def __init__(self, key=None):
+        super().__init__(lambda p: key)
+
+
+def test_judge_gate(monkeypatch):
+    from gradeloom.plans import cli
+
+    spec = "tests.test_operators:Keyed"
+    assert cli.judge_of(cli.arguments(["--judge-model", spec]), "k")().generate("x") == "k"
+    assert cli.judge_of(cli.arguments(["--judge-model", spec]), None) is None
+    assert cli.judge_of(cli.arguments(["--judge-model", spec, "--no-judge"]), "k") is None
+    assert cli.judge_of(cli.arguments(["--judge-model", "exact_matching"]), "k") is None
+    assert cli.judge_of(cli.arguments(["--judge-model", "gradeloom.operators.judge:NoClient"]), "k") is None
 
 
 def test_settings(tmp_path):

@@ -21,7 +21,8 @@ def test_whole_tables_are_read(spark):
     events, parts = (spark.read.parquet(f"{SF_DIR}/{t}.parquet").count() for t in ("events", "part"))
     repeats = [r.repeats for r in QUERIES["last_of_repeated"](spark, SF_DIR).collect()]
     assert sum(repeats) == events and max(repeats) > 1
-    assert sorted(r.call_rank for r in QUERIES["budget_rank_all"](spark, SF_DIR).collect()) == list(range(1, parts + 1))
+    assert sum(r.num_runs for r in QUERIES["score_cube_stats"](spark, SF_DIR).collect()) == events
+    assert sorted(r.call_rank for r in QUERIES["budget_rank"](spark, SF_DIR).collect()) == list(range(1, parts + 1))
 
 
 def test_entry(spark):
