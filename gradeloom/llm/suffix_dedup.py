@@ -50,7 +50,7 @@ MAX_EXTENTS = 4096
 #: Parts that a range of distances is cut into at a time.
 SPLIT = 4
 #: Keys that a task remembers to skip equal rows.
-SEEN = 200_000
+SEEN = 20_000
 #: Longer texts are cut into overlapping pieces of so many places.
 PIECE = 1 << 21
 MADE = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept"]
