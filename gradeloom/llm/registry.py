@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["decontaminate", "fingerprint", "html_text", "language", "mixing", "near_dups", "pii", "quality", "suffix_dedup", "token_counts", "token_files"]
+MODULES = ["decontaminate", "fingerprint", "html_text", "importance", "language", "mixing", "near_dups", "pii", "quality", "suffix_dedup", "token_counts", "token_files", "vector_codes"]
 
 
 def _all(name: str) -> dict:
