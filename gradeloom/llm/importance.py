@@ -150,7 +150,7 @@ def noise(doc_id, seed: int = SEED):
 def resample(docs: DataFrame, target: DataFrame, *, text: str = "text", doc_id: str = "doc_id", target_text: str = "text", keep: list[str] | None = None, least: int = LEAST, most: int = MOST, buckets: int = BUCKETS, min_words: int = MIN_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """docs' columns (or those of `keep`) with n_features, weight, score, and rank: 1, 2, ... for those drawn, else null."""
     spark = docs.sparkSession
-    keep = C.others(docs, MADE) if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in MADE]
     features = {"least": least, "most": most, "buckets": buckets}
     inner = [f"k{i}" for i in range(len(keep))]
     named = docs.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner, strict=True)], F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
