@@ -27,7 +27,9 @@ its range block by block. A worker holds two blocks, a file's table of documents
 from __future__ import annotations
 
 import array
+import functools
 import io
+import json
 import os
 import struct
 import uuid
@@ -49,7 +51,9 @@ END_ID = 2
 BLOCK = 1 << 14
 #: A file ends with the document that reaches one of these.
 FILE_IDS, FILE_DOCS = 1 << 28, 1 << 20
-CACHED, LONGEST_CACHED = 200_000, 40
+CACHED, LONGEST_CACHED = 400_000, 40
+#: Signs that may end a word of letters, and the end of the letters that every Unicode version has.
+SIGNS, LATIN_END = ".,;:!?", "\u0250"
 PART = 1 << 20
 MAGIC = b"GLTOKEN1"
 TAIL = struct.Struct("<8sIIQQQQQI")
@@ -95,14 +99,32 @@ def unpack(body: bytes, bits: int, n: int) -> np.ndarray:
     return out.reshape(-1)[:n]
 
 
+def _known_rules(config: dict) -> bool:
+    """Whether the tokenizer normalises by NFC, white space and case alone, and makes words of letters alone and of signs alone."""
+    steps = (config.get("normalizer") or {}).get("normalizers", [])
+    plain = {"NFC", "Replace", "Lowercase"}
+    if {n["type"] for n in steps} != plain or any(n["type"] == "Replace" and (n["pattern"], n["content"]) != ({"Regex": r"\s+"}, " ") for n in steps):
+        return False
+    cuts = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [c["type"] for c in cuts] != ["Split", "ByteLevel"] or cuts[1]["add_prefix_space"] or cuts[1]["use_regex"] or not (cuts[0]["invert"] and cuts[0]["behavior"] == "Removed"):
+        return False
+    runs = cuts[0]["pattern"].get("Regex", "").split("|")
+    return runs[-3:] == [r"[\p{L}]+", r"[\p{N}]", r"[^\s\p{L}\p{N}]+"] and all(r.startswith("'") for r in runs[:-3])
+
+
 class Encoder(dict):
-    """Ids of texts; maps a word to its ids' bytes. Words live in two generations, so those in use stay when one is full."""
+    """Ids of texts; maps a word to its ids' bytes. Words live in two generations, so those in use stay when one is full.
+
+    Where the rules are known, a word that ends in a sign is what stands before and the sign, and a word of ASCII letters goes to the
+    library's model as it is: normaliser and pre-tokenizer would but lower it.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.code = "H" if self.size <= 1 << 16 else "I"
         self.dtype = np.dtype("<u2" if self.code == "H" else "<u4")
@@ -110,7 +132,8 @@ class Encoder(dict):
         # Where white space yields ids, or changes those beside it, words can't be encoded apart.
         probe = ["a", "ab's", "1", "é!", "  "]
         apart = [i for w in probe for i in self._ids(w)]
-        self.by_word = all(self._ids(sep.join(probe)) == apart for sep in (" ", "\n", "\t", " \n ")) and not self._ids(" \t\n")
+        self.by_rule = _known_rules(json.loads(self.tokenizer.to_str()))
+        self.by_word = self.by_rule and all(self._ids(sep.join(probe)) == apart for sep in (" ", "\n", "\t", " \n ")) and not self._ids(" \t\n")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -118,7 +141,12 @@ class Encoder(dict):
     def __missing__(self, word: str) -> bytes:
         found = self.old.get(word)
         if found is None:
-            found = array.array(self.code, self._ids(word)).tobytes()
+            if word.isascii() and word.isalpha():
+                found = array.array(self.code, [t.id for t in self.model.tokenize(word.lower())]).tobytes()
+            elif word[-1:] in SIGNS and word[:-1].lower().isalpha() and max(word) < LATIN_END:
+                return self[word[:-1]] + self[word[-1]]
+            else:
+                found = array.array(self.code, self._ids(word)).tobytes()
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHED:
                 self.old = dict(self)
@@ -141,6 +169,12 @@ class Encoder(dict):
         return b"".join(out)
 
 
+@functools.lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder, which remembers words from task to task."""
+    return Encoder(path)
+
+
 class TokenFile:
     """One file, by random access."""
 
@@ -241,7 +275,7 @@ def encoded(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", path
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__body", T.BinaryType())])
 
     def step(batches):
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         if end_id >= encoder.size:
             raise ValueError(f"the end id {end_id} is not below the vocabulary's size {encoder.size}")
         end, z = np.array([end_id], encoder.dtype).tobytes(), zstandard.ZstdCompressor(level=3)
@@ -281,16 +315,20 @@ def write_tokens(docs: DataFrame, folder: str, *, text: str = "text", doc_id: st
 
         z = zstandard.ZstdDecompressor()
         for big in batches:
-            lo = 0
-            while lo < big.num_rows:
+            for lo in range(0, big.num_rows, 500):
                 b = big.slice(lo, 500)
-                lo += b.num_rows
-                if writer is None:
-                    writer = _Writer(filesystem, f"{root}/files/{part:06d}-{len(done):04d}-{attempt}.tok", bits, block)
-                writer.add(b.column(0), [np.frombuffer(z.decompress(x), kind) for x in b.column(1).to_pylist()])
-                if writer.n_ids >= file_ids or writer.n_docs >= file_docs:
-                    close()
-                    writer = None
+                bodies = [np.frombuffer(z.decompress(x), kind) for x in b.column(1).to_pylist()]
+                at = 0
+                while at < len(bodies):
+                    if writer is None:
+                        writer = _Writer(filesystem, f"{root}/files/{part:06d}-{len(done):04d}-{attempt}.tok", bits, block)
+                    total = writer.n_ids + np.cumsum([len(x) for x in bodies[at:]])
+                    n = min(len(bodies) - at, int(np.searchsorted(total, file_ids)) + 1, file_docs - writer.n_docs)
+                    writer.add(b.column(0).slice(at, n), bodies[at : at + n])
+                    at += n
+                    if writer.n_ids >= file_ids or writer.n_docs >= file_docs:
+                        close()
+                        writer = None
         if writer is not None:
             close()
         if done:
