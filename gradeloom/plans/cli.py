@@ -141,19 +141,18 @@ def main(argv: list[str] | None = None) -> int:
         for pair in listed:
             print("/".join(pair))
         return 0
-    failed, done, overall = 0, [], []
-    if args.multi_runs:
-        for dataset, model in listed:
-            try:
-                found = engine.multi_run(dataset, model)
-                engine.save_multi_run(found)
-                overall.append(staging.stage(found["overall"], "overall"))
-                done.append((dataset, model))
-            except Exception as e:
+    failed, done = 0, []
+    if args.multi_runs and listed:
+        found, told = engine.multi_run_pairs(pairs)
+        engine.save_multi_run(found)
+        for r in told.orderBy("dataset", "model").collect():
+            if r["error"]:
                 failed += 1
-                log.exception("%s/%s failed: %s", dataset, model, e)
-        if overall:
-            engine.save_multi_run_summary(functools.reduce(DataFrame.unionByName, overall))
+                log.error("%s/%s: %s", r["dataset"], r["model"], r["error"])
+            else:
+                done.append((r["dataset"], r["model"]))
+        if done:
+            engine.save_multi_run_summary(found["overall"])
     elif listed:
         results, totals = engine.evaluate_pairs(pairs)
         engine.save(results, totals)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import answers, parse
 from gradeloom.functions import text as X
 from gradeloom.operators import catalog, judge, marking, scores
-from gradeloom.sources import inference, sinks
+from gradeloom.sources import documents, inference, sinks, statistics, store
 from gradeloom.sources.staging import stage
 
 log = logging.getLogger(__name__)
@@ -56,11 +56,12 @@ class Engine:
     parallelism: int | None = None
 
     def files(self, dataset: str | None = None, model: str | None = None) -> DataFrame:
-        return inference.keyed(inference.read_files(self.spark, f"{self.infer_dir}/{dataset or '*'}/{model or '*'}"))
+        named = lambda n: store.escaped(n) if n else "*"
+        return inference.keyed(inference.read_files(self.spark, f"{store.escaped(self.infer_dir)}/{named(dataset)}/{named(model)}"))
 
     def evaluate(self, dataset: str, model: str, run: str | None = None) -> tuple[DataFrame, DataFrame]:
-        """M1: (results, one row of A1) of a run, the newest unless one is named."""
-        files = self.files(dataset, model)
+        """M1: (results, one row of A1) of a run, the newest unless one is named; an error where none can be read."""
+        files = inference.require_runs(self.files(dataset, model), f"{dataset}/{model}")
         files = files.filter(F.col("run_id") == run) if run else inference.newest(files, ["dataset", "model"])
         results = score_problems(inference.problems(files, self.parallelism), self.client)
         return results, scores.dataset_score(results, ["dataset", "model", "run_id"])
@@ -89,21 +90,35 @@ class Engine:
         return self.spark.read.option("recursiveFileLookup", True).parquet(path).select("dataset", "model").distinct()
 
     def multi_run(self, dataset: str, model: str) -> dict[str, DataFrame]:
-        """M3, M4: all runs side by side: results, run_scores, questions, overall, pivot."""
+        """M3, M4: all runs of a dataset side by side; an error where none can be read."""
+        return self._over_runs(inference.require_runs(self.files(dataset, model), f"{dataset}/{model}"))
+
+    def multi_run_pairs(self, pairs: DataFrame) -> tuple[dict[str, DataFrame], DataFrame]:
+        """M3, M4 for given pairs (dataset, model) in one plan: the tables of all of them, and the pairs, with an error where nothing could be read."""
+        keys = ["dataset", "model"]
+        found = self._over_runs(self.files().join(pairs, keys, "left_semi"))
+        read = found["overall"].select(*keys, "num_runs")
+        return found, pairs.join(read, keys, "left").withColumn("error", F.when(F.col("num_runs").isNull(), "no readable problems"))
+
+    def _over_runs(self, files: DataFrame) -> dict[str, DataFrame]:
+        """results, run_scores, questions, overall and own (each question's last result in each run), by dataset and model."""
         keys = ["dataset", "model"]
-        results = stage(score_problems(inference.problems(self.files(dataset, model), self.parallelism), self.client, over_runs=True), "results")
+        results = stage(score_problems(inference.problems(files, self.parallelism), self.client, over_runs=True), "results")
         first = scores.first_run_questions(results, keys)
-        own = scores.last_of_repeated(scores.scored(results), keys).drop("max_points").join(first, [*keys, "question_id"])
+        own = stage(scores.last_of_repeated(scores.scored(results), keys).drop("max_points").join(first, [*keys, "question_id"]), "own")
         texts = results.groupBy(*keys, "question_id").agg(F.min_by("question", "run_id").alias("question"))
         stats = first.drop("max_points").join(scores.question_stats(own, [*keys, "question_id"]), [*keys, "question_id"], "left").join(first.select(*keys, "question_id", "max_points"), [*keys, "question_id"]).join(texts, [*keys, "question_id"], "left")
-        stats = stats.withColumn("num_runs", F.coalesce("num_runs", F.lit(0)))
-        return {"results": results, "run_scores": scores.dataset_score(results, [*keys, "run_id"]), "questions": stats, "overall": scores.overall_stats(results, stats, keys), "own": own}
+        stats = stage(stats.withColumn("num_runs", F.coalesce("num_runs", F.lit(0))), "questions")
+        runs = stage(scores.dataset_score(results, [*keys, "run_id"]), "runs")
+        overall = scores.run_stats(runs, keys).join(scores.question_based(stats, keys), keys)
+        return {"results": results, "run_scores": runs, "questions": stats, "overall": overall, "own": own}
 
     def save(self, results: DataFrame, totals: DataFrame) -> None:
-        """K2-K4 (M8)."""
+        """K2-K4 (M8): tables, and a workbook for each run."""
         sinks.write_table(totals.filter("total_count is not null"), sinks.versioned(f"{self.eval_dir}/scores", "score"))
         sinks.write_table(sinks.detailed(results).withColumn("marking", F.to_json("marking")), sinks.versioned(self.eval_dir, "detailed_results"), "json")
         sinks.write_table(sinks.flat(results), sinks.versioned(self.eval_dir, "detailed"))
+        documents.write(statistics.detailed_books(results), self.eval_dir, statistics.ORDER)
 
     def save_summary(self, totals: DataFrame) -> dict:
         """K5, K6, A5 (M8): all datasets, failed ones with nulls; the table of the others; the grand total, which is returned."""
@@ -122,11 +137,9 @@ class Engine:
         sinks.write_table(sinks.multi_run_table(named), sinks.versioned(self.eval_dir, "multi_run_summary_table"))
 
     def save_multi_run(self, found: dict[str, DataFrame]) -> None:
-        """The statistics, three question tables and the run table."""
-        runs = [r[0] for r in found["results"].select("run_id").distinct().orderBy("run_id").collect()]
-        for kind, column in (("", "earned_points"), ("_fine", "fine_grained_score"), ("_coarse", "coarse_grained_score")):
-            pivot = scores.pivot_runs(found["own"], runs, ["question_id"], column).withColumnsRenamed({r: f"{r}_score" for r in runs})
-            sinks.write_table(sinks.question_table(found["questions"], pivot, kind), sinks.versioned(self.eval_dir, f"question_statistics{kind}"))
-        sinks.write_table(sinks.run_table(found["run_scores"]), sinks.versioned(self.eval_dir, "run_summary"))
-        sinks.write_table(sinks.nested_runs(found["own"], ["dataset", "model", "question_id"]), sinks.versioned(self.eval_dir, "multi_run_statistics"), "json")
-        sinks.write_table(found["overall"], sinks.versioned(self.eval_dir, "multi_run_summary"))
+        """Below each dataset and model its statistics document and four workbooks; three tables partitioned by dataset and model."""
+        keys = ["dataset", "model"]
+        documents.write(statistics.documents(found).unionByName(statistics.workbooks(found)), self.eval_dir, statistics.ORDER)
+        questions = found["questions"].join(statistics.by_run(found["own"], keys), [*keys, "question_id"], "left")
+        for name, table in {"question_statistics": questions, "run_summary": sinks.run_table(found["run_scores"], keys), "multi_run_summary": found["overall"]}.items():
+            sinks.write_table(table, sinks.versioned(self.eval_dir, name), partitions=keys)

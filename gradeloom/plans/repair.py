@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
 from gradeloom.operators import scores
-from gradeloom.sources import inference, sinks
+from gradeloom.sources import documents, inference, sinks, statistics, store
 from gradeloom.sources.staging import drop_staged, stage, staged
 
 
@@ -40,17 +40,90 @@ def rewritten(rows: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     return questions.withColumn("runs", F.map_from_entries("runs")).join(stats, ["dataset", "question_id"], "left")
 
 
+#: What a repair writes anew beside a question's own fields, besides its runs and statistics.
+TOP = ["mean_score", "std_score", "min_score", "max_score", "median_score"]
+NEW = [f"{m}{k}_score" for k in scores.SCORES for m in ("mean", "std", "min", "max", "median")]
+
+
+def _inner(listed: Column) -> Column:
+    """A JSON object's text without its braces."""
+    return listed.substr(F.lit(2), F.length(listed) - 2)
+
+
+def _joined(*parts: Column) -> Column:
+    """Parts of an object, those that are empty left out."""
+    return F.array_join(F.filter(F.array(*parts), lambda p: F.length(p) > 0), ",")
+
+
+def _without(entries: Column, names: list[str]) -> Column:
+    return F.map_filter(entries, lambda k, _: ~k.isin(names))
+
+
+def plain_root(spark: SparkSession, root: str) -> str:
+    """A folder's path without its store, as it stands in the paths of the files below it."""
+    return store.qualified(spark, root).rstrip("/").partition(":")[2].lstrip("/")
+
+
+def documents_of(statistics_files: DataFrame, root: str) -> DataFrame:
+    """Each statistics file anew, as rows for documents.write(): all its fields, with earned scores, each question's statistics and
+    the overall ones recomputed. Questions without runs, and the overall statistics of a file without any, stay as they are."""
+    get, entries = F.try_variant_get, "map<string,variant>"
+    file = F.substr(F.col("path"), F.instr(F.col("path"), F.lit(root)) + len(root) + 1)
+    top = statistics_files.filter("statistics is not null").select("path", file.alias("file"), get("statistics", "$", entries).alias("top"), "statistics")
+    asked = top.select("path", "file", F.posexplode(get("statistics", "$.question_statistics", entries)).alias("at", "question_id", "q"))
+    real = opened(statistics_files).filter("run_id is not null")
+    own = scores.question_stats(real, ["path", "question_id"], 4, True)
+    overall = scores.pooled_stats(real, ["path"])
+    earned = lambda r: scores.earned(*(F.coalesce(get(r[n], "$", "double"), F.lit(0.0)) for n in ("fine_grained_score", "coarse_grained_score")))
+    again = lambda _, r: F.map_concat(_without(r, ["earned_score"]), F.create_map(F.lit("earned_score"), earned(r).cast("variant")))
+    runs = F.to_json(F.transform_values(get("q", "$.runs", f"map<string,{entries}>"), again))
+    before = F.coalesce(get("q", "$.statistics", entries), F.create_map().cast(entries))
+    told = F.concat(F.lit("{"), _joined(_inner(F.to_json(_without(before, [*NEW, "score_rate", "num_runs"]))), _inner(F.to_json(F.struct(*NEW, "score_rate", "num_runs")))), F.lit("}"))
+    rest = _inner(F.to_json(_without(get("q", "$", entries), ["runs", "statistics", *TOP])))
+    anew = F.concat(F.lit("{"), _joined(rest, F.concat(F.lit('"runs":'), runs), F.concat(F.lit('"statistics":'), told), _inner(F.to_json(F.struct(*TOP)))), F.lit("}"))
+    question = statistics.entry(F.col("question_id"), F.when(F.col("num_runs").isNull(), F.to_json("q")).otherwise(anew))
+    questions = asked.join(own, ["path", "question_id"], "left")
+    all_ = top.join(overall.select("path", F.to_json(F.struct(*[c for c in overall.columns if c != "path"])).alias("overall")), "path", "left")
+    kept = F.coalesce("overall", F.to_json(get("statistics", "$.overall_statistics", "variant")))
+    has = F.map_contains_key("top", F.lit("question_statistics"))
+    opens = F.concat(F.lit("{\n"), _joined(_inner(F.to_json(_without(F.col("top"), ["question_statistics", "overall_statistics"]))), F.when(has, F.lit('\n"question_statistics": {\n')).otherwise("")))
+    ends = F.concat(F.when(has, "\n}").otherwise(""), F.coalesce(F.concat(F.lit(',\n"overall_statistics": '), kept), F.lit("")), F.lit("\n}\n"))
+    at = F.col("file")
+    return statistics.union([statistics.rows(all_, at, 0, opens), statistics.rows(questions, at, 1, question, F.col("question_id"), F.col("at")), statistics.rows(all_, at, 2, ends)])
+
+
+def books_of(rows: DataFrame, root: str) -> DataFrame:
+    """The workbooks of each statistics file, in its folder, as rows for documents.write()."""
+    file = F.substr(F.col("path"), F.instr(F.col("path"), F.lit(root)) + len(root) + 1)
+    in_folder = lambda name: F.concat(F.regexp_extract("file", "^(.*/)?", 0), F.lit(name))
+    rows = rows.withColumn("file", file)
+    real, keys = rows.filter("run_id is not null"), ["file"]
+    own = scores.question_stats(real, [*keys, "question_id"], 4, True)
+    titles = rows.groupBy(*keys, "question_id").agg(F.max("max_points").alias("max_points"), F.first("question").alias("question"))
+    questions = titles.join(own, [*keys, "question_id"]).join(statistics.by_run(real, keys), [*keys, "question_id"]).withColumn("at", F.lit(0))
+    runs = real.groupBy(keys).agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
+    table = scores.run_summary(real, titles, "file").withColumnRenamed("file", "of")
+    table = table.withColumns({"file": F.col("of"), "run_dir": F.col("run_id")}).select("file", "run_dir", "run_id", "total_score", "max_possible_score", "score_rate")
+    head = statistics.rows(runs, in_folder("run_summary.xlsx"), 0, statistics.book_head(["run_dir", "total_score", "max_possible_score", "score_rate"]))
+    listed = statistics.rows(table, in_folder("run_summary.xlsx"), 1, F.to_json(F.struct("run_dir", "total_score", "max_possible_score", "score_rate")), F.col("run_id"))
+    return statistics.union([statistics.books(questions, runs, in_folder, ["median_score"]), head, listed])
+
+
 def write(spark: SparkSession, root: str) -> dict[str, str]:
-    """Recomputes all statistics below a folder into a new version of it; the paths that were written.
+    """Recomputes all statistics below a folder into a new folder beside it; the tables that were written.
 
-    What was there stays as it is: it is the backup. Written are the statistics, three tables of questions, the runs, the
-    overall statistics and the summary by file.
+    What was there stays as it is: it is the backup. Each statistics file and its workbooks stand in the new folder where they stood in the
+    old one, so a repair of the new folder finds them and changes nothing. Beside them are the statistics as lines, three tables of
+    questions, the runs, the overall statistics and the summary by file.
     """
     before = staged()
-    rows = stage(opened(inference.statistics_files(spark, root)), "statistics")
+    plain = plain_root(spark, root)
+    files = stage(inference.statistics_files(spark, root), "statistics-files")
+    rows = stage(opened(files), "statistics")
     found = repaired(rows)
-    base = sinks.versioned(root, "repaired")
+    base = sinks.versioned(*f"{root.rstrip('/')}_repaired".rpartition("/")[::2])
     out = {"statistics": sinks.write_table(rewritten(rows, found), f"{base}/statistics", "json")}
+    documents.write(documents_of(files, plain).unionByName(books_of(rows, plain)), base, statistics.ORDER)
     real = rows.filter("run_id is not null")
     runs = sorted(r[0] for r in real.select("run_id").distinct().collect())
     titles = rows.groupBy("dataset", "question_id").agg(F.max("max_points").alias("max_points"), X.shorten(F.first("question")).alias("question"))

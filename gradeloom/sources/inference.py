@@ -5,24 +5,30 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import parse
 from gradeloom.functions import text as X
-from gradeloom.sources import store
+from gradeloom.sources import workbooks
+from gradeloom.sources.cache import SCHEMA, ReplyCache
 
 REQUIRED = ["prediction", "answer"]
 TEXT_FIELDS = {"question": "", "context": "", "solution": "", "modality": "text", "field": "", "subfield": ""}
 
 
+def decoded(path: Column) -> Column:
+    """A file's path as it is: Spark tells it with blanks and other signs as %XX (and a plus as it is)."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
     """(path, modified, items array<variant>, readable) of each file. A file that is no array is kept, as unreadable.
 
     A file is one JSON array, so one task parses it: a file must fit in a task (some hundred MB), while there may be any number.
     """
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
-    raw = reader.text(paths).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+    reader = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
+    raw = reader.text(paths, wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
     items = raw.withColumn("items", F.from_json("value", "array<variant>"))
     return items.select("path", "modified", "items", F.col("items").isNotNull().alias("readable"))
 
@@ -39,6 +45,13 @@ def newest(files: DataFrame, keys: list[str]) -> DataFrame:
     return files.join(best, [*keys, "path"], "left_semi")
 
 
+def require_runs(files: DataFrame, what: str) -> DataFrame:
+    """The files themselves, if one of them can be read."""
+    if files.filter("readable").isEmpty():
+        raise ValueError(f"no run of {what} can be read")
+    return files
+
+
 def problems(files: DataFrame, parallelism: int | None = None) -> DataFrame:
     """One row a problem with its place in the file, all fields normalised (P1, P4). Files that can't be read give none.
 
@@ -94,14 +107,16 @@ def from_rows(spark: SparkSession, rows: list[dict], schema: str, validate: bool
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
-    """S3: JSON, workbook or text, by the name's ending."""
+    """S3: JSON, workbook, Parquet or text, by the name's ending."""
     ending = Path(path).suffix.lower()
     if ending == ".json":
         return spark.read.option("multiLine", True).json(path)
     if ending == ".parquet":
         return spark.read.parquet(path)
-    if ending in (".xlsx", ".xls"):
-        import pandas as pd  # needs a workbook library beside it
+    if ending == ".xlsx":
+        return workbooks.read(spark, path)
+    if ending == ".xls":
+        import pandas as pd  # the older binary kind needs a library beside it
 
         return spark.createDataFrame(pd.read_excel(path))
     return spark.read.text(path)
@@ -109,14 +124,13 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 def statistics_files(spark: SparkSession, root: str) -> DataFrame:
     """Every *multi_run_statistics.json below a folder."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*multi_run_statistics.json")
-    return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.try_parse_json("value").alias("statistics"))
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*multi_run_statistics.json")
+    return reader.text(root, wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("path"), F.try_parse_json("value").alias("statistics"))
 
 
 def read_cache(spark: SparkSession, path: str | None) -> DataFrame:
-    """The cache table, or an empty one where there is none; one that cannot be read is an error, so no reply is paid for twice."""
-    schema = "namespace string, key string, value string"
-    return spark.read.schema(schema).parquet(path) if path and store.exists(spark, path) else spark.createDataFrame([], schema)
+    """The cache, one row a key, or an empty table where there is none; one that cannot be read is an error, so no reply is paid for twice."""
+    return ReplyCache(spark, path).read().select("namespace", "key", "value") if path else spark.createDataFrame([], SCHEMA)
 
 
 def settings(path: str | None = None) -> dict[str, str]:

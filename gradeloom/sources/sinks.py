@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import answers
 from gradeloom.functions import text as X
 from gradeloom.sources import store
+from gradeloom.sources.cache import ReplyCache
 from gradeloom.sources.store import exists as exists
 
 #: Bytes that a single-file report may have.
@@ -21,9 +22,9 @@ MOST_REPORT_BYTES = 64 << 20
 log = logging.getLogger(__name__)
 
 
-def write_table(df: DataFrame, path: str, kind: str = "parquet") -> str:
+def write_table(df: DataFrame, path: str, kind: str = "parquet", partitions: list[str] | None = None) -> str:
     """A table in a folder that must not exist yet (K16: versions instead of overwriting)."""
-    df.write.format(kind).mode("error").save(path)
+    df.write.format(kind).mode("error").partitionBy(*(partitions or [])).save(path)
     return path
 
 
@@ -47,8 +48,8 @@ def write_report(df: DataFrame, path: str, head: dict | None = None, most_bytes:
 
 
 def append_cache(rows: DataFrame, path: str) -> None:
-    """New replies, once a batch."""
-    rows.select("namespace", "key", "value").write.mode("append").parquet(path)
+    """New replies, as one batch."""
+    ReplyCache(rows.sparkSession, path).append(rows)
 
 
 def detailed(results: DataFrame) -> DataFrame:
@@ -62,10 +63,10 @@ def detailed(results: DataFrame) -> DataFrame:
     )
 
 
-def flat(results: DataFrame) -> DataFrame:
-    """K4: the detailed table with plain columns, row by row (Q14)."""
+def flat(results: DataFrame, also: list[str] | None = None) -> DataFrame:
+    """K4: the detailed table with plain columns, row by row (Q14), behind those of `also`."""
     made = answers.plain_answers(answers.shown_answers(F.col("extracted_pred")))
-    return results.filter("error is null").select("question_id", "question", "prediction", "fine_grained_score", "coarse_grained_score", "earned_points", made.alias("extracted_prediction"), F.coalesce(F.to_json("marking_detailed_scores"), F.lit("[]")).alias("marking_detailed_scores"))
+    return results.filter("error is null").select(*(also or []), "question_id", "question", "prediction", "fine_grained_score", "coarse_grained_score", "earned_points", made.alias("extracted_prediction"), F.coalesce(F.to_json("marking_detailed_scores"), F.lit("[]")).alias("marking_detailed_scores"))
 
 
 def summary_table(scores: DataFrame) -> DataFrame:
@@ -83,15 +84,9 @@ def multi_run_table(overall: DataFrame) -> DataFrame:
     return overall.select("dataset_key", "num_runs", "num_questions", "mean_total_score", "std_total_score", "mean_score_rate", "std_score_rate", "question_based_mean_score", "question_based_max_score", "question_based_score_rate")
 
 
-def run_table(scores: DataFrame) -> DataFrame:
-    """P15, K11."""
-    return scores.select("run_id", "total_score", "max_possible_score", "score_rate", "total_count", *_kinds())
-
-
-def question_table(stats: DataFrame, pivot: DataFrame, kind: str = "") -> DataFrame:
-    """A question's statistics of one kind of score beside its score in each run; the rate is the earned one's (Q15)."""
-    own = [F.col(f"{m}{kind}_score").alias(f"{m}_score") for m in ("mean", "std", "min", "max")]
-    return stats.select("question_id", X.shorten(F.col("question")).alias("question"), "max_points", "num_runs", *own, "score_rate").join(pivot, "question_id", "left")
+def run_table(scores: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """P15, K11; behind keys that tell datasets apart."""
+    return scores.select(*(keys or []), "run_id", "total_score", "max_possible_score", "score_rate", "total_count", *_kinds())
 
 
 def nested_runs(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -12,8 +12,8 @@ from gradeloom.sources import inference
 
 
 def stream(spark: SparkSession, root: str) -> DataFrame:
-    reader = spark.readStream.option("wholetext", True).option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
-    raw = reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.from_json("value", "array<variant>").alias("items"))
+    reader = spark.readStream.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True)
+    raw = reader.text(root, wholetext=True).select(inference.decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.from_json("value", "array<variant>").alias("items"))
     return inference.keyed(raw.withColumn("readable", F.col("items").isNotNull()))
 
 
