@@ -1,26 +1,26 @@
 """Calls to a language model: client protocol, offline stub, cache, budget, and the judging of criteria.
 
-Calls happen in one mapInPandas stage, in partitions of their own; everything before and after is plain DataFrame work. A reply
-that failed is kept with its error and never put in the cache (Q12).
+Calls happen in one stage (operators/calls.py: a pool, time limits, retries, a journal); everything before and after is plain DataFrame
+work. A reply that failed is kept with its error and never put in the cache (Q12).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from typing import Protocol
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gradeloom.functions import answers, parse
 from gradeloom.operators import marking
+from gradeloom.operators.calls import JUDGE, VERIFIER, Policy, Refused
+from gradeloom.operators.calls import call as call
 from gradeloom.sources.staging import stage
 
 
 class Client(Protocol):
-    """Made in each worker by a factory, so it need not be picklable."""
+    """Made in each task by a factory, so it need not be picklable; generate() is called from several threads."""
 
     def working(self) -> bool: ...
 
@@ -34,7 +34,7 @@ class NoClient:
         return False
 
     def generate(self, prompt: str) -> str:
-        raise RuntimeError("no model is configured")
+        raise Refused("no model is configured")
 
 
 class ScriptedClient:
@@ -55,27 +55,6 @@ def judge_wanted(name: str | None, key: str | None, working: bool) -> bool:
     return bool(name) and name != "exact_matching" and bool(key) and working
 
 
-def call(prompts: DataFrame, factory: Callable[[], Client], prompt: str = "prompt", parallelism: int | None = None) -> DataFrame:
-    """prompts with reply and call_error."""
-    rows = prompts.repartition(parallelism) if parallelism else prompts
-    schema = T.StructType([*rows.schema.fields, T.StructField("reply", T.StringType()), T.StructField("call_error", T.StringType())])
-
-    def step(frames: Iterable[pd.DataFrame]):
-        client = factory()
-        for frame in frames:
-            replies, errors = [], []
-            for p in frame[prompt]:
-                try:
-                    replies.append(client.generate(p).strip())
-                    errors.append(None)
-                except Exception as e:
-                    replies.append(None)
-                    errors.append(str(e))
-            yield frame.assign(reply=pd.Series(replies, dtype=object, index=frame.index), call_error=pd.Series(errors, dtype=object, index=frame.index))
-
-    return rows.mapInPandas(step, schema)
-
-
 def lookup(payloads: DataFrame, cache: DataFrame) -> DataFrame:
     """Payloads (namespace, key, ...) with the cached value, null where there is none."""
     return payloads.join(cache.select("namespace", "key", "value"), ["namespace", "key"], "left")
@@ -101,7 +80,7 @@ def with_budget(missing: DataFrame, order: list[str], most_calls: int) -> DataFr
     return budget_rank(missing, order).filter(F.col("call_rank") <= most_calls) if most_calls > 0 else missing.limit(0)
 
 
-def answered(payloads: DataFrame, cache: DataFrame, factory: Callable[[], Client], order: list[str], most_calls: int, prompt: str = "prompt") -> tuple[DataFrame, DataFrame]:
+def answered(payloads: DataFrame, cache: DataFrame, factory: Callable[[], Client], order: list[str], most_calls: int, prompt: str = "prompt", policy: Policy = VERIFIER, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(payloads with value, new cache rows): from the cache, then by calls within the budget, once a distinct payload; the rest has null.
 
     The budget goes to distinct payloads by the first place of each in the order. Replies are staged, so both results tell of the
@@ -111,7 +90,8 @@ def answered(payloads: DataFrame, cache: DataFrame, factory: Callable[[], Client
     place = F.struct(*order)
     missing = found.filter(F.col("value").isNull()).groupBy("namespace", "key").agg(F.min(place).alias("place"), F.min_by(prompt, place).alias(prompt))
     missing = missing.select("namespace", "key", prompt, *[F.col(f"place.{o}").alias(o) for o in order if o not in ("namespace", "key")])
-    called = stage(call(with_budget(missing, order, most_calls), factory, prompt).select("namespace", "key", "reply", "call_error"), "replies")
+    asked = with_budget(missing, order, most_calls)
+    called = stage(call(asked, factory, prompt, None, policy, journal, F.concat_ws("/", "namespace", "key")).select("namespace", "key", "reply", "call_error"), "replies")
     fresh = called.filter(F.col("call_error").isNull()).select("namespace", "key", F.to_json(parse.json_in_text(F.col("reply"))).alias("value")).filter(F.col("value").isNotNull())
     full = found.join(fresh.withColumnRenamed("value", "__new"), ["namespace", "key"], "left").withColumn("value", F.coalesce("value", "__new")).drop("__new")
     return full, fresh
@@ -129,11 +109,12 @@ def criterion_prompt(question: Column, prediction: Column, criterion: Column, mo
     )
 
 
-def judge_criteria(problems: DataFrame, factory: Callable[[], Client], attempts: int = 4, parallelism: int | None = None) -> DataFrame:
+def judge_criteria(problems: DataFrame, factory: Callable[[], Client], attempts: int = 4, parallelism: int | None = None, policy: Policy = JUDGE, journal: str | None = None) -> DataFrame:
     """Fine scores of problems (problem_key, question, prediction, sets array<array<string>>, max_points).
 
     Each (problem, set, criterion) is judged on its own. All attempts of the sets that are over the limit run after one another;
-    a set within the limit is not judged again. One row a set: problem_key, set_index, score, scores, attempt, scale_factor, details.
+    a set within the limit is not judged again. With a journal, a call is named by problem, set, criterion and attempt, so what was answered
+    before a failure is not asked again. One row a set: problem_key, set_index, score, scores, attempt, scale_factor, details.
     """
     sets = problems.select("problem_key", "question", "prediction", "max_points", F.posexplode("sets").alias("set_index", "marks"))
     sets = sets.withColumn("criteria", parse.criteria(F.col("marks")))
@@ -141,7 +122,8 @@ def judge_criteria(problems: DataFrame, factory: Callable[[], Client], attempts:
     for attempt in range(1, attempts + 1):
         asked = pending.select("problem_key", "set_index", "max_points", "question", "prediction", F.explode_outer("criteria").alias("c"))
         asked = asked.withColumn("prompt", criterion_prompt(F.col("question"), F.col("prediction"), F.coalesce("c.description", F.lit("")), F.col("max_points"), F.lit(attempt)))
-        judged = call(asked.filter("c is not null"), factory, "prompt", parallelism)
+        named = F.to_json(F.struct("problem_key", "set_index", F.col("c.index").alias("criterion"), F.lit(attempt).alias("attempt"), F.sha2("prompt", 256).alias("prompt")))
+        judged = call(asked.filter("c is not null"), factory, "prompt", parallelism, policy, journal, named)
         scored = judged.withColumn("score", F.when(F.col("call_error").isNull(), answers.score_in(F.col("reply"))).otherwise(0.0))
         listed = F.array_sort(F.collect_list(F.struct(F.col("c.index").alias("index"), F.col("c.description").alias("criterion"), "score", F.coalesce("reply", "call_error").alias("judge_response"))))
         done = scored.groupBy("problem_key", "set_index").agg(listed.alias("details"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import dataclasses
 import functools
 import importlib
 import inspect
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.operators import catalog, judge, rules
 from gradeloom.plans import evaluate, repair, verify
-from gradeloom.sources import inference, sinks, staging
+from gradeloom.sources import inference, sinks, staging, store
 
 log = logging.getLogger(__name__)
 #: The folder that paths are looked for in where the working folder has none.
@@ -31,6 +32,9 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--datasets", default="", help="comma-separated list for the catalog")
     p.add_argument("--models", default="", help="comma-separated list for the catalog")
     p.add_argument("--nproc", type=int, default=8, help="tasks that call the judge at once")
+    p.add_argument("--judge-workers", type=int, default=judge.JUDGE.workers, help="calls at once in each of them")
+    p.add_argument("--judge-timeout", type=float, default=judge.JUDGE.timeout)
+    p.add_argument("--judge-retries", type=int, default=judge.JUDGE.retries)
     p.add_argument("--judge-model", help="module:factory of a judge client")
     p.add_argument("--api-key", help=f"the judge's key, if not {KEY_NAME} of the environment or of .env")
     p.add_argument("--no-judge", action="store_true")
@@ -81,10 +85,10 @@ def check(args: argparse.Namespace, kind: str, samples: DataFrame, key: str | No
     path = f"{args.output_dir}/{kind}_cache"
     cache = inference.read_cache(spark, path)
     if kind == "rules":
-        report, fresh = verify.by_rules(samples, names(args.rules), cache, factory, model, most)
+        report, fresh = verify.by_rules(samples, names(args.rules), cache, factory, model, most, journal=f"{path}_journal")
         tag = f"rules({'-'.join(names(args.rules)).replace(':', '.') or 'default'})"
     else:
-        report, fresh = verify.by_model(samples, cache, factory, model, most)
+        report, fresh = verify.by_model(samples, cache, factory, model, most, journal=f"{path}_journal")
         tag = kind
     report = staging.stage(report, "report")
     summary = F.lit(rules.summary(report).toJSON().first())
@@ -92,6 +96,7 @@ def check(args: argparse.Namespace, kind: str, samples: DataFrame, key: str | No
     sinks.write_table(report.withColumn("summary", summary), sinks.versioned(folder, f"{name}_full"), "json")
     sinks.write_table(sinks.light(report).withColumn("summary", summary), sinks.versioned(folder, f"{name}_light"), "json")
     sinks.append_cache(fresh, path)
+    store.delete(spark, f"{path}_journal")  # what it held is in the cache and in the reports
     log.info("%s of %s: %s", kind, name, rules.summary(report).first())
 
 
@@ -125,7 +130,8 @@ def main(argv: list[str] | None = None) -> int:
             log.error("no folder %s", args.results_dir)
             return 1
     key = args.api_key or inference.settings(".env").get(KEY_NAME)
-    engine = evaluate.Engine(spark, args.results_dir, args.output_dir, None if args.dry_run else judge_of(args, key), args.nproc)
+    policy = dataclasses.replace(judge.JUDGE, timeout=args.judge_timeout, retries=args.judge_retries, workers=args.judge_workers)
+    engine = evaluate.Engine(spark, args.results_dir, args.output_dir, None if args.dry_run else judge_of(args, key), args.nproc, policy, f"{args.output_dir}/judge_journal")
     files = engine.files()
     if args.dataset:
         dataset, _, model = args.dataset.partition("/")
@@ -164,6 +170,8 @@ def main(argv: list[str] | None = None) -> int:
                 done.append((r["dataset"], r["model"]))
         if not args.dataset:
             engine.save_summary(totals)
+    if engine.journal and not failed:
+        store.delete(spark, engine.journal)
     for dataset, model in done:
         try:
             checks(args, engine, dataset, model, key)

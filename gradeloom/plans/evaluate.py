@@ -20,12 +20,12 @@ KEY = ["dataset", "model", "run_id", "idx"]
 DETAIL = "array<struct<index:int,criterion:string,score:double,judge_response:string>>"
 
 
-def score_problems(problems: DataFrame, factory: Callable[[], judge.Client] | None = None, over_runs: bool = False, fallback: str = "fine", attempts: int = marking.ATTEMPTS) -> DataFrame:
+def score_problems(problems: DataFrame, factory: Callable[[], judge.Client] | None = None, over_runs: bool = False, fallback: str = "fine", attempts: int = marking.ATTEMPTS, policy: judge.Policy = judge.JUDGE, journal: str | None = None, parallelism: int | None = None) -> DataFrame:
     """M5, M6: problems (inference.problems()) with fine, coarse and earned scores; those with an error have null scores."""
     rows = problems.withColumn("max_points", X.total(F.col("points")))
     if factory is not None:
         keyed = rows.filter("error is null and size(sets) > 0").select(F.to_json(F.struct(*KEY)).alias("problem_key"), "question", "prediction", "sets", "max_points")
-        sets = judge.judge_criteria(keyed, factory, attempts)
+        sets = judge.judge_criteria(keyed, factory, attempts, parallelism, policy, journal)
         best = marking.best_set(sets, ["problem_key"], "details")
         rows = rows.withColumn("problem_key", F.to_json(F.struct(*KEY))).join(best.withColumnRenamed("score", "__fine"), "problem_key", "left").drop("problem_key")
     else:
@@ -47,13 +47,18 @@ def wide(one_text: DataFrame) -> DataFrame:
 
 @dataclass
 class Engine:
-    """Reads below infer_dir, writes below eval_dir."""
+    """Reads below infer_dir, writes below eval_dir. parallelism: tasks that call the judge, each `policy.workers` calls at once; journal: where replies are kept as they come."""
 
     spark: SparkSession
     infer_dir: str
     eval_dir: str
     client: Callable[[], judge.Client] | None = None
     parallelism: int | None = None
+    policy: judge.Policy = judge.JUDGE
+    journal: str | None = None
+
+    def _scored(self, files: DataFrame, over_runs: bool = False) -> DataFrame:
+        return score_problems(inference.problems(files, self.parallelism), self.client, over_runs, policy=self.policy, journal=self.journal, parallelism=self.parallelism)
 
     def files(self, dataset: str | None = None, model: str | None = None) -> DataFrame:
         named = lambda n: store.escaped(n) if n else "*"
@@ -63,7 +68,7 @@ class Engine:
         """M1: (results, one row of A1) of a run, the newest unless one is named; an error where none can be read."""
         files = inference.require_runs(self.files(dataset, model), f"{dataset}/{model}")
         files = files.filter(F.col("run_id") == run) if run else inference.newest(files, ["dataset", "model"])
-        results = score_problems(inference.problems(files, self.parallelism), self.client)
+        results = self._scored(files)
         return results, scores.dataset_score(results, ["dataset", "model", "run_id"])
 
     def evaluate_all(self, datasets: list[str], models: list[str]) -> DataFrame:
@@ -78,7 +83,7 @@ class Engine:
         """
         keys = ["dataset", "model"]
         chosen = inference.newest(self.files().join(pairs, keys, "left_semi"), keys)
-        results = stage(score_problems(inference.problems(chosen, self.parallelism), self.client), "results")
+        results = stage(self._scored(chosen), "results")
         totals = scores.dataset_score(results, [*keys, "run_id"])
         return results, pairs.join(totals, keys, "left").withColumn("error", F.when(F.col("total_count").isNull(), "no readable problems"))
 
@@ -103,7 +108,7 @@ class Engine:
     def _over_runs(self, files: DataFrame) -> dict[str, DataFrame]:
         """results, run_scores, questions, overall and own (each question's last result in each run), by dataset and model."""
         keys = ["dataset", "model"]
-        results = stage(score_problems(inference.problems(files, self.parallelism), self.client, over_runs=True), "results")
+        results = stage(self._scored(files, True), "results")
         first = scores.first_run_questions(results, keys)
         own = stage(scores.last_of_repeated(scores.scored(results), keys).drop("max_points").join(first, [*keys, "question_id"]), "own")
         texts = results.groupBy(*keys, "question_id").agg(F.min_by("question", "run_id").alias("question"))

@@ -40,7 +40,7 @@ def rule_inputs() -> Column:
     return F.to_json(F.struct(F.col("text_all").alias("text"), "symbols", F.col("formulas").alias("formulas_structured"), "precondition_cues", S.symbol_stats(F.col("text_all"), F.col("symbols")).alias("sym_stats"), S.contexts(F.col("text_all"), F.col("symbols")).alias("snippets")))
 
 
-def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Callable[[], judge.Client] = judge.NoClient, model: str = "", most_calls: int = 0) -> tuple[DataFrame, DataFrame]:
+def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Callable[[], judge.Client] = judge.NoClient, model: str = "", most_calls: int = 0, policy: judge.Policy = judge.VERIFIER, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(one report row a sample, new cache rows). Rules run in the order given; unknown ones are logged and skipped.
 
     All rules that ask a model share one budget, which goes sample by sample and, within a sample, rule by rule (X3).
@@ -57,7 +57,7 @@ def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Ca
         asked = rows.select(*keys, rule_inputs().alias("inputs")).select(*keys, "inputs", F.explode(each).alias("r")).select(*keys, "inputs", "r.*")
         key = parse.cache_key(F.col("rule"), F.col("inputs"), F.lit(model).alias("model"))
         asked = asked.select(*keys, "rule_no", F.lit("rule").alias("namespace"), key.alias("key"), rule_prompt(F.col("rule"), F.col("about"), F.col("inputs")).alias("prompt"))
-        full, fresh = judge.answered(asked, cache, factory, order, most_calls)
+        full, fresh = judge.answered(asked, cache, factory, order, most_calls, policy=policy, journal=journal)
         said = full.groupBy(keys).agg(F.map_from_entries(F.collect_set(F.struct("rule_no", "value"))).alias("__said"))
         same = F.lit(True)
         for c in keys:
@@ -77,14 +77,14 @@ def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Ca
     return report, fresh if fresh is not None else cache.limit(0)
 
 
-def by_model(samples: DataFrame, cache: DataFrame, factory: Callable[[], judge.Client] = judge.NoClient, model: str = "", most_calls: int = 0) -> tuple[DataFrame, DataFrame]:
+def by_model(samples: DataFrame, cache: DataFrame, factory: Callable[[], judge.Client] = judge.NoClient, model: str = "", most_calls: int = 0, policy: judge.Policy = judge.VERIFIER, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One call a sample; without a model there are no diagnostics. The reply is {diagnostics: [...], symbols: {...}}."""
     full_text = S.full_text(F.col("question"), F.col("context"), F.col("prediction"))
     place = [c for c in ("run_id", "idx") if c in samples.columns]
     rows = samples.withColumn("text_all", full_text).withColumns({"symbols": S.plain_symbols(F.col("text_all")), "formulas": S.plain_formula_lines(F.col("text_all"))})
     inputs = F.to_json(F.struct(F.col("text_all").alias("text"), "symbols", "formulas"))
     asked = rows.select("dataset", *place, "id", "symbols", F.lit("var_const").alias("namespace"), parse.cache_key(inputs.alias("inputs"), F.lit(model).alias("model")).alias("key"), model_prompt("var_const_consistency", inputs).alias("prompt"))
-    full, fresh = judge.answered(asked, cache, factory, ["dataset", *place, "id", "key"], most_calls)
+    full, fresh = judge.answered(asked, cache, factory, ["dataset", *place, "id", "key"], most_calls, policy=policy, journal=journal)
     value = F.try_parse_json("value")
     said = F.coalesce(F.try_variant_get(value, "$.diagnostics", "variant"), value)
     told = F.transform_values(F.coalesce(F.try_variant_get(value, "$.symbols", "map<string,variant>"), F.create_map().cast("map<string,variant>")), lambda _, v: parse.variant_text(v))
