@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from pathlib import Path
 
@@ -10,8 +11,12 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import parse
 from gradeloom.functions import text as X
-from gradeloom.sources import workbooks
+from gradeloom.sources import arrays, workbooks
 from gradeloom.sources.cache import SCHEMA, ReplyCache
+from gradeloom.sources.documents import place
+from gradeloom.sources.staging import stage
+
+log = logging.getLogger(__name__)
 
 REQUIRED = ["prediction", "answer"]
 TEXT_FIELDS = {"question": "", "context": "", "solution": "", "modality": "text", "field": "", "subfield": ""}
@@ -22,15 +27,50 @@ def decoded(path: Column) -> Column:
     return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
 
 
-def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = False) -> DataFrame:
-    """(path, modified, items array<variant>, readable) of each file. A file that is no array is kept, as unreadable.
+#: Larger files are read in ranges, by many tasks.
+SPLIT_BYTES = 128 << 20
+
+
+def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = False, split_bytes: int = SPLIT_BYTES, span: int = arrays.RANGE, piece: int = arrays.PIECE) -> DataFrame:
+    """(path, modified, items array<variant>, readable, ...) of each file. A file that is no array is kept, as unreadable (S2); one without
+    any byte is as good as not there.
 
-    A file is one JSON array, so one task parses it: a file must fit in a task (some hundred MB), while there may be any number.
+    A file of up to split_bytes is a row, parsed by one task. A larger one is cut in pieces by many tasks (sources/arrays.py) and has a row a
+    piece: first_idx is the number of its first element, has_points and has_id tell of the whole file.
     """
-    reader = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", recursive)
-    raw = reader.text(paths, wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), "value")
-    items = raw.withColumn("items", F.from_json("value", "array<variant>"))
-    return items.select("path", "modified", "items", F.col("items").isNotNull().alias("readable"))
+    options = {"pathGlobFilter": "*.json", "recursiveFileLookup": str(recursive).lower()}
+    raw = spark.read.options(**options).text(paths, wholetext=True).select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_modification_time").alias("modified"), F.col("_metadata.file_size").alias("size"), "value")
+    large = spark.read.format("binaryFile").options(**options).load(paths).filter(F.col("length") > split_bytes).select("path", "modificationTime", "length")
+    split = _splits(large)
+    items = (raw.filter(F.col("size") <= split_bytes) if split else raw).withColumn("items", F.from_json("value", "array<variant>"))
+    none = [F.lit(0).cast("long").alias("first_idx"), F.lit(None).cast("boolean").alias("has_points"), F.lit(None).cast("boolean").alias("has_id")]
+    whole = items.select("path", "modified", "items", F.col("items").isNotNull().alias("readable"), *none)
+    if not split:
+        return whole
+    parsed = stage(arrays.pieces(spark, large, span, piece), "pieces").withColumn("items", F.from_json("body", "array<variant>"))
+    told = parsed.groupBy("path").agg(F.bool_and(F.col("items").isNotNull()).alias("readable"), *[F.bool_or(_has(n)).alias(f"has_{n}") for n in ("points", "id")])
+    # One row a large file.
+    told = stage(told.join(large.select("path", F.col("modificationTime").alias("modified")), "path"), "large-files")
+    own = parsed.filter("items is not null").select("path", "items", "first_idx").join(told.filter("readable"), "path").select("path", "modified", "items", "readable", "first_idx", "has_points", "has_id")
+    broken = told.filter("not readable").select("path", "modified", F.lit(None).cast("array<variant>").alias("items"), "readable", F.lit(0).cast("long").alias("first_idx"), "has_points", "has_id")
+    return whole.unionByName(own).unionByName(broken)
+
+
+def _has(name: str) -> Column:
+    return F.exists("items", lambda v: F.try_variant_get(v, f"$.{name}", "variant").isNotNull())
+
+
+def _splits(large: DataFrame) -> bool:
+    """Whether there are large files, and their store can be read by places."""
+    first = large.first()
+    if first is None:
+        return False
+    try:
+        place(first["path"])
+    except Exception as e:
+        log.warning("large files are read by one task each: %s", e)
+        return False
+    return True
 
 
 def keyed(files: DataFrame) -> DataFrame:
@@ -58,9 +98,8 @@ def problems(files: DataFrame, parallelism: int | None = None) -> DataFrame:
     points falls back to point only where no problem of the file has points (Q3). A file is read by one task, so rows are dealt
     out anew after the explode if parallelism is given.
     """
-    has_points = F.exists("items", lambda v: F.try_variant_get(v, "$.points", "variant").isNotNull())
-    has_id = F.exists("items", lambda v: F.try_variant_get(v, "$.id", "variant").isNotNull())
-    rows = files.filter("readable").select("path", "dataset", "model", "run_id", has_points.alias("__points"), has_id.alias("__id"), F.posexplode("items").alias("idx", "v"))
+    told = {n: F.coalesce(F.col(f"has_{n}"), _has(n)) if f"has_{n}" in files.columns else _has(n) for n in ("points", "id")}
+    rows = _elements(files, told["points"].alias("__points"), told["id"].alias("__id"))
     rows = rows.repartition(parallelism) if parallelism else rows
     get = lambda name: F.try_variant_get("v", f"$.{name}", "variant")
     text = lambda name, default=None: F.coalesce(F.nullif(parse.variant_text(get(name)), F.lit("NaN")), F.lit(default))
@@ -76,9 +115,16 @@ def problems(files: DataFrame, parallelism: int | None = None) -> DataFrame:
     )
 
 
+def _elements(files: DataFrame, *columns: Column) -> DataFrame:
+    """A row an element with its number in its file; a piece's first element may be a later one."""
+    first = F.col("first_idx") if "first_idx" in files.columns else F.lit(0)
+    rows = files.filter("readable").select("path", "dataset", "model", "run_id", *columns, first.alias("__first"), F.posexplode("items").alias("__at", "v"))
+    return rows.withColumn("idx", (F.col("__first") + F.col("__at")).cast("int")).drop("__first", "__at")
+
+
 def samples(files: DataFrame) -> DataFrame:
     """P5: verifier samples: the first of the aliases of each field that says something; the rest is meta."""
-    rows = files.filter("readable").select("path", "dataset", "model", "run_id", F.posexplode("items").alias("idx", "v"))
+    rows = _elements(files)
     pick = lambda *names: parse.first_said(*[F.nullif(parse.variant_text(F.try_variant_get("v", f"$.{n}", "variant")), F.lit("NaN")) for n in names])
     entries = F.try_variant_get("v", "$", "map<string,variant>")
     return rows.select(
