@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from gradeloom.functions import parse
 from gradeloom.functions import symbols as S
@@ -172,26 +173,87 @@ def load_rules(specs: Iterable[str], native: dict[str, Callable]) -> tuple[list[
     return ids, loaded
 
 
+FAILURE = "struct<rule:string,error:string>"
+NEEDED = ["text_all", "symbols", "formulas", "precondition_cues"]
+
+
+def _text(value: object) -> str | None:
+    return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False, default=str)
+
+
+def _listed(value) -> list:
+    return [] if value is None else list(value)
+
+
+def said_by(rules: list[object], row, runtime: object, key: str = "id") -> Iterable[tuple[object, dict | None, str | None]]:
+    """(rule, diagnostic, None) for each diagnostic of a sample, and (rule, None, error) for each rule that fails, rule by rule."""
+    context = Context(row[key], row["dataset"] if "dataset" in row else None, row["text_all"], _listed(row["symbols"]), _listed(row["formulas"]), _listed(row["precondition_cues"]))
+    for rule in rules:
+        try:
+            found = [d for d in rule.run(context, runtime) or [] if isinstance(d, dict)]
+        except Exception as e:
+            yield rule, None, f"{type(e).__name__}: {e}"
+            continue
+        for d in found:
+            yield rule, d, None
+
+
+def _said(rule: object, d: dict) -> dict:
+    return {"severity": _text(d.get("severity")) or "info", "rule": _text(d.get("rule")) or rule.id, "symbol": _text(d.get("symbol")), "message": _text(d.get("message")) or "", "evidence": _text(d.get("evidence"))}
+
+
 def run_plugins(samples: DataFrame, rules: list[object], runtime: object = None, key: str = "id") -> DataFrame:
-    """samples (id, dataset, text_all, symbols, formulas, precondition_cues) with plugin_diagnostics, from the users' rules in order."""
-    schema = T.StructType([*samples.schema.fields, *T.StructType.fromDDL(f"plugin_diagnostics array<{parse.DIAGNOSTIC}>").fields])
-
-    def one(row) -> list[dict]:
-        found = []
-        for rule in rules:
-            try:
-                listed = lambda x: [] if x is None else list(x)
-                said = rule.run(Context(row[key], row.get("dataset"), row["text_all"], listed(row["symbols"]), listed(row["formulas"]), listed(row["precondition_cues"])), runtime) or []
-                for d in said:
-                    if isinstance(d, dict):
-                        text = lambda v: v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False, default=str)
-                        found.append({"severity": d.get("severity") or "info", "rule": d.get("rule") or rule.id, "symbol": text(d.get("symbol")), "message": text(d.get("message")) or "", "evidence": text(d.get("evidence"))})
-            except Exception as e:
-                log.warning("rule %s failed: %s", getattr(rule, "id", rule), e)
-        return found
+    """samples (id, dataset, text_all, symbols, formulas, precondition_cues) with plugin_diagnostics, from the users' rules in order, and
+    plugin_failures: which rule failed, and how (R12: the others go on)."""
+    schema = T.StructType([*samples.schema.fields, *T.StructType.fromDDL(f"plugin_diagnostics array<{parse.DIAGNOSTIC}>, plugin_failures array<{FAILURE}>").fields])
 
     def step(frames: Iterable[pd.DataFrame]):
         for frame in frames:
-            yield frame.assign(plugin_diagnostics=[one(r) for r in frame.to_dict("records")])
+            told = [list(said_by(rules, r, runtime, key)) for r in frame.to_dict("records")]
+            yield frame.assign(
+                plugin_diagnostics=[[_said(rule, d) for rule, d, _ in t if d is not None] for t in told],
+                plugin_failures=[[{"rule": str(getattr(rule, "id", rule)), "error": e} for rule, _, e in t if e is not None] for t in told],
+            )
 
     return samples.mapInPandas(step, schema)
+
+
+def diagnostic_rows(samples: DataFrame, rules: list[object], runtime: object = None, key: str = "id", outer: bool = False) -> DataFrame:
+    """X4 as a table function: samples' columns with a row a diagnostic (severity, rule, symbol, message, evidence, rule_error).
+
+    A rule that fails gives a row with rule_error and no severity. A rule may declare columns of its own, `columns = {name: type}`, which its
+    diagnostics fill by name; the function's schema has those of all rules. With outer, samples without a diagnostic have a row of nulls.
+    """
+    own: dict[str, str] = {}
+    for rule in rules:
+        for name, kind in (getattr(rule, "columns", None) or {}).items():
+            if own.setdefault(name, kind) != kind:
+                raise ValueError(f"rules give column {name} different types")
+    taken = {c.lower() for c in samples.columns}
+    made = ["severity", "rule", "symbol", "message", "evidence", "rule_error", *own]
+    if clash := [c for c in made if c.lower() in taken]:
+        raise ValueError(f"samples have columns of the diagnostics' names: {', '.join(clash)}")
+    schema = T.StructType([*(T.StructField(c, T.StringType()) for c in made[:6]), *(T.StructField(n, T._parse_datatype_string(k)) for n, k in own.items())])
+
+    class Diagnostics:
+        @staticmethod
+        def analyze(sample: AnalyzeArgument) -> AnalyzeResult:
+            missing = [c for c in [key, *NEEDED] if c not in sample.dataType.fieldNames()]
+            if missing:
+                raise ValueError(f"a sample needs {', '.join(missing)}")
+            return AnalyzeResult(schema)
+
+        def eval(self, sample):
+            none = outer
+            for rule, d, error in said_by(rules, sample.asDict(), runtime, key):
+                none = False
+                if error is not None:
+                    yield (None, str(getattr(rule, "id", rule)), None, None, None, error, *[None] * len(own))
+                else:
+                    yield (*_said(rule, d).values(), None, *(d.get(n) for n in own))
+            if none:  # an outer lateral join makes no row of its own for a table function in Python
+                yield (None,) * len(schema)
+
+    names = list(dict.fromkeys([key, *NEEDED, *(["dataset"] if "dataset" in samples.columns else [])]))
+    sample = F.struct(*[F.col(c).outer() for c in names])
+    return samples.lateralJoin(F.udtf(Diagnostics)(sample))

@@ -91,6 +91,9 @@ def check(args: argparse.Namespace, kind: str, samples: DataFrame, key: str | No
         report, fresh = verify.by_model(samples, cache, factory, model, most, journal=f"{path}_journal")
         tag = kind
     report = staging.stage(report, "report")
+    if kind == "rules":
+        for r in report.select(F.explode("rule_failures.rule").alias("rule")).groupBy("rule").count().collect():
+            log.warning("rule %s failed on %s samples", r["rule"], r["count"])
     summary = F.lit(rules.summary(report).toJSON().first())
     folder, name = f"{args.output_dir}/{kind}_reports", "__".join([base, *([run] if run else []), tag])
     sinks.write_table(report.withColumn("summary", summary), sinks.versioned(folder, f"{name}_full"), "json")
@@ -131,7 +134,7 @@ def main(argv: list[str] | None = None) -> int:
             return 1
     key = args.api_key or inference.settings(".env").get(KEY_NAME)
     policy = dataclasses.replace(judge.JUDGE, timeout=args.judge_timeout, retries=args.judge_retries, workers=args.judge_workers)
-    engine = evaluate.Engine(spark, args.results_dir, args.output_dir, None if args.dry_run else judge_of(args, key), args.nproc, policy, f"{args.output_dir}/judge_journal")
+    engine = evaluate.Engine(spark, args.results_dir, args.output_dir, None if args.dry_run else judge_of(args, key), args.nproc, policy, f"{args.output_dir}/judge_journal", args.verbose)
     files = engine.files()
     if args.dataset:
         dataset, _, model = args.dataset.partition("/")

@@ -6,7 +6,7 @@ import logging
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeloom.functions import answers, parse
@@ -20,9 +20,15 @@ KEY = ["dataset", "model", "run_id", "idx"]
 DETAIL = "array<struct<index:int,criterion:string,score:double,judge_response:string>>"
 
 
-def score_problems(problems: DataFrame, factory: Callable[[], judge.Client] | None = None, over_runs: bool = False, fallback: str = "fine", attempts: int = marking.ATTEMPTS, policy: judge.Policy = judge.JUDGE, journal: str | None = None, parallelism: int | None = None) -> DataFrame:
-    """M5, M6: problems (inference.problems()) with fine, coarse and earned scores; those with an error have null scores."""
+def score_problems(problems: DataFrame, factory: Callable[[], judge.Client] | None = None, over_runs: bool = False, fallback: str = "fine", attempts: int = marking.ATTEMPTS, policy: judge.Policy = judge.JUDGE, journal: str | None = None, parallelism: int | None = None, verbose: bool = False) -> DataFrame:
+    """M5, M6: problems (inference.problems()) with fine, coarse and earned scores; those with an error have null scores. verbose adds `log`."""
     rows = problems.withColumn("max_points", X.total(F.col("points")))
+    if verbose:
+        rows = rows.withColumn("log", sinks.row_log(
+            F.format_string("problem %s (%s), %s points", (F.col("idx") + 1).cast("string"), F.col("question_id"), F.col("max_points").cast("string")),
+            F.format_string("a prediction of %s characters, %s answers, %s marking sets", F.coalesce(F.length("prediction"), F.lit(0)).cast("string"), F.coalesce(F.size("answer"), F.lit(0)).cast("string"), F.coalesce(F.size("sets"), F.lit(0)).cast("string")),
+            F.when(F.col("error").isNotNull(), F.concat(F.lit("failed: "), F.col("error"))),
+        ))
     if factory is not None:
         keyed = rows.filter("error is null and size(sets) > 0").select(F.to_json(F.struct(*KEY)).alias("problem_key"), "question", "prediction", "sets", "max_points")
         sets = judge.judge_criteria(keyed, factory, attempts, parallelism, policy, journal)
@@ -37,7 +43,21 @@ def score_problems(problems: DataFrame, factory: Callable[[], judge.Client] | No
     total = scores.earned_over_runs(F.col("fine_grained_score"), F.col("coarse_grained_score"), F.col("valid_marking")) if over_runs else scores.earned(F.col("fine_grained_score"), F.col("coarse_grained_score"))
     rows = rows.withColumn("earned_points", total).withColumn("extracted_pred", answers.display(F.col("prediction"), n))
     nulled = {c: F.when(F.col("error").isNull(), F.col(c)) for c in ("fine_grained_score", "coarse_grained_score", "earned_points", "extracted_pred")}
-    return rows.withColumns(nulled).withColumn("marking_detailed_scores", F.coalesce("details", F.array().cast(DETAIL))).drop("__fine", "details")
+    rows = rows.withColumns(nulled)
+    if verbose:
+        rows = rows.withColumn("log", F.when(F.col("error").isNotNull(), F.col("log")).otherwise(F.concat("log", _told())))
+    return rows.withColumn("marking_detailed_scores", F.coalesce("details", F.array().cast(DETAIL))).drop("__fine", "details")
+
+
+def _told() -> Column:
+    """The lines of a problem that was scored: each criterion's, then the scores."""
+    line = lambda d: F.format_string("criterion %s: %s", d["index"].cast("string"), F.coalesce(d["score"].cast("string"), F.lit("no score")))
+    of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
+    scored = sinks.row_log(
+        F.when(F.col("best_marking_set").isNotNull(), F.format_string("best marking set: %s", of("best_marking_set"))), F.format_string("read as answers: %s", of("extracted_pred")),
+        F.format_string("fine %s, coarse %s, earned %s", of("fine_grained_score"), of("coarse_grained_score"), of("earned_points")),
+    )
+    return F.concat(F.transform(F.coalesce("details", F.array().cast(DETAIL)), line), scored)
 
 
 def wide(one_text: DataFrame) -> DataFrame:
@@ -56,9 +76,10 @@ class Engine:
     parallelism: int | None = None
     policy: judge.Policy = judge.JUDGE
     journal: str | None = None
+    verbose: bool = False
 
     def _scored(self, files: DataFrame, over_runs: bool = False) -> DataFrame:
-        return score_problems(inference.problems(files, self.parallelism), self.client, over_runs, policy=self.policy, journal=self.journal, parallelism=self.parallelism)
+        return score_problems(inference.problems(files, self.parallelism), self.client, over_runs, policy=self.policy, journal=self.journal, parallelism=self.parallelism, verbose=self.verbose)
 
     def files(self, dataset: str | None = None, model: str | None = None) -> DataFrame:
         named = lambda n: store.escaped(n) if n else "*"
@@ -124,6 +145,12 @@ class Engine:
         sinks.write_table(sinks.detailed(results).withColumn("marking", F.to_json("marking")), sinks.versioned(self.eval_dir, "detailed_results"), "json")
         sinks.write_table(sinks.flat(results), sinks.versioned(self.eval_dir, "detailed"))
         documents.write(statistics.detailed_books(results), self.eval_dir, statistics.ORDER)
+        self.save_logs(results)
+
+    def save_logs(self, results: DataFrame) -> None:
+        """For each run a file of its problems' log lines, in their order; for verbose engines."""
+        if "log" in results.columns:
+            documents.write(statistics.logs(results, sinks.versioned("logs", "log").partition("/")[2]), self.eval_dir, statistics.ORDER)
 
     def save_summary(self, totals: DataFrame) -> dict:
         """K5, K6, A5 (M8): all datasets, failed ones with nulls; the table of the others; the grand total, which is returned."""
@@ -148,3 +175,4 @@ class Engine:
         questions = found["questions"].join(statistics.by_run(found["own"], keys), [*keys, "question_id"], "left")
         for name, table in {"question_statistics": questions, "run_summary": sinks.run_table(found["run_scores"], keys), "multi_run_summary": found["overall"]}.items():
             sinks.write_table(table, sinks.versioned(self.eval_dir, name), partitions=keys)
+        self.save_logs(found["results"])

@@ -41,7 +41,8 @@ def rule_inputs() -> Column:
 
 
 def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Callable[[], judge.Client] = judge.NoClient, model: str = "", most_calls: int = 0, policy: judge.Policy = judge.VERIFIER, journal: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(one report row a sample, new cache rows). Rules run in the order given; unknown ones are logged and skipped.
+    """(one report row a sample, new cache rows). Rules run in the order given; unknown ones are logged and skipped,
+    and the report's rule_failures tell of users' rules that raised.
 
     All rules that ask a model share one budget, which goes sample by sample and, within a sample, rule by rule (X3).
     """
@@ -73,7 +74,8 @@ def by_rules(samples: DataFrame, specs: list[str], cache: DataFrame, factory: Ca
         made.append(F.col("plugin_diagnostics"))
     found = rules.dedupe(F.concat(*made)) if made else F.array().cast(f"array<{parse.DIAGNOSTIC}>")
     rows = rows.withColumn("diagnostics", found)
-    report = rows.select("id", "dataset", "diagnostics", S.contexts(F.col("text_all"), F.col("symbols")).alias("symbol_nodes"), F.col("formulas").alias("formula_nodes"), "precondition_cues", rules.score(F.col("diagnostics")).alias("score"))
+    failures = F.col("plugin_failures") if plugins else F.array().cast(f"array<{rules.FAILURE}>")
+    report = rows.select("id", "dataset", "diagnostics", S.contexts(F.col("text_all"), F.col("symbols")).alias("symbol_nodes"), F.col("formulas").alias("formula_nodes"), "precondition_cues", rules.score(F.col("diagnostics")).alias("score"), failures.alias("rule_failures"))
     return report, fresh if fresh is not None else cache.limit(0)
 
 

@@ -705,4 +705,23 @@ class LongLine:
 def _(r):
     """X4."""
     rows = _parsed(r).withColumn("dataset", F.lit("d"))
-    return rules.run_plugins(rows, [LongLine()]).select("id", F.size("plugin_diagnostics").alias("n"))
+    found = rules.diagnostic_rows(rows, [LongLine()], outer=True)
+    return found.groupBy("id").agg(F.count("message").cast("int").alias("n"))
+
+
+class NoIdealGas:
+    """A user's rule that fails where a text assumes an ideal gas, with a column of its own."""
+
+    id, columns = "no_ideal_gas", {"lines": "int"}
+
+    def run(self, context, runtime):
+        if "Ideal Gas" in context.text_all:
+            raise ValueError("an ideal gas")
+        return [{"message": "real", "lines": context.text_all.count("\n") + 1}]
+
+
+@_query("rule_failures", SOLUTIONS, "select id, cast(case when id % 2 = 1 then 4 end as integer) as lines, case when id % 2 = 0 then 'ValueError: an ideal gas' else '' end as error from r")
+def _(r):
+    """A rule that raises gives a row with its error, and the others go on."""
+    rows = rules.diagnostic_rows(_parsed(r), [NoIdealGas()])
+    return rows.select("id", "lines", F.coalesce("rule_error", F.lit("")).alias("error"))

@@ -132,3 +132,11 @@ def detailed_books(results: DataFrame) -> DataFrame:
     columns = [c for c in flat.columns if c not in ("dataset", "model", "run_id", "idx")]
     file = F.concat_ws("/", "dataset", "model", F.concat(F.col("run_id"), F.lit("_detailed.xlsx")))
     return rows(flat.select("dataset", "model", "run_id").distinct(), file, 0, book_head(columns)).unionByName(rows(flat, file, 1, F.to_json(F.struct(*columns), FULL), None, F.col("idx")))
+
+
+def logs(results: DataFrame, tag: str) -> DataFrame:
+    """Rows of a log file for each run, a problem after the other; failed ones too."""
+    file = F.concat_ws("/", "dataset", "model", F.concat(F.col("run_id"), F.lit(f"_{tag}.log")))
+    body = F.concat(F.array_join("log", "\n"), F.lit("\n\n"))
+    # Each problem is a section of its own, so nothing stands between them.
+    return results.select(file.alias("file"), F.col("idx").cast("int").alias("section"), F.lit(0).cast("long").alias("at"), F.lit("").alias("name"), body.alias("body"))
