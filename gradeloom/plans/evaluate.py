@@ -51,7 +51,7 @@ def score_problems(problems: DataFrame, factory: Callable[[], judge.Client] | No
 
 def _told() -> Column:
     """The lines of a problem that was scored: each criterion's, then the scores."""
-    line = lambda d: F.format_string("criterion %s: %s", d["index"].cast("string"), F.coalesce(d["score"].cast("string"), F.lit("no score")))
+    line = lambda d: F.format_string("criterion %s: %s", (d["index"] + 1).cast("string"), F.coalesce(d["score"].cast("string"), F.lit("no score")))
     of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("none"))
     scored = sinks.row_log(
         F.when(F.col("best_marking_set").isNotNull(), F.format_string("best marking set: %s", of("best_marking_set"))), F.format_string("read as answers: %s", of("extracted_pred")),
