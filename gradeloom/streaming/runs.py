@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gradeloom.operators import scores
 from gradeloom.plans import evaluate
-from gradeloom.sources import inference
+from gradeloom.sources import inference, staging
 
 
 def stream(spark: SparkSession, root: str) -> DataFrame:
@@ -21,7 +21,9 @@ def score_runs(spark: SparkSession, root: str, out: str, checkpoint: str, factor
     """Appends one row of A1 for each run file; the checkpoint keeps files from being scored twice."""
 
     def batch(files: DataFrame, _: int) -> None:
+        before = staging.staged()
         results = evaluate.score_problems(inference.problems(files), factory)
         scores.dataset_score(results, ["dataset", "model", "run_id"]).write.mode("append").parquet(out)
+        staging.drop_staged(spark, before)
 
     return stream(spark, root).writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start()
