@@ -16,7 +16,8 @@ training text has is given the language of most sampled texts, first by name, wi
 name that sorts first; repeated rows get equal results; result columns replace input columns of the same name.
 
 Scale: one scan for training (a bounded sample goes on), one for prediction, no shuffle of texts. Texts are labelled side by
-side, word by word, in numpy, in batches of a fixed number of bytes.
+side, word by word, in numpy, in batches of a fixed number of bytes; scores are made for CELLS words times languages at a time, so memory
+beside the model hardly grows with the number of languages.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ MAX_LANGS = 256
 PENALTY = 8.0
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
+#: Scores, or features times languages, that a step holds at once.
+CELLS = 1 << 21
 #: Scores of a word in a language its script rules out.
 RULED_OUT = -1e4
 MADE = ["lang_pred", "score", "spans"]
@@ -129,48 +132,91 @@ class Model:
         self.common = int(np.argmax(texts)) if len(langs) else 0
 
     def label(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """The label of each word, and its scores in all languages."""
-        k, n = len(self.langs), len(w.begin)
+        """The label of each word, and how sure it is: the best language's share of the probability of all candidates.
+
+        A text's candidates are the languages that the scripts of its words allow; texts of the same candidates go together, and
+        no other language is scored.
+        """
+        n = len(w.begin)
+        label, sure = np.zeros(n, np.int64), np.zeros(n)
         bucket, word = w.features()
-        scores = np.empty((n, k), np.float64)
-        for j in range(k):
-            scores[:, j] = np.bincount(word, self.odds[bucket, j], minlength=n)
-        allowed = self.allowed[w.script]
+        order = np.argsort(word, kind="stable")
+        features = bucket[order].astype(np.uint16 if BUCKETS <= 1 << 16 else np.int64), np.searchsorted(word[order], np.arange(n + 1))
+        del bucket, word, order
+        seen = np.zeros((w.n_texts, self.allowed.shape[0]), bool)
+        seen[w.text, w.script] = True
+        candidates = (seen.astype(np.uint8) @ self.allowed.astype(np.uint8)) > 0
+        counts = np.bincount(w.text, minlength=w.n_texts)
+        firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+        kinds, kind = np.unique(candidates, axis=0, return_inverse=True)
+        for c, mask in enumerate(kinds):
+            langs = np.flatnonzero(mask) if mask.any() else np.array([0])
+            texts = np.flatnonzero((kind.reshape(-1) == c) & (counts > 0))
+            texts = texts[np.argsort(-counts[texts], kind="stable")]
+            most = max(1, CELLS // len(langs))
+            for lo in range(0, len(texts), most):
+                own = texts[lo : lo + most]
+                self._viterbi(w, firsts[own], counts[own], langs, features, label, sure)
+        return label, sure
+
+    def _scores(self, w: Words, ids: np.ndarray, langs: np.ndarray, features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Scores of words in some languages: sums over each word's features, CELLS of them at a time."""
+        bucket, at = features
+        whole = len(langs) == len(self.langs)
+        out, size = np.zeros((len(ids), len(langs))), at[ids + 1] - at[ids]
+        ends, lo, most = np.cumsum(size), 0, max(1, CELLS // len(langs))
+        while lo < len(ids):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+            if hi == lo + 1:  # also a word of very many letters
+                for f in range(int(at[ids[lo]]), int(at[ids[lo] + 1]), most):
+                    some = bucket[f : min(f + most, int(at[ids[lo] + 1]))]
+                    out[lo] += (self.odds[some] if whole else self.odds[some[:, None], langs]).sum(axis=0, dtype=np.float64)
+            else:
+                begin = np.concatenate([[0], np.cumsum(size[lo : hi - 1])])
+                flat = np.arange(int(size[lo:hi].sum())) + np.repeat(at[ids[lo:hi]] - begin, size[lo:hi])
+                some = bucket[flat]
+                out[lo:hi] = np.add.reduceat(self.odds[some] if whole else self.odds[some[:, None], langs], begin, axis=0, dtype=np.float64)
+            lo = hi
+        allowed = self.allowed[w.script[ids]]
         known = allowed.any(axis=1)
-        scores[known] = np.where(allowed[known], scores[known], RULED_OUT)
-        scores[~known] = 0
-        return self._viterbi(w, scores), scores
+        out[known] = np.where(allowed[known][:, langs], out[known], RULED_OUT)
+        out[~known] = 0
+        return out
 
-    def _viterbi(self, w: Words, scores: np.ndarray) -> np.ndarray:
-        """All texts at once, one word of each at a time, longest texts first so that those still going are a prefix."""
-        n, k = scores.shape
-        counts = np.bincount(w.text, minlength=w.n_texts)
-        order = np.argsort(-counts, kind="stable")
-        order = order[counts[order] > 0]
-        first = np.concatenate([[0], np.cumsum(counts)[:-1]])[order]
-        length = counts[order]
-        back = np.empty((n, k), np.int8 if k < 128 else np.int16)
-        best = np.zeros((len(order), k))
-        going = np.searchsorted(-length, -np.arange(length[0] if len(length) else 0), "left")
-        for t, m in enumerate(going.tolist()):
-            at = first[:m] + t
-            b = best[:m]
-            if t:
-                top = b.argmax(axis=1)
-                switch = b[np.arange(m), top] - self.penalty
-                stay = b >= switch[:, None]
-                back[at] = np.where(stay, np.arange(k), top[:, None])
-                b = np.where(stay, b, switch[:, None])
-            best[:m] = b + scores[at]
-        out = np.empty(n, np.int64)
+    def _viterbi(self, w: Words, first: np.ndarray, length: np.ndarray, langs: np.ndarray, features, label: np.ndarray, sure: np.ndarray) -> None:
+        """Texts side by side, one word of each at a time, longest texts first so that those still going are a prefix.
+
+        What a word comes from is its own language or the best one of the word before: a bit a language and one number. Scores are made for
+        so many words at a time that they stay within CELLS.
+        """
+        k, steps = len(langs), int(length[0])
+        going = np.searchsorted(-length, -np.arange(steps), "left")
+        row = np.concatenate([[0], np.cumsum(going)])  # words in the order of steps
+        stays, tops = np.zeros((int(row[-1]), -(-k // 8)), np.uint8), np.zeros(int(row[-1]), np.int16)
+        best, t = np.zeros((len(first), k)), 0
+        while t < steps:
+            to = max(t + 1, int(np.searchsorted(row, row[t] + max(1, CELLS // k), "right")) - 1)
+            ids = np.concatenate([first[: going[u]] + u for u in range(t, to)])
+            scores = self._scores(w, ids, langs, features)
+            sure[ids] = 1 / np.exp(np.clip(scores - scores.max(axis=1, keepdims=True), -50, 0)).sum(axis=1)
+            for u in range(t, to):
+                m = int(going[u])
+                b, own = best[:m], scores[row[u] - row[t] : row[u + 1] - row[t]]
+                if u:
+                    top = b.argmax(axis=1)
+                    switch = b[np.arange(m), top] - self.penalty
+                    stay = b >= switch[:, None]
+                    stays[row[u] : row[u + 1]], tops[row[u] : row[u + 1]] = np.packbits(stay, axis=1), top
+                    b = np.where(stay, b, switch[:, None])
+                best[:m] = b + own
+            t = to
         now = best.argmax(axis=1)
-        for t in range(len(going) - 1, -1, -1):
-            m = going[t]
-            at = first[:m] + t
-            out[at] = now[:m]
-            if t:
-                now[:m] = back[at, now[:m]]
-        return out
+        for u in range(steps - 1, -1, -1):
+            m = int(going[u])
+            label[first[:m] + u] = langs[now[:m]]
+            if u:
+                bits = stays[row[u] : row[u + 1]][np.arange(m), now[:m] // 8] >> (7 - now[:m] % 8) & 1
+                now[:m] = np.where(bits, now[:m], tops[row[u] : row[u + 1]])
 
     def predict(self, texts: list[str | None], spans: bool = False):
         """lang, score and spans (begin, end in characters of the lower-cased text, lang) of each text."""
@@ -178,11 +224,9 @@ class Model:
         if self.langs:
             w = Words(texts)
             if len(w.begin):
-                label, scores = self.label(w)
+                label, sure = self.label(w)
                 k = len(self.langs)
                 letters = np.bincount(w.text * k + label, w.length, minlength=len(texts) * k).reshape(-1, k)
-                top = scores.max(axis=1, keepdims=True)
-                sure = 1 / np.exp(np.clip(scores - top, -50, 0)).sum(axis=1)
                 known = self.allowed[w.script].any(axis=1)
                 own = np.bincount(w.text * k + label, w.length * np.where(known, sure, 0), minlength=len(texts) * k).reshape(-1, k)
                 total = letters.sum(axis=1)
