@@ -63,6 +63,31 @@ def drop_staged(spark: SparkSession) -> int:
     return n
 
 
+def measured(df: DataFrame) -> tuple[int, int]:
+    """Rows and bytes of a table that is written, as values take them in memory: 8 for a number, an array's by its elements."""
+
+    def width(column, kind):
+        if isinstance(kind, T.ArrayType):
+            inner = 8 * len(kind.elementType.fields) if isinstance(kind.elementType, T.StructType) else 8
+            return F.greatest(F.size(column), F.lit(0)) * inner + 16
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+        return F.lit(8)
+
+    rows, size = df.agg(F.count("*"), F.sum(sum((width(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16)))).first()
+    return rows, size or 0
+
+
+#: Bytes of a join's build side that a partition may hold in a hash table, and bytes of keys that are broadcast.
+MOST_HASHED, MOST_KEYS = 32 << 20, 16 << 20
+
+
+def hashed_side(side: DataFrame) -> DataFrame:
+    """A written table as the build side of a hash join, where a partition of it is small; else as it is, so that Spark sorts and can spill."""
+    parts = max(1, int(side.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return side.hint("shuffle_hash") if measured(side)[1] / parts <= MOST_HASHED else side
+
+
 def row_key(df: DataFrame, doc_id: str = "doc_id", text: str = "text"):
     """Two longs that name a row by its content; equal rows share them, which every operator here allows."""
     ident = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("\x00"))

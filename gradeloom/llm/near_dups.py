@@ -192,19 +192,33 @@ def _blocks(classes: DataFrame, clusters: DataFrame, block: int, many: int, most
 def _verified(wanted: DataFrame, docs: DataFrame, text: str, doc_id: str, n_words: int, threshold: float) -> DataFrame:
     """wanted: (cid, block, steps, wide, docs, bands, k1, k2). (cid, links, root, wide) of each step that links it."""
     k1, k2 = C.row_key(docs, doc_id, text)
-    wanted = wanted.withColumnsRenamed({"k1": "w1", "k2": "w2"})
-    texts = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text")).join(wanted.hint("shuffle_hash"), (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))).select("cid", "block", "docs", "wide", "bands", "steps", "text")
+    wanted = C.stage(wanted.withColumnsRenamed({"k1": "w1", "k2": "w2"}), "near-wanted")
+    same_row = (F.col("k1") == F.col("w1")) & (F.col("k2") == F.col("w2"))
+    own = docs.select(k1.alias("k1"), k2.alias("k2"), F.col(f"`{text}`").alias("text"))
+    # Where the keys of candidates are few enough, texts of others are left out before anything is packed or moved.
+    if wanted.count() * 16 <= C.MOST_KEYS:
+        own = own.join(F.broadcast(wanted.select("w1", "w2")), same_row, "left_semi")
+    texts = C.pack_text(own, "text").join(C.hashed_side(wanted), same_row).select("cid", "block", "docs", "wide", "bands", "steps", "__body")
     kept = "cid long, block long, docs long, wide boolean, bands array<long>, steps array<struct<i: long, j: long>>"
 
     def sets(batches):
-        for b in batches:
-            data, offs = C.buffers(b.column(6))
-            out: list[bytes] = [b""] * b.num_rows
+        def shingled(bodies: list[bytes]) -> list[bytes]:
+            data, offs, out = np.frombuffer(b"".join(bodies), np.uint8), np.cumsum([0, *map(len, bodies)]), []
             for lo, hi in C.chunks(offs):
                 h, r = _distinct(*C.shingles(C.LOWER[data[offs[lo] : offs[hi]]], offs[lo : hi + 1] - offs[lo], n_words))
                 ends = np.searchsorted(r, np.arange(hi - lo + 1))
-                for k in range(hi - lo):
-                    out[lo + k] = h[ends[k] : ends[k + 1]].tobytes()
+                out += [h[ends[k] : ends[k + 1]].tobytes() for k in range(hi - lo)]
+            return out
+
+        for b in batches:
+            out, held, size = [], [], 0
+            for packed in b.column(6):
+                held += C.unpack([packed.as_py()])
+                size += len(held[-1])
+                if size >= C.CHUNK_BYTES:
+                    out += shingled(held)
+                    held, size = [], 0
+            out += shingled(held) if held else []
             yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(out, pa.binary())], names=["cid", "block", "docs", "wide", "bands", "steps", "grams"])
 
     def verify(batches):
@@ -283,7 +297,7 @@ def keep_one(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", **o
     k1, k2 = C.row_key(docs, doc_id, text)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), k1.alias("k1"), k2.alias("k2"))
     same_row = (F.col("k1") == F.col("t1")) & (F.col("k2") == F.col("t2"))
-    once = own.join(told.hint("shuffle_hash"), same_row, "left_anti").select("row.*")
+    once = own.join(C.hashed_side(told), same_row, "left_anti").select("row.*")
     twice = told.filter("stays and same > 1")
     if twice.isEmpty():
         return once
