@@ -293,7 +293,8 @@ def find_spans(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", l
     # Of equal rows the first stands for all: what one loses all lose, and the one occurrence that a kind keeps is in it.
     of = C.stage(staged.groupBy("k1", "k2").agg(F.min("uid").alias("uid")), "suffix-docs")
     by_doc = wanted.groupBy("uid").agg(F.collect_list(F.struct("ah", "extents", "open", "at")).alias("wanted")).join(of.withColumnsRenamed({"k1": "d1", "k2": "d2"}), "uid")
-    texts = _packed_once(docs, (k1, k2), text).join(by_doc.hint("shuffle_hash"), (F.col("k1") == F.col("d1")) & (F.col("k2") == F.col("d2"))).select("uid", "wanted", "body")
+    by_doc = C.stage(by_doc, "suffix-wanted")
+    texts = _packed_once(docs, (k1, k2), text).join(C.hashed_side(by_doc), (F.col("k1") == F.col("d1")) & (F.col("k2") == F.col("d2"))).select("uid", "wanted", "body")
 
     def cut(batches):
         seen = set()
@@ -362,7 +363,7 @@ def dedup(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", length
     spans = find_spans(docs, text=text, doc_id=doc_id, length=length, **options)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), key[0].alias("k1"), key[1].alias("k2"), F.col(f"`{text}`").alias("text"))
     spans = spans.withColumnsRenamed({"k1": "s1", "k2": "s2"})
-    joined = C.pack_text(own, "text").join(spans.hint("shuffle_hash"), (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").select("row", "__body", "spans")
+    joined = C.pack_text(own, "text").join(C.hashed_side(spans), (F.col("k1") == F.col("s1")) & (F.col("k2") == F.col("s2")), "left").select("row", "__body", "spans")
     span = T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("end", T.LongType())]))
     types = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), span, T.BinaryType()]
     schema = T.StructType([joined.schema["row"], *(T.StructField(n, t) for n, t in zip(made, types, strict=False))])
