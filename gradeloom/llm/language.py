@@ -23,6 +23,7 @@ beside the model hardly grows with the number of languages.
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -156,7 +157,7 @@ class Model:
             most = max(1, CELLS // len(langs))
             for lo in range(0, len(texts), most):
                 own = texts[lo : lo + most]
-                self._viterbi(w, firsts[own], counts[own], langs, features, label, sure)
+                self._side_by_side(firsts[own], counts[own], langs, lambda ids, langs=langs: self._scores(w, ids, langs, features), label, sure)
         return label, sure
 
     def _scores(self, w: Words, ids: np.ndarray, langs: np.ndarray, features: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
@@ -183,7 +184,17 @@ class Model:
         out[~known] = 0
         return out
 
-    def _viterbi(self, w: Words, first: np.ndarray, length: np.ndarray, langs: np.ndarray, features, label: np.ndarray, sure: np.ndarray) -> None:
+    def _viterbi(self, w: Words, scores: np.ndarray) -> np.ndarray:
+        """The labels of all words by given scores in all languages."""
+        counts = np.bincount(w.text, minlength=w.n_texts)
+        firsts, label = np.concatenate([[0], np.cumsum(counts)[:-1]]), np.zeros(len(scores), np.int64)
+        order = np.argsort(-counts, kind="stable")
+        order = order[counts[order] > 0]
+        if len(order):
+            self._side_by_side(firsts[order], counts[order], np.arange(scores.shape[1]), lambda ids: scores[ids], label, np.zeros(len(scores)))
+        return label
+
+    def _side_by_side(self, first: np.ndarray, length: np.ndarray, langs: np.ndarray, scored: Callable[[np.ndarray], np.ndarray], label: np.ndarray, sure: np.ndarray) -> None:
         """Texts side by side, one word of each at a time, longest texts first so that those still going are a prefix.
 
         What a word comes from is its own language or the best one of the word before: a bit a language and one number. Scores are made for
@@ -197,7 +208,7 @@ class Model:
         while t < steps:
             to = max(t + 1, int(np.searchsorted(row, row[t] + max(1, CELLS // k), "right")) - 1)
             ids = np.concatenate([first[: going[u]] + u for u in range(t, to)])
-            scores = self._scores(w, ids, langs, features)
+            scores = scored(ids)
             sure[ids] = 1 / np.exp(np.clip(scores - scores.max(axis=1, keepdims=True), -50, 0)).sum(axis=1)
             for u in range(t, to):
                 m = int(going[u])
