@@ -57,6 +57,8 @@ ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.it
 HOLDS_P = ("table", "td", "th", "button", "article", "section", "div", "li", "aside", "blockquote")
 HOLDS_ANY = ("table", "td", "th", "button")
 TOKEN = re.compile(r"<!--(?:>|->|.*?(?:-->|--!>|\Z))|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*')*+[^>]*)(?:>|\Z)", re.S)
+#: Styles that hide an element.
+HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -173,7 +175,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 ended(("p",), HOLDS_P if name == "p" else HOLDS_ANY)
             flush()
             marks = [(a.lower(), b or c or d) for a, b, c, d in ATTRIBUTE.findall(m[3])] if m[3] else []
-            parts = frozenset(p.lower() for a, v in marks if a in ("class", "id", "role", "itemprop", "aria-label", "data-role") for p in NAME_PART.findall(v)) | frozenset("hidden" for a, v in marks if a == "hidden" or a == "style" and "none" in v)
+            parts = frozenset(p.lower() for a, v in marks if a in ("class", "id", "role", "itemprop", "aria-label", "data-role") for p in NAME_PART.findall(v)) | frozenset("hidden" for a, v in marks if a == "hidden" or a == "style" and HIDES.search(v))
             node = Node(name, stack[-1][1], parts, len(nodes))
             node.parent.children += 1
             nodes.append(node)
