@@ -33,8 +33,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = pii.pseudonymise(docs, report=False)
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    found = pii.pseudonymise(docs, key=key, report=False)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -48,9 +48,10 @@ STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicates_stage)
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of sf_dir."""
+def run(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
+    """Applies the stages to the documents of sf_dir; key is the secret of the pseudonyms (without one, see pii.secret_key())."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = C.stage(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        made = pii_stage(spark, docs, sf_dir, key) if name == "pii" else stage(spark, docs, sf_dir)
+        docs = C.stage(made, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -35,7 +35,7 @@ import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -383,8 +383,23 @@ class Pseudonyms:
 _DIGIT_OR_AT = re.compile("[0-9@]")
 
 
-def pseudonymise(docs: DataFrame, *, key: bytes = DEMO_KEY, text: str = "text", back: bool = False, report: bool = True) -> DataFrame:
-    """docs with the text's values replaced; with report also n_found and kinds (names and counts, sorted)."""
+KEY_SETTING = "spark.gradeloom.pii.key"
+
+
+def secret_key(spark: SparkSession) -> bytes:
+    """The key that the session names in KEY_SETTING. Where it names none a local session (tests) gets the demonstration key, which anyone
+    can read here, so that anyone can turn its pseudonyms back; a session on a cluster gets an error."""
+    found = spark.conf.get(KEY_SETTING, None)
+    if found:
+        return found.encode()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"pseudonyms need a secret key: pass one, or name it in {KEY_SETTING}")
+    return DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, *, key: bytes | None = None, text: str = "text", back: bool = False, report: bool = True) -> DataFrame:
+    """docs with the text's values replaced; with report also n_found and kinds (names and counts, sorted). Without a key, see secret_key()."""
+    key = key or secret_key(docs.sparkSession)
     keep = C.others(docs, [text, *(MADE if report else [])])
     source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text")).toDF(*[f"c{k}" for k in range(len(keep))], "__text")
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__text", T.StringType()), T.StructField("__n_found", T.LongType()), T.StructField("__kinds", T.MapType(T.StringType(), T.LongType()))])
@@ -409,7 +424,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes = DEMO_KEY, text: str = "text",
 def op9_pii(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kinds = F.array_join(F.transform(F.map_entries("kinds"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
-    return pseudonymise(docs).select("doc_id", "text", "n_found", kinds.alias("kinds"))
+    return pseudonymise(docs, key=DEMO_KEY).select("doc_id", "text", "n_found", kinds.alias("kinds"))
 
 
 QUERIES = {"op9_pii": op9_pii}
