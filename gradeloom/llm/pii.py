@@ -1,8 +1,8 @@
 """PII: format-preserving Feistel pseudonyms.
 
 Values that validate (e-mail and IPv4 addresses, payment card numbers by issuer and check digit, IBANs, US social security
-numbers, telephone numbers, calendar dates, and credentials assigned in hexadecimal digits) are replaced by keyed permutations
-of their own format: a card number becomes a card number with a right check digit and the same spacing, a date a date, and so
+numbers, telephone numbers, calendar dates, credentials assigned in hexadecimal digits, passwords assigned in letters and digits,
+and access key ids by their prefix) are replaced by keyed permutations of their own format: a card number becomes a card number with a right check digit and the same spacing, a date a date, and so
 on. A permutation depends on the key and the kind alone, so equal values stay equal in every document, and the holder of the
 key can turn a pseudonym back. Numbers that don't validate are left alone.
 
@@ -13,20 +13,20 @@ A card number is found beside other numbers too. Where several runs of the same
 its groups and length (see card_runs); a pseudonym that would make another one the one to take is permuted once more, so there
 equal values can differ.
 
-Spelling is kept: spaces of an IBAN, months' short names, days and months without zeros. A date is permuted among the dates that
-its spelling can write, so equal dates stay equal in one spelling.
+Spelling is kept: spaces of an IBAN, months' short names, days and months without zeros. All spellings share one permutation of
+the days; one that can't write a pseudonym (a day without a zero has one digit) walks on to the first that it can. So equal dates
+stay equal in one spelling, and in two wherever both can write the first pseudonym.
 
 A telephone number keeps its country's code and its spacing, and is permuted by its digits, so it is one value in every spacing.
 
 Defined cases: a null text stays null; an empty text has nothing; a very long text is searched whole; an empty table gives none; where kinds overlap the leftmost, then the one listed first
 in KINDS wins (ties); repeated rows give equal results; result columns replace input columns of the same name.
 
-Scale: one scan in the order of the input, no shuffle. Texts with neither a digit nor an @ are passed on without a look.
+Scale: one scan in the order of the input, no shuffle. Texts with no digit, @ or access key id are passed on without a look.
 """
 
 from __future__ import annotations
 
-import bisect
 import calendar
 import datetime
 import functools
@@ -53,6 +53,8 @@ DIGITS, LOWER, UPPER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFG
 KINDS = {
     "email": r"(?<![A-Za-z0-9_%+-])[A-Za-z0-9_%+-][A-Za-z0-9._%+-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])",
     "secret": r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{32,128}(?![0-9A-Za-z])",
+    "secret_id": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "secret_word": r"(?i:passw(?:or)?d|passphrase|pwd|secret|api[_-]?key|access[_-]?key)[A-Za-z0-9_-]{0,16}[\"']?[ \t]{0,2}[=:][ \t]{0,2}[\"']?(?P<value>(?=[A-Za-z!@#$%^&*_+~-]*[0-9])(?=[0-9!@#$%^&*_+~-]*[A-Za-z])[A-Za-z0-9!@#$%^&*_+~-]{8,128})(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2} ?[0-9]{2}(?: ?[A-Z0-9]){11,}(?![A-Za-z0-9])",
     "day_iso": r"(?<![0-9])(?:19|20)[0-9]{2}([-/])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12][0-9]|3[01])(?![0-9])",
     "day_dots": r"(?<![0-9.])(?:0?[1-9]|[12][0-9]|3[01])\.(?:0?[1-9]|1[0-2])\.(?:19|20)[0-9]{2}(?![0-9])",
@@ -155,16 +157,11 @@ def card_runs(digits: list[str], begin: int, end: int) -> list[tuple[bool, bool,
     return found
 
 
-#: Days and months that a spelling can tell; dates in it are permuted among those, so that it is kept.
+#: Days and months that a spelling can tell; a pseudonym in it is one of those, so that it is kept.
 SPELT_DAYS = {"any": range(1, 32), "under 10": range(1, 10), "10 on": range(10, 32), "over 12": range(13, 32)}
 SPELT_MONTHS = {"any": range(1, 13), "month under 10": range(1, 10), "month 10 on": range(10, 13), "not May": [m for m in range(1, 13) if m != 5], "September": [9]}
 
 
-@functools.cache
-def _days(days: str, months: str) -> list[int]:
-    return [o for o in range(FIRST_DAY, LAST_DAY + 1) if (d := datetime.date.fromordinal(o)).day in SPELT_DAYS[days] and d.month in SPELT_MONTHS[months]]
-
-
 class Pseudonyms:
     """Replaces what validates; `back` turns pseudonyms back."""
 
@@ -200,6 +197,16 @@ class Pseudonyms:
             if (any(c in "abcdef" for c in new) or not (large or small)) and (any(c in "ABCDEF" for c in new) or not (large and small)):
                 return new.upper() if large and not small else new
 
+    def _word(self, value: str) -> str:
+        """Digits stay digits and letters letters of their case; hexadecimal ones stay so, and others don't become so."""
+        is_hex = lambda x: all(c in HEX for c in x.lower() if c.isalpha())
+        if is_hex(value):
+            return self._letters("secret word in hex", value, (DIGITS, HEX[10:], HEX[10:].upper()))
+        while True:
+            value = self._letters("secret word", value)
+            if not is_hex(value):
+                return value
+
     def _spaced(self, made: str, like: str) -> str:
         found = iter(made)
         return "".join(next(found) if c.isalnum() else c for c in like)
@@ -209,11 +216,11 @@ class Pseudonyms:
             day = datetime.date(y, m, d).toordinal()
         except ValueError:
             return None
-        if days == months == "any":
-            return datetime.date.fromordinal(FIRST_DAY + self._number("day", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1))
-        among = _days(days, months)
-        tweak = " ".join(["day", *(x for x in (days, months) if x != "any")])
-        return datetime.date.fromordinal(among[self._number(tweak, bisect.bisect_left(among, day), len(among))])
+        while True:
+            day = FIRST_DAY + self._number("day", day - FIRST_DAY, LAST_DAY - FIRST_DAY + 1)
+            new = datetime.date.fromordinal(day)
+            if new.day in SPELT_DAYS[days] and new.month in SPELT_MONTHS[months]:
+                return new
 
     def _day_in_digits(self, y: str, m: str, d: str) -> tuple[str, str, str] | None:
         """Year, month and day, each as wide as it was."""
@@ -229,6 +236,10 @@ class Pseudonyms:
             return f"{self._letters('email', name)}.{last}"
         if kind == "secret":
             return self._secret(value)
+        if kind == "secret_id":
+            return value[:4] + self._letters("secret id", value[4:], (DIGITS + UPPER,))
+        if kind == "secret_word":
+            return self._word(value)
         if kind == "iban":
             plain = value.replace(" ", "")
             country, body = plain[:2], plain[4:]
@@ -356,13 +367,14 @@ class Pseudonyms:
         """(begin, end, kind, pseudonym) of all values, from left to right."""
         found = []
         for order, (kind, look) in enumerate(LOOKS.items()):
-            if kind == "email" and "@" not in text:
+            if (kind == "email" and "@" not in text) or (kind == "secret_word" and "=" not in text and ":" not in text):
                 continue
+            part = "value" if "value" in look.groupindex else 0
             for m in look.finditer(text):
                 if kind == "secret" and not _SECRET_NAME.search(text, max(0, m.start() - 48), m.start()):
                     continue
                 within = {"card": self.cards, "iban": self.ibans, "phone": self.phones}.get(kind)
-                for begin, end, new in within(text, *m.span()) if within else [(*m.span(), self._known(kind, m[0]))]:
+                for begin, end, new in within(text, *m.span()) if within else [(*m.span(part), self._known(kind, m[part]))]:
                     if new is not None:
                         found.append((begin, order, end, kind.split("_")[0], new))
         out, end = [], 0
@@ -380,7 +392,8 @@ class Pseudonyms:
         return "".join([*parts, text[at:]]), found
 
 
-_DIGIT_OR_AT = re.compile("[0-9@]")
+#: A text without a match has no value. Access key ids may have no digit.
+_LOOK_AT = re.compile("[0-9@]|A[KS]IA[A-Z]{16}")
 
 
 KEY_SETTING = "spark.gradeloom.pii.key"
@@ -409,7 +422,7 @@ def pseudonymise(docs: DataFrame, *, key: bytes | None = None, text: str = "text
         for b in batches:
             texts, counts, kinds = b.column(b.num_columns - 1).to_pylist(), [0] * b.num_rows, [[] for _ in range(b.num_rows)]
             for k, x in enumerate(texts):
-                if x and _DIGIT_OR_AT.search(x):
+                if x and _LOOK_AT.search(x):
                     texts[k], found = names.apply(x)
                     counts[k] = len(found)
                     own = [f[2] for f in found]
