@@ -49,9 +49,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
-    """Applies the stages to the documents of sf_dir; key is the secret of the pseudonyms (without one, see pii.secret_key())."""
+    """Applies the stages to the documents of sf_dir; key is the secret of the pseudonyms (without one, see pii.secret_key()).
+
+    What a stage has staged, and the documents that it has read, are dropped once its own are written, and all of them where it fails.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last: list[str] = []
     for name, stage in STAGES[:-1]:
-        made = pii_stage(spark, docs, sf_dir, key) if name == "pii" else stage(spark, docs, sf_dir)
-        docs = C.stage(made, f"pipeline-{name}")
+        with C.scope(spark) as own:
+            own += last
+            made = pii_stage(spark, docs, sf_dir, key) if name == "pii" else stage(spark, docs, sf_dir)
+            docs = C.stage(made, f"pipeline-{name}")
+            last = [own.pop()]
+    C.outlive(last)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import functools
 import tempfile
 import uuid
@@ -29,6 +31,7 @@ _BYTE_CODES = np.random.default_rng(SEED).integers(1, 2**63, 256, dtype=np.uint6
 
 
 _staged: list[str] = []
+_open: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -49,17 +52,47 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: cuts the lineage, and survives lost executors."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/gradeloom/{name}-{uuid.uuid4().hex}"
+    _held().append(path)
     df.write.option("compression", "zstd").parquet(path)
-    _staged.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _held() -> list[str]:
+    """The paths of the tables that are staged in the scope that is open, or in none."""
+    return _staged if _open.get() is None else _open.get()
+
+
+def _drop(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths[-1])
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        paths.pop()
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession):
+    """Tables that are staged within are dropped when the block ends, by an error too; results that read them are written by then.
+
+    Gives the list of their paths: one that is taken out of it outlives the block, and outlive() hands it to the scope around. Other
+    results' tables are left alone. A scope is of one thread.
+    """
+    own: list[str] = []
+    token = _open.set(own)
+    try:
+        yield own
+    finally:
+        _open.reset(token)
+        _drop(spark, own)
+
+
+def outlive(paths: list[str]) -> None:
+    _held().extend(paths)
+
+
 def drop_staged(spark: SparkSession) -> int:
-    """Deletes the staged tables of this process, once the results that read them are written; how many there were."""
+    """Deletes the tables of this process that were staged in no scope, once the results that read them are written; how many there were."""
     n = len(_staged)
-    while _staged:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_staged.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _drop(spark, _staged)
     return n
 
 

@@ -100,3 +100,41 @@ def test_registered():
     queries = __spark_entry__.queries()
     assert all(any(n.startswith(f"op{k}_") for n in queries) for k in range(1, 11)) and "pipeline" in queries
     assert set(__spark_entry__.oracle_sql()) <= set(queries)
+
+
+def staged_tables(spark):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{C.checkpoint_dir(spark)}/gradeloom")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return {s.getPath().getName().rpartition("-")[0] for s in files.listStatus(path)} if files.exists(path) else set()
+
+
+def test_what_a_stage_staged_is_dropped(spark, folder, monkeypatch):
+    C.drop_staged(spark)
+    other = C.stage(spark.range(5), "other")
+    before = staged_tables(spark)
+    whole = corpus_pipeline.run(spark, folder)
+    left = staged_tables(spark) - before
+    assert "pipeline-pii" in left and not {x for x in left if x.startswith("near-") or x.startswith("quality-")} and not left & {"pipeline-quality", "pipeline-near_duplicates", "pipeline-decontamination"}
+    assert whole.count() > 0 and other.count() == 5
+    C.drop_staged(spark)
+    before = staged_tables(spark)
+
+    def fails(spark, docs, sf_dir):
+        F.broadcast(C.stage(docs, "half")).count()
+        return docs.withColumn("text", F.raise_error(F.lit("no")).cast("string"))
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [corpus_pipeline.STAGES[0], ("decontamination", fails), *corpus_pipeline.STAGES[2:]])
+    with pytest.raises(Exception, match="no"):
+        corpus_pipeline.run(spark, folder)
+    assert staged_tables(spark) == before and C.drop_staged(spark) == 0
+
+
+def test_scopes(spark):
+    with C.scope(spark) as outer:
+        with C.scope(spark) as inner:
+            kept = C.stage(spark.range(3), "kept")
+            C.stage(spark.range(3), "gone")
+            last = [inner.pop(0)]
+        C.outlive(last)
+        assert kept.count() == 3 and outer == last
+    assert not {"kept", "gone"} & staged_tables(spark)
