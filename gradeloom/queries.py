@@ -192,6 +192,22 @@ def _(r):
     return scores.dataset_score(scores.last_of_repeated(_results(r), ["dataset"]), ["dataset", "run_id"])
 
 
+@_query("question_run_pivot_of_repeated", REPEATED, "select question_id, run_id, coalesce(max(e), 0) as earned from (select q.question_id, u.run_id, s.e from (select distinct question_id from r) q cross join (select distinct run_id from r) u left join s on s.question_id = q.question_id and s.run_id = u.run_id) group by question_id, run_id", LAST)
+def _(r):
+    """A9, J11, Q19 over all events: the runs are the types of events, whose number does not grow with them."""
+    runs = _runs(r)
+    wide = scores.pivot_runs(scores.last_of_repeated(_results(r), ["dataset"]), runs, ["question_id"], questions=r)
+    return wide.unpivot("question_id", runs, "run_id", "earned")
+
+
+@_query("first_run_questions_of_all", REPEATED, "select q.dataset, q.question_id, q.max_points, count(s.run_id) as num_runs, coalesce(round_even(sum(s.e), 2), 0) as total from (select dataset, question_id, max_by(max_points, idx) as max_points from r join (select dataset, min(run_id) as f from r group by dataset) using (dataset) where run_id = f group by dataset, question_id) q left join s on s.dataset = q.dataset and s.question_id = q.question_id group by all", LAST)
+def _(r):
+    """J5 over all events: the first run's questions, and their scores in all runs."""
+    questions = scores.first_run_questions(r, ["dataset"])
+    own = scores.last_of_repeated(_results(r), ["dataset"]).drop("max_points")
+    return questions.join(own, ["dataset", "question_id"], "left").groupBy("dataset", "question_id", "max_points").agg(F.count("run_id").alias("num_runs"), F.coalesce(X.half_even(F.sum("earned_points")), F.lit(0.0)).alias("total"))
+
+
 @_query("run_rank", RESULTS, "select dataset, run_id, row_number() over (partition by dataset order by total_score desc, run_id) as place from d", EARNED + A1_SQL.format(keys="dataset, run_id"))
 def _(r):
     from pyspark.sql import Window
