@@ -263,15 +263,18 @@ def least(keyed: DataFrame, most: int, by: str | None = None) -> DataFrame:
     return near.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("h"))).filter(F.col("r") <= most).select(by, "h")
 
 
-def pack_text(df: DataFrame, text: str) -> DataFrame:
-    """df with its text column replaced by `__body`, the last column: the bytes compressed for a shuffle, null where the text is."""
+def pack_text(df: DataFrame, text: str, most: int | None = None) -> DataFrame:
+    """df with its text column replaced by `__body`, the last column: the bytes compressed for a shuffle, null where the text is.
+
+    A task copies the texts of `most` rows at a time, or those of a whole batch.
+    """
     keep = [c for c in df.columns if c != text]
     source = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("__body", T.BinaryType())])
 
     def step(batches):
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in (big.slice(lo, most) for big in batches for lo in range(0, big.num_rows, most or max(1, big.num_rows))):
             body = b.column(b.num_columns - 1).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([None if x is None else z.compress(x) for x in body.to_pylist()], pa.binary())], names=schema.names)
 

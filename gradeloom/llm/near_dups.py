@@ -198,7 +198,7 @@ def _verified(wanted: DataFrame, docs: DataFrame, text: str, doc_id: str, n_word
     # Where the keys of candidates are few enough, texts of others are left out before anything is packed or moved.
     if wanted.count() * 16 <= C.MOST_KEYS:
         own = own.join(F.broadcast(wanted.select("w1", "w2")), same_row, "left_semi")
-    texts = C.pack_text(own, "text").join(C.hashed_side(wanted), same_row).select("cid", "block", "docs", "wide", "bands", "steps", "__body")
+    texts = C.pack_text(own, "text", most=500).join(C.hashed_side(wanted), same_row).select("cid", "block", "docs", "wide", "bands", "steps", "__body")
     kept = "cid long, block long, docs long, wide boolean, bands array<long>, steps array<struct<i: long, j: long>>"
 
     def sets(batches):
@@ -210,16 +210,21 @@ def _verified(wanted: DataFrame, docs: DataFrame, text: str, doc_id: str, n_word
                 out += [h[ends[k] : ends[k + 1]].tobytes() for k in range(hi - lo)]
             return out
 
+        def told(b, lo, bodies):
+            part = b.slice(lo, len(bodies))
+            return pa.RecordBatch.from_arrays([*part.columns[:6], pa.array(shingled(bodies), pa.binary())], names=["cid", "block", "docs", "wide", "bands", "steps", "grams"])
+
+        # Handed on as soon as a step is full, so neither side holds the sets of a whole batch.
         for b in batches:
-            out, held, size = [], [], 0
+            lo, held, size = 0, [], 0
             for packed in b.column(6):
                 held += C.unpack([packed.as_py()])
                 size += len(held[-1])
                 if size >= C.CHUNK_BYTES:
-                    out += shingled(held)
-                    held, size = [], 0
-            out += shingled(held) if held else []
-            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(out, pa.binary())], names=["cid", "block", "docs", "wide", "bands", "steps", "grams"])
+                    yield told(b, lo, held)
+                    lo, held, size = lo + len(held), [], 0
+            if held:
+                yield told(b, lo, held)
 
     def verify(batches):
         key, members = None, {}
