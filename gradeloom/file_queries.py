@@ -73,7 +73,8 @@ def _(spark, sf_dir):
     documents.write(repair.documents_of(files, repair.plain_root(spark, root)), base, statistics.ORDER)
     again = inference.statistics_files(spark, base)
     get = F.try_variant_get
-    rows = again.select(get("statistics", "$.dataset_key", "string").alias("dataset"), F.explode(get("statistics", "$.question_statistics", "map<string,variant>")).alias("question_id", "q"))
+    files = again.select(get("statistics", "$.dataset_key", "string").alias("dataset"), get("statistics", "$.question_statistics", "map<string,variant>").alias("all"))
+    rows = files.select("dataset", F.explode("all").alias("question_id", "q"))
     told = lambda name: get("q", f"$.statistics.{name}", "double").alias(name)
     runs = get("q", "$.runs", "map<string,variant>")
     second = get(F.try_element_at(runs, F.lit("run+2 %")), "$.earned_score", "double")

@@ -14,8 +14,12 @@ from gradeloom.sources.staging import drop_staged, stage, staged
 def opened(statistics: DataFrame) -> DataFrame:
     """Statistics files (path, statistics variant) as result rows, with earned = max(fine, coarse)."""
     get = lambda v, path, kind: F.try_variant_get(v, path, kind)
-    questions = statistics.select("path", F.coalesce(get("statistics", "$.dataset_name", "string"), get("statistics", "$.dataset_key", "string"), F.lit("Unknown")).alias("dataset"), F.explode(get("statistics", "$.question_statistics", "map<string,variant>")).alias("question_id", "q"))
-    runs = questions.select("path", "dataset", "question_id", get("q", "$.question", "string").alias("question"), F.coalesce(get("q", "$.max_points", "double"), F.lit(0.0)).alias("max_points"), F.explode_outer(get("q", "$.runs", "map<string,variant>")).alias("run_id", "r"))
+    entries = "map<string,variant>"
+    # What is told of a whole file, or of a question, is a column before the explode, so no row carries the document it is of.
+    files = statistics.select("path", F.coalesce(get("statistics", "$.dataset_name", "string"), get("statistics", "$.dataset_key", "string"), F.lit("Unknown")).alias("dataset"), get("statistics", "$.question_statistics", entries).alias("all"))
+    questions = files.select("path", "dataset", F.explode("all").alias("question_id", "q"))
+    questions = questions.select("path", "dataset", "question_id", get("q", "$.question", "string").alias("question"), F.coalesce(get("q", "$.max_points", "double"), F.lit(0.0)).alias("max_points"), get("q", "$.runs", entries).alias("all"))
+    runs = questions.select("path", "dataset", "question_id", "question", "max_points", F.explode_outer("all").alias("run_id", "r"))
     fine, coarse = (F.coalesce(get("r", f"$.{n}", "double"), F.lit(0.0)) for n in ("fine_grained_score", "coarse_grained_score"))
     return runs.select("path", "dataset", "question_id", "question", "run_id", "max_points", fine.alias("fine_grained_score"), coarse.alias("coarse_grained_score"), scores.earned(fine, coarse).alias("earned_points"), F.when(F.col("run_id").isNull(), "no runs").alias("error"))
 
