@@ -17,11 +17,12 @@ that gain the same (ties) the first is taken; columns of other names pass throug
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gradeloom.llm import _common as C
 
@@ -201,26 +202,27 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     return Gam().fit(x[order], y[order])
 
 
-def score(docs: DataFrame, model: Gam, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs' columns (or those of `keep`) with score."""
-    keep = C.others(docs, ["score"]) if keep is None else keep
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("text")).toDF(*[f"c{k}" for k in range(len(keep))], "text")
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("score", T.DoubleType())])
+def scorer(docs: DataFrame, model: Gam) -> Callable[[Column], Column]:
+    """The score of a column of texts. Texts alone go to Python and scores alone come back: rows stay where they are."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def step(batches):
-        for b in batches:
-            names = [f.name for f in b.schema][:-1]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(held.value.score(features(b.column(len(names)))))], names=[*names, "score"])
+    @F.arrow_udf("double")
+    def scored(text: pa.Array) -> pa.Array:
+        return pa.array(held.value.score(features(text)), pa.float64())
 
-    return source.mapInArrow(step, schema).toDF(*keep, "score")
+    return scored
+
+
+def score(docs: DataFrame, model: Gam, *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs' columns (or those of `keep`) with score."""
+    keep = C.others(docs, ["score"]) if keep is None else keep
+    return docs.select(*[F.col(f"`{c}`") for c in keep], scorer(docs, model)(F.col(f"`{text}`")).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, text: str = "text", **options) -> DataFrame:
     """The documents that score at least the threshold; docs' columns as they are."""
     model = train(docs, labels, text=text, **options)
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    return score(own, model, keep=["row"]).filter(F.col("score") >= threshold).select("row.*")
+    return docs.filter(scorer(docs, model)(F.col(f"`{text}`")) >= threshold)
 
 
 def op10_quality(spark, sf_dir: str) -> DataFrame:
