@@ -12,8 +12,8 @@ columns replace input columns of the same name.
 very long texts are sets like any other.
 
 Scale: no pair is emitted. Documents of one set are one class before anything else, so a text with very many copies counts once.
-In each band bucket every class gets one edge to the bucket's least class (aggregated before the shuffle, so a bucket may be of
-any size), and connected components of those edges are clusters. What is verified are the pairs that share a band, each once. A
+In each band bucket every class is tied to the bucket's least class (aggregated before the shuffle, so a bucket may be of
+any size); of these ties each class keeps one, as `stars` tells, and connected components are clusters. What is verified are the pairs that share a band, each once. A
 cluster of bounded size is one block; a larger one is split into blocks by each class's largest bucket, and only two blocks that
 meet in a band bucket are brought together, so the work follows the candidate pairs and not the cluster's square. A step holds
 two blocks of bounded numbers of classes and shingles; it counts common shingles by matrix products and returns one row a class:
@@ -104,6 +104,16 @@ def hashed(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_wor
     return source.mapInArrow(step, f"doc_id {id_type}, k1 long, k2 long, c1 long, c2 long, size long, bands array<long>")
 
 
+def stars(edges: DataFrame) -> DataFrame:
+    """Edges of the same components, of (a, b) edges with a bounded number of b for each a, none above it.
+
+    Each a keeps the edge to the least of its b alone, and that one takes the others: members of a group have these in common, so a group
+    has about one edge a member in place of one a member and band. An a without another b has no edge.
+    """
+    met = edges.groupBy("a").agg(F.collect_set("b").alias("all")).withColumn("b", F.array_min("all"))
+    return met.select(F.explode(F.array_union("all", F.array("a"))).alias("a"), "b").filter("a <> b").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, label): for each vertex of (a, b) edges the least vertex it is connected with."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -267,15 +277,14 @@ def link(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", n_words
     classes = C.stage(classes.withColumn("cid", F.monotonically_increasing_id()), "near-classes")
     banded = classes.select("cid", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("cid").alias("least"), F.max("cid").alias("most")).filter("least < most").select("band", "least")
-    edges = banded.join(least, "band").filter("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
-    clusters = components(edges)
+    clusters = components(stars(banded.join(least, "band").select(F.col("cid").alias("a"), F.col("least").alias("b"))))
     steps = _blocks(classes, clusters, block, many, most, block_grams)
     wanted = steps.join(classes.select("cid", "docs", "bands", "first.k1", "first.k2"), "cid")
     found = C.stage(_verified(wanted, docs, text, doc_id, n_words, threshold), "near-links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     wide = found.filter("wide")
     if not wide.isEmpty():
-        joined = components(wide.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"v": "cid", "label": "whole"})
+        joined = components(stars(wide.select(F.col("cid").alias("a"), F.col("root").alias("b")))).withColumnsRenamed({"v": "cid", "label": "whole"})
         links = links.join(joined, "cid", "left").withColumn("root", F.coalesce("whole", "root"))
     classes = classes.drop("bands").join(links, "cid", "left")
     return slim.drop("size", "bands"), classes.select("c1", "c2", "cid", "docs", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "cid").alias("component"), "first")

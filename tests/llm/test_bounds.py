@@ -136,3 +136,23 @@ def test_a_key_is_needed_on_a_cluster(spark, monkeypatch):
 def test_hidden_elements(style, hidden):
     nodes, _ = html_text.parse(f'<html><body><p style="{style}">text</p></body></html>')
     assert any("hidden" in n.parts for n in nodes if n.name == "p") == hidden
+
+
+def test_a_group_of_near_copies_has_about_an_edge_a_member(spark, monkeypatch):
+    rng, n = random.Random(3), 200
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [" ".join([*words[: (k := rng.randrange(200))], f"x{i}", *words[k + 1 :]]) for i in range(n)]
+    counts, components = [], near_dups.components
+    monkeypatch.setattr(near_dups, "components", lambda edges: (counts.append(edges.count()), components(edges))[1])
+    got = near_dups.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=16, many=4, most=32).collect()
+    assert {(r.class_id, r.n_links) for r in got} == {(0, n - 1)}
+    assert len(counts) == 2 and max(counts) <= 3 * n  # 2198 before: one a member and least of a band
+
+
+def test_stars_connect_what_the_edges_do(spark):
+    rng = random.Random(4)
+    edges = [(a, rng.randrange(a + 1)) for a in range(1, 400) for _ in range(rng.randrange(3))]
+    df = spark.createDataFrame(edges, "a long, b long")
+    least = {r.v: r.label for r in near_dups.components(df).collect()}
+    got = {r.v: r.label for r in near_dups.components(near_dups.stars(df)).collect()}
+    assert {v: label for v, label in least.items() if v in got} == got and all(least[v] == v for v in set(least) - set(got))
