@@ -89,3 +89,32 @@ def test_points_of_a_whole_file(spark, tmp_path):
     got = [(r.idx, r.question_id, r.points) for r in inference.problems(files).orderBy("idx").collect()]
     assert got == [(k, f"D/M_{k + 1}", [2.0] if k == 49 else [0.0]) for k in range(50)]
     assert [(r.idx, r.question_id, r.points) for r in inference.problems(engine.files()).orderBy("idx").collect()] == got
+
+
+def test_a_range_reads_little_beyond_its_end():
+    """A small range in a long file is read to the end of its last element, not to the end of the file."""
+    body, read = ("[" + ",".join(f'{{"id": {k}, "text": "é ] ,"}}' for k in range(20000)) + "]").encode(), []
+
+    class File:
+        def read_at(self, n, at):
+            read.append(n)
+            return body[at : at + n]
+
+    lo, hi = 0, 400
+    found = list(arrays._elements(File(), lo, hi, len(body), False, 0))
+    assert [json.loads(x)["id"] for x in found] == list(range(len(found))) and len(found) >= 10
+    assert sum(read) <= 2000  # the whole file before
+
+
+def test_ranges_side_by_side_are_one_read():
+    body, read = bytes(range(256)) * 4000, []
+
+    class File:
+        def read_at(self, n, at):
+            read.append(n)
+            return body[at : at + n]
+
+    near = arrays.Near(File())
+    for at in range(0, len(body), 400):
+        assert near.read_at(400, at) == body[at : at + 400] and near.read_at(min(at, 1024), max(0, at - 1024)) == body[max(0, at - 1024) : at]
+    assert near.read_at(arrays.AHEAD + 5, 3) == body[3 : arrays.AHEAD + 8] and len(read) <= 8
