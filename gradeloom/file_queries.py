@@ -71,10 +71,7 @@ def _(spark, sf_dir):
     root = _statistics(spark, sf_dir)
     files, base = inference.statistics_files(spark, root), _folder(spark, "repaired")
     documents.write(repair.documents_of(files, repair.plain_root(spark, root)), base, statistics.ORDER)
-    again = inference.statistics_files(spark, base)
-    get = F.try_variant_get
-    files = again.select(get("statistics", "$.dataset_key", "string").alias("dataset"), get("statistics", "$.question_statistics", "map<string,variant>").alias("all"))
-    rows = files.select("dataset", F.explode("all").alias("question_id", "q"))
+    rows, get = repair.asked(inference.statistics_files(spark, base)), F.try_variant_get
     told = lambda name: get("q", f"$.statistics.{name}", "double").alias(name)
     runs = get("q", "$.runs", "map<string,variant>")
     second = get(F.try_element_at(runs, F.lit("run+2 %")), "$.earned_score", "double")

@@ -10,15 +10,28 @@ from gradeloom.operators import scores
 from gradeloom.sources import documents, inference, sinks, statistics, store
 from gradeloom.sources.staging import drop_staged, stage, staged
 
+ENTRIES = "map<string,variant>"
+
+def asked(statistics_files: DataFrame, *columns: str) -> DataFrame:
+    """Statistics files (path, statistics variant, and columns of a whole file) as a row a question: its number in the file, its id and what is told of it.
+
+    An outer explode, and what it makes of files without questions left out after: before an inner one Spark asks whether there are any, and reads the document again for that.
+    """
+    get = F.try_variant_get
+    # What is told of a whole file is a column before the explode, so no row carries the document it is of.
+    files = statistics_files.select("path", *columns, F.coalesce(get("statistics", "$.dataset_name", "string"), get("statistics", "$.dataset_key", "string"), F.lit("Unknown")).alias("dataset"), get("statistics", "$.question_statistics", ENTRIES).alias("all"))
+    return files.select("path", *columns, "dataset", F.posexplode_outer("all").alias("at", "question_id", "q")).filter("question_id is not null")
+
 
 def opened(statistics: DataFrame) -> DataFrame:
     """Statistics files (path, statistics variant) as result rows, with earned = max(fine, coarse)."""
+    return run_rows(asked(statistics))
+
+
+def run_rows(questions: DataFrame) -> DataFrame:
+    """A row a run of each question of asked(), and one of questions without runs."""
     get = lambda v, path, kind: F.try_variant_get(v, path, kind)
-    entries = "map<string,variant>"
-    # What is told of a whole file, or of a question, is a column before the explode, so no row carries the document it is of.
-    files = statistics.select("path", F.coalesce(get("statistics", "$.dataset_name", "string"), get("statistics", "$.dataset_key", "string"), F.lit("Unknown")).alias("dataset"), get("statistics", "$.question_statistics", entries).alias("all"))
-    questions = files.select("path", "dataset", F.explode("all").alias("question_id", "q"))
-    questions = questions.select("path", "dataset", "question_id", get("q", "$.question", "string").alias("question"), F.coalesce(get("q", "$.max_points", "double"), F.lit(0.0)).alias("max_points"), get("q", "$.runs", entries).alias("all"))
+    questions = questions.select("path", "dataset", "question_id", get("q", "$.question", "string").alias("question"), F.coalesce(get("q", "$.max_points", "double"), F.lit(0.0)).alias("max_points"), get("q", "$.runs", ENTRIES).alias("all"))
     runs = questions.select("path", "dataset", "question_id", "question", "max_points", F.explode_outer("all").alias("run_id", "r"))
     fine, coarse = (F.coalesce(get("r", f"$.{n}", "double"), F.lit(0.0)) for n in ("fine_grained_score", "coarse_grained_score"))
     return runs.select("path", "dataset", "question_id", "question", "run_id", "max_points", fine.alias("fine_grained_score"), coarse.alias("coarse_grained_score"), scores.earned(fine, coarse).alias("earned_points"), F.when(F.col("run_id").isNull(), "no runs").alias("error"))
@@ -71,11 +84,15 @@ def plain_root(spark: SparkSession, root: str) -> str:
 def documents_of(statistics_files: DataFrame, root: str) -> DataFrame:
     """Each statistics file anew, as rows for documents.write(): all its fields, with earned scores, each question's statistics and
     the overall ones recomputed. Questions without runs, and the overall statistics of a file without any, stay as they are."""
-    get, entries = F.try_variant_get, "map<string,variant>"
+    get, entries = F.try_variant_get, ENTRIES
     file = F.substr(F.col("path"), F.instr(F.col("path"), F.lit(root)) + len(root) + 1)
-    top = statistics_files.filter("statistics is not null").select("path", file.alias("file"), get("statistics", "$", entries).alias("top"), "statistics")
-    asked = top.select("path", "file", F.posexplode(get("statistics", "$.question_statistics", entries)).alias("at", "question_id", "q"))
-    real = opened(statistics_files).filter("run_id is not null")
+    files = statistics_files.withColumn("file", file)
+    # A document is read for its questions and for the rest; each later step reads rows of one question, not whole documents again.
+    every = stage(asked(files, "file"), "asked")
+    told = files.select("path", "file", F.col("statistics").isNotNull().alias("readable"), get("statistics", "$", entries).alias("top"), get("statistics", "$.overall_statistics", "variant").alias("before"))
+    told = told.select("path", "file", "readable", _without(F.col("top"), ["question_statistics", "overall_statistics"]).alias("top"), F.map_contains_key("top", F.lit("question_statistics")).alias("has"), "before")
+    top = stage(told, "told").filter("readable")
+    real = run_rows(every).filter("run_id is not null")
     own = scores.question_stats(real, ["path", "question_id"], 4, True)
     overall = scores.pooled_stats(real, ["path"])
     earned = lambda r: scores.earned(*(F.coalesce(get(r[n], "$", "double"), F.lit(0.0)) for n in ("fine_grained_score", "coarse_grained_score")))
@@ -86,11 +103,10 @@ def documents_of(statistics_files: DataFrame, root: str) -> DataFrame:
     rest = _inner(F.to_json(_without(get("q", "$", entries), ["runs", "statistics", *TOP])))
     anew = F.concat(F.lit("{"), _joined(rest, F.concat(F.lit('"runs":'), runs), F.concat(F.lit('"statistics":'), told), _inner(F.to_json(F.struct(*TOP)))), F.lit("}"))
     question = statistics.entry(F.col("question_id"), F.when(F.col("num_runs").isNull(), F.to_json("q")).otherwise(anew))
-    questions = asked.join(own, ["path", "question_id"], "left")
+    questions = every.join(own, ["path", "question_id"], "left")
     all_ = top.join(overall.select("path", F.to_json(F.struct(*[c for c in overall.columns if c != "path"])).alias("overall")), "path", "left")
-    kept = F.coalesce("overall", F.to_json(get("statistics", "$.overall_statistics", "variant")))
-    has = F.map_contains_key("top", F.lit("question_statistics"))
-    opens = F.concat(F.lit("{\n"), _joined(_inner(F.to_json(_without(F.col("top"), ["question_statistics", "overall_statistics"]))), F.when(has, F.lit('\n"question_statistics": {\n')).otherwise("")))
+    kept, has = F.coalesce("overall", F.to_json("before")), F.col("has")
+    opens = F.concat(F.lit("{\n"), _joined(_inner(F.to_json("top")), F.when(has, F.lit('\n"question_statistics": {\n')).otherwise("")))
     ends = F.concat(F.when(has, "\n}").otherwise(""), F.coalesce(F.concat(F.lit(',\n"overall_statistics": '), kept), F.lit("")), F.lit("\n}\n"))
     at = F.col("file")
     return statistics.union([statistics.rows(all_, at, 0, opens), statistics.rows(questions, at, 1, question, F.col("question_id"), F.col("at")), statistics.rows(all_, at, 2, ends)])

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from gradeloom import queries
 from gradeloom.plans import repair
-from gradeloom.sources import inference
+from gradeloom.sources import documents, inference, statistics
 from tests.oracle import SF_DIR
 
 
@@ -41,3 +43,19 @@ def test_no_question_carries_its_document_and_no_run_its_question(spark):
     df = repair.opened(spark.range(1).select(F.concat(F.lit("p"), "id").alias("path"), F.try_parse_json(F.concat(F.lit(told), F.lit(""))).alias("statistics")))
     assert all(not c & {"statistics", "q", "all"} for c in carried(df))
     assert sorted((r["question_id"], r["question"], r["max_points"], r["run_id"], r["earned_points"]) for r in df.collect()) == [("q1", "a", 2.0, "r1", 1.0), ("q1", "a", 2.0, "r2", 0.0), ("q2", None, 0.0, None, 0.0)]
+
+
+def test_a_repair_reads_rows_of_questions_and_not_whole_documents_at_each_step(spark, tmp_path):
+    told = {"a": '{"dataset_key": "d/m", "note": 1, "question_statistics": {"q1": {"max_points": 2.0, "runs": {"r1": {"coarse_grained_score": 1.0}}}, "q2": {"runs": {}}}, "overall_statistics": null}', "b": '{"dataset_key": "e"}', "c": "no JSON"}
+    for name, text in told.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / statistics.DOCUMENT).write_text(text)
+    root = str(tmp_path)
+    df = repair.documents_of(inference.statistics_files(spark, root), repair.plain_root(spark, root))
+    assert "parse_json" not in df._jdf.queryExecution().optimizedPlan().toString()
+    documents.write(df, str(tmp_path / "new"), statistics.ORDER)
+    found = {name: json.loads((tmp_path / "new" / name / statistics.DOCUMENT).read_text()) for name in ("a", "b")}
+    assert found["b"] == {"dataset_key": "e"} and not (tmp_path / "new" / "c").exists()
+    assert found["a"]["note"] == 1 and found["a"]["overall_statistics"]["total_runs"] == 1
+    assert found["a"]["question_statistics"]["q1"]["runs"] == {"r1": {"coarse_grained_score": 1.0, "earned_score": 1.0}}
+    assert found["a"]["question_statistics"]["q2"] == {"runs": {}}
