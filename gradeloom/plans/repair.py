@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gradeloom.functions import text as X
 from gradeloom.operators import scores
 from gradeloom.sources import documents, inference, sinks, statistics, store
-from gradeloom.sources.staging import drop_staged, stage, staged
+from gradeloom.sources.staging import drop_staged, large, stage, staged
 
 ENTRIES = "map<string,variant>"
 
@@ -54,7 +54,7 @@ def rewritten(rows: DataFrame, found: dict[str, DataFrame]) -> DataFrame:
     run = F.struct("fine_grained_score", "coarse_grained_score", F.col("earned_points").alias("earned_score"))
     questions = rows.groupBy("path", "dataset", "question_id").agg(F.first("question").alias("question"), F.max("max_points").alias("max_points"), F.array_sort(F.collect_list(F.when(F.col("run_id").isNotNull(), F.struct("run_id", run.alias("r"))))).alias("runs"))
     stats = found["questions"].select("dataset", "question_id", F.struct(*[c for c in found["questions"].columns if c not in ("dataset", "question_id")]).alias("statistics"))
-    return questions.withColumn("runs", F.map_from_entries("runs")).join(stats, ["dataset", "question_id"], "left")
+    return questions.withColumn("runs", F.map_from_entries("runs")).join(large(stats), ["dataset", "question_id"], "left")
 
 
 #: What a repair writes anew beside a question's own fields, besides its runs and statistics.
@@ -103,7 +103,7 @@ def documents_of(statistics_files: DataFrame, root: str) -> DataFrame:
     rest = _inner(F.to_json(_without(get("q", "$", entries), ["runs", "statistics", *TOP])))
     anew = F.concat(F.lit("{"), _joined(rest, F.concat(F.lit('"runs":'), runs), F.concat(F.lit('"statistics":'), told), _inner(F.to_json(F.struct(*TOP)))), F.lit("}"))
     question = statistics.entry(F.col("question_id"), F.when(F.col("num_runs").isNull(), F.to_json("q")).otherwise(anew))
-    questions = every.join(own, ["path", "question_id"], "left")
+    questions = every.join(large(own), ["path", "question_id"], "left")
     all_ = top.join(overall.select("path", F.to_json(F.struct(*[c for c in overall.columns if c != "path"])).alias("overall")), "path", "left")
     kept, has = F.coalesce("overall", F.to_json("before")), F.col("has")
     opens = F.concat(F.lit("{\n"), _joined(_inner(F.to_json("top")), F.when(has, F.lit('\n"question_statistics": {\n')).otherwise("")))
@@ -120,7 +120,7 @@ def books_of(rows: DataFrame, root: str) -> DataFrame:
     real, keys = rows.filter("run_id is not null"), ["file"]
     own = scores.question_stats(real, [*keys, "question_id"], 4, True)
     titles = rows.groupBy(*keys, "question_id").agg(F.max("max_points").alias("max_points"), F.first("question").alias("question"))
-    questions = titles.join(own, [*keys, "question_id"]).join(statistics.by_run(real, keys), [*keys, "question_id"]).withColumn("at", F.lit(0))
+    questions = titles.join(large(own), [*keys, "question_id"]).join(large(statistics.by_run(real, keys)), [*keys, "question_id"]).withColumn("at", F.lit(0))
     runs = real.groupBy(keys).agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
     table = scores.run_summary(real, titles, "file").withColumnRenamed("file", "of")
     table = table.withColumns({"file": F.col("of"), "run_dir": F.col("run_id")}).select("file", "run_dir", "run_id", "total_score", "max_possible_score", "score_rate")
@@ -150,7 +150,7 @@ def write(spark: SparkSession, root: str) -> dict[str, str]:
     for kind, column in scores.SCORES.items():
         pivot = scores.pivot_runs(real, runs, ["dataset", "question_id"], column).withColumnsRenamed({r: f"{r}_score" for r in runs})
         own = [F.col(f"{m}{kind}_score").alias(f"{m}_score") for m in ("mean", "std", "min", "max", "median")]
-        table = titles.join(found["questions"].select("dataset", "question_id", "num_runs", *own, "score_rate"), ["dataset", "question_id"]).join(pivot, ["dataset", "question_id"])
+        table = titles.join(large(found["questions"].select("dataset", "question_id", "num_runs", *own, "score_rate")), ["dataset", "question_id"]).join(large(pivot), ["dataset", "question_id"])
         out[f"questions{kind}"] = sinks.write_table(table, f"{base}/question_statistics{kind}")
     for name in ("overall", "runs", "summary"):
         out[name] = sinks.write_table(found[name], f"{base}/{name}")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gradeloom.functions import text as X
 from gradeloom.sources import sinks
+from gradeloom.sources.staging import large
 
 DOCUMENT = "multi_run_statistics.json"
 #: Workbooks of questions by kind of score: the suffix of its statistics, the run's field.
@@ -57,7 +58,7 @@ def documents(found: dict[str, DataFrame]) -> DataFrame:
     head = F.concat(F.lit('{\n"dataset_key": '), quoted(F.concat_ws("/", *keys)), F.lit(',\n"num_runs": '), F.col("n").cast("string"), F.lit(',\n"run_files": ['))
     texts = found["results"].groupBy(*keys, "question_id").agg(F.min_by(F.struct("question", "context", "answer", "points", "idx"), "run_id").alias("t"))
     own = sinks.nested_runs(found["own"], [*keys, "question_id"])
-    questions = found["questions"].join(texts, [*keys, "question_id"], "left").join(own, [*keys, "question_id"], "left")
+    questions = found["questions"].join(large(texts), [*keys, "question_id"], "left").join(large(own), [*keys, "question_id"], "left")
     measured = [c for c in found["questions"].columns if c not in (*keys, "question_id", "question", "max_points")]
     no_runs = F.create_map().cast(own.schema["runs"].dataType)
     about = F.to_json(F.struct("question_id", F.col("t.question").alias("question"), F.col("t.context").alias("context"), F.col("t.answer").alias("answer"), F.col("t.points").alias("points"), "max_points", F.coalesce("runs", no_runs).alias("runs")), FULL)
@@ -119,11 +120,11 @@ def by_run(own: DataFrame, keys: list[str]) -> DataFrame:
 def workbooks(found: dict[str, DataFrame]) -> DataFrame:
     """The workbooks' rows, of evaluate.multi_run()'s tables; questions that no run scored are in none."""
     keys = ["dataset", "model"]
-    scored = found["questions"].filter("num_runs > 0").join(by_run(found["own"], keys), [*keys, "question_id"])
+    scored = found["questions"].filter("num_runs > 0").join(large(by_run(found["own"], keys)), [*keys, "question_id"])
     places = found["own"].groupBy(*keys, "question_id").agg(F.min_by("idx", "run_id").alias("at"))
     runs = found["run_scores"].groupBy(keys).agg(F.array_sort(F.collect_set("run_id")).alias("runs"))
     table = sinks.run_table(found["run_scores"], keys)
-    return books(scored.join(places, [*keys, "question_id"]), runs, in_folder).unionByName(run_book(table, in_folder("run_summary.xlsx"), keys))
+    return books(scored.join(large(places), [*keys, "question_id"]), runs, in_folder).unionByName(run_book(table, in_folder("run_summary.xlsx"), keys))
 
 
 def detailed_books(results: DataFrame) -> DataFrame:
