@@ -34,7 +34,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str, key: bytes | None = None) -> DataFrame:
-    found = pii.pseudonymise(docs, key=key, report=False)
+    found = pii.pseudonymise(docs, key=key or pii.session_key(spark), report=False)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return found.select(*[F.col(f"`{c}`") for c in docs.columns])
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str, key: bytes | None = None) -> DataFrame:
-    """Applies the stages to the documents of sf_dir; key is the secret of the pseudonyms (without one, see pii.secret_key()).
+    """Applies the stages to the documents of sf_dir; key is the secret of the pseudonyms (without one, see pii.session_key()).
 
     What a stage has staged, and the documents that it has read, are dropped once its own are written, and all of them where it fails.
     """

@@ -129,6 +129,18 @@ def test_what_a_stage_staged_is_dropped(spark, folder, monkeypatch):
     assert staged_tables(spark) == before and C.drop_staged(spark) == 0
 
 
+def test_a_cluster_session_that_names_no_key_gets_one_of_its_own(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "write to ann@example.org", "en", "s", 24), (2, "ask ann@example.org", "en", "s", 19)], DOCS)
+    demo = [r.text for r in corpus_pipeline.pii_stage(spark, docs, "").orderBy("doc_id").collect()]
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://far:7077")
+    own, again = ([r.text for r in corpus_pipeline.pii_stage(spark, docs, "").orderBy("doc_id").collect()] for _ in range(2))
+    assert own == again and own[0].split()[-1] == own[1].split()[-1] and "ann@example" not in own[0] and own != demo
+    assert [pii.Pseudonyms(pii.session_key(spark), back=True).apply(x)[0] for x in own] == ["write to ann@example.org", "ask ann@example.org"]
+    assert corpus_pipeline.pii_stage(spark, docs, "", b"secret").orderBy("doc_id").first().text == pii.Pseudonyms(b"secret").apply("write to ann@example.org")[0]
+    with pytest.raises(ValueError, match="secret key"):
+        pii.pseudonymise(docs)
+
+
 def test_scopes(spark):
     with C.scope(spark) as outer:
         with C.scope(spark) as inner:
